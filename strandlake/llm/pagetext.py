@@ -147,6 +147,10 @@ def article(root: Node) -> list[Node]:
     return _find(root, lambda x: x.tag == "article") or _find(root, lambda x: x.tag == "main" or "articlebody" in x.attrs.lower() or re.search(r"role\s*=\s*[\"']?main", x.attrs, re.I) is not None) or [root]
 
 
+def _signed(h: int) -> int:
+    return h - (1 << 64) if h >= 1 << 63 else h
+
+
 def subtree_hashes(tops: list[Node]) -> dict[int, int]:
     """id(node) -> hash of its tags and text, of every block element with text below ``tops``."""
     out: dict[int, int] = {}
@@ -163,7 +167,7 @@ def subtree_hashes(tops: list[Node]) -> dict[int, int]:
             h = xxhash.xxh64_intdigest(f"{node.tag}\x02{body}".encode("utf-8", "surrogatepass"))
             text[id(node)] = f"{h:x}"
             if node.tag in BLOCK:
-                out[id(node)] = h - (1 << 64) if h >= 1 << 63 else h
+                out[id(node)] = _signed(h)
     return out
 
 
@@ -210,10 +214,6 @@ def _host(col):
     return F.lower(F.coalesce(F.regexp_extract(col, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)", 1), F.lit("")))
 
 
-def _signed(h: int) -> int:
-    return h - (1 << 64) if h >= 1 << 63 else h
-
-
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(host, content, subtree): each page's distinct subtrees; the page itself counts with subtree null."""
     for batch in batches:
@@ -221,7 +221,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for h, page in zip(batch["host"].to_pylist(), batch["html"].to_pylist(), strict=True):
             tops = article(prune(parse(page or "")))
             found = subtree_hashes(tops)
-            whole = _signed(xxhash.xxh64_intdigest(b"".join(found[id(t)].to_bytes(8, "little", signed=True) if id(t) in found else b"\0" for t in tops)))
+            whole = _signed(xxhash.xxh64_intdigest("\n".join(blocks(tops, set())).encode("utf-8", "surrogatepass")))
             mine = [None, *sorted(set(found.values()))]
             host += [h] * len(mine)
             content += [whole] * len(mine)

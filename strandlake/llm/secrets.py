@@ -32,7 +32,7 @@ TOKEN = r"[A-Za-z0-9+/_-]{20,}"
 LEAST = {"assign": 8, "access": 16, "hex": 32}
 #: Length classes of tokens, by least length; ordinary stretches have a class's least length.
 CLASSES = (20, 24, 32, 48, 64, 96)
-RATE = 0.01
+RATE = 0.05
 GRID = 200
 MARK = "[SECRET]"
 
