@@ -76,6 +76,31 @@ def draw(seed: int, stage: int, contig: Column, entity: Column, local: Column) -
     return run(contig.cast("long"), entity.cast("long"), local.cast("long"))
 
 
+def pick(seed: int, stage: int, contig: Column, entity: Column, local: Column, width: Column) -> Column:
+    """``bounded`` of the address's draw, inside the kernel: for plans that use the pick many times."""
+
+    @F.pandas_udf("long")
+    def run(contig: pd.Series, entity: pd.Series, local: pd.Series, width: pd.Series) -> pd.Series:
+        n, carry = width.to_numpy().astype(np.uint64), np.zeros(len(width), np.uint64)
+        for w in words(seed, stage, contig.to_numpy(), entity.to_numpy(), local.to_numpy()):
+            carry = (w * n + carry) >> _HALF
+        return pd.Series(carry.astype(np.int64))
+
+    return run(contig.cast("long"), entity.cast("long"), local.cast("long"), width.cast("long"))
+
+
+def clamped_normal(seed: int, stage: int, contig: Column, entity: Column, local: Column, least: int, mean: int, most: int, sd: float) -> Column:
+    """mean + trunc(sd * z) between ``least`` and ``most``, inside the kernel."""
+
+    @F.pandas_udf("long")
+    def run(contig: pd.Series, entity: pd.Series, local: pd.Series) -> pd.Series:
+        distinct, place = np.unique(contig.to_numpy(), return_inverse=True)
+        z = normal(stage_key(seed, stage, distinct)[place], unsigned(entity.to_numpy()), unsigned(local.to_numpy()))
+        return pd.Series(np.clip(mean + np.trunc(sd * z), least, most).astype(np.int64))
+
+    return run(contig.cast("long"), entity.cast("long"), local.cast("long"))
+
+
 def uniform01(w: Column, pair: int = 0) -> Column:
     lo, hi = w[f"w{2 * pair}"], w[f"w{2 * pair + 1}"]
     return (F.shiftleft(hi, 21).bitwiseOR(F.shiftright(lo, 11))).cast("double") * F.lit(2.0**-53)
