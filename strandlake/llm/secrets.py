@@ -9,7 +9,8 @@ about the alphabet's middle, and serial correlation of neighbours; T is the sum
 False-discovery control by length: in each length class the T of ordinary text, one stretch of letters of
 each document, is the null distribution.  A token's p-value is the share of it that lies as low; the
 Benjamini-Hochberg step, on a fixed grid of T, sets the class's threshold for a false-discovery rate of
-``RATE``.  Grid counts (classes x 200 rows) are all that is gathered; they are broadcast.
+``RATE`` (a class needs 1 / RATE stretches before it can discover anything).  The tests themselves must
+not reject an even draw either (T at most ``PASSES``).  Grid counts (classes x 200 rows) are all that is gathered; they are broadcast.
 
 Contract: one row per distinct (doc_id, text).  Null and empty texts: counts 0, the digest of the empty
 string, spans ''.  Positions are code points, end exclusive.  Spans are listed by start, then kind in the
@@ -32,7 +33,9 @@ TOKEN = r"[A-Za-z0-9+/_-]{20,}"
 LEAST = {"assign": 8, "access": 16, "hex": 32}
 #: Length classes of tokens, by least length; ordinary stretches have a class's least length.
 CLASSES = (20, 24, 32, 48, 64, 96)
-RATE = 0.05
+RATE = 0.01
+#: An even draw is not rejected: T is at most the 0.999 point of chi-squared with 3 degrees of freedom.
+PASSES = 16.27
 GRID = 200
 MARK = "[SECRET]"
 
@@ -98,7 +101,8 @@ def _grid(t: Column) -> Column:
 
 def thresholds(docs: DataFrame, tokens: DataFrame) -> DataFrame:
     """(class, cut): tokens of the class whose grid place is at most ``cut`` are discoveries."""
-    letters = F.lower(F.regexp_replace("text", "[^A-Za-z]+", ""))
+    # Long tokens go first: a null distribution that held the secrets would hide them.
+    letters = F.lower(F.regexp_replace(F.regexp_replace("text", TOKEN, ""), "[^A-Za-z]+", ""))
     chosen = F.element_at(F.array(*[F.lit(c) for c in CLASSES]), (F.pmod(F.xxhash64("doc_id"), F.lit(len(CLASSES))) + 1).cast("int"))
     plain = docs.where("text IS NOT NULL").select("doc_id", letters.alias("letters"), chosen.alias("class")).where(F.length("letters") >= F.col("class"))
     place = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(1)), F.length("letters") - F.col("class") + 1).cast("int")
@@ -109,7 +113,8 @@ def thresholds(docs: DataFrame, tokens: DataFrame) -> DataFrame:
     upto, all_ = Window.partitionBy("class").orderBy("place"), Window.partitionBy("class")  # GRID rows at most
     grid = grid.select("class", "place", F.sum("n_null").over(upto).alias("low"), F.sum("n_null").over(all_).alias("nulls"), F.sum("n_seen").over(upto).alias("found"), F.sum("n_seen").over(all_).alias("tokens"))
     p = (F.col("low") + 1) / (F.col("nulls") + 1)
-    return grid.where(p * F.col("tokens") <= RATE * F.col("found")).groupBy("class").agg(F.max("place").alias("cut"))
+    known = grid.where((p * F.col("tokens") <= RATE * F.col("found")) & (F.col("place") <= int(PASSES**0.5 * 10)))
+    return known.groupBy("class").agg(F.max("place").alias("cut"))
 
 
 def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

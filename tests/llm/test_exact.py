@@ -115,7 +115,7 @@ def test_random_tokens_are_found_and_words_are_not(spark):
 
     rng = random.Random(3)
     pool = string.ascii_letters + string.digits
-    rows = documents(6, 100) + [(3000 + i, prose(rng, 60), "", "", 0, 0.0, 0) for i in range(500)]
+    rows = documents(6, 60) + [(3000 + i, prose(rng, 60), "", "", 0, 0.0, 0) for i in range(1500)]
     hidden = {}
     for i in range(12):
         token = "".join(rng.choice(pool) for _ in range(40))
