@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("basics", "libraries")
+MODULES = ("basics", "libraries", "variation", "reads")
 
 
 def load() -> tuple[dict, dict]:

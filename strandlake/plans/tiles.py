@@ -132,3 +132,20 @@ def cut_places(contigs: DataFrame, sites: list[tuple[str, int]]) -> DataFrame:
         return {"pos": pos.astype(np.int64), "sites": count.astype(np.int64)}
 
     return per_tile(tiles(contigs, longest), kernel, "ci long, pos long, sites long")
+
+
+def per_tile_keyed(tiled: DataFrame, kernel: Callable, seed: int, stage: int, schema: str) -> DataFrame:
+    """``per_tile`` for kernels that draw: they get the contig's key of a stage as well."""
+    from ..functions import philox as rng
+
+    names = [x.split()[0] for x in schema.split(", ")][1:]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for ci, n, a, b, at, seq in zip(*(batch[c].to_pylist() for c in ("ci", "len", "core_start", "core_end", "from", "seq")), strict=True):
+                key = rng.stage_key(seed, stage, np.array([ci]))
+                out = kernel(CODE[np.frombuffer(seq.encode(), np.uint8)], at, a, b, n, key)
+                if len(out["pos"]):
+                    yield _rows([(ci, out)], names)
+
+    return tiled.mapInArrow(run, schema)
