@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("basics", "libraries", "variation", "reads")
+MODULES = ("basics", "libraries", "variation", "reads", "models")
 
 
 def load() -> tuple[dict, dict]:
