@@ -9,6 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+BATCH_ROWS = 1000
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that every executor shares: ``spark.checkpoint.dir``.
 
@@ -21,14 +25,21 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def materialise(df: DataFrame, tag: str) -> DataFrame:
+def materialise(df: DataFrame, tag: str, narrow: bool = False) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
     This cuts lineage and survives lost executors: later stages reread files, not recompute Python.
+    narrow: rows of a few numbers, which are first rebalanced to files of a useful size.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/strandlake/{uuid.uuid4().hex}/{tag}"
-    df.write.parquet(path)
+    held = spark.conf.get(_BATCH, None)
+    # Texts are long: small Arrow batches bound the memory outside the heap.
+    spark.conf.set(_BATCH, str(BATCH_ROWS))
+    try:
+        (df.hint("rebalance") if narrow else df).write.parquet(path)
+    finally:
+        spark.conf.set(_BATCH, held) if held else spark.conf.unset(_BATCH)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -6,13 +6,14 @@ a word sequence that also starts earlier: at a smaller doc_id, or earlier in the
 1. Anchors.  ``COVER`` is a difference cover modulo ``PERIOD`` = 13: for any two places i and j there is a
    shift d < 13 with (i + d) mod 13 and (j + d) mod 13 both in it.  So two equal windows of 20 words share
    an equal run of ANCHOR = 8 words that starts at a cover position in both.  Only those runs, 4 of 13, are
-   hashed and dealt to buckets; the places of hashes seen twice come back.
+   hashed and dealt to buckets; the places of hashes seen twice come back.  Whole copies of a smaller id
+   are left out first: all their windows are repeats, and no other verdict changes without them.
 2. Extension.  Windows that hold a shared anchor are hashed as a whole (128 bits) and dealt to buckets; all
    but the first start of each sequence are repeats.
 3. The words that repeats cover are removed.
 
-Skew: equal hashes within one task are settled there, so a hash reaches its bucket once a task however
-many copies there are; the copies travel in rows that are dealt evenly.  Rows are packed arrays, not one
+Skew: equal hashes within one block of texts are settled there, so a hash reaches its bucket once a block
+however many copies there are; the copies travel in rows that are dealt evenly.  Rows are packed arrays, not one
 row a hash.  The number of buckets and blocks follows the number of documents; none is capped.
 
 Contract: one row per input row with a distinct non-null id; ids must be unique (rows that repeat an id
@@ -27,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,9 +40,7 @@ PERIOD = 13
 COVER = (0, 1, 3, 9)
 ANCHOR = WINDOW - PERIOD + 1
 #: Documents a block of texts, and a bucket of hashes, stand for.
-BLOCK_DOCS, BUCKET_DOCS, LEAST = 256, 16384, 256
-#: Words held before their anchors are dealt out.
-HELD_WORDS = 3_000_000
+BLOCK_DOCS, BUCKET_DOCS, LEAST = 1024, 16384, 256
 
 _IN_COVER = np.zeros(PERIOD, dtype=bool)
 _IN_COVER[list(COVER)] = True
@@ -49,7 +49,7 @@ RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_te
 
 
 def block_of(doc: np.ndarray, blocks: int) -> np.ndarray:
-    return (mix(doc.astype(U64)) % U64(blocks)).astype(np.int64)
+    return doc % blocks
 
 
 def _pack(key: np.ndarray, *columns: np.ndarray) -> Iterator[tuple[int, bytes]]:
@@ -78,18 +78,6 @@ def _batch(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
     return pa.record_batch([pa.array([k for k, _ in rows], pa.int32()), pa.array([p for _, p in rows], pa.binary())], schema=_PACKED)
 
 
-def _batches(rows: Iterator[tuple[int, bytes]], limit: int = 8_000_000) -> Iterator[pa.RecordBatch]:
-    held, size = [], 0
-    for r in rows:
-        held.append(r)
-        size += len(r[1]) + 16
-        if size > limit:
-            yield _batch(held)
-            held, size = [], 0
-    if held:
-        yield _batch(held)
-
-
 def _first_of(hashes: list[np.ndarray], doc: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(first: is it the first by document and place of its hash; several: has its hash others)."""
     order = np.lexsort((pos, doc, *hashes))
@@ -121,6 +109,16 @@ def _anchors(raw: np.ndarray, offsets: np.ndarray, ids: np.ndarray) -> Iterator[
             yield h[at], own[row[at]], place[at].astype(np.uint32)
 
 
+#: Hash columns as they travel: 48 bits of an anchor (a chance match only adds a candidate), 96 of a window.
+_WIDTH = {1: ("<u4", "<u2"), 2: ("<u8", "<u4")}
+
+
+def _narrow(hashes: list[np.ndarray]) -> list[np.ndarray]:
+    if len(hashes) == 1:
+        return [(hashes[0] >> U64(32)).astype("<u4"), (hashes[0] >> U64(16)).astype("<u2")]
+    return [hashes[0], (hashes[1] >> U64(32)).astype("<u4")]
+
+
 def _deal(hashes: list[np.ndarray], doc: np.ndarray, pos: np.ndarray, buckets: int, settled_is_all: bool) -> Iterator[tuple[int, bytes]]:
     """The first of each hash to its bucket; the others, settled, to pass-through keys from ``buckets`` on.
 
@@ -130,7 +128,7 @@ def _deal(hashes: list[np.ndarray], doc: np.ndarray, pos: np.ndarray, buckets: i
     if settled_is_all:
         pos = np.where(first & several, pos | np.uint32(1 << 31), pos)
     f = np.flatnonzero(first)
-    yield from _pack((hashes[0][f] % U64(buckets)).astype(np.int64), *(h[f] for h in hashes), doc[f], pos[f])
+    yield from _pack((hashes[0][f] % U64(buckets)).astype(np.int64), *_narrow([h[f] for h in hashes]), doc[f], pos[f])
     rest = np.flatnonzero(~first)
     if len(rest):
         spread = buckets + (mix(doc[rest].astype(U64) + U64(0x51ED27)) % U64(buckets)).astype(np.int64)
@@ -142,7 +140,9 @@ def _settle(key: int, payloads: list[bytes], buckets: int, blocks: int, hashes:
     if key >= buckets:
         doc, pos = _unpack(payloads, ("<i8", "<u4"))
     else:
-        *hs, doc, pos = _unpack(payloads, ("<u8",) * hashes + ("<i8", "<u4"))
+        *hs, doc, pos = _unpack(payloads, (*_WIDTH[hashes], "<i8", "<u4"))
+        if hashes == 1:
+            hs = [hs[0].astype(U64) << U64(16) | hs[1]]
         known, pos = pos >= 1 << 31, pos & np.uint32((1 << 31) - 1)
         first, several = _first_of(hs, doc, pos)
         at = np.flatnonzero(several | known if first_goes else ~first)
@@ -180,13 +180,15 @@ def _candidates(ids: np.ndarray, raw: np.ndarray, offsets: np.ndarray, shared: d
             yield windows(w.hashes(0), WINDOW, 0)[at], windows(w.hashes(1), WINDOW, 1)[at], own[row[at]], place[at].astype(np.uint32)
 
 
-def _finish(ids: np.ndarray, raw: np.ndarray, offsets: np.ndarray, repeats: dict[int, np.ndarray], texts: bool) -> tuple[list, ...]:
+def _finish(ids: np.ndarray, raw: np.ndarray, offsets: np.ndarray, repeats: dict[int, np.ndarray], copies: set[int], texts: bool) -> tuple[list, ...]:
     n_words, n_removed, digest, kept_text = [], [], [], []
     for w, own, _, _ in _doc_slices(raw, offsets, ids):
         for d, doc in enumerate(own):
             a, b = int(w.first[d]), int(w.first[d + 1])
             n, found = b - a, repeats.get(int(doc))
-            if found is None:
+            if int(doc) in copies and n >= WINDOW:
+                kept, gone = b"", n
+            elif found is None:
                 kept = b" ".join(w.data[w.offsets[d] : w.offsets[d + 1]].tobytes().split())
                 gone = 0
             else:
@@ -204,28 +206,34 @@ def _finish(ids: np.ndarray, raw: np.ndarray, offsets: np.ndarray, repeats: dict
     return n_words, n_removed, digest, kept_text
 
 
+def _prime_from(n: int) -> int:
+    """The least prime of at least ``n``: ids with a common factor still spread over all blocks."""
+    while any(n % k == 0 for k in range(2, int(n**0.5) + 1)):
+        n += 1
+    return n
+
+
+def exact_copies(docs: DataFrame) -> DataFrame:
+    """(doc_id) of documents whose whole text a smaller id also has; only hashes and ids are shuffled."""
+    keyed = docs.where("text IS NOT NULL").select("doc_id", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"))
+    first = keyed.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first <> last").drop("last")
+    return keyed.join(first, ["h1", "h2"]).where("doc_id <> first").select("doc_id")
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", texts: bool = False) -> DataFrame:
     """RESULT for every row of ``docs``; ``kept_text`` is filled if ``texts``."""
     docs = project(docs, id_col, text_col).where("doc_id IS NOT NULL")
     total = docs.count()
-    blocks, buckets = max(LEAST, total // BLOCK_DOCS), max(LEAST, total // BUCKET_DOCS)
-
-    def find_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+    blocks, buckets = _prime_from(max(LEAST, total // BLOCK_DOCS)), max(LEAST, total // BUCKET_DOCS)
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            h, doc, pos = (np.concatenate(x) for x in zip(*held, strict=True))
-            yield from _batches(_deal([h], doc, pos, buckets, True))
-
-        for batch in batches:
-            for found in _anchors(*string_buffers(batch["text"]), batch["doc_id"].to_numpy(zero_copy_only=False)):
-                held.append(found)
-                size += len(found[0])
-                if size * PERIOD > HELD_WORDS * len(COVER):
-                    yield from flush()
-                    held, size = [], 0
-        if held:
-            yield from flush()
+    def find_anchors(left: pa.Table, right: pa.Table) -> pa.Table:
+        if right.num_rows and left.num_rows:
+            left = left.filter(pa.compute.invert(pa.compute.is_in(left["doc_id"], right["doc_id"].combine_chunks())))
+        found = list(_anchors(*string_buffers(left["text"]), left["doc_id"].to_numpy())) if left.num_rows else []
+        if not found:
+            return _PACKED.empty_table()
+        h, doc, pos = (np.concatenate(x) for x in zip(*found, strict=True))
+        return pa.Table.from_batches([_batch(list(_deal([h], doc, pos, buckets, True)))])
 
     def settle(hashes: int, first_goes: bool):
         def run(key: tuple, group: pa.Table) -> pa.Table:
@@ -245,26 +253,25 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return pa.Table.from_batches([_batch(list(_deal([h1, h2], doc, pos, buckets, False)))])
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
+        out: tuple[list, ...] = ([], [], [], [])
         ids = left["doc_id"].to_numpy() if left.num_rows else np.zeros(0, np.int64)
-        out = _finish(ids, *string_buffers(left["text"]), _by_doc(right["payload"].to_pylist()), texts) if left.num_rows else ([], [], [], [])
+        if left.num_rows:
+            copied = {x for x in right["copy"].to_pylist() if x is not None} if right.num_rows else set()
+            found = _by_doc([x for x in right["payload"].to_pylist() if x is not None]) if right.num_rows else {}
+            out = _finish(ids, *string_buffers(left["text"]), found, copied, texts)
         return pa.table([pa.array(ids), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.string()), pa.array(out[3], pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"])
 
     packed = "key int, payload binary"
-    # The same 64-bit mix as block_of, so that packed places and texts meet in one block.
-    blocked = docs.mapInArrow(_with_block(blocks), "key int, doc_id long, text string")
-    anchors = docs.mapInArrow(find_anchors, packed).groupBy("key").applyInArrow(settle(1, True), packed)
-    starts = blocked.groupBy("key").cogroup(anchors.groupBy("key")).applyInArrow(extend, packed)
-    repeats = materialise(starts.groupBy("key").applyInArrow(settle(2, False), packed), "repeats")
-    return blocked.groupBy("key").cogroup(repeats.groupBy("key")).applyInArrow(finish, RESULT)
-
-
-def _with_block(blocks: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            key = block_of(batch["doc_id"].to_numpy(zero_copy_only=False), blocks).astype(np.int32)
-            yield pa.record_batch([pa.array(key), batch["doc_id"], batch["text"]], ["key", "doc_id", "text"])
-
-    return run
+    block = F.pmod("doc_id", F.lit(blocks)).cast("int").alias("key")
+    copies = materialise(exact_copies(docs), "copies", narrow=True).select(block, F.col("doc_id"))
+    # One plan to the end: the texts are dealt to blocks once, and the same exchange is read three times.
+    blocked = docs.select(block, "doc_id", "text")
+    anchors = blocked.groupBy("key").cogroup(copies.groupBy("key")).applyInArrow(find_anchors, packed)
+    shared = anchors.groupBy("key").applyInArrow(settle(1, True), packed)
+    starts = blocked.groupBy("key").cogroup(shared.groupBy("key")).applyInArrow(extend, packed)
+    repeats = starts.groupBy("key").applyInArrow(settle(2, False), packed).withColumn("copy", F.lit(None).cast("long"))
+    repeats = repeats.unionByName(copies.select("key", F.lit(None).cast("binary").alias("payload"), F.col("doc_id").alias("copy")))
+    return blocked.groupBy("key").cogroup(repeats.groupBy("key")).applyInArrow(finish, RESULT).hint("rebalance")
 
 
 def digest_query(docs: DataFrame) -> DataFrame:
