@@ -108,14 +108,16 @@ def reply_order(conversations: DataFrame) -> DataFrame:
     previous = turns.select("conv_id", (F.col("turn") + 1).alias("turn"), F.lit(True).alias("follows"))
     parent = turns.join(linked, ["conv_id", "turn"], "left").join(previous, ["conv_id", "turn"], "left")
     parent = parent.select("conv_id", "turn", F.coalesce("quoted_turn", F.when(F.col("follows"), F.col("turn") - 1)).alias("reply_to"), F.coalesce("n_linked", F.lit(0)).alias("n_linked"))
-    parent = materialise(parent, "parents")
-    # Pointer doubling: (up, far) is the ancestor 2**k levels up, or the root.
-    jump = parent.select("conv_id", "turn", F.coalesce("reply_to", "turn").alias("up"), F.when(F.col("reply_to").isNull(), 0).otherwise(1).cast("long").alias("far"))
+    parent = materialise(parent, "parents", narrow=True)
+    # Pointer doubling: (up, far) is the ancestor 2**k levels up, or the root (far counts the levels).  A
+    # message whose pointer has met its root stays as it is; only the others are looked up again.
+    jump = parent.select("conv_id", "turn", F.coalesce("reply_to", "turn").alias("up"), F.when(F.col("reply_to").isNull(), 0).otherwise(1).cast("long").alias("far"), F.col("reply_to").isNull().alias("done"))
     while True:
-        up = jump.select("conv_id", F.col("turn").alias("up"), F.col("up").alias("up2"), F.col("far").alias("far2"))
-        step = materialise(jump.join(up, ["conv_id", "up"]).select("conv_id", "turn", F.col("up2").alias("up"), (F.col("far") + F.col("far2")).alias("far"), (F.col("far2") > 0).alias("moved")), "jump")
-        jump = step.drop("moved")
-        if step.where("moved").isEmpty():
+        jump = materialise(jump, "jump", narrow=True)
+        if jump.where("NOT done").isEmpty():
             break
+        up = jump.select("conv_id", F.col("turn").alias("up"), F.col("up").alias("up2"), F.col("far").alias("far2"), F.col("done").alias("done2"))
+        moved = jump.where("NOT done").join(up, ["conv_id", "up"]).select("conv_id", "turn", F.col("up2").alias("up"), (F.col("far") + F.col("far2")).alias("far"), F.col("done2").alias("done"))
+        jump = jump.where("done").unionByName(moved)
     placed = parent.join(jump.select("conv_id", "turn", F.col("up").alias("thread"), F.col("far").alias("depth")), ["conv_id", "turn"])
     return parsed.join(placed, ["conv_id", "turn"], "left").select("conv_id", "turn", "role", "text", "n_quotes", F.coalesce("n_linked", F.lit(0)).alias("n_linked"), "reply_to", F.coalesce("thread", "turn").alias("thread"), F.coalesce("depth", F.lit(0)).alias("depth"))
