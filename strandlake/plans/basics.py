@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -12,8 +14,26 @@ from ..sources import derived as src
 from . import sqlgen, tiles
 from .registry import query
 
-SEED, CATALOG_SEED = 42, 7
-READ, INSERT, MAX_N, BINS, TOTAL = 20, 60, 8, 11, 20000
+
+
+@dataclass(frozen=True)
+class Params:
+    """What a run is drawn with; the defaults are those of the registered queries."""
+
+    seed: int = 42
+    catalog_seed: int = 7
+    read: int = 20
+    insert: int = 60
+    max_n: int = 8
+    total: int = 20000
+    conversion: float = 0.95
+    error: float = 0.02
+    phred: int = 40
+
+
+DEFAULTS = Params()
+SEED, CATALOG_SEED = DEFAULTS.seed, DEFAULTS.catalog_seed
+READ, INSERT, MAX_N, BINS, TOTAL = DEFAULTS.read, DEFAULTS.insert, DEFAULTS.max_n, 11, DEFAULTS.total
 
 
 @query(f"""WITH {src.CONTIGS_SQL} SELECT ci, name, len, sha256(seq) AS sha256, CAST(len - length(translate(seq, 'CG', '')) AS BIGINT) AS gc, CAST(len - length(replace(seq, 'N', '')) AS BIGINT) AS n_unknown FROM contigs""")

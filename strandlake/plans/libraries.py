@@ -10,7 +10,7 @@ from ..functions import seq as sq
 from ..operators import relops
 from ..sources import derived as src
 from . import sqlgen, tiles
-from .basics import _CALIBRATION_SQL, BINS, INSERT, MAX_N, READ, SEATS_SQL, SEED, calibration, gc_opportunities, gc_profile, hamilton_allocation
+from .basics import _CALIBRATION_SQL, BINS, DEFAULTS, INSERT, MAX_N, READ, SEATS_SQL, SEED, Params, calibration, gc_opportunities, gc_profile, hamilton_allocation
 from .registry import query
 
 #: Recognised motifs with the place of the cut: one short motif for volume, one that overlaps it.
@@ -169,8 +169,11 @@ numbered AS (SELECT ci, pos, row_number() OVER (PARTITION BY ci ORDER BY pos) -
 
 
 def seated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return seats_of(hamilton_allocation(spark, sf_dir))
+
+
+def seats_of(seats: DataFrame) -> DataFrame:
     """(ci, weight, candidate, ordinal): the candidates that each contig draws; ordinal runs over all contigs."""
-    seats = hamilton_allocation(spark, sf_dir)
     before = F.sum("seats").over(Window.partitionBy(F.lit(0)).orderBy("ci")) - F.col("seats")
     rows = seats.withColumn("before", before).where("seats > 0")
     return rows.select("ci", "weight", "before", F.explode(F.sequence(F.lit(0).cast("long"), F.col("seats") - 1)).alias("candidate")).select("ci", "weight", "candidate", (F.col("before") + F.col("candidate")).alias("ordinal"))
@@ -182,6 +185,10 @@ def rank_select(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def wgbs_uniform(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return draw_uniform(src.contigs(spark, sf_dir), DEFAULTS)
+
+
+def draw_uniform(contigs: DataFrame, p: Params) -> DataFrame:
     """(ci, candidate, ordinal, rank, start): even draws over the valid starts.
 
     Ranks are resolved by tile: each tile's count of valid starts gives it a range of ranks, a draw meets
@@ -189,9 +196,10 @@ def wgbs_uniform(spark: SparkSession, sf_dir: str) -> DataFrame:
     are put in order, never the starts of a whole contig.
     """
     core = 4096
-    starts = tiles.valid_starts(src.contigs(spark, sf_dir), READ, INSERT, MAX_N).withColumn("tile", F.floor(F.col("pos") / core))
+    starts = tiles.valid_starts(contigs, p.read, p.insert, p.max_n).withColumn("tile", F.floor(F.col("pos") / core))
+    seats = relops.hamilton(starts.groupBy("ci").agg(F.count("*").alias("weight")), p.total, "weight", "ci")
     counts = relops.running_ranges(starts.groupBy("ci", "tile").agg(F.count("*").alias("n")), ["ci"], "n", ["tile"])
-    draws = seated(spark, sf_dir).withColumn("w", rng.draw(SEED, rng.FRAGMENT, F.col("ci"), F.col("candidate"), F.lit(1)))
+    draws = seats_of(seats).withColumn("w", rng.draw(p.seed, rng.FRAGMENT, F.col("ci"), F.col("candidate"), F.lit(1)))
     draws = draws.select("ci", "candidate", "ordinal", rng.bounded(F.col("w"), F.col("weight")).alias("rank"))
     placed = relops.cumulative_pick(draws, counts, ["ci"], "rank", core).withColumn("rest", F.col("rank") - F.col("lo"))
     numbered = starts.withColumn("rest", F.row_number().over(Window.partitionBy("ci", "tile").orderBy("pos")).cast("long") - 1)

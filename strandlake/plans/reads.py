@@ -18,21 +18,24 @@ from ..functions import seq as sq
 from ..operators import relops
 from ..sources import derived as src
 from . import sqlgen, tiles
-from .basics import INSERT, READ, SEED
+from .basics import DEFAULTS, INSERT, READ, SEED, Params
 from .libraries import UNIFORM_SQL, wgbs_uniform
 from .registry import query
 from .variation import overlay
 
-CONVERSION_RATE, ERROR_RATE, PHRED = 0.95, 0.02, 40
+CONVERSION_RATE, ERROR_RATE, PHRED = DEFAULTS.conversion, DEFAULTS.error, DEFAULTS.phred
 CORE = 4096
 
 
 def fragment_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(ordinal, ci, name, start, template)."""
-    c = src.contigs(spark, sf_dir)
-    tiled = tiles.tiles(c, INSERT, CORE).select("ci", (F.col("core_start") / CORE).cast("long").alias("tile"), "from", F.col("seq").alias("around"))
-    rows = wgbs_uniform(spark, sf_dir).withColumn("tile", F.floor(F.col("start") / CORE)).join(tiled, ["ci", "tile"])
-    rows = rows.select("ordinal", "ci", "start", sq.piece(F.col("around"), F.col("start") - F.col("from"), F.col("start") - F.col("from") + INSERT).alias("template"))
+    return cut_fragments(src.contigs(spark, sf_dir), wgbs_uniform(spark, sf_dir), DEFAULTS)
+
+
+def cut_fragments(c: DataFrame, picked: DataFrame, p: Params) -> DataFrame:
+    """(ordinal, ci, name, start, template) of the picked starts: each meets the tile that holds it."""
+    tiled = tiles.tiles(c, p.insert, CORE).select("ci", (F.col("core_start") / CORE).cast("long").alias("tile"), "from", F.col("seq").alias("around"))
+    rows = picked.withColumn("tile", F.floor(F.col("start") / CORE)).join(tiled, ["ci", "tile"])
+    rows = rows.select("ordinal", "ci", "start", sq.piece(F.col("around"), F.col("start") - F.col("from"), F.col("start") - F.col("from") + p.insert).alias("template"))
     return rows.join(c.select("ci", "name"), "ci")
 
 
@@ -45,11 +48,15 @@ def fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sites_of(spark: SparkSession, sf_dir: str, frags: DataFrame) -> DataFrame:
-    """(ordinal, ci, start, site_index, pos, code, level): the sites of every fragment, numbered in it."""
     sites = tiles.contexts(src.contigs(spark, sf_dir))
-    levelled = overlay(sites, src.levels(sites)).select("ci", "pos", "code", "level")
-    spans = frags.select("ordinal", "ci", "start", (F.col("start") + INSERT).alias("end"))
-    met = relops.range_join(levelled, spans, ["ci"], "pos", "start", "end", INSERT)
+    return sites_in(frags, sites, src.levels(sites), DEFAULTS)
+
+
+def sites_in(frags: DataFrame, sites: DataFrame, levels: DataFrame, p: Params) -> DataFrame:
+    """(ordinal, ci, start, site_index, pos, code, level): the sites of every fragment, numbered in it."""
+    levelled = overlay(sites, levels).select("ci", "pos", "code", "level")
+    spans = frags.select("ordinal", "ci", "start", (F.col("start") + p.insert).alias("end"))
+    met = relops.range_join(levelled, spans, ["ci"], "pos", "start", "end", p.insert)
     lists = met.groupBy("ordinal", "ci", "start").agg(F.sort_array(F.collect_list(F.struct("pos", "code", "level"))).alias("sites"))
     return lists.select("ordinal", "ci", "start", F.posexplode("sites").alias("site_index", "s")).select("ordinal", "ci", "start", "site_index", "s.pos", "s.code", "s.level")
 
@@ -76,8 +83,8 @@ def mate_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
 _STATES_SQL = f"{SITES_SQL}, {sqlgen.draws('sd', 'fsites', SEED, rng.SITE_STATE, 'ci', 'ordinal', 'site_index')}, states AS (SELECT ordinal, ci, st, site_index, pos, code, {sqlgen.coin('level')} AS methylated FROM sd)"
 
 
-def states_of(sites: DataFrame) -> DataFrame:
-    w = rng.draw(SEED, rng.SITE_STATE, F.col("ci"), F.col("ordinal"), F.col("site_index"))
+def states_of(sites: DataFrame, seed: int = SEED) -> DataFrame:
+    w = rng.draw(seed, rng.SITE_STATE, F.col("ci"), F.col("ordinal"), F.col("site_index"))
     return sites.withColumn("w", w).withColumn("methylated", rng.bernoulli(F.col("w"), F.col("level"))).drop("w")
 
 
@@ -123,9 +130,9 @@ def _summary(context: np.ndarray, methylated: np.ndarray, done: np.ndarray, targ
     return out
 
 
-def sequence_batch(ordinal, ci, start, templates, offsets, codes, methylated) -> pa.RecordBatch:
-    """The reads of a batch of fragments of INSERT bases; sites come as one list a fragment."""
-    n, size = len(ordinal), INSERT
+def sequence_batch(ordinal, ci, start, templates, offsets, codes, methylated, p: Params) -> pa.RecordBatch:
+    """The reads of a batch of fragments of ``p.insert`` bases; sites come as one list a fragment."""
+    n, size, read = len(ordinal), p.insert, p.read
     base = tiles.CODE[np.frombuffer("".join(templates).encode(), np.uint8)].reshape(n, size).astype(np.int64)
     per = np.array([len(o) for o in offsets])
     row = np.repeat(np.arange(n), per)
@@ -135,34 +142,34 @@ def sequence_batch(ordinal, ci, start, templates, offsets, codes, methylated) ->
         code[row, off] = np.concatenate([np.asarray(c, np.int64) for c in codes])
         meth[row, off] = np.concatenate([np.asarray(m, bool) for m in methylated])
     distinct, place = np.unique(ci, return_inverse=True)
-    key = lambda stage: rng.stage_key(SEED, stage, distinct)[place]
+    key = lambda stage: rng.stage_key(p.seed, stage, distinct)[place]
     mode = (rng.uniform(rng.block(key(rng.ORIENTATION), ordinal, np.zeros(n))) < 0.5).astype(np.int64)
 
     # Conversion: an unprotected C (or G) goes to T (or A).
     grid = np.broadcast_to(np.arange(size), (n, size))
     wide = lambda k, w: np.broadcast_to(k[:, None], (n, w)).ravel()
-    lucky = rng.uniform(rng.block(wide(key(rng.CONVERSION), size), wide(ordinal, size), grid.ravel())).reshape(n, size) < CONVERSION_RATE
+    lucky = rng.uniform(rng.block(wide(key(rng.CONVERSION), size), wide(ordinal, size), grid.ravel())).reshape(n, size) < p.conversion
     strand = np.where(mode[:, None] == 0, (code > 0) & (code < 8), code > 8)
     target = (base == np.where(mode == 0, 1, 2)[:, None]) & ~(strand & meth)
     done = target & lucky
     after = np.where(done, np.where(mode == 0, 3, 0)[:, None], base)
 
     # Errors: by mate and cycle; the second mate reads the complement from the far end.
-    cycle = np.arange(READ)
+    cycle = np.arange(read)
     reads, wrongs = [], []
     for mate, at in enumerate((cycle, size - 1 - cycle)):
         called = after[:, at] if mate == 0 else np.where(after[:, at] < 4, 3 - after[:, at], 4)
-        w = rng.block(wide(key(rng.SEQUENCING_ERROR), READ), wide(ordinal, READ), np.broadcast_to((mate << 32) + cycle, (n, READ)).ravel())
-        wrong = (rng.uniform(w).reshape(n, READ) < ERROR_RATE) & (called < 4)
-        other = ((w[3] * np.uint64(3) + ((w[2] * np.uint64(3)) >> np.uint64(32))) >> np.uint64(32)).astype(np.int64).reshape(n, READ)
+        w = rng.block(wide(key(rng.SEQUENCING_ERROR), read), wide(ordinal, read), np.broadcast_to((mate << 32) + cycle, (n, read)).ravel())
+        wrong = (rng.uniform(w).reshape(n, read) < p.error) & (called < 4)
+        other = ((w[3] * np.uint64(3) + ((w[2] * np.uint64(3)) >> np.uint64(32))) >> np.uint64(32)).astype(np.int64).reshape(n, read)
         reads.append(np.where(wrong, other + (other >= called), called))
         wrongs.append(wrong)
     context = np.select([(code & 7) == 1, (code & 7) == 3, (code & 7) == 7], [1, 2, 3], 0)
     state = context | meth << 2 | done << 3
     text = lambda x: [r.tobytes().decode() for r in _LETTERS[x]]
     summaries, states = [], []
-    for at, wrong, read, flip in ((cycle, wrongs[0], reads[0], False), (size - 1 - cycle, wrongs[1], reads[1], True)):
-        now = np.where(read < 4, 3 - read, 4) if flip else read  # on the template's strand
+    for at, wrong, called, flip in ((cycle, wrongs[0], reads[0], False), (size - 1 - cycle, wrongs[1], reads[1], True)):
+        now = np.where(called < 4, 3 - called, 4) if flip else called  # on the template's strand
         false = wrong & np.where(mode[:, None] == 0, (after[:, at] == 3) & (now == 1), (after[:, at] == 0) & (now == 2))
         summaries.append(_summary(context[:, at], meth[:, at], done[:, at], target[:, at], wrong, false, mode))
         codes_of = state[:, at] | wrong.astype(np.int64) << 5
@@ -172,14 +179,14 @@ def sequence_batch(ordinal, ci, start, templates, offsets, codes, methylated) ->
     lists = lambda x: pa.array(list(x.astype(np.int32)), pa.list_(pa.int32()))
     convertible = base == np.where(mode == 0, 1, 2)[:, None]
     columns = [
-        pa.array(ordinal), pa.array(ci), pa.array(start), pa.array(mode.astype(np.int32)), pa.array(text(after)), pa.array(text(reads[0])), pa.array(text(reads[1])), pa.array([chr(PHRED + 33) * READ] * n),
+        pa.array(ordinal), pa.array(ci), pa.array(start), pa.array(mode.astype(np.int32)), pa.array(text(after)), pa.array(text(reads[0])), pa.array(text(reads[1])), pa.array([chr(p.phred + 33) * read] * n),
         pa.array([f"{a},{b}" for a, b in zip(*states, strict=True)]), lists(summaries[0]), lists(summaries[1]), lists(whole),
         pa.array([_bits(np.asarray(m, bool)) for m in methylated]), pa.array([_bits(done[k][convertible[k]]) for k in range(n)]), pa.array(per.astype(np.int64)), pa.array(convertible.sum(1).astype(np.int64)),
     ]
     return pa.record_batch(columns, [x.split()[0] for x in READ_SCHEMA.split(", ")])
 
 
-def sequence(frags: DataFrame, states: DataFrame) -> DataFrame:
+def sequence(frags: DataFrame, states: DataFrame, p: Params = DEFAULTS) -> DataFrame:
     """READ_SCHEMA for every fragment."""
     lists = states.groupBy("ordinal").agg(F.sort_array(F.collect_list(F.struct("site_index", (F.col("pos") - F.col("start")).alias("off"), "code", "methylated"))).alias("s"))
     rows = frags.join(lists, "ordinal", "left")
@@ -189,7 +196,7 @@ def sequence(frags: DataFrame, states: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                yield sequence_batch(*(batch[c].to_numpy() for c in ("ordinal", "ci", "start")), *(batch[c].to_pylist() for c in ("template", "offsets", "codes", "methylated")))
+                yield sequence_batch(*(batch[c].to_numpy() for c in ("ordinal", "ci", "start")), *(batch[c].to_pylist() for c in ("template", "offsets", "codes", "methylated")), p)
 
     return rows.mapInArrow(run, READ_SCHEMA)
 
@@ -223,10 +230,10 @@ def uniform_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("ordinal", F.posexplode(F.array("mate1", "mate2")).alias("mate", "seq")).select("ordinal", F.col("mate").cast("long").alias("mate"), "seq")
 
 
-def records(rows: DataFrame, contigs: DataFrame) -> DataFrame:
+def records(rows: DataFrame, contigs: DataFrame, p: Params = DEFAULTS) -> DataFrame:
     """(mate, ordinal, record): FASTQ records of both mates."""
     named = rows.join(contigs.select("ci", "name"), "ci")
-    ident = sq.read_name(F.col("name"), F.col("start"), F.col("start") + INSERT, F.col("ordinal"))
+    ident = sq.read_name(F.col("name"), F.col("start"), F.col("start") + p.insert, F.col("ordinal"))
     mates = F.posexplode(F.array("mate1", "mate2")).alias("mate", "seq")
     out = named.select("ordinal", ident.alias("ident"), "qual", mates)
     return out.select((F.col("mate") + 1).alias("mate"), "ordinal", F.concat(F.lit("@"), F.col("ident"), F.lit("/"), F.col("mate") + 1, F.lit("\n"), F.col("seq"), F.lit("\n+\n"), F.col("qual")).alias("record"))
