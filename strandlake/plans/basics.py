@@ -94,7 +94,7 @@ def gc_opportunities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: The target share of each GC bin: a fixed example profile.
-GC_PROFILE = (0.0, 0.02, 0.08, 0.15, 0.25, 0.25, 0.15, 0.08, 0.02, 0.0, 0.0)
+GC_PROFILE = (0.0, 0.02, 0.22, 0.446, 0.3, 0.01, 0.004, 0.0, 0.0, 0.0, 0.0)
 _PROFILE_SQL = "profile AS (SELECT * FROM (VALUES " + ", ".join(f"({i}::BIGINT, {p}::DOUBLE)" for i, p in enumerate(GC_PROFILE)) + ") AS t(bin, p))"
 
 

@@ -212,22 +212,29 @@ def wgbs_uniform_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Attempts tried at once; what they leave is tried on, a round at a time, until nothing is left.
-ATTEMPTS = 12
+ATTEMPTS, MOST_ATTEMPTS = 12, 100_000
 
 
-def gc_accepted(spark: SparkSession, sf_dir: str, first: int, last: int) -> DataFrame:
-    """(ci, candidate, attempt, start): each candidate's first accepted attempt in [first, last)."""
-    o = gc_opportunities(spark, sf_dir)
-    accept = calibration(o, gc_profile(spark)).select("bin", "acceptance")
-    tries = seated(spark, sf_dir).withColumn("attempt", F.explode(F.sequence(F.lit(first).cast("long"), F.lit(last - 1).cast("long"))))
+def gc_accepted(want: DataFrame, starts: DataFrame, first: int, last: int) -> DataFrame:
+    """(ci, candidate, attempt, start): the first accepted attempt in [first, last) of each candidate.
+
+    ``want`` has (ci, weight, candidate); ``starts`` (ci, pos, acceptance), every valid start.
+    """
+    tries = want.withColumn("attempt", F.explode(F.sequence(F.lit(first).cast("long"), F.lit(last - 1).cast("long"))))
     tries = tries.withColumn("w", rng.draw(SEED, rng.FRAGMENT, F.col("ci"), F.col("candidate"), 1 + 2 * F.col("attempt"))).withColumn("v", rng.draw(SEED, rng.FRAGMENT, F.col("ci"), F.col("candidate"), 2 + 2 * F.col("attempt")))
     tries = tries.select("ci", "candidate", "attempt", rng.bounded(F.col("w"), F.col("weight")).alias("rank"), rng.uniform01(F.col("v")).alias("u"))
-    starts = tiles.valid_starts(src.contigs(spark, sf_dir), READ, INSERT, MAX_N).withColumn("bin", sq.gc_bin(F.col("gc"), F.lit(INSERT), BINS)).join(F.broadcast(accept), "bin", "left")
-    found = relops.rank_select(tries, starts.select("ci", "pos", F.coalesce("acceptance", F.lit(0.0)).alias("acceptance")), ["ci"], "rank", ["pos"])
+    found = relops.rank_select(tries, starts, ["ci"], "rank", ["pos"])
     found = found.withColumn("accepted", (F.col("acceptance") > 0) & (F.col("u") < F.col("acceptance"))).select("ci", "candidate", "attempt", F.col("pos").alias("start"), "accepted")
     return relops.first_accepted(found, ["ci", "candidate"], "attempt", "accepted")
 
 
+def gc_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(ci, pos, acceptance) of every valid start."""
+    accept = calibration(gc_opportunities(spark, sf_dir), gc_profile(spark)).select("bin", "acceptance")  # one row a bin
+    starts = tiles.valid_starts(src.contigs(spark, sf_dir), READ, INSERT, MAX_N).withColumn("bin", sq.gc_bin(F.col("gc"), F.lit(INSERT), BINS))
+    return starts.join(F.broadcast(accept), "bin", "left").select("ci", "pos", F.coalesce("acceptance", F.lit(0.0)).alias("acceptance"))
+
+
 _GC_SQL = f"""{SEATS_SQL}, {_CALIBRATION_SQL}, {_ASK_SQL}, tries AS (SELECT a.*, attempt, 1 + 2 * attempt AS l1, 2 + 2 * attempt AS l2 FROM ask a, unnest(range({ATTEMPTS})) AS t(attempt)),
 {sqlgen.draws('d', 'tries', SEED, rng.FRAGMENT, 'ci', 'candidate', 'l1')}, one AS (SELECT * EXCLUDE (w0, w1, w2, w3), {sqlgen.bounded('weight')} AS rank FROM d), {sqlgen.draws('e', 'one', SEED, rng.FRAGMENT, 'ci', 'candidate', 'l2')},
 numbered AS (SELECT ci, pos, {f"gc * {BINS - 1} // {INSERT} + CASE WHEN gc * {BINS - 1} % {INSERT} * 2 >= {INSERT} THEN 1 ELSE 0 END"} AS bin, row_number() OVER (PARTITION BY ci ORDER BY pos) - 1 AS rank FROM starts),
@@ -237,19 +244,25 @@ accepted AS (SELECT ci, candidate, attempt, pos FROM (SELECT e.*, {sqlgen.unifor
 @query(f"WITH {_GC_SQL} SELECT ci, candidate, min(attempt) AS attempt, arg_min(pos, attempt) AS \"start\" FROM accepted GROUP BY ci, candidate")
 def wgbs_gc_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates that the GC target accepts within the first round of attempts."""
-    return gc_accepted(spark, sf_dir, 0, ATTEMPTS)
+    return gc_accepted(seated(spark, sf_dir).drop("ordinal"), gc_starts(spark, sf_dir), 0, ATTEMPTS)
 
 
 @query()
 def wgbs_gc_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same until every candidate is placed: rounds of attempts over what is left."""
-    want, first, found = seated(spark, sf_dir).select("ci", "candidate"), 0, None
+    """The same until every candidate is placed: each round tries what the rounds before left."""
+    starts, want, first, size, found = gc_starts(spark, sf_dir), seated(spark, sf_dir).drop("ordinal"), 0, ATTEMPTS, None
+    # A contig without any acceptable start cannot be placed on; its seats are left out.
+    able = starts.where("acceptance > 0").select("ci").distinct()
+    want = want.join(able, "ci", "left_semi")
     while True:
-        got = gc_accepted(spark, sf_dir, first, first + ATTEMPTS)
-        got = got if found is None else found.unionByName(got.join(found.select("ci", "candidate"), ["ci", "candidate"], "left_anti"))
-        found, first = got, first + ATTEMPTS
-        if first >= 4 * ATTEMPTS or want.join(found, ["ci", "candidate"], "left_anti").isEmpty():
+        got = gc_accepted(want, starts, first, first + size)
+        found = got if found is None else found.unionByName(got)
+        want = want.join(got.select("ci", "candidate"), ["ci", "candidate"], "left_anti")
+        if want.isEmpty():
             return found
+        first, size = first + size, 4 * size
+        if first >= MOST_ATTEMPTS:
+            raise ArithmeticError("the target accepts too little")
 
 
 #: The length model of variable inserts: least, mean, greatest, standard deviation.
@@ -269,10 +282,22 @@ def variable_candidates(spark: SparkSession, sf_dir: str, oversample: int = 3) -
     return ask.where(good).select("ci", "seats", "candidate", "start", "insert_length", sq.count_of(F.col("template"), "CG").alias("gc"))
 
 
+def _enough(spark: SparkSession, sf_dir: str, judged, k: int, most: int = 48) -> DataFrame:
+    """The first accepted candidates of each contig among k ordinals a seat; k doubles until all seats of
+    contigs that accept anything are filled (``most``: then a contig accepts too little)."""
+    seats = hamilton_allocation(spark, sf_dir).where("seats > 0").select("ci", "seats")
+    while True:
+        rows = relops.ordered_accept(judged(k), ["ci"], "candidate", "seats")
+        short = rows.groupBy("ci").agg(F.count("*").alias("n")).join(seats, "ci").where("n < seats")
+        if k * 2 > most or short.isEmpty():
+            return rows
+        k *= 2
+
+
 @query()
 def wgbs_variable(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Variable inserts: the first accepted candidates of each contig, and the ordinals passed over."""
-    rows = relops.ordered_accept(variable_candidates(spark, sf_dir), ["ci"], "candidate", "seats")
+    rows = _enough(spark, sf_dir, lambda k: variable_candidates(spark, sf_dir, k), 3)
     return rows.select("ci", "candidate", "accept_rank", "skipped", "start", "insert_length")
 
 
@@ -280,9 +305,13 @@ def wgbs_variable(spark: SparkSession, sf_dir: str) -> DataFrame:
 def wgbs_variable_gc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Variable inserts with the GC target: one more draw decides each candidate."""
     accept = calibration(gc_opportunities(spark, sf_dir), gc_profile(spark)).select("bin", "acceptance")
-    rows = variable_candidates(spark, sf_dir, 8).withColumn("bin", sq.gc_bin(F.col("gc"), F.col("insert_length"), BINS)).join(F.broadcast(accept), "bin")
-    rows = rows.withColumn("w", rng.draw(SEED, rng.FRAGMENT, F.col("ci"), F.col("candidate"), F.lit(2))).where(rng.bernoulli(F.col("w"), F.col("acceptance")))
-    rows = relops.ordered_accept(rows.drop("w", "bin", "acceptance"), ["ci"], "candidate", "seats")
+
+    def judged(k: int) -> DataFrame:
+        rows = variable_candidates(spark, sf_dir, k).withColumn("bin", sq.gc_bin(F.col("gc"), F.col("insert_length"), BINS)).join(F.broadcast(accept), "bin")
+        rows = rows.withColumn("w", rng.draw(SEED, rng.FRAGMENT, F.col("ci"), F.col("candidate"), F.lit(2))).where(rng.bernoulli(F.col("w"), F.col("acceptance")))
+        return rows.drop("w", "bin", "acceptance")
+
+    rows = _enough(spark, sf_dir, judged, 6)
     return rows.select("ci", "candidate", "accept_rank", "skipped", "start", "insert_length", "gc")
 
 
