@@ -10,12 +10,19 @@ if 100 * intersection >= 75 * union.
 2. Copies.  Documents with equal sets form a class at once (128-bit sum of their hashes); only the class's
    smallest id goes on, so thousands of copies cost one document.
 3. Bands.  51 bands of 5 registers.  At a similarity of 0.75 a pair misses all with probability 1e-6.
-4. Hubs.  In every band bucket each class is paired with the smallest one only.  The estimate (share of
-   equal registers, corrected for chance collisions) drops pairs that lie more than six standard errors
-   below the limit; the others are verified on the full sets of the texts.
+4. Hubs.  In every band bucket each class is paired with one only, that which meets most others over all
+   its bands (a group's original rather than one of its edited copies).  The estimate (share of equal
+   registers, corrected for chance collisions) drops pairs that lie more than 4.5 standard errors below
+   the limit; the others are verified on the full sets of the texts.
 5. Components of those links.  A band bucket whose classes now all lie in one component needs nothing more,
-   as further links cannot join anything.  In the others, pairs across components are estimated and
-   verified as well.  So no link that shares a band is lost, and no group is expanded into all its pairs.
+   as further links cannot join anything.  The classes of the others are open; what could still link them
+   across components is bounded exactly before any pair is made:
+   - reach: how many of a class's shingles an open class of another component has.  A link needs an
+     intersection of 3/7 of both sizes, so a class whose reach is below 3/4 of its size is closed.
+   - An open class y is compared, on full sets, with the hub h of each larger component that it meets.
+     For any other x of that component |x & y| <= |h & y| + |x - h within reach|, which tells the few x
+     that are worth a comparison with y.  Those pairs are estimated and verified as well.
+   So no link that shares a band is lost, and no group is expanded into all its pairs.
 
 Contract: one row per input row of distinct non-null id: doc_id, n_shingles, component_id (smallest id
 reachable, its own at least), kept.  Null and empty texts: 0 shingles, own component, kept.  Ties do not
@@ -42,8 +49,8 @@ BANDS = REGISTERS // BAND_ROWS
 MANTISSA = 10
 LIMIT = 75
 EMPTY = np.uint16(0xFFFF)
-#: Pairs are verified whose estimate is at least this: 0.75 less six standard errors of 256 registers.
-ESTIMATE_FLOOR = 0.75 - 6 * (0.75 * 0.25 / REGISTERS) ** 0.5
+#: Pairs are verified whose estimate is at least this: 0.75 less 4.5 standard errors of 256 registers.
+ESTIMATE_FLOOR = 0.75 - 4.5 * (0.75 * 0.25 / REGISTERS) ** 0.5
 #: The chance that registers of different minima agree: a third for the zeros, 2**-10 for the mantissa.
 CHANCE = 1 / 3 / 2**MANTISSA
 
@@ -135,66 +142,115 @@ def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([batch["a"], batch["b"]], ["a", "b"]).filter(pa.array(e >= ESTIMATE_FLOOR))
 
 
-def linked(a: np.ndarray, b: np.ndarray) -> bool:
-    """100 * intersection >= LIMIT * union, for sorted sets."""
-    if not len(a) or not len(b):
-        return False
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return 100 * both >= LIMIT * (len(a) + len(b) - both)
+def linked(both: int, a: int, b: int) -> bool:
+    """100 * intersection >= LIMIT * union."""
+    return both > 0 and 100 * both >= LIMIT * (a + b - both)
 
 
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b, both): the size of the intersection of the texts' full sets, and whether they link."""
     for batch in batches:
-        held_id, held, keep = None, None, []
+        held_id, held, both, link = None, None, [], []
         hubs = batch["b"].to_pylist()
         left = shingle_sets(*string_buffers(batch["ta"]))
         for i, (hub, a) in enumerate(zip(hubs, left, strict=True)):
             if hub != held_id:
                 held_id, held = hub, next(shingle_sets(*string_buffers(batch["tb"].slice(i, 1))))
-            keep.append(linked(a, held))
-        yield pa.record_batch([batch["a"], batch["b"]], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            both.append(len(np.intersect1d(a, held, assume_unique=True)))
+            link.append(linked(both[-1], len(a), len(held)))
+        yield pa.record_batch([batch["a"], batch["b"], pa.array(both, pa.int64()), pa.array(link, pa.bool_())], ["a", "b", "both", "link"])
 
 
-def _links(pairs: DataFrame, signed: DataFrame, docs: DataFrame) -> DataFrame:
+def _compare(pairs: DataFrame, known: DataFrame, tag: str) -> DataFrame:
+    """(a, b, both, link) of ``pairs`` (a, b) on the full sets."""
+    ta, tb = (known.select(F.col("doc_id").alias(x), F.col("text").alias("t" + x)).hint("merge") for x in "ab")
+    return materialise(pairs.join(ta, "a").join(tb, "b").select("a", "b", "ta", "tb").mapInArrow(_overlap, "a long, b long, both long, link boolean"), tag, narrow=True)
+
+
+def _links(pairs: DataFrame, known: DataFrame) -> DataFrame:
     """Those of ``pairs`` (a, b) that the estimate lets pass and the full sets confirm."""
-    side = signed.select("doc_id", "n_shingles", "registers")
-    a, b = (side.select(F.col("doc_id").alias(x), F.col("n_shingles").alias("n" + x), F.col("registers").alias("r" + x)) for x in "ab")
+    a, b = (known.select(F.col("doc_id").alias(x), F.col("n_shingles").alias("n" + x), F.col("registers").alias("r" + x)).hint("merge") for x in "ab")
     near = pairs.join(a, "a").join(b, "b").where(F.expr(f"100 * least(na, nb) >= {LIMIT} * greatest(na, nb)"))
-    near = materialise(near.select("a", "b", "ra", "rb").mapInArrow(_near, "a long, b long"), "near")
-    ids = near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = materialise(docs.join(ids, "doc_id", "left_semi"), "texts")
-    ta, tb = (texts.select(F.col("doc_id").alias(x), F.col("text").alias("t" + x)) for x in "ab")
-    return materialise(near.join(ta, "a").join(tb, "b").select("a", "b", "ta", "tb").mapInArrow(_verify, "a long, b long"), "links")
+    near = materialise(near.select("a", "b", "ra", "rb").mapInArrow(_near, "a long, b long"), "near", narrow=True)
+    return _compare(near, known, "links").where("link").select("a", "b")
+
+
+def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for lo in range(0, batch.num_rows, 200):
+            part = batch.slice(lo, 200)
+            sets = list(shingle_sets(*string_buffers(part["text"])))
+            n = np.array([len(x) for x in sets], np.int64)
+            columns = [np.repeat(part[c].to_numpy(), n) for c in ("doc_id", "comp")] + [np.repeat(n, n), np.concatenate(sets).view(np.int64)]
+            yield pa.record_batch([pa.array(x) for x in columns], ["doc_id", "comp", "n", "shingle"])
+
+
+def _reach(open_: DataFrame, centres: DataFrame, known: DataFrame) -> DataFrame:
+    """(doc_id, comp, n, reach, beyond) of the open classes whose reach is large enough for a link.
+
+    beyond: how many of a class's shingles are within its reach, but not in the set of its component's hub
+    (0 for the hub itself).  ``centres`` holds (comp, hub).
+    """
+    members = open_.select("doc_id", "comp").unionByName(centres.select(F.col("hub").alias("doc_id"), "comp")).distinct()
+    rows = known.select("doc_id", "text").hint("merge").join(members, "doc_id").select("doc_id", "comp", "text").mapInArrow(_shingle_rows, "doc_id long, comp long, n long, shingle long")
+    rows = materialise(rows, "shingles")
+    crossing = rows.groupBy("shingle").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("shingle")
+    reached = rows.join(crossing, "shingle", "left_semi")
+    in_hub = rows.join(centres.select(F.col("hub").alias("doc_id")), "doc_id", "left_semi").select("comp", "shingle", F.lit(1).alias("central"))
+    reach = reached.join(in_hub, ["comp", "shingle"], "left").groupBy("doc_id", "comp", "n").agg(F.count("*").alias("reach"), F.count(F.when(F.col("central").isNull(), 1)).alias("beyond"))
+    return materialise(reach.where(f"100 * reach >= {LIMIT} * n").select("doc_id", "comp", "n", "reach", "beyond"), "reach", narrow=True)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row of ``docs``."""
     docs = project(docs, id_col, text_col).where("doc_id IS NOT NULL")
-    signed = materialise(docs.mapInArrow(_sign, _SIGNATURE), "signed")
+    signed = materialise(docs.mapInArrow(_sign, _SIGNATURE), "signed", narrow=True)
     full = signed.where("n_shingles > 0")
-    classes = materialise(full.groupBy("k1", "k2", "n_shingles").agg(F.min("doc_id").alias("rep")), "classes")
-    reps = materialise(full.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi"), "reps")
+    classes = full.groupBy("k1", "k2", "n_shingles").agg(F.min("doc_id").alias("rep"))
+    reps = full.select("doc_id", "registers").join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
 
     banded = reps.select("doc_id", "registers").mapInArrow(_band, "band long, doc_id long")
-    hubs = banded.groupBy("band").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("last")).where("hub <> last").select("band", "hub")
-    met = materialise(banded.join(hubs, "band"), "met")
-    stars = materialise(met.where("doc_id <> hub").select(F.col("doc_id").alias("a"), F.col("hub").alias("b")).distinct(), "stars")
-    links = _links(stars, reps, docs)
+    several = banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
+    met = materialise(banded.join(several, "band"), "met", narrow=True)
+    # Only documents that share a band matter from here: their texts and registers are picked out once, by
+    # the same kind of join at every size.
+    meeting = signed.join(met.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "n_shingles", "registers")
+    known = materialise(docs.hint("merge").join(meeting, "doc_id"), "known")
+    scored = met.join(met.groupBy("doc_id").agg(F.sum("n").alias("score")), "doc_id").select("band", "doc_id", "score")
+    hubs = scored.groupBy("band").agg(F.max(F.struct("score", (-F.col("doc_id")).alias("minus"))).alias("m")).select("band", (-F.col("m.minus")).alias("hub"))
+    stars = materialise(met.join(hubs, "band").where("doc_id <> hub").select(F.greatest("doc_id", "hub").alias("a"), F.least("doc_id", "hub").alias("b")).distinct(), "stars", narrow=True)
+    links = _links(stars, known)
 
     first = components(links)
     placed = met.select("band", "doc_id").join(first.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("band", "doc_id", F.coalesce("comp", "doc_id").alias("comp"))
-    placed = materialise(placed, "placed")
     mixed = placed.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("band")
-    open_ = materialise(placed.join(mixed, "band", "left_semi"), "open")
-    other = open_.select("band", F.col("doc_id").alias("b"), F.col("comp").alias("cb"))
-    rest = open_.select("band", F.col("doc_id").alias("a"), F.col("comp").alias("ca")).join(other, "band").where("ca <> cb AND a > b").select("a", "b").distinct()
-    rest = materialise(rest.join(stars, ["a", "b"], "left_anti"), "rest")
-    links = links.unionByName(_links(rest, reps, docs))
+    open_ = materialise(placed.join(mixed, "band", "left_semi"), "open", narrow=True)
+
+    # The hub of a component: its class that meets most others; the size orders components.
+    scores = scored.select("doc_id", "score").distinct().join(first.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("comp", F.coalesce("comp", "doc_id"))
+    centres = scores.groupBy("comp").agg(F.max(F.struct("score", (-F.col("doc_id")).alias("minus"))).alias("m"), F.count("*").alias("size"))
+    centres = centres.join(open_.select("comp").distinct(), "comp", "left_semi").select("comp", (-F.col("m.minus")).alias("hub"), "size")
+    centres = materialise(centres, "centres", narrow=True)
+    able = _reach(open_, centres, known)
+    # A link needs both reaches to be LIMIT / (100 + LIMIT) of both sizes; room is what a reach leaves for the
+    # other's size.
+    sized = able.join(centres, "comp").withColumn("room", F.expr(f"{100 + LIMIT} * reach - {LIMIT} * n"))
+    spots = open_.select("band", "doc_id").join(sized, "doc_id")
+    theirs = spots.groupBy("band", F.col("comp").alias("c"), F.col("size").alias("c_size"), F.col("hub").alias("c_hub")).agg(F.max("room").alias("c_room"), F.min("n").alias("c_least"))
+    larger = f"comp <> c AND (c_size > size OR (c_size = size AND c < comp)) AND c_room >= {LIMIT} * n AND room >= {LIMIT} * c_least"
+    meets = spots.join(theirs, "band").where(larger).select("doc_id", "n", "room", "c", "c_hub").distinct()
+    meets = materialise(meets, "meets", narrow=True)
+    seen = _compare(meets.select(F.col("doc_id").alias("a"), F.col("c_hub").alias("b")), known, "hub_links")
+    bound = meets.join(seen.select(F.col("a").alias("doc_id"), F.col("b").alias("c_hub"), "both"), ["doc_id", "c_hub"])
+    inner = sized.where("doc_id <> hub").select(F.col("comp").alias("c"), F.col("doc_id").alias("x"), F.col("n").alias("nx"), F.col("room").alias("room_x"), "beyond")
+    worth = f"{100 + LIMIT} * (both + beyond) >= {LIMIT} * (n + nx) AND room >= {LIMIT} * nx AND room_x >= {LIMIT} * n"
+    rest = bound.join(inner, "c").where(worth).select(F.greatest("doc_id", "x").alias("a"), F.least("doc_id", "x").alias("b")).distinct()
+    links = links.unionByName(seen.where("link").select("a", "b")).unionByName(_links(rest, known))
 
     found = components(links).select(F.col("node").alias("rep"), "comp")
     member = signed.join(classes, ["k1", "k2", "n_shingles"], "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep"))
     out = member.join(found, "rep", "left").select("doc_id", "n_shingles", F.coalesce("comp", "rep").alias("component_id"))
-    return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    return out.withColumn("kept", F.col("doc_id") == F.col("component_id")).hint("rebalance")
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
