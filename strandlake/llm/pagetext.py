@@ -234,9 +234,9 @@ def templates(pages: DataFrame) -> DataFrame:
     rows = pages.select("host", "html").mapInArrow(_features, "host string, content long, subtree long")
     # Pages of equal content count once: distinct first, then counts; both combine before they shuffle.
     counts = rows.distinct().groupBy("host", "subtree").agg(F.count("*").alias("n"))
-    counts = materialise(counts.where(f"subtree IS NULL OR n >= {MIN_PAGES}"), "subtrees")
+    counts = materialise(counts.where(f"subtree IS NULL OR n >= {MIN_PAGES}"), "subtrees", narrow=True)
     pages_of = counts.where("subtree IS NULL").select("host", F.col("n").alias("pages"))
-    return materialise(counts.where("subtree IS NOT NULL").join(pages_of, "host").where(F.col("n") >= MIN_SHARE * F.col("pages")).select("host", "subtree"), "templates")
+    return materialise(counts.where("subtree IS NOT NULL").join(pages_of, "host").where(F.col("n") >= MIN_SHARE * F.col("pages")).select("host", "subtree"), "templates", narrow=True)
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

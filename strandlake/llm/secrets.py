@@ -137,12 +137,12 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     # A failing match leaves a row of nulls, so that its document stays.
     blank = lambda c: F.when(least, F.col(c)).alias(c)
     rows = rows.select("doc_id", "th", blank("kind"), blank("start"), blank("stop"), F.when(F.col("kind") == 3, F.col("value")).alias("token"))
-    rows = materialise(rows, "matches")
+    rows = materialise(rows, "matches", narrow=True)
 
     tokens = rows.where("kind = 3").select("doc_id", "th", "start", "token").withColumn("alphabet", _encoding(F.col("token"))).where("alphabet IS NOT NULL")
     tokens = statistic(tokens).select("doc_id", "th", "start", _class(F.length("token")).alias("class"), _grid(F.col("t")).alias("place"))
-    tokens = materialise(tokens, "tokens")
-    cuts = materialise(thresholds(docs, tokens), "cuts")  # at most one row for each class
+    tokens = materialise(tokens, "tokens", narrow=True)
+    cuts = materialise(thresholds(docs, tokens), "cuts", narrow=True)  # at most one row for each class
     random = tokens.join(F.broadcast(cuts), "class").where("place <= cut").select("doc_id", "th", "start", F.lit(3).alias("kind"), F.lit(True).alias("found"))
 
     # A token goes if a base match overlaps it: one that starts no later and ends after its start, or one
@@ -167,7 +167,7 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     """doc_id, counts by kind, base_sha256 and spans of every document."""
     count = lambda k: F.count(F.when(F.col("kind") == k, 1))
     out = spans(docs, id_col, text_col).groupBy("doc_id", "th").agg(*[count(i).alias(f"n_{k}") for i, k in enumerate(KINDS)], _joined(3).alias("base"), _joined(4).alias("spans"))
-    return out.select("doc_id", *[f"n_{k}" for k in KINDS], F.sha2("base", 256).alias("base_sha256"), "spans")
+    return out.select("doc_id", *[f"n_{k}" for k in KINDS], F.sha2("base", 256).alias("base_sha256"), "spans").hint("rebalance")
 
 
 def redact(docs: DataFrame) -> DataFrame:
