@@ -54,16 +54,9 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(out + self.intercept, -40, 40)))
 
 
-def _sets(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """The bucket sets of the texts: concatenated buckets, and the row of each."""
-    cols, rows = [], []
-    for lo, part in text_slices(texts):
-        cp, offsets = code_points(part)
-        for i, gs in enumerate(per_text(cp, offsets, SIZES, BITS)):
-            u = np.unique(np.concatenate(gs)).astype(np.int32)
-            cols.append(u)
-            rows.append(np.full(len(u), lo + i, np.int32))
-    return np.concatenate(cols) if cols else np.zeros(0, np.int32), np.concatenate(rows) if rows else np.zeros(0, np.int32)
+def _sets(texts: list[str | None]) -> list[np.ndarray]:
+    """The sorted distinct buckets of each text."""
+    return [np.unique(np.concatenate(gs)).astype(np.int32) for _, part in text_slices(texts) for gs in per_text(*code_points(part), SIZES, BITS)]
 
 
 def fit(texts: list[str], labels: np.ndarray, rounds: int = 150, ridge: float = 2e-4, alpha: float = 1.0) -> Model:
@@ -73,14 +66,18 @@ def fit(texts: list[str], labels: np.ndarray, rounds: int = 150, ridge: float =
     if len(y) == 0 or y.min() == y.max():
         share = (y.sum() + 0.5) / (len(y) + 1)
         return Model(np.zeros(size, np.float32), float(np.log(share / (1 - share))))
-    cols, rows = _sets(texts)
-    pos = np.bincount(cols, weights=y[rows], minlength=size)
-    neg = np.bincount(cols, minlength=size) - pos
+    sets = _sets(texts)
+    pos, neg = np.zeros(size), np.zeros(size)
+    for u, label in zip(sets, y, strict=True):
+        (pos if label else neg)[u] += 1
     r = np.log((pos + alpha) / (y.sum() + 2 * alpha)) - np.log((neg + alpha) / ((1 - y).sum() + 2 * alpha))
     # Only buckets that tell the classes apart carry weight: r's own standard error is the yardstick.
     sure = np.abs(r) > 2.5 * np.sqrt(1 / (pos + alpha) + 1 / (neg + alpha))
-    keep = sure[cols]
-    cols, rows = cols[keep], rows[keep]
+    for i, u in enumerate(sets):  # in place: the whole sets of thousands of texts are large
+        sets[i] = u[sure[u]]
+    cols = np.concatenate(sets)
+    rows = np.repeat(np.arange(len(sets), dtype=np.int32), [len(u) for u in sets])
+    del sets
     used, cols = np.unique(cols, return_inverse=True)
     x = r[used][cols]
     # Equal weight for either class, so that 0.5 is a threshold that does not depend on their mix.
