@@ -3,9 +3,8 @@
 The text is normalised here, by the model's compiled character map: a double-array trie over UTF-8
 prefixes, of which the longest match at each place is replaced by its string; other valid characters stay,
 and a byte that is not UTF-8 becomes U+FFFD.  With every normalised byte goes the source byte it came
-from.  The library then splits the normalised text (its own normaliser finds nothing left to change for
-texts in normal form), and the lengths of the pieces, laid end to end, are projected through that alignment
-to [begin, end) spans of the original UTF-8 bytes.
+from.  The library splits the text into pieces; these, laid end to end, are the normalised bytes, so their
+lengths project every piece through the alignment to a [begin, end) span of the original UTF-8 bytes.
 
 Contract: one row per input row, whole texts; a null counts as the empty text, whose ids are just begin and
 end.  Repeated rows encode alike.  The begin and end ids have empty spans at the text's ends.
@@ -171,16 +170,18 @@ def tokenizer(model_file: str) -> Tokenizer:
     return _LOADED[model_file]
 
 
-def _groups(texts: list[str | None], limit: int = 4_000_000) -> Iterator[tuple[int, list[str | None]]]:
-    lo, held, size = 0, [], 0
-    for i, t in enumerate(texts):
-        if held and size + len(t or "") > limit:
-            yield lo, held
-            lo, held, size = i, [], 0
-        held.append(t)
-        size += len(t or "")
-    if held:
-        yield lo, held
+def _groups(batch: pa.RecordBatch, chars: int = 500_000) -> Iterator[tuple[int, list[str | None]]]:
+    """(first row, texts) of about ``chars`` characters, so that few Python objects live at once."""
+    for top in range(0, batch.num_rows, 128):
+        texts = batch["text"].slice(top, 128).to_pylist()
+        lo, held, size = 0, [], 0
+        for i, t in enumerate(texts):
+            if held and size + len(t or "") > chars:
+                yield top + lo, held
+                lo, held, size = i, [], 0
+            held.append(t)
+            size += len(t or "")
+        yield top + lo, held
 
 
 def encode(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -189,7 +190,7 @@ def encode(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = tokenizer(model_file)
         for batch in batches:
-            for lo, part in _groups(batch["text"].to_pylist()):
+            for lo, part in _groups(batch):
                 got = list(tok.encode(part))
                 columns = [pa.array([g.ids.astype(np.int32) for g in got], pa.list_(pa.int32())), pa.array([g.begin for g in got], pa.list_(pa.int64())), pa.array([g.end for g in got], pa.list_(pa.int64()))]
                 yield pa.record_batch([batch["doc_id"].slice(lo, len(part)), *columns], ["doc_id", "ids", "begin", "end"])
@@ -203,7 +204,7 @@ def digests(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = tokenizer(model_file)
         for batch in batches:
-            for lo, part in _groups(batch["text"].to_pylist()):
+            for lo, part in _groups(batch):
                 n, ids, decoded, span, lists = [], [], [], [], []
                 for e in tok.encode(part):
                     n.append(len(e.ids))
