@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import philox as rng
 from ..functions import seq as sq
 from ..operators import relops
+from ..operators.lineage import kept
 from ..sources import derived as src
 from . import sqlgen, tiles
 from .basics import _CALIBRATION_SQL, BINS, DEFAULTS, INSERT, MAX_N, READ, SEATS_SQL, SEED, Params, calibration, gc_opportunities, gc_profile, hamilton_allocation
@@ -250,14 +251,14 @@ def wgbs_gc_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def wgbs_gc_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same until every candidate is placed: each round tries what the rounds before left."""
-    starts, want, first, size, found = gc_starts(spark, sf_dir), seated(spark, sf_dir).drop("ordinal"), 0, ATTEMPTS, None
+    starts, want, first, size, found = kept(gc_starts(spark, sf_dir)), seated(spark, sf_dir).drop("ordinal"), 0, ATTEMPTS, None
     # A contig without any acceptable start cannot be placed on; its seats are left out.
     able = starts.where("acceptance > 0").select("ci").distinct()
-    want = want.join(able, "ci", "left_semi")
+    want = kept(want.join(able, "ci", "left_semi"))
     while True:
-        got = gc_accepted(want, starts, first, first + size)
+        got = kept(gc_accepted(want, starts, first, first + size))
         found = got if found is None else found.unionByName(got)
-        want = want.join(got.select("ci", "candidate"), ["ci", "candidate"], "left_anti")
+        want = kept(want.join(got.select("ci", "candidate"), ["ci", "candidate"], "left_anti"))
         if want.isEmpty():
             return found
         first, size = first + size, 4 * size
@@ -269,50 +270,56 @@ def wgbs_gc_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 VARIABLE = (30, INSERT, 90, 10.0)
 
 
-def variable_candidates(spark: SparkSession, sf_dir: str, oversample: int = 3) -> DataFrame:
-    """(ci, candidate, start, insert_length, accepted ...): every ordinal of a contig judged on its own."""
-    c = src.contigs(spark, sf_dir)
-    ask = hamilton_allocation(spark, sf_dir).where("seats > 0").select("ci", "seats", F.explode(F.sequence(F.lit(0).cast("long"), oversample * F.col("seats") - 1)).alias("candidate"))
-    ask = ask.join(c.select("ci", "len", "seq"), "ci")
+def variable_candidates(contigs: DataFrame, seats: DataFrame, first: int, last: int) -> DataFrame:
+    """(ci, seats, candidate, start, insert_length, gc): readable candidates among ``first`` to ``last`` ordinals a
+    seat, each judged on its own."""
+    ask = seats.select("ci", "seats", F.explode(F.sequence(first * F.col("seats"), last * F.col("seats") - 1)).alias("candidate")).join(contigs.select("ci", "len"), "ci")
     ask = ask.withColumn("insert_length", rng.clamped_normal(SEED, rng.FRAGMENT, F.col("ci"), F.col("candidate"), F.lit(0), *VARIABLE)).where(F.col("len") >= F.col("insert_length"))
     ask = ask.withColumn("start", rng.pick(SEED, rng.FRAGMENT, F.col("ci"), F.col("candidate"), F.lit(1), F.col("len") - F.col("insert_length") + 1))
-    template = sq.piece(F.col("seq"), F.col("start"), F.col("start") + F.col("insert_length"))
-    ask = ask.withColumn("template", template)
+    core = 4096
+    tiled = tiles.tiles(contigs, VARIABLE[2], core).select("ci", (F.col("core_start") / core).cast("long").alias("tile"), "from", F.col("seq").alias("around"))
+    ask = ask.withColumn("tile", F.floor(F.col("start") / core)).join(tiled, ["ci", "tile"])
+    at = F.col("start") - F.col("from")
+    ask = ask.withColumn("template", sq.piece(F.col("around"), at, at + F.col("insert_length")))
     good = (sq.count_of(F.substring("template", 1, READ), "N") <= MAX_N) & (sq.count_of(F.expr(f"right(template, {READ})"), "N") <= MAX_N)
     return ask.where(good).select("ci", "seats", "candidate", "start", "insert_length", sq.count_of(F.col("template"), "CG").alias("gc"))
 
 
-def _enough(spark: SparkSession, sf_dir: str, judged, k: int, most: int = 48) -> DataFrame:
-    """The first accepted candidates of each contig among k ordinals a seat; k doubles until all seats of
-    contigs that accept anything are filled (``most``: then a contig accepts too little)."""
-    seats = hamilton_allocation(spark, sf_dir).where("seats > 0").select("ci", "seats")
+def _enough(spark: SparkSession, sf_dir: str, judged, first: int) -> DataFrame:
+    """The first accepted candidates of each contig.
+
+    All contigs try ``first`` ordinals a seat; those that are short try eight times as many more, and so
+    on, so that later rounds are small.  A contig that accepts too little ends with what it has.
+    """
+    contigs, seats = src.contigs(spark, sf_dir), kept(hamilton_allocation(spark, sf_dir).where("seats > 0").select("ci", "seats"))
+    lo, hi, short, rows = 0, first, seats, None
     while True:
-        rows = relops.ordered_accept(judged(k), ["ci"], "candidate", "seats")
-        short = rows.groupBy("ci").agg(F.count("*").alias("n")).join(seats, "ci").where("n < seats")
-        if k * 2 > most or short.isEmpty():
-            return rows
-        k *= 2
+        got = kept(judged(contigs, short, lo, hi))
+        rows = got if rows is None else rows.unionByName(got)
+        have = rows.groupBy("ci").agg(F.count("*").alias("n"))
+        short = kept(seats.join(have, "ci", "left").where("coalesce(n, 0) < seats").select("ci", "seats"))
+        lo, hi = hi, hi * 9
+        if lo > MOST_ATTEMPTS // 100 or short.isEmpty():
+            return relops.ordered_accept(rows, ["ci"], "candidate", "seats")
 
 
 @query()
 def wgbs_variable(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Variable inserts: the first accepted candidates of each contig, and the ordinals passed over."""
-    rows = _enough(spark, sf_dir, lambda k: variable_candidates(spark, sf_dir, k), 3)
-    return rows.select("ci", "candidate", "accept_rank", "skipped", "start", "insert_length")
+    return _enough(spark, sf_dir, variable_candidates, 3).select("ci", "candidate", "accept_rank", "skipped", "start", "insert_length")
 
 
 @query()
 def wgbs_variable_gc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Variable inserts with the GC target: one more draw decides each candidate."""
-    accept = calibration(gc_opportunities(spark, sf_dir), gc_profile(spark)).select("bin", "acceptance")
+    accept = kept(calibration(gc_opportunities(spark, sf_dir), gc_profile(spark)).select("bin", "acceptance"))
 
-    def judged(k: int) -> DataFrame:
-        rows = variable_candidates(spark, sf_dir, k).withColumn("bin", sq.gc_bin(F.col("gc"), F.col("insert_length"), BINS)).join(F.broadcast(accept), "bin")
+    def judged(contigs: DataFrame, seats: DataFrame, lo: int, hi: int) -> DataFrame:
+        rows = variable_candidates(contigs, seats, lo, hi).withColumn("bin", sq.gc_bin(F.col("gc"), F.col("insert_length"), BINS)).join(F.broadcast(accept), "bin")
         rows = rows.withColumn("w", rng.draw(SEED, rng.FRAGMENT, F.col("ci"), F.col("candidate"), F.lit(2))).where(rng.bernoulli(F.col("w"), F.col("acceptance")))
         return rows.drop("w", "bin", "acceptance")
 
-    rows = _enough(spark, sf_dir, judged, 6)
-    return rows.select("ci", "candidate", "accept_rank", "skipped", "start", "insert_length", "gc")
+    return _enough(spark, sf_dir, judged, 6).select("ci", "candidate", "accept_rank", "skipped", "start", "insert_length", "gc")
 
 
 _HAP_SQL = f"WITH ask AS (SELECT l_orderkey, l_linenumber, l_partkey % 3 + 1 AS mask, l_orderkey * 8 + l_linenumber AS ordinal, 0 AS contig FROM lineitem), {sqlgen.draws('d', 'ask', SEED, rng.HAPLOTYPE, 'contig', 'ordinal', '0')}"
