@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("basics", "libraries", "variation", "reads", "models")
+MODULES = ("basics", "libraries", "variation", "reads", "models", "diploid")
 
 
 def load() -> tuple[dict, dict]:

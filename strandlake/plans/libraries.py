@@ -248,11 +248,12 @@ def wgbs_gc_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gc_accepted(seated(spark, sf_dir).drop("ordinal"), gc_starts(spark, sf_dir), 0, ATTEMPTS)
 
 
-@query()
-def wgbs_gc_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same until every candidate is placed: each round tries what the rounds before left."""
-    starts, want, first, size, found = kept(gc_starts(spark, sf_dir)), seated(spark, sf_dir).drop("ordinal"), 0, ATTEMPTS, None
-    # A contig without any acceptable start cannot be placed on; its seats are left out.
+def gc_placed(want: DataFrame, starts: DataFrame) -> DataFrame:
+    """``gc_accepted`` until every candidate is placed: each round tries what the rounds before left.
+
+    Candidates of a contig without any acceptable start cannot be placed; they are left out.
+    """
+    starts, first, size, found = kept(starts), 0, ATTEMPTS, None
     able = starts.where("acceptance > 0").select("ci").distinct()
     want = kept(want.join(able, "ci", "left_semi"))
     while True:
@@ -266,6 +267,12 @@ def wgbs_gc_all(spark: SparkSession, sf_dir: str) -> DataFrame:
             raise ArithmeticError("the target accepts too little")
 
 
+@query()
+def wgbs_gc_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every candidate's first accepted attempt under the GC target."""
+    return gc_placed(seated(spark, sf_dir).drop("ordinal"), gc_starts(spark, sf_dir))
+
+
 #: The length model of variable inserts: least, mean, greatest, standard deviation.
 VARIABLE = (30, INSERT, 90, 10.0)
 
