@@ -46,16 +46,47 @@ def _seated(starts: DataFrame) -> DataFrame:
     return seats_of(relops.hamilton(starts.groupBy("ci").agg(F.count("*").alias("weight")), TOTAL, "weight", "ci"))
 
 
+def placed_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(ci, pos, mask, hap0, hap1): reference starts that a haplotype can be read from, with its own places.
+
+    A start inside an insertion has no reference place and does not count.
+    """
+    spans = haplotype_segments(spark, sf_dir).where(F.col("bases").isNull() | (F.col("ref_end") > F.col("ref_begin"))).drop("bases")
+    rows = relops.range_join(physical_starts(spark, sf_dir), spans, ["ci", "hap"], "pos", "hap_begin", "hap_end", 256)
+    rows = rows.select("ci", "hap", F.col("pos").alias("own"), (F.col("ref_begin") + F.col("pos") - F.col("hap_begin")).alias("pos"))
+    own = lambda h: F.max(F.when(F.col("hap") == h, F.col("own"))).alias(f"hap{h}")
+    return rows.groupBy("ci", "pos").agg(F.bit_or(F.expr("shiftleft(1, hap)")).alias("mask"), own(0), own(1))
+
+
 @query()
 def wgbs_haplotype_uniform(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Even draws over starts that at least one haplotype has; a coin decides where both do."""
-    starts = physical_starts(spark, sf_dir).groupBy("ci", "pos").agg(F.bit_or(F.expr("shiftleft(1, hap)")).alias("mask"))
+    """Even draws over reference starts that at least one haplotype has; a coin decides where both do."""
+    starts = placed_starts(spark, sf_dir)
     draws = _seated(starts).withColumn("w", rng.draw(SEED, rng.FRAGMENT, F.col("ci"), F.col("candidate"), F.lit(1)))
     draws = draws.select("ci", "candidate", "ordinal", rng.bounded(F.col("w"), F.col("weight")).alias("rank"))
     rows = relops.rank_select(draws, starts, ["ci"], "rank", ["pos"])
     rows = rows.withColumn("coin", rng.draw(SEED, rng.HAPLOTYPE, F.col("ci"), F.col("ordinal"), F.lit(0)))
     hap = F.when(F.col("mask") == 1, 0).when(F.col("mask") == 2, 1).otherwise(F.when(rng.bernoulli(F.col("coin"), F.lit(0.5)), 1).otherwise(0))
-    return rows.select("ordinal", "ci", "candidate", F.col("pos").alias("start"), "mask", hap.alias("haplotype"))
+    rows = rows.select("ordinal", "ci", "candidate", F.col("pos").alias("start"), "mask", hap.alias("haplotype"), "hap0", "hap1")
+    return rows.withColumn("own_start", F.when(F.col("haplotype") == 0, F.col("hap0")).otherwise(F.col("hap1"))).drop("hap0", "hap1")
+
+
+@query()
+def haplotype_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Templates cut from haplotypes, with the template intervals of the alleles they hold."""
+    picks = wgbs_haplotype_uniform(spark, sf_dir).withColumn("key", F.col("ci") * 2 + F.col("haplotype"))
+    core = 4096
+    tiled = tiles.tiles(haplotypes(spark, sf_dir), INSERT, core).select(F.col("ci").alias("key"), (F.col("core_start") / core).cast("long").alias("tile"), "from", F.col("seq").alias("around"))
+    rows = picks.withColumn("tile", F.floor(F.col("own_start") / core)).join(tiled, ["key", "tile"])
+    at = F.col("own_start") - F.col("from")
+    rows = rows.select("ordinal", "ci", "haplotype", "start", "own_start", sq.piece(F.col("around"), at, at + INSERT).alias("template"))
+    alleles = haplotype_segments(spark, sf_dir).where("bases IS NOT NULL").select("ci", F.col("hap").alias("haplotype"), "hap_begin", "hap_end", "bases")
+    spans = rows.select("ordinal", "ci", "haplotype", "own_start", (F.col("own_start") + INSERT).alias("own_end"))
+    held = relops.overlap_join(spans, alleles, ["ci", "haplotype"], "own_start", "own_end", "hap_begin", "hap_end", INSERT)
+    begin, end = F.greatest(F.col("hap_begin") - F.col("own_start"), F.lit(0)), F.least(F.col("hap_end") - F.col("own_start"), F.lit(INSERT))
+    lists = held.groupBy("ordinal").agg(F.sort_array(F.collect_list(F.struct(begin.alias("begin"), end.alias("end"), "bases"))).alias("l"))
+    text = F.array_join(F.transform("l", lambda e: F.concat_ws(":", e["begin"].cast("string"), e["end"].cast("string"), e["bases"])), ",")
+    return rows.join(lists, "ordinal", "left").select("ordinal", "ci", "haplotype", "start", "template", F.coalesce(text, F.lit("")).alias("events"))
 
 
 @query()

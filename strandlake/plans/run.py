@@ -163,3 +163,12 @@ def parse_cut(text: str) -> tuple[str, int]:
 def methylation_catalog(contigs: DataFrame, catalog_seed: int) -> DataFrame:
     """(ci, pos, code, level): a Beta level for every site of every contig."""
     return models.beta_table(tiles.contexts(contigs), catalog_seed)
+
+
+def binding(contigs: DataFrame, catalog_seed: int, variants: str | None = None, mutation: tuple[float, ...] | None = None) -> str:
+    """The digest that ties a saved methylation catalogue to its inputs: the reference, the catalogue seed, and
+    either the variant file's digest or the mutation parameters. Levels and shapes do not count."""
+    if variants is not None and mutation is not None:
+        raise ConfigError("a catalogue is bound to a variant file or to mutation parameters, not to both")
+    names = [(r["name"], r["d"]) for r in contigs.orderBy("ci").select("name", F.sha2("seq", 256).alias("d")).collect()]  # a line a contig
+    return digest_of(json.dumps({"contigs": names, "catalog_seed": catalog_seed, "variants": variants, "mutation": mutation}, sort_keys=True))

@@ -5,6 +5,7 @@ import os
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 
 from strandlake.plans import load
@@ -22,7 +23,7 @@ def db():
 
 
 def _plain(v):
-    if v is None or isinstance(v, float) and math.isnan(v):
+    if v is None or v is pd.NA or isinstance(v, float) and math.isnan(v):
         return "null"
     if isinstance(v, (float, np.floating)):
         return repr(int(v)) if float(v).is_integer() else repr(float(v))

@@ -110,3 +110,28 @@ def test_stream_equals_batch(spark, contigs, tmp_path):
     query.awaitTermination(120)
     got = spark.read.parquet(str(tmp_path / "rows")).drop("batch")
     assert sorted(map(str, got.select(*sim.reads.columns).collect())) == sorted(map(str, sim.reads.collect()))
+
+
+def test_binding(spark, contigs):
+    c = _plain(contigs)
+    assert run.binding(c, 1) == run.binding(c.repartition(3), 1) != run.binding(c, 2)
+    assert run.binding(c, 1, variants="x") != run.binding(c, 1, mutation=(0.1,))
+    with pytest.raises(run.ConfigError):
+        run.binding(c, 1, "x", (0.1,))
+
+
+def test_haplotype_fragments(spark):
+    from strandlake.plans import diploid, variation
+    from strandlake.sources import derived
+
+    data = "/root/testdata/sf0.001"
+    seqs = {(r["ci"], r["hap"]): r["seq"] for r in variation.sequences(derived.contigs(spark, data), variation.haplotype_segments(spark, data)).collect()}
+    picks = {r["ordinal"]: r["own_start"] for r in diploid.wgbs_haplotype_uniform(spark, data).collect()}
+    rows = diploid.haplotype_fragments(spark, data).collect()
+    assert len(rows) == len(picks) == diploid.TOTAL and any(r["events"] for r in rows)
+    for r in rows:
+        seq = seqs[r["ci"], r["haplotype"]]
+        assert r["template"] == seq[picks[r["ordinal"]] :][:60]
+        for event in filter(None, r["events"].split(",")):
+            begin, end, bases = event.split(":")
+            assert r["template"][int(begin) : int(end)] in bases
