@@ -69,20 +69,17 @@ def context_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
 _STARTS = tiles.valid_starts_sql(READ, INSERT, MAX_N)
 
 
-def starts_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tiles.valid_starts(src.contigs(spark, sf_dir), READ, INSERT, MAX_N)
-
-
 @query(f"WITH {src.CONTIGS_SQL}, {_STARTS} SELECT ci, min(pos) AS first, max(pos) AS last FROM (SELECT ci, pos, pos - row_number() OVER (PARTITION BY ci ORDER BY pos) AS run FROM starts) GROUP BY ci, run")
 def valid_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Valid starts as runs of consecutive places."""
-    rows = starts_of(spark, sf_dir).select("ci", "pos", (F.col("pos") + 1).alias("stop"))
+    rows = tiles.valid_runs(src.contigs(spark, sf_dir), READ, INSERT, MAX_N)  # only runs cut by a tile's end merge
     return relops.islands(rows, ["ci"], "pos", "stop").select("ci", F.col("pos").alias("first"), (F.col("stop") - 1).alias("last"))
 
 
 @query(f"WITH {src.CONTIGS_SQL}, {_STARTS} SELECT ci, count(*) AS weight FROM starts GROUP BY ci")
 def start_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return starts_of(spark, sf_dir).groupBy("ci").agg(F.count("*").alias("weight"))
+    counts = tiles.start_counts(src.contigs(spark, sf_dir), READ, INSERT, MAX_N)
+    return counts.groupBy("ci").agg(F.sum("n").alias("weight"))
 
 
 _BIN_SQL = f"gc * {BINS - 1} // {INSERT} + CASE WHEN gc * {BINS - 1} % {INSERT} * 2 >= {INSERT} THEN 1 ELSE 0 END"
@@ -90,7 +87,8 @@ _BIN_SQL = f"gc * {BINS - 1} // {INSERT} + CASE WHEN gc * {BINS - 1} % {INSERT}
 
 @query(f"WITH {src.CONTIGS_SQL}, {_STARTS} SELECT ci, {_BIN_SQL} AS bin, count(*) AS n FROM starts GROUP BY ALL")
 def gc_opportunities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return starts_of(spark, sf_dir).groupBy("ci", sq.gc_bin(F.col("gc"), F.lit(INSERT), BINS).alias("bin")).agg(F.count("*").alias("n"))
+    counts = tiles.gc_counts(src.contigs(spark, sf_dir), READ, INSERT, MAX_N, BINS)
+    return counts.groupBy("ci", F.col("pos").alias("bin")).agg(F.sum("n").alias("n"))
 
 
 #: The target share of each GC bin: a fixed example profile.

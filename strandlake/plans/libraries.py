@@ -194,17 +194,15 @@ def draw_uniform(contigs: DataFrame, p: Params) -> DataFrame:
 
     Ranks are resolved by tile: each tile's count of valid starts gives it a range of ranks, a draw meets
     its tile by range, and the start is the draw's rest-th valid start of that tile.  Only the tile counts
-    are put in order, never the starts of a whole contig.
+    are put in order; no start is a row unless it is drawn.
     """
-    core = 4096
-    starts = tiles.valid_starts(contigs, p.read, p.insert, p.max_n).withColumn("tile", F.floor(F.col("pos") / core))
-    seats = relops.hamilton(starts.groupBy("ci").agg(F.count("*").alias("weight")), p.total, "weight", "ci")
-    counts = relops.running_ranges(starts.groupBy("ci", "tile").agg(F.count("*").alias("n")), ["ci"], "n", ["tile"])
+    counts = tiles.start_counts(contigs, p.read, p.insert, p.max_n).select("ci", F.floor(F.col("pos") / tiles.CORE).alias("tile"), "n")
+    seats = relops.hamilton(counts.groupBy("ci").agg(F.sum("n").alias("weight")), p.total, "weight", "ci")
     draws = seats_of(seats).withColumn("w", rng.draw(p.seed, rng.FRAGMENT, F.col("ci"), F.col("candidate"), F.lit(1)))
     draws = draws.select("ci", "candidate", "ordinal", rng.bounded(F.col("w"), F.col("weight")).alias("rank"))
-    placed = relops.cumulative_pick(draws, counts, ["ci"], "rank", core).withColumn("rest", F.col("rank") - F.col("lo"))
-    numbered = starts.withColumn("rest", F.row_number().over(Window.partitionBy("ci", "tile").orderBy("pos")).cast("long") - 1)
-    return placed.join(numbered, ["ci", "tile", "rest"]).select("ci", "candidate", "ordinal", "rank", F.col("pos").alias("start"))
+    ranges = relops.running_ranges(counts, ["ci"], "n", ["tile"])
+    placed = relops.cumulative_pick(draws, ranges, ["ci"], "rank", tiles.CORE).withColumn("rest", F.col("rank") - F.col("lo"))
+    return tiles.starts_at(contigs, placed, p.read, p.insert, p.max_n)
 
 
 @query(f"WITH {UNIFORM_SQL} SELECT ordinal, ci, \"start\" FROM picked")

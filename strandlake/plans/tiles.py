@@ -86,22 +86,81 @@ contexts AS (SELECT * FROM (SELECT ci, pos, CAST(CASE WHEN regexp_matches(near,
   WHEN regexp_matches(near, '^.CG') THEN 9 WHEN regexp_matches(near, '^C[AGT]G') THEN 11 WHEN regexp_matches(near, '^[AGT][AGT]G') THEN 15 END AS INTEGER) AS code FROM bases) WHERE code IS NOT NULL)"""
 
 
+def valid_places(x: np.ndarray, at: int, a: int, b: int, n: int, read: int, insert: int, max_n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(places, GC counts) of the tile's starts whose insert fits and whose reads have at most ``max_n`` N each."""
+    last = min(b, n - insert + 1)
+    if last <= a:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    unknown, gc = _prefix(x == 4), _prefix((x == 1) | (x == 2))
+    s = np.arange(a, last) - at
+    s = s[(unknown[s + read] - unknown[s] <= max_n) & (unknown[s + insert] - unknown[s + insert - read] <= max_n)]
+    return (s + at).astype(np.int64), gc[s + insert] - gc[s]
+
+
 def valid_starts(contigs: DataFrame, read: int, insert: int, max_n: int) -> DataFrame:
-    """(ci, pos, gc): starts whose insert fits and whose two reads have at most ``max_n`` N each."""
+    """(ci, pos, gc): every valid start, for plans that need each place."""
 
     def kernel(x: np.ndarray, at: int, a: int, b: int, n: int) -> dict[str, np.ndarray]:
-        last = min(b, n - insert + 1)
-        if last <= a:
-            return {"pos": np.zeros(0, np.int64), "gc": np.zeros(0, np.int64)}
-        unknown, gc = _prefix(x == 4), _prefix((x == 1) | (x == 2))
-        s = np.arange(a, last) - at
-        good = (unknown[s + read] - unknown[s] <= max_n) & (unknown[s + insert] - unknown[s + insert - read] <= max_n)
-        s = s[good]
-        return {"pos": (s + at).astype(np.int64), "gc": gc[s + insert] - gc[s]}
+        pos, gc = valid_places(x, at, a, b, n, read, insert, max_n)
+        return {"pos": pos, "gc": gc}
 
     return per_tile(tiles(contigs, insert), kernel, "ci long, pos long, gc long")
 
 
+def valid_runs(contigs: DataFrame, read: int, insert: int, max_n: int) -> DataFrame:
+    """(ci, pos, stop): runs of consecutive valid starts within each tile."""
+
+    def kernel(x: np.ndarray, at: int, a: int, b: int, n: int) -> dict[str, np.ndarray]:
+        pos, _ = valid_places(x, at, a, b, n, read, insert, max_n)
+        opens = np.flatnonzero(np.diff(pos, prepend=-2) != 1) if len(pos) else np.zeros(0, np.int64)
+        closes = np.concatenate((opens[1:], [len(pos)])) - 1 if len(pos) else opens
+        return {"pos": pos[opens], "stop": pos[closes] + 1}
+
+    return per_tile(tiles(contigs, insert), kernel, "ci long, pos long, stop long")
+
+
+def start_counts(contigs: DataFrame, read: int, insert: int, max_n: int, core: int = CORE) -> DataFrame:
+    """(ci, pos, n): the number of valid starts of the tile that begins at ``pos``."""
+
+    def kernel(x: np.ndarray, at: int, a: int, b: int, n: int) -> dict[str, np.ndarray]:
+        pos, _ = valid_places(x, at, a, b, n, read, insert, max_n)
+        return {"pos": np.array([a], np.int64), "n": np.array([len(pos)], np.int64)}
+
+    return per_tile(tiles(contigs, insert, core), kernel, "ci long, pos long, n long").where("n > 0")
+
+
+def gc_counts(contigs: DataFrame, read: int, insert: int, max_n: int, bins: int) -> DataFrame:
+    """(ci, pos, n): valid starts of each tile by GC bin (``pos`` is the bin), halves rounded up."""
+
+    def kernel(x: np.ndarray, at: int, a: int, b: int, n: int) -> dict[str, np.ndarray]:
+        _, gc = valid_places(x, at, a, b, n, read, insert, max_n)
+        found, count = np.unique(gc * (bins - 1) // insert + (gc * (bins - 1) % insert * 2 >= insert), return_counts=True)
+        return {"pos": found.astype(np.int64), "n": count.astype(np.int64)}
+
+    return per_tile(tiles(contigs, insert), kernel, "ci long, pos long, n long")
+
+
+def starts_at(contigs: DataFrame, draws: DataFrame, read: int, insert: int, max_n: int, core: int = CORE) -> DataFrame:
+    """(ci, candidate, ordinal, rank, start) of ``draws`` (ci, tile, rest, candidate, ordinal, rank).
+
+    A draw wants the ``rest``-th valid start of its tile. The draws of a tile travel as one list (as many as
+    fall on 64 KiB); starts that nobody draws are never rows.
+    """
+    lists = draws.groupBy("ci", "tile").agg(F.collect_list(F.struct("rest", "candidate", "ordinal", "rank")).alias("picks"))
+    rows = tiles(contigs, insert, core).withColumn("tile", (F.col("core_start") / core).cast("long")).join(lists, ["ci", "tile"])
+    rows = rows.select("ci", "len", "core_start", "core_end", "from", "seq", *[F.col(f"picks.{c}").alias(c) for c in ("rest", "candidate", "ordinal", "rank")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                ci, n, a, b, at, seq = (batch[c][k].as_py() for c in ("ci", "len", "core_start", "core_end", "from", "seq"))
+                pos, _ = valid_places(CODE[np.frombuffer(seq.encode(), np.uint8)], at, a, b, n, read, insert, max_n)
+                rest, candidate, ordinal, rank = (batch[c][k].values for c in ("rest", "candidate", "ordinal", "rank"))
+                yield pa.record_batch([pa.array(np.full(len(rest), ci, np.int64)), candidate, ordinal, rank, pa.array(pos[rest.to_numpy()])], ["ci", "candidate", "ordinal", "rank", "start"])
+
+    return rows.mapInArrow(run, "ci long, candidate long, ordinal long, rank long, start long")
+
+
 def valid_starts_sql(read: int, insert: int, max_n: int) -> str:
     return f"""starts AS (SELECT ci, pos, CAST({insert} - length(translate(whole, 'CG', '')) AS BIGINT) AS gc FROM (
   SELECT ci, i AS pos, substr(seq, CAST(i + 1 AS INTEGER), {insert}) AS whole FROM contigs, unnest(range(len - {insert} + 1)) AS t(i) WHERE len >= {insert})
