@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from ..functions import philox as rng
 from ..functions import seq as sq
 from ..operators import relops
+from ..operators.lineage import kept
 from ..sources import derived as src
 from . import tiles
 from .basics import BINS, INSERT, MAX_N, READ, SEED, calibration, gc_profile
-from .libraries import CUTS, _motif_sql, candidate_pairs, candidates, gc_placed, seats_of
+from .libraries import CUTS, _motif_sql, candidate_pairs, candidates, gc_placed, numbered_starts, seats_of
 from .reads import FRAGMENTS_SQL, fragment_table, fragments
 from .registry import query
 from .variation import _ASM, _HAPS, SEQUENCES_SQL, asm_rows, boundaries, events_of, haplotype_segments, sequences
@@ -95,7 +96,8 @@ def wgbs_haplotype_gc(spark: SparkSession, sf_dir: str) -> DataFrame:
     starts = physical_starts(spark, sf_dir).withColumn("bin", sq.gc_bin(F.col("gc"), F.lit(INSERT), BINS))
     accept = calibration(starts.groupBy("ci", "bin").agg(F.count("*").alias("n")), gc_profile(spark)).select("bin", "acceptance")
     judged = starts.join(F.broadcast(accept), "bin", "left").select("ci", (F.col("pos") * 2 + F.col("hap")).alias("pos"), F.coalesce("acceptance", F.lit(0.0)).alias("acceptance"))
-    rows = gc_placed(_seated(starts).drop("ordinal"), judged)
+    judged = kept(judged)
+    rows = gc_placed(_seated(starts).drop("ordinal"), numbered_starts(judged), judged.where("acceptance > 0").select("ci").distinct())
     return rows.select("ci", "candidate", "attempt", F.floor(F.col("start") / 2).alias("start"), (F.col("start") % 2).cast("int").alias("haplotype"))
 
 

@@ -196,10 +196,20 @@ def draw_uniform(contigs: DataFrame, p: Params) -> DataFrame:
     its tile by range, and the start is the draw's rest-th valid start of that tile.  Only the tile counts
     are put in order; no start is a row unless it is drawn.
     """
-    counts = tiles.start_counts(contigs, p.read, p.insert, p.max_n).select("ci", F.floor(F.col("pos") / tiles.CORE).alias("tile"), "n")
+    counts = tile_counts(contigs, p)
     seats = relops.hamilton(counts.groupBy("ci").agg(F.sum("n").alias("weight")), p.total, "weight", "ci")
     draws = seats_of(seats).withColumn("w", rng.draw(p.seed, rng.FRAGMENT, F.col("ci"), F.col("candidate"), F.lit(1)))
     draws = draws.select("ci", "candidate", "ordinal", rng.bounded(F.col("w"), F.col("weight")).alias("rank"))
+    return at_ranks(contigs, draws, counts, p).drop("gc")
+
+
+def tile_counts(contigs: DataFrame, p: Params) -> DataFrame:
+    """(ci, tile, n): valid starts of each tile that has any."""
+    return tiles.start_counts(contigs, p.read, p.insert, p.max_n).select("ci", F.floor(F.col("pos") / tiles.CORE).alias("tile"), "n")
+
+
+def at_ranks(contigs: DataFrame, draws: DataFrame, counts: DataFrame, p: Params) -> DataFrame:
+    """The starts, and their GC counts, of ranks drawn below a contig's count."""
     ranges = relops.running_ranges(counts, ["ci"], "n", ["tile"])
     placed = relops.cumulative_pick(draws, ranges, ["ci"], "rank", tiles.CORE).withColumn("rest", F.col("rank") - F.col("lo"))
     return tiles.starts_at(contigs, placed, p.read, p.insert, p.max_n)
@@ -214,24 +224,37 @@ def wgbs_uniform_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
 ATTEMPTS, MOST_ATTEMPTS = 12, 100_000
 
 
-def gc_accepted(want: DataFrame, starts: DataFrame, first: int, last: int) -> DataFrame:
-    """(ci, candidate, attempt, start): the first accepted attempt in [first, last) of each candidate.
-
-    ``want`` has (ci, weight, candidate); ``starts`` (ci, pos, acceptance), every valid start.
-    """
+def _tries(want: DataFrame, first: int, last: int) -> DataFrame:
+    """(ci, candidate, attempt, rank, u) of every attempt in [first, last) of ``want`` (ci, weight, candidate)."""
     tries = want.withColumn("attempt", F.explode(F.sequence(F.lit(first).cast("long"), F.lit(last - 1).cast("long"))))
     tries = tries.withColumn("w", rng.draw(SEED, rng.FRAGMENT, F.col("ci"), F.col("candidate"), 1 + 2 * F.col("attempt"))).withColumn("v", rng.draw(SEED, rng.FRAGMENT, F.col("ci"), F.col("candidate"), 2 + 2 * F.col("attempt")))
-    tries = tries.select("ci", "candidate", "attempt", rng.bounded(F.col("w"), F.col("weight")).alias("rank"), rng.uniform01(F.col("v")).alias("u"))
-    found = relops.rank_select(tries, starts, ["ci"], "rank", ["pos"])
-    found = found.withColumn("accepted", (F.col("acceptance") > 0) & (F.col("u") < F.col("acceptance"))).select("ci", "candidate", "attempt", F.col("pos").alias("start"), "accepted")
-    return relops.first_accepted(found, ["ci", "candidate"], "attempt", "accepted")
+    return tries.select("ci", "candidate", "attempt", rng.bounded(F.col("w"), F.col("weight")).alias("rank"), rng.uniform01(F.col("v")).alias("u"))
 
 
-def gc_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(ci, pos, acceptance) of every valid start."""
-    accept = calibration(gc_opportunities(spark, sf_dir), gc_profile(spark)).select("bin", "acceptance")  # one row a bin
-    starts = tiles.valid_starts(src.contigs(spark, sf_dir), READ, INSERT, MAX_N).withColumn("bin", sq.gc_bin(F.col("gc"), F.lit(INSERT), BINS))
-    return starts.join(F.broadcast(accept), "bin", "left").select("ci", "pos", F.coalesce("acceptance", F.lit(0.0)).alias("acceptance"))
+def numbered_starts(starts: DataFrame):
+    """How attempts find their start among rows (ci, pos, acceptance), numbered within their contig."""
+    return lambda tries: relops.rank_select(tries, starts, ["ci"], "rank", ["pos"]).withColumnRenamed("pos", "start")
+
+
+def tiled_starts(spark: SparkSession, sf_dir: str):
+    """How attempts find their start inside the tiles, where no start is a row unless it is tried."""
+    contigs = src.contigs(spark, sf_dir)
+    counts = kept(tile_counts(contigs, DEFAULTS))
+    accept = kept(calibration(gc_opportunities(spark, sf_dir), gc_profile(spark)).select("bin", "acceptance"))  # one row a bin
+
+    def find(tries: DataFrame) -> DataFrame:
+        found = at_ranks(contigs, tries.withColumnRenamed("attempt", "ordinal"), counts, DEFAULTS).withColumnRenamed("ordinal", "attempt")
+        found = found.withColumn("bin", sq.gc_bin(F.col("gc"), F.lit(INSERT), BINS)).join(F.broadcast(accept), "bin", "left").na.fill(0.0, ["acceptance"])
+        return tries.join(found.select("ci", "candidate", "attempt", "start", "acceptance"), ["ci", "candidate", "attempt"])
+
+    return find
+
+
+def gc_accepted(want: DataFrame, find, first: int, last: int) -> DataFrame:
+    """(ci, candidate, attempt, start): the first accepted attempt in [first, last) of each candidate."""
+    found = find(_tries(want, first, last))
+    found = found.withColumn("accepted", (F.col("acceptance") > 0) & (F.col("u") < F.col("acceptance"))).select("ci", "candidate", "attempt", "start", "accepted")
+    return relops.first_accepted(found, ["ci", "candidate"], "attempt", "accepted")
 
 
 _GC_SQL = f"""{SEATS_SQL}, {_CALIBRATION_SQL}, {_ASK_SQL}, tries AS (SELECT a.*, attempt, 1 + 2 * attempt AS l1, 2 + 2 * attempt AS l2 FROM ask a, unnest(range({ATTEMPTS})) AS t(attempt)),
@@ -243,19 +266,18 @@ accepted AS (SELECT ci, candidate, attempt, pos FROM (SELECT e.*, {sqlgen.unifor
 @query(f"WITH {_GC_SQL} SELECT ci, candidate, min(attempt) AS attempt, arg_min(pos, attempt) AS \"start\" FROM accepted GROUP BY ci, candidate")
 def wgbs_gc_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates that the GC target accepts within the first round of attempts."""
-    return gc_accepted(seated(spark, sf_dir).drop("ordinal"), gc_starts(spark, sf_dir), 0, ATTEMPTS)
+    return gc_accepted(seated(spark, sf_dir).drop("ordinal"), tiled_starts(spark, sf_dir), 0, ATTEMPTS)
 
 
-def gc_placed(want: DataFrame, starts: DataFrame) -> DataFrame:
+def gc_placed(want: DataFrame, find, able: DataFrame) -> DataFrame:
     """``gc_accepted`` until every candidate is placed: each round tries what the rounds before left.
 
-    Candidates of a contig without any acceptable start cannot be placed; they are left out.
+    Candidates of contigs outside ``able`` (ci), which have no acceptable start, are left out.
     """
-    starts, first, size, found = kept(starts), 0, ATTEMPTS, None
-    able = starts.where("acceptance > 0").select("ci").distinct()
+    first, size, found = 0, ATTEMPTS, None
     want = kept(want.join(able, "ci", "left_semi"))
     while True:
-        got = kept(gc_accepted(want, starts, first, first + size))
+        got = kept(gc_accepted(want, find, first, first + size))
         found = got if found is None else found.unionByName(got)
         want = kept(want.join(got.select("ci", "candidate"), ["ci", "candidate"], "left_anti"))
         if want.isEmpty():
@@ -268,7 +290,9 @@ def gc_placed(want: DataFrame, starts: DataFrame) -> DataFrame:
 @query()
 def wgbs_gc_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every candidate's first accepted attempt under the GC target."""
-    return gc_placed(seated(spark, sf_dir).drop("ordinal"), gc_starts(spark, sf_dir))
+    o = gc_opportunities(spark, sf_dir)
+    able = o.join(calibration(o, gc_profile(spark)).where("acceptance > 0").select("bin"), "bin", "left_semi").select("ci").distinct()
+    return gc_placed(seated(spark, sf_dir).drop("ordinal"), tiled_starts(spark, sf_dir), able)
 
 
 #: The length model of variable inserts: least, mean, greatest, standard deviation.

@@ -141,7 +141,7 @@ def gc_counts(contigs: DataFrame, read: int, insert: int, max_n: int, bins: int)
 
 
 def starts_at(contigs: DataFrame, draws: DataFrame, read: int, insert: int, max_n: int, core: int = CORE) -> DataFrame:
-    """(ci, candidate, ordinal, rank, start) of ``draws`` (ci, tile, rest, candidate, ordinal, rank).
+    """(ci, candidate, ordinal, rank, start, gc) of ``draws`` (ci, tile, rest, candidate, ordinal, rank).
 
     A draw wants the ``rest``-th valid start of its tile. The draws of a tile travel as one list (as many as
     fall on 64 KiB); starts that nobody draws are never rows.
@@ -154,11 +154,11 @@ def starts_at(contigs: DataFrame, draws: DataFrame, read: int, insert: int, max_
         for batch in batches:
             for k in range(batch.num_rows):
                 ci, n, a, b, at, seq = (batch[c][k].as_py() for c in ("ci", "len", "core_start", "core_end", "from", "seq"))
-                pos, _ = valid_places(CODE[np.frombuffer(seq.encode(), np.uint8)], at, a, b, n, read, insert, max_n)
+                pos, gc = valid_places(CODE[np.frombuffer(seq.encode(), np.uint8)], at, a, b, n, read, insert, max_n)
                 rest, candidate, ordinal, rank = (batch[c][k].values for c in ("rest", "candidate", "ordinal", "rank"))
-                yield pa.record_batch([pa.array(np.full(len(rest), ci, np.int64)), candidate, ordinal, rank, pa.array(pos[rest.to_numpy()])], ["ci", "candidate", "ordinal", "rank", "start"])
+                yield pa.record_batch([pa.array(np.full(len(rest), ci, np.int64)), candidate, ordinal, rank, pa.array(pos[rest.to_numpy()]), pa.array(gc[rest.to_numpy()])], ["ci", "candidate", "ordinal", "rank", "start", "gc"])
 
-    return rows.mapInArrow(run, "ci long, candidate long, ordinal long, rank long, start long")
+    return rows.mapInArrow(run, "ci long, candidate long, ordinal long, rank long, start long, gc long")
 
 
 def valid_starts_sql(read: int, insert: int, max_n: int) -> str:
