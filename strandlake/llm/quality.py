@@ -17,7 +17,6 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from .kernels import SPACE, U64, Words, slices, string_buffers, windows
 from .store import project
