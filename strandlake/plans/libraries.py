@@ -162,6 +162,43 @@ def tbs_weight_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relops.cumulative_pick(draws, relops.running_ranges(rows, ["ci"], "score", ["target"]), ["ci"], "pick", 64).select("ci", "draw", "target", "first")
 
 
+#: Attempts tried at once; what they leave is tried on, a round at a time, until nothing is left.
+ATTEMPTS, MOST_ATTEMPTS = 12, 100_000
+
+#: Standard deviation of a target fragment's displacement from the target's centre.
+SIGMA = 15.0
+
+
+@query()
+def tbs_displaced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fragments displaced from their target's centre: attempt k shifts by a normal draw, the first whose
+    fragment is readable counts.  Readable starts are runs, met by range; rounds try what is left."""
+    contigs = src.contigs(spark, sf_dir)
+    runs = kept(tiles.valid_runs(contigs, READ, INSERT, MAX_N))
+    # Targets with a readable start within the reach of a few standard deviations can be placed.
+    reach = int(4 * SIGMA)
+    rows = tbs_targets(spark, sf_dir).withColumnRenamed("ordinal", "target").withColumn("middle", F.col("st") + F.floor((F.col("en") - F.col("st")) / 2) - INSERT // 2)
+    near = rows.select("ci", "target", F.greatest(F.col("middle") - reach, F.lit(0).cast("long")).alias("from_"), F.greatest(F.col("middle") + reach + 1, F.lit(1)).alias("to_"))
+    able = relops.overlap_join(near, runs, ["ci"], "from_", "to_", "pos", "stop", 256).select("ci", "target").distinct()
+    rows = kept(rows.join(able, ["ci", "target"]).select("ci", "target", "middle", "score"))
+    draws = _picked(spark, rows.groupBy("ci").agg(F.sum("score").alias("total")), 8)
+    want = kept(relops.cumulative_pick(draws, relops.running_ranges(rows, ["ci"], "score", ["target"]), ["ci"], "pick", 64).select("ci", "ordinal", "target", "middle"))
+    first, size, found = 0, ATTEMPTS, None
+    while True:
+        tries = want.withColumn("attempt", F.explode(F.sequence(F.lit(first).cast("long"), F.lit(first + size - 1).cast("long"))))
+        shift = rng.clamped_normal(SEED, rng.FRAGMENT, F.col("ci"), F.col("ordinal"), 2 + F.col("attempt"), -(10**9), 0, 10**9, SIGMA)
+        tries = tries.withColumn("shift", shift).withColumn("start", F.col("middle") + F.col("shift")).where("start >= 0")
+        met = relops.range_join(tries, runs, ["ci"], "start", "pos", "stop", 256).select("ci", "ordinal", "target", "attempt", "start", F.lit(True).alias("ok"))
+        got = kept(relops.first_accepted(met, ["ci", "ordinal"], "attempt", "ok"))
+        found = got if found is None else found.unionByName(got)
+        want = kept(want.join(got.select("ci", "ordinal"), ["ci", "ordinal"], "left_anti"))
+        if want.isEmpty():
+            return found.select("ci", F.col("ordinal").alias("draw"), "target", "attempt", "start")
+        first, size = first + size, 4 * size
+        if first >= MOST_ATTEMPTS:
+            raise ArithmeticError("a target accepts too little")
+
+
 # Whole genome --------------------------------------------------------------------------------------
 
 _ASK_SQL = f"""ask AS (SELECT ci, weight, i AS candidate, before + i AS ordinal FROM (SELECT ci, weight, seats, sum(seats) OVER (ORDER BY ci) - seats AS before FROM hamilton), unnest(range(seats)) AS t(i))"""
@@ -220,8 +257,6 @@ def wgbs_uniform_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wgbs_uniform(spark, sf_dir).select("ordinal", "ci", "start")
 
 
-#: Attempts tried at once; what they leave is tried on, a round at a time, until nothing is left.
-ATTEMPTS, MOST_ATTEMPTS = 12, 100_000
 
 
 def _tries(want: DataFrame, first: int, last: int) -> DataFrame:
