@@ -206,7 +206,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     docs = project(docs, id_col, text_col).where("doc_id IS NOT NULL")
     signed = materialise(docs.mapInArrow(_sign, _SIGNATURE), "signed", narrow=True)
     full = signed.where("n_shingles > 0")
-    classes = full.groupBy("k1", "k2", "n_shingles").agg(F.min("doc_id").alias("rep"))
+    # A table of its own, so that the join of all copies to their class has two plain exchanges, of which
+    # adaptive execution can split the partition of a set that very many documents have.
+    classes = materialise(full.groupBy("k1", "k2", "n_shingles").agg(F.min("doc_id").alias("rep")), "classes", narrow=True)
     reps = full.select("doc_id", "registers").join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
 
     banded = reps.select("doc_id", "registers").mapInArrow(_band, "band long, doc_id long")
