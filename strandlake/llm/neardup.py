@@ -201,6 +201,16 @@ def _reach(open_: DataFrame, centres: DataFrame, known: DataFrame) -> DataFrame:
     return materialise(reach.where(f"100 * reach >= {LIMIT} * n").select("doc_id", "comp", "n", "reach", "beyond"), "reach", narrow=True)
 
 
+def _joined(first: DataFrame, extra: DataFrame) -> DataFrame:
+    """(rep, comp): the components ``first`` (node, comp) after ``extra`` links (a, b) have joined some."""
+    of = lambda c: first.select(F.col("node").alias(c), F.col("comp").alias("c" + c))
+    between = extra.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    second = components(between)
+    alone = second.select("node").join(first.select("node"), "node", "left_anti").withColumn("comp", F.col("node"))
+    later = second.select(F.col("node").alias("comp"), F.col("comp").alias("to"))
+    return first.unionByName(alone).join(later, "comp", "left").select(F.col("node").alias("rep"), F.coalesce("to", "comp").alias("comp"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row of ``docs``."""
     docs = project(docs, id_col, text_col).where("doc_id IS NOT NULL")
@@ -247,9 +257,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     inner = sized.where("doc_id <> hub").select(F.col("comp").alias("c"), F.col("doc_id").alias("x"), F.col("n").alias("nx"), F.col("room").alias("room_x"), "beyond")
     worth = f"{100 + LIMIT} * (both + beyond) >= {LIMIT} * (n + nx) AND room >= {LIMIT} * nx AND room_x >= {LIMIT} * n"
     rest = bound.join(inner, "c").where(worth).select(F.greatest("doc_id", "x").alias("a"), F.least("doc_id", "x").alias("b")).distinct()
-    links = links.unionByName(seen.where("link").select("a", "b")).unionByName(_links(rest, known))
-
-    found = components(links).select(F.col("node").alias("rep"), "comp")
+    extra = materialise(seen.where("link").select("a", "b").unionByName(_links(rest, known)), "extra", narrow=True)
+    found = _joined(first, extra)
     member = signed.join(classes, ["k1", "k2", "n_shingles"], "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep"))
     out = member.join(found, "rep", "left").select("doc_id", "n_shingles", F.coalesce("comp", "rep").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id") == F.col("component_id")).hint("rebalance")

@@ -173,3 +173,12 @@ def test_charsmap_longest_prefix():
     blob = struct.pack("<I", 4096) + struct.pack("<1024I", *units) + b"x\0yz\0"
     m = pieces.CharsMap(blob)
     assert m.longest(b"abc", 0) == (2, b"yz") and m.longest(b"aac", 0) == (1, b"x") and m.longest(b"cab", 0) is None
+
+
+def test_later_links_join_components(spark):
+    first = spark.createDataFrame([(1, 1), (5, 1), (7, 6), (6, 6), (9, 9), (12, 9)], "node long, comp long")
+    extra = spark.createDataFrame([(7, 5), (20, 12), (31, 30)], "a long, b long")
+    got = {r["rep"]: r["comp"] for r in neardup._joined(first, extra).collect()}
+    assert got == {1: 1, 5: 1, 6: 1, 7: 1, 9: 9, 12: 9, 20: 9, 30: 30, 31: 30}
+    same = {r["rep"]: r["comp"] for r in neardup._joined(first, extra.limit(0)).collect()}
+    assert same == {1: 1, 5: 1, 7: 6, 6: 6, 9: 9, 12: 9}
