@@ -6,11 +6,12 @@ look drawn evenly from the alphabet of their inferred encoding (hex, base32, bas
 base match.  Three tests give standard scores under an even draw: chi-squared of the characters, runs
 about the alphabet's middle, and serial correlation of neighbours; T is the sum of their squares.
 
-False-discovery control by length: in each length class the T of ordinary text, one stretch of letters of
-each document, is the null distribution.  A token's p-value is the share of it that lies as low; the
-Benjamini-Hochberg step, on a fixed grid of T, sets the class's threshold for a false-discovery rate of
-``RATE`` (a class needs 1 / RATE stretches before it can discover anything).  The tests themselves must
-not reject an even draw either (T at most ``PASSES``).  Grid counts (classes x 200 rows) are all that is gathered; they are broadcast.
+False-discovery control by length: in each length class the T of ordinary text, every stretch of letters
+of every document laid end to end, is the null distribution.  A token's p-value is the share of it that lies
+as low; the Benjamini-Hochberg step, on a fixed grid of T, sets the class's threshold for a false-discovery
+rate of ``RATE``.  The tests themselves must not reject an even draw either (T at most ``PASSES``).  A class
+of fewer than 1 / RATE - 1 stretches cannot discover anything by that rate: there ``PASSES`` alone decides.
+Grid counts (classes x 200 rows) are all that is gathered; they are broadcast.
 
 Contract: one row per distinct (doc_id, text).  Null and empty texts: counts 0, the digest of the empty
 string, spans ''.  Positions are code points, end exclusive.  Spans are listed by start, then kind in the
@@ -19,6 +20,8 @@ order above.  Only places and lengths are shuffled, never texts, and all by docu
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,6 +40,8 @@ RATE = 0.01
 #: An even draw is not rejected: T is at most the 0.999 point of chi-squared with 3 degrees of freedom.
 PASSES = 16.27
 GRID = 200
+#: Letters of a stretch that one number holds, a bit each.
+HALF = 48
 MARK = "[SECRET]"
 
 _DIGITS, _UPPER, _LOWER = "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -99,21 +104,74 @@ def _grid(t: Column) -> Column:
     return F.least(F.lit(GRID - 1), F.floor(F.sqrt(t) * 10)).cast("int")
 
 
-def thresholds(docs: DataFrame, tokens: DataFrame) -> DataFrame:
-    """(class, cut): tokens of the class whose grid place is at most ``cut`` are discoveries."""
+def _added(terms: list[Column]) -> Column:
+    return functools.reduce(lambda x, y: x + y, terms)
+
+
+def stretches(docs: DataFrame) -> DataFrame:
+    """(class, t) of every stretch of every text's letters, laid end to end, once for each length class.
+
+    T is that of ``statistic`` over the letters.  A letter's place is five bits; a stretch is a number for each
+    bit, one binary digit a letter (the first ``HALF`` letters, then the letter before the rest and the
+    rest), so that counts, runs and neighbours are counts of bits.
+    """
     # Long tokens go first: a null distribution that held the secrets would hide them.
     letters = F.lower(F.regexp_replace(F.regexp_replace("text", TOKEN, ""), "[^A-Za-z]+", ""))
-    chosen = F.element_at(F.array(*[F.lit(c) for c in CLASSES]), (F.pmod(F.xxhash64("doc_id"), F.lit(len(CLASSES))) + 1).cast("int"))
-    plain = docs.where("text IS NOT NULL").select("doc_id", letters.alias("letters"), chosen.alias("class")).where(F.length("letters") >= F.col("class"))
-    place = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(1)), F.length("letters") - F.col("class") + 1).cast("int")
-    plain = plain.select("class", F.substring(F.col("letters"), place + 1, F.col("class")).alias("token"), F.lit(_LOWER).alias("alphabet"))
-    null = statistic(plain).groupBy("class", _grid(F.col("t")).alias("place")).agg(F.count("*").alias("n_null"))
+    rows = docs.where("text IS NOT NULL").select(letters.alias("letters")).where(F.length("letters") >= CLASSES[0])
+    # Bytes, as a cut of a string walks all letters before it.
+    plane = lambda b: F.translate("letters", _LOWER, "".join(str(k >> b & 1) for k in range(26))).cast("binary").alias(f"s{b}")
+    rows = rows.select(F.length("letters").alias("size"), *[plane(b) for b in range(5)])
+    rows = rows.select("*", F.explode(F.array(*[F.lit(c) for c in CLASSES])).alias("class")).where("size >= class")
+    rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("size") - F.col("class"), F.col("class"))).alias("at"))
+    number = lambda b, first, n: F.coalesce(F.conv(F.substring(f"s{b}", first, n).cast("string"), 2, 10).cast("long"), F.lit(0).cast("long"))
+    more = F.greatest(F.col("class") - HALF, F.lit(0))
+    rows = rows.select("class", *[number(b, F.col("at") + 1, F.least(F.col("class"), F.lit(HALF))).alias(f"p{b}") for b in range(5)], *[F.when(more > 0, number(b, F.col("at") + HALF, more + 1)).otherwise(F.lit(0).cast("long")).alias(f"q{b}") for b in range(5)])
+
+    mask = lambda n: F.expr(f"shiftleft(1L, CAST({n} AS INT)) - 1L")
+    rows = rows.select("*", mask(f"least(class, {HALF})").alias("pm"), mask(f"greatest(class - {HALF}, 0)").alias("qm"))
+    both = lambda f: f("p") + f("q")
+    ones = lambda c: F.bit_count(c)
+    later = lambda x, b: F.shiftright(f"{x}{b}", 1)
+    # The letters whose upper two bits are i, and whose lower three bits are j.
+    bit = lambda x, b, on: F.col(f"{x}{b}") if on else F.bitwise_not(F.col(f"{x}{b}"))
+    upper = lambda x, i: bit(x, 4, i >> 1 & 1).bitwiseAND(bit(x, 3, i & 1)).bitwiseAND(F.col(f"{x}m"))
+    lower = lambda x, j: bit(x, 2, j >> 2 & 1).bitwiseAND(bit(x, 1, j >> 1 & 1)).bitwiseAND(bit(x, 0, j & 1))
+    high = lambda x: F.col(f"{x}4").bitwiseOR(F.col(f"{x}3").bitwiseAND(F.col(f"{x}2")).bitwiseAND(F.col(f"{x}1").bitwiseOR(F.col(f"{x}0"))))
+    products = [F.lit(1 << a + b) * both(lambda x, a=a, b=b: ones(later(x, a).bitwiseAND(F.col(f"{x}{b}")))) for a in range(5) for b in range(5)]
+    first = [F.lit(1 << b) * ones(F.col(f"p{b}").bitwiseAND(F.col("pm") - F.shiftright("pm", 1))) for b in range(5)]
+    last = [F.lit(1 << b) * F.when(F.col("qm") > 0, F.col(f"q{b}")).otherwise(F.col(f"p{b}")).bitwiseAND(F.lit(1).cast("long")) for b in range(5)]
+    rows = rows.select(
+        "class", "pm", "qm", _added(products).cast("double").alias("lag"), (_added(first) + _added(last)).cast("double").alias("ends"),
+        *[high(x).alias(f"{x}h") for x in "pq"], *[upper(x, i).alias(f"{x}u{i}") for x in "pq" for i in range(4)], *[lower(x, j).alias(f"{x}l{j}") for x in "pq" for j in range(8)],
+    )
+    change = lambda x: ones(F.col(f"{x}h").bitwiseXOR(F.shiftright(f"{x}h", 1)).bitwiseAND(F.shiftright(f"{x}m", 1) if x == "p" else F.col("qm")))
+    counts = [both(lambda x, k=k: ones(F.col(f"{x}u{k >> 3}").bitwiseAND(F.col(f"{x}l{k & 7}")))).alias(f"c{k}") for k in range(26)]
+    rows = rows.select("class", "lag", "ends", (both(change) + 1).cast("double").alias("runs"), *counts)
+    c = [F.col(f"c{k}") for k in range(26)]
+    rows = rows.select(
+        "class", "lag", "ends", "runs", F.col("class").cast("double").alias("n"), _added([x * x for x in c]).cast("double").alias("squares"), _added(c[13:]).cast("double").alias("n1"),
+        _added([x * k for k, x in enumerate(c)]).cast("double").alias("v1"), _added([x * (k * k) for k, x in enumerate(c)]).cast("double").alias("v2"),
+    )
+    n, n1, mean = F.col("n"), F.col("n1"), F.col("v1") / F.col("n")
+    both_ = 2 * n1 * (n - n1)
+    spread, var = both_ * (both_ - n) / (n * n * (n - 1)), F.col("v2") - F.col("v1") * mean
+    z1 = (F.col("squares") * 26 / n - n - 25) / F.sqrt(50 * (n - 1) / n)
+    z2 = F.when(spread > 0, (F.col("runs") - both_ / n - 1) / F.sqrt(spread)).otherwise(F.sqrt("n"))
+    lagged = F.col("lag") - mean * (2 * F.col("v1") - F.col("ends")) + (n - 1) * mean * mean
+    z3 = F.when(var > 0, (lagged / var + 1 / n) * F.sqrt("n")).otherwise(F.sqrt("n"))
+    return rows.select("class", z1.alias("z1"), z2.alias("z2"), z3.alias("z3")).select("class", (F.col("z1") * F.col("z1") + F.col("z2") * F.col("z2") + F.col("z3") * F.col("z3")).alias("t"))
+
+
+def thresholds(docs: DataFrame, tokens: DataFrame) -> DataFrame:
+    """(class, cut): tokens of the class whose grid place is at most ``cut`` are discoveries."""
+    null = stretches(docs).groupBy("class", _grid(F.col("t")).alias("place")).agg(F.count("*").alias("n_null"))
     seen = tokens.groupBy("class", "place").agg(F.count("*").alias("n_seen"))
     grid = null.join(seen, ["class", "place"], "full_outer").na.fill(0, ["n_null", "n_seen"])
     upto, all_ = Window.partitionBy("class").orderBy("place"), Window.partitionBy("class")  # GRID rows at most
     grid = grid.select("class", "place", F.sum("n_null").over(upto).alias("low"), F.sum("n_null").over(all_).alias("nulls"), F.sum("n_seen").over(upto).alias("found"), F.sum("n_seen").over(all_).alias("tokens"))
     p = (F.col("low") + 1) / (F.col("nulls") + 1)
-    known = grid.where((p * F.col("tokens") <= RATE * F.col("found")) & (F.col("place") <= int(PASSES**0.5 * 10)))
+    few = F.col("nulls") < round(1 / RATE) - 1
+    known = grid.where((few | (p * F.col("tokens") <= RATE * F.col("found"))) & (F.col("place") <= int(PASSES**0.5 * 10)))
     return known.groupBy("class").agg(F.max("place").alias("cut"))
 
 

@@ -129,6 +129,34 @@ def test_random_tokens_are_found_and_words_are_not(spark):
     assert not [i for i, s in got.items() if i < 5000 and s]
 
 
+def test_every_stretch_is_a_null(spark):
+    rng = __import__("random").Random(8)
+    texts = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyzABC ,1") for _ in range(n)) for n in (5, 30, 100, 2500)] + ["a" * 200, "z" * 19, None, "ab 7 " * 400]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    want = []
+    for t in texts:
+        t = re.sub("[^A-Za-z]+", "", re.sub(secrets.TOKEN, "", t or "")).lower()
+        want += [(c, t[k : k + c], "abcdefghijklmnopqrstuvwxyz") for c in secrets.CLASSES for k in range(0, len(t) - c + 1, c)]
+    plain = secrets.statistic(spark.createDataFrame(want, "class int, token string, alphabet string"))
+    old = sorted((r["class"], r["t"]) for r in plain.collect())
+    new = sorted((r["class"], r["t"]) for r in secrets.stretches(docs).collect())
+    assert len(new) == len(want) and [c for c, _ in new] == [c for c, _ in old]
+    assert [t for _, t in new] == pytest.approx([t for _, t in old], abs=1e-9)
+
+
+@pytest.mark.parametrize("n", [0, 40])
+def test_random_tokens_of_small_corpora_are_found(spark, n):
+    import random
+    import string
+
+    rng = random.Random(5)
+    tokens = ["".join(rng.choice(string.ascii_letters + string.digits) for _ in range(40)) for _ in range(12)]
+    rows = [(i, f"some words {t} and more", "", "", 0, 0.0, 0) for i, t in enumerate(tokens)] + [(100 + i, prose(rng, 60), "", "", 0, 0.0, 0) for i in range(n)]
+    got = {r["doc_id"]: r["spans"] for r in secrets.report(frame(spark, rows)).collect()}
+    assert sum(got[i] == "random:11:51" for i in range(12)) >= 10
+    assert not [i for i in got if i >= 100 and got[i]]
+
+
 def test_redaction_keeps_everything_else(spark):
     key = "0123456789abcdef" * 3
     rows = [(1, f"é a token={key} b {key}", "", "", 0, 0.0, 0), (1, "other text of this id", "", "", 0, 0.0, 0), (2, None, "", "", 0, 0.0, 0)]
