@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -349,28 +350,51 @@ def variable_candidates(contigs: DataFrame, seats: DataFrame, first: int, last:
     return ask.where(good).select("ci", "seats", "candidate", "start", "insert_length", sq.count_of(F.col("template"), "CG").alias("gc"))
 
 
-def _enough(spark: SparkSession, sf_dir: str, judged, first: int) -> DataFrame:
-    """The first accepted candidates of each contig.
+def _bins_of(contigs: DataFrame) -> DataFrame:
+    """(ci, bin): GC bins of all readable fragments of each contig, of every length that an insert can have."""
+    low, high = VARIABLE[0], VARIABLE[2]
+
+    def kernel(x, at, a, b, n):
+        seen: set[int] = set()
+        for size in range(low, high + 1):
+            _, gc = tiles.valid_places(x, at, a, b, n, READ, size, MAX_N)
+            whole, rest = np.divmod(np.unique(gc) * (BINS - 1), size)
+            seen.update((whole + (rest * 2 >= size)).tolist())
+        bins = np.array(sorted(seen), np.int64)
+        return {"pos": np.full(len(bins), a, np.int64), "bin": bins.astype(np.int32)}
+
+    return tiles.per_tile(tiles.tiles(contigs, high), kernel, "ci long, pos long, bin int").select("ci", "bin").distinct()
+
+
+def _enough(contigs: DataFrame, seats: DataFrame, judged, first: int, able: DataFrame) -> DataFrame:
+    """The first accepted candidates of each contig of ``able`` (ci), as many as its seats.
 
     All contigs try ``first`` ordinals a seat; those that are short try eight times as many more, and so
-    on, so that later rounds are small.  A contig that accepts too little ends with what it has.
+    on, so that later rounds are small.  A fragment may take ``MOST_ATTEMPTS`` ordinals; one that takes
+    more is an error.  Contigs outside ``able``, which have no acceptable start, are left out.
     """
-    contigs, seats = src.contigs(spark, sf_dir), kept(hamilton_allocation(spark, sf_dir).where("seats > 0").select("ci", "seats"))
+    seats = kept(seats.where("seats > 0").select("ci", "seats").join(able, "ci", "left_semi"))
     lo, hi, short, rows = 0, first, seats, None
     while True:
         got = kept(judged(contigs, short, lo, hi))
         rows = got if rows is None else rows.unionByName(got)
-        have = rows.groupBy("ci").agg(F.count("*").alias("n"))
-        short = kept(seats.join(have, "ci", "left").where("coalesce(n, 0) < seats").select("ci", "seats"))
-        lo, hi = hi, hi * 9
-        if lo > MOST_ATTEMPTS // 100 or short.isEmpty():
-            return relops.ordered_accept(rows, ["ci"], "candidate", "seats")
+        taken = relops.ordered_accept(rows, ["ci"], "candidate", "seats")
+        have = taken.groupBy("ci").agg(F.count("*").alias("n"), F.max("candidate").alias("last"))
+        short = kept(seats.join(have, "ci", "left").where("coalesce(n, 0) < seats").select("ci", "seats", F.coalesce("last", F.lit(-1)).alias("last")))
+        passed = F.col("skipped") - F.lag("skipped", 1, 0).over(Window.partitionBy("ci").orderBy("candidate"))
+        waiting = short.where(hi * F.col("seats") - 1 - F.col("last") >= MOST_ATTEMPTS)
+        if not waiting.isEmpty() or not taken.withColumn("passed", passed).where(F.col("passed") >= MOST_ATTEMPTS).isEmpty():
+            raise ArithmeticError("a contig accepts too little")
+        if short.isEmpty():
+            return taken
+        short, lo, hi = short.drop("last"), hi, hi * 9
 
 
 @query()
 def wgbs_variable(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Variable inserts: the first accepted candidates of each contig, and the ordinals passed over."""
-    return _enough(spark, sf_dir, variable_candidates, 3).select("ci", "candidate", "accept_rank", "skipped", "start", "insert_length")
+    seats = hamilton_allocation(spark, sf_dir)  # seats go to contigs with readable starts only
+    return _enough(src.contigs(spark, sf_dir), seats, variable_candidates, 3, seats.select("ci")).select("ci", "candidate", "accept_rank", "skipped", "start", "insert_length")
 
 
 @query()
@@ -383,7 +407,9 @@ def wgbs_variable_gc(spark: SparkSession, sf_dir: str) -> DataFrame:
         rows = rows.withColumn("w", rng.draw(SEED, rng.FRAGMENT, F.col("ci"), F.col("candidate"), F.lit(2))).where(rng.bernoulli(F.col("w"), F.col("acceptance")))
         return rows.drop("w", "bin", "acceptance")
 
-    return _enough(spark, sf_dir, judged, 6).select("ci", "candidate", "accept_rank", "skipped", "start", "insert_length", "gc")
+    contigs = src.contigs(spark, sf_dir)
+    able = _bins_of(contigs).join(F.broadcast(accept.where("acceptance > 0")), "bin", "left_semi").select("ci").distinct()
+    return _enough(contigs, hamilton_allocation(spark, sf_dir), judged, 6, able).select("ci", "candidate", "accept_rank", "skipped", "start", "insert_length", "gc")
 
 
 _HAP_SQL = f"WITH ask AS (SELECT l_orderkey, l_linenumber, l_partkey % 3 + 1 AS mask, l_orderkey * 8 + l_linenumber AS ordinal, 0 AS contig FROM lineitem), {sqlgen.draws('d', 'ask', SEED, rng.HAPLOTYPE, 'contig', 'ordinal', '0')}"

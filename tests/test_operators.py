@@ -1,6 +1,7 @@
 """Relational helpers and tile kernels on small literals."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from strandlake.operators import relops
 from strandlake.plans import libraries, tiles
@@ -72,3 +73,33 @@ def test_ordered_accept_and_first_accepted(spark):
     assert [(r["o"], r["accept_rank"], r["skipped"]) for r in relops.ordered_accept(rows, ["k"], "o", "need").orderBy("o").collect()] == [(0, 0, 0), (3, 1, 2)]
     tries = spark.createDataFrame([(1, 0, "a", False), (1, 2, "c", True), (1, 1, "b", True), (2, 0, "x", False)], "k int, t int, v string, ok boolean")
     assert [tuple(r) for r in relops.first_accepted(tries, ["k"], "t", "ok").collect()] == [(1, 1, "b")]
+
+
+def _every(gap, upto):
+    """Accepts the ordinals 7, 7 + gap, ... below ``upto``."""
+    return lambda contigs, seats, lo, hi: seats.select("ci", "seats", F.explode(F.sequence(lo * F.col("seats"), hi * F.col("seats") - 1)).alias("candidate")).where((F.col("candidate") % gap == 7) & (F.col("candidate") < upto))
+
+
+def test_variable_inserts_fill_every_seat(spark):
+    rows = contigs(spark, "A" * 300)
+    seats = spark.createDataFrame([(0, 2), (1, 0)], "ci long, seats long")
+    able = seats.select("ci")
+    got = libraries._enough(rows, seats, _every(50021, 10**9), 3, able).collect()
+    assert sorted((r["candidate"], r["skipped"]) for r in got) == [(7, 7), (50028, 50027)]
+    for gap, upto in ((50021, 8), (100_002, 10**9)):
+        with pytest.raises(ArithmeticError):
+            libraries._enough(rows, seats, _every(gap, upto), 3, able)
+    assert libraries._enough(rows, seats, _every(50021, 8), 3, able.where("ci = 1")).count() == 0
+
+
+def test_bins_of_all_insert_lengths(spark):
+    seqs = ["N" * 300, "A" * 100, "N" * 100 + "ACGTTGCAAT" * 4 + "N" * 100, "C" * 40]
+    want = set()
+    for ci, s in enumerate(seqs):
+        for size in range(30, 91):
+            for k in range(len(s) - size + 1):
+                t = s[k : k + size]
+                if t[:20].count("N") <= libraries.MAX_N and t[-20:].count("N") <= libraries.MAX_N:
+                    x = (t.count("C") + t.count("G")) * (libraries.BINS - 1)
+                    want.add((ci, x // size + (x % size * 2 >= size)))
+    assert {tuple(r) for r in libraries._bins_of(contigs(spark, *seqs)).collect()} == want
