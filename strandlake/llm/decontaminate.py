@@ -6,12 +6,15 @@ placeholders, so that a question with other numbers or names keeps its template.
 and an item are aligned by the difference of their places; along one alignment the values that fill the
 item's slots must map consistently to the document's (one item value, one document value).  A pair is
 reported if one consistent alignment has at least half of the item's windows, or ``ENOUGH`` = 6 of them
-(13 tokens in a row).
+(13 tokens in a row).  An item of fewer than 8 tokens is one window of its own length.
+
+Windows of fewer than ``LITERAL`` = 4 literal tokens say too little without their values: they are matched
+on the raw tokens, so only word for word.  An alignment is enough by its windows with literals alone, or by
+all of the item's.
 
 Contract: one row per (doc_id, item_id) found: doc_id, item_id, n_windows matched by the best alignment,
-item_windows, reparameterised (some slot differs).  Null and empty texts, and texts of fewer than 8
-tokens, match nothing.  Repeated rows of either table count once per id.  Other columns are ignored.
-Windows of fewer than ``LITERAL`` = 4 literal tokens say too little and are not looked for.
+item_windows, reparameterised (some slot differs).  Null and empty texts match nothing.  Repeated rows of
+either table count once per id.  Other columns are ignored.
 
 The benchmark's windows are broadcast only if they number at most ``BROADCAST_WINDOWS``; else the same
 join shuffles.  Matches are grouped by document, item and alignment, never by window.
@@ -48,41 +51,65 @@ def canonical(text: Column) -> Column:
     return F.lower(united)
 
 
-def windows(rows: DataFrame, id_col: str) -> DataFrame:
-    """(id, place, hash, filled, template): every window; the last two only if its text has placeholders."""
+def windows(rows: DataFrame, id_col: str, width: Column | int = WINDOW, raw: bool = False) -> DataFrame:
+    """(id, place, width, hash, raw_hash, filled, template): every window of ``width`` tokens.
+
+    The last two only if its text has placeholders, or ``raw``; the raw tokens' hash only if ``raw``.
+    """
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = rows.select(id_col, text.alias("text"), canonical(text).alias("canon"))
-    rows = rows.select(id_col, _tokens(F.col("canon")).alias("canon"), F.col("canon").rlike("[-]").alias("slotted"), "text").where(F.size("canon") >= WINDOW)
-    rows = rows.select(id_col, "canon", F.when(F.col("slotted"), _tokens(F.col("text"))).alias("raw"), F.explode(F.sequence(F.lit(0), F.size("canon") - WINDOW)).alias("place"))
-    cut = lambda c: F.slice(c, F.col("place") + 1, WINDOW)
-    return rows.select(id_col, "place", F.xxhash64(cut(F.col("canon"))).alias("hash"), cut(F.col("raw")).alias("filled"), F.when(F.col("raw").isNotNull(), cut(F.col("canon"))).alias("template"))
+    rows = rows.select(id_col, text.alias("text"), canonical(text).alias("canon")).where("canon != ''")
+    rows = rows.select(id_col, _tokens(F.col("canon")).alias("canon"), (F.lit(raw) | F.col("canon").rlike("[-]")).alias("slotted"), "text")
+    rows = rows.withColumn("width", width if isinstance(width, Column) else F.lit(width)).where(F.size("canon") >= F.col("width"))
+    rows = rows.select(id_col, "canon", "width", F.when(F.col("slotted"), _tokens(F.col("text"))).alias("raw"), F.explode(F.sequence(F.lit(0), F.size("canon") - F.col("width"))).alias("place"))
+    cut = lambda c: F.slice(c, F.col("place") + 1, F.col("width"))
+    raw_hash = F.xxhash64(cut(F.col("raw"))) if raw else F.lit(None).cast("long")
+    return rows.select(id_col, "place", "width", F.xxhash64(cut(F.col("canon"))).alias("hash"), raw_hash.alias("raw_hash"), cut(F.col("raw")).alias("filled"), F.when(F.col("raw").isNotNull(), cut(F.col("canon"))).alias("template"))
 
 
 def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
     """The contaminated (doc_id, item_id) pairs."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id IS NOT NULL")
     items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(text_col).cast("string").alias("text")).where("item_id IS NOT NULL")
-    placed = windows(items, "item_id")
+    items = items.where(F.btrim("text", F.lit(_BLANKS)) != "")
+    placed = windows(items, "item_id", F.least(F.lit(WINDOW), F.size("canon")), raw=True)
     placeholder = lambda x: x.rlike("[-]")
-    known = placed.where(F.col("template").isNull() | (F.size(F.filter("template", lambda x: ~placeholder(x))) >= LITERAL))
-    per_item = known.groupBy("item_id").agg(F.countDistinct("place").alias("item_windows"))
-    known = known.select("item_id", "hash", F.col("place").alias("item_place"), F.col("filled").alias("item_filled"), "template").join(per_item, "item_id")
-    if known.count() <= BROADCAST_WINDOWS:
-        known = F.broadcast(known)
-    hits = windows(docs, "doc_id").select("doc_id", "place", "hash", "filled").join(known, "hash")
-    hits = hits.select("doc_id", "item_id", "item_windows", "item_place", (F.col("place") - F.col("item_place")).alias("shift"), "item_filled", "filled", "template")
+    placed = placed.withColumn("exact", F.size(F.filter("template", lambda x: ~placeholder(x))) < LITERAL)
+    known = placed.select("item_id", F.when(F.col("exact"), F.col("raw_hash")).otherwise(F.col("hash")).alias("hash"), "exact", "width", F.col("place").alias("item_place"), F.col("filled").alias("item_filled"), "template")
+    per_item = known.groupBy("item_id").agg(F.countDistinct("item_place").alias("item_windows"), F.countDistinct(F.when(~F.col("exact"), F.col("item_place"))).alias("item_rich"))
+    known = known.join(per_item, "item_id")
+    kinds = known.groupBy("width", "exact").count().collect()  # two rows a width at most
+    few = sum(k["count"] for k in kinds) <= BROADCAST_WINDOWS
+    hits = None
+    for width in sorted({k["width"] for k in kinds} or {WINDOW}):
+        mine = known.where(F.col("width") == width).drop("width")
+        exact = any(k["exact"] for k in kinds if k["width"] == width)
+        of_docs = windows(docs, "doc_id", width, raw=exact).select("doc_id", "place", "filled", "hash", "raw_hash")
+        if exact:
+            keys = F.array(F.struct(F.col("hash").alias("hash"), F.lit(False).alias("exact")), F.struct(F.col("raw_hash").alias("hash"), F.lit(True).alias("exact")))
+            of_docs = of_docs.select("doc_id", "place", "filled", F.explode(keys).alias("key")).select("doc_id", "place", "filled", "key.hash", "key.exact")
+        else:
+            of_docs, mine = of_docs.drop("raw_hash"), mine.drop("exact").withColumn("exact", F.lit(False))
+        met = of_docs.join(F.broadcast(mine) if few else mine, ["hash", "exact"] if exact else "hash")
+        met = met.select("doc_id", "place", "filled", "exact", "item_id", "item_windows", "item_rich", "item_place", "item_filled", "template")
+        hits = met if hits is None else hits.unionByName(met)
+    hits = hits.select("doc_id", "item_id", "item_windows", "item_rich", "exact", "item_place", (F.col("place") - F.col("item_place")).alias("shift"), "item_filled", "filled", "template")
 
     # Slot pairs of a window: (item's value, document's value) where the template has a placeholder.
     pairs = F.filter(F.zip_with(F.arrays_zip("item_filled", "filled"), "template", lambda v, t: F.when(placeholder(t), v)), lambda v: v.isNotNull())
-    spread = hits.select("doc_id", "item_id", "item_windows", "shift", "item_place", F.explode_outer(F.when(F.col("template").isNotNull() & F.col("filled").isNotNull(), pairs)).alias("slot"))
-    runs = spread.groupBy("doc_id", "item_id", "item_windows", "shift").agg(
+    spread = hits.select("doc_id", "item_id", "item_windows", "item_rich", "exact", "shift", "item_place", F.explode_outer(F.when(F.col("template").isNotNull() & F.col("filled").isNotNull(), pairs)).alias("slot"))
+    runs = spread.groupBy("doc_id", "item_id", "item_windows", "item_rich", "shift").agg(
         F.countDistinct("item_place").alias("n_windows"),
+        F.countDistinct(F.when(~F.col("exact"), F.col("item_place"))).alias("n_rich"),
         F.countDistinct("slot").alias("n_pairs"),
         F.countDistinct("slot.item_filled").alias("n_values"),
+        F.countDistinct(F.when(~F.col("exact"), F.col("slot"))).alias("rich_pairs"),
+        F.countDistinct(F.when(~F.col("exact"), F.col("slot.item_filled"))).alias("rich_values"),
         F.max(F.coalesce(F.col("slot.item_filled") != F.col("slot.filled"), F.lit(False))).alias("reparameterised"),
     )
-    least = F.greatest(F.lit(1), F.least(F.lit(ENOUGH), F.ceil(F.col("item_windows") / 2)))
-    good = runs.where((F.col("n_pairs") == F.col("n_values")) & (F.col("n_windows") >= least))
+    least = lambda c: F.greatest(F.lit(1), F.least(F.lit(ENOUGH), F.ceil(F.col(c) / 2)))
+    rich = (F.col("rich_pairs") == F.col("rich_values")) & (F.col("n_rich") >= least("item_rich"))
+    whole = (F.col("n_pairs") == F.col("n_values")) & (F.col("n_windows") >= least("item_windows"))
+    good = runs.where(rich | whole)
     best = good.groupBy("doc_id", "item_id").agg(F.max(F.struct("n_windows", "item_windows", "reparameterised")).alias("m"))
     return best.select("doc_id", "item_id", "m.n_windows", F.col("m.item_windows").alias("item_windows"), F.col("m.reparameterised").alias("reparameterised"))
 

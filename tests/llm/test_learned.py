@@ -94,6 +94,13 @@ def test_plain_leaks_like_brute_force(spark):
     assert decontaminate.find(frame(spark, []), bench).count() == 0
 
 
+def test_short_and_value_only_items(spark):
+    items = [(1, "What is the capital of France?"), (2, "17 + 25 = 42"), (3, "12 3 4.5 67 8 90 11 13 14"), (4, ""), (5, " ")]
+    texts = ["So tell us. What is the capital of France? Thanks", "we know that 17 + 25 = 42 here", "we know that 17 + 26 = 43 here", "sums 12 3 4.5 67 8 90 11 13 14 end", "sums 12 3 4.5 67 8 90 11 99 14 end", "capital of France?", "", None]
+    got = decontaminate.find(frame(spark, [(i, t, "", "", 0, 0.0, 0) for i, t in enumerate(texts)]), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r["doc_id"], r["item_id"]): (r["n_windows"], r["item_windows"], r["reparameterised"]) for r in got} == {(0, 1): (1, 1, False), (1, 2): (1, 1, False), (3, 3): (2, 2, False)}
+
+
 PAGE = """<html><head><title>T</title></head><body><header>Site</header><nav><ul><li>a</li></ul></nav><div class="cookie-notice">We use</div><main><article><header><h1>Ti&amp;t</h1></header><p><b>One<br><p>Two  x&nbsp;y {}</p><ul><li>i1<li>i2</ul><div id="comments"><p>c</p></div><script>var t="</p>";</script><form><input>f</form><p>End &lt;b&gt; <i>it</i>alic</article></main><footer>F</footer></body></html>"""
 
 
