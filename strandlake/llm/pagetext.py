@@ -1,18 +1,29 @@
 """HTML main text by site template removal.
 
-Every page is parsed to a tree.  Elements that are boilerplate by their meaning (navigation, footers,
-asides, forms, scripts, notices, adverts, reader comments and so on) go at once.  Then the subtrees of what
-is left are hashed (tags and text, not attributes) and counted for each host in Spark, over pages of distinct
-content: a subtree on ``MIN_PAGES`` pages at least and ``MIN_SHARE`` of its host's pages is the
-site's template and is deleted.  The text of the article (or main element, else the body) comes out in
-blocks: references decoded, white space inside a block squeezed, blocks joined by a newline.
-
-Contract: one row per input row: page_id, url, text ('' if none), n_chars.  A null html is empty.  Null or
-odd urls share the host ''.  Repeated pages get equal texts and count once for the template.  Broken
-markup is read as browsers do: open elements end with their parents, stray end tags are skipped.
-
-Counts combine before they shuffle, so a hot host costs a row for each task and subtree.  The template table
-is broadcast only if it has at most ``BROADCAST_TEMPLATES`` rows; else pages meet it by a join.
+Every page is parsed to a tree, whole.  Each element is hashed twice: by its content (tags and text of the
+subtree) and by its shape (tags, attribute names, classes and roles of the subtree, text left out; equal
+neighbours count once, so that menus of other words and lengths still meet).  Spark counts for each host on how
+many pages of distinct content a hash is found; the elements that recur are the site's template:
+
+* outside the article (article or main elements) any shape or content on ``MIN_PAGES`` pages;
+* inside an article, and anywhere on a page without such elements, contents only on ``MIN_INSIDE`` pages and
+  ``MIN_SHARE`` of the host's: a paragraph that many articles of a host repeat is text, not template;
+* on pages without such elements also shapes on ``MIN_PAGES`` pages of which links make up most of the text.
+
+Templates are deleted first.  Second step, for what cannot recur (hosts of one page, notices shown once):
+elements that are boilerplate by their meaning go (fixed lists: navigation, footers, asides, forms, scripts,
+notices, adverts, reader comments and so on).  The text of the article (or main element, else the body) comes
+out in blocks: references decoded, white space inside a block squeezed, blocks joined by a newline.
+``by_method`` tells whether templates alone took text from a page.
+
+Contract: one row per input row: page_id, url, text ('' if none), n_chars, by_method.  A null html is empty.
+Null or odd urls share the host ''.  Repeated pages get equal texts and count once for the template.  Broken
+markup is read as browsers do: open elements end with their parents, stray end tags are skipped.  Time is
+linear in the page, whatever its markup.
+
+Counts combine before they shuffle, so a hot host costs a row for each task and hash.  The template table
+is broadcast only if it has at most ``BROADCAST_TEMPLATES`` rows.  Beyond that each page meets the templates
+of the hashes that it has itself, by a join on (host, hash): no page carries its host's whole list.
 """
 
 from __future__ import annotations
@@ -29,8 +40,8 @@ from pyspark.sql import functions as F
 
 from .store import materialise
 
-MIN_PAGES = 8
-MIN_SHARE = 0.5
+MIN_PAGES = 2
+MIN_INSIDE, MIN_SHARE = 8, 0.5
 BROADCAST_TEMPLATES = 500_000
 
 #: Fixed sets of element names.
@@ -45,10 +56,14 @@ HINTS = frozenset("ad ads advert adverts advertisement advertising banner breadc
 OUTER_HINTS = frozenset("header masthead topbar".split())
 ROLES = frozenset("navigation banner contentinfo complementary search alert dialog alertdialog menu menubar toolbar form".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_STEP = re.compile(r"[>\"']")
 _ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
 _SPLIT = re.compile(r"[^a-z0-9]+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
+_RAW_END = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in RAW}
+#: Elements behind which an open element of another kind is not ended.
+BARRIER = frozenset("ul ol dl table select div article section body blockquote td li".split())
 
 
 class Node:
@@ -58,45 +73,104 @@ class Node:
         self.tag, self.attrs, self.children = tag, attrs, []
 
 
+class _Open:
+    """The open elements: which names are open, in all and since the last barrier, in constant time."""
+
+    def __init__(self, root: Node) -> None:
+        self.nodes, self.counts = [root], {}
+        self.scopes: list[dict[str, int]] = [{}]
+
+    def push(self, node: Node) -> None:
+        self.nodes.append(node)
+        self.counts[node.tag] = self.counts.get(node.tag, 0) + 1
+        if node.tag in BARRIER:
+            self.scopes.append({node.tag: 1})
+        else:
+            self.scopes[-1][node.tag] = self.scopes[-1].get(node.tag, 0) + 1
+
+    def close(self, names: frozenset[str] | set[str]) -> None:
+        """End the innermost open element of ``names`` and all within it."""
+        while True:
+            tag = self.nodes.pop().tag
+            self.counts[tag] -= 1
+            if tag in BARRIER:
+                self.scopes.pop()
+            else:
+                self.scopes[-1][tag] -= 1
+            if tag in names:
+                return
+
+
+def _tag_end(html: str, at: int, last: dict[str, int]) -> int:
+    """The place of the ``>`` that ends the tag that begins before ``at``: outside quotes if there is one such, else the first."""
+    k = at
+    while k <= last[">"]:
+        m = _STEP.search(html, k)
+        if m is None:
+            break
+        c, k = m[0], m.end()
+        if c == ">":
+            return k - 1
+        if k > last[c]:
+            break  # this quote never closes
+        k = html.find(c, k) + 1
+    return html.find(">", at)
+
+
 def parse(html: str) -> Node:
     """The tree of a page; texts are the raw strings between tags."""
     root = Node("#root")
-    stack, at, n = [root], 0, len(html)
-    while at < n:
-        m = _TOKEN.search(html, at)
-        if m is None:
-            stack[-1].children.append(html[at:])
+    open_, at, n = _Open(root), 0, len(html)
+    last = {c: html.rfind(c) for c in ">\"'"}
+    text = 0  # where the text that is not yet in the tree begins
+
+    def flush(upto: int) -> None:
+        if upto > text:
+            open_.nodes[-1].children.append(html[text:upto])
+
+    while True:
+        at = html.find("<", at)
+        if at < 0 or at > last[">"] and not html.startswith("<!", at):
             break
-        if m.start() > at:
-            stack[-1].children.append(html[at : m.start()])
-        at = m.end()
-        name = m[2] or m[5]
-        if not name:
+        ends = html.startswith("</", at)
+        name = _NAME.match(html, at + 1 + ends)
+        if html.startswith("<!--", at):
+            flush(at)
+            end = html.find("-->", at + 4)
+            at = text = n if end < 0 else end + 3
+            continue
+        if html.startswith(("<!", "<?"), at):
+            flush(at)
+            end = html.find(">", at)
+            at = text = n if end < 0 else end + 1
+            continue
+        if name is None:
+            at += 1
             continue
-        tag, attrs = name.lower(), m[3] or m[6] or ""
-        if m[1] or m[4]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    del stack[k:]
-                    break
+        end = _tag_end(html, name.end(), last)
+        if end < 0:
+            break
+        flush(at)
+        tag, attrs = name[0].lower(), html[name.end() : end]
+        at = text = end + 1
+        if ends:
+            if open_.counts.get(tag):
+                open_.close({tag})
             continue
         if tag in BLOCK or tag in CLOSES:
-            ends = CLOSES.get(tag, frozenset())
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag in ends or stack[k].tag == "p" and tag in BLOCK:
-                    del stack[k:]
-                    break
-                if stack[k].tag in ("ul", "ol", "dl", "table", "select", "div", "article", "section", "body", "blockquote", "td", "li") and stack[k].tag not in ends:
-                    break
+            here, wanted = open_.scopes[-1], CLOSES.get(tag, frozenset()) | ({"p"} if tag in BLOCK else set())
+            if any(here.get(x) for x in wanted):
+                open_.close(wanted)
         node = Node(tag, attrs)
-        stack[-1].children.append(node)
+        open_.nodes[-1].children.append(node)
         if tag in VOID or attrs.endswith("/") and tag in ("svg", "path"):
             continue
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at)
-            at = end.end() if end else n
+            end = _RAW_END[tag].search(html, at)
+            at = text = end.end() if end else n
             continue
-        stack.append(node)
+        open_.push(node)
+    flush(n)
     return root
 
 
@@ -151,23 +225,69 @@ def _signed(h: int) -> int:
     return h - (1 << 64) if h >= 1 << 63 else h
 
 
-def subtree_hashes(tops: list[Node]) -> dict[int, int]:
-    """id(node) -> hash of its tags and text, of every block element with text below ``tops``."""
-    out: dict[int, int] = {}
-    order, stack = [], list(tops)
+#: Element attributes whose values belong to a shape.
+_SHAPED = ("class", "id", "role")
+
+
+def _hash(text: str) -> int:
+    return _signed(xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")))
+
+
+def subtree_hashes(root: Node) -> dict[int, tuple[tuple[int, bool], ...]]:
+    """id(node) -> (hash, is it held to the rule for articles) by which a template may take each element with text.
+
+    An article, and what an article is in, is no template.
+    """
+    tops = article(root)
+    marked = tops != [root]
+    inside = set()
+    stack = list(tops) if marked else []
+    while stack:
+        node = stack.pop()
+        inside.add(id(node))
+        stack += [c for c in node.children if not isinstance(c, str)]
+    order, stack = [], [root]
     while stack:
         node = stack.pop()
         order.append(node)
         stack += [c for c in node.children if not isinstance(c, str)]
-    text: dict[int, str] = {}
+    out: dict[int, tuple[tuple[int, bool], ...]] = {}
+    content: dict[int, int] = {}
+    shape: dict[int, int] = {}
+    weight: dict[int, tuple[int, int]] = {}  # characters, and those in links
+    holds: set[int] = {id(x) for x in tops}  # articles and what they are in
     for node in reversed(order):
-        parts = [" ".join(c.split()) if isinstance(c, str) else text.get(id(c), "") for c in node.children]
-        body = "\x01".join(p for p in parts if p)
-        if body:
-            h = xxhash.xxh64_intdigest(f"{node.tag}\x02{body}".encode("utf-8", "surrogatepass"))
-            text[id(node)] = f"{h:x}"
-            if node.tag in BLOCK:
-                out[id(node)] = _signed(h)
+        parts, forms, chars, linked = [], [], 0, 0
+        for c in node.children:
+            if isinstance(c, str):
+                t = " ".join(c.split())
+                chars += len(t)
+                if t:
+                    parts.append(t)
+                continue
+            k = id(c)
+            if k in holds:
+                holds.add(id(node))
+            if k in shape:
+                if not forms or forms[-1] != shape[k]:
+                    forms.append(shape[k])
+            if k in content:
+                parts.append(f"{content[k]:x}")
+                chars, linked = chars + weight[k][0], linked + weight[k][1]
+        a = _attributes(node)
+        shape[id(node)] = _hash("\x01".join([node.tag, *sorted(a), *(f"{x}={a[x]}" for x in _SHAPED if x in a), *(f"{f:x}" for f in forms)]))
+        if not parts:
+            continue
+        weight[id(node)] = chars, chars if node.tag == "a" else linked
+        content[id(node)] = _hash("\x01".join([node.tag, "", *parts]))
+        if id(node) in holds or node.tag in ("#root", "html", "body", "head"):
+            continue
+        within = not marked or id(node) in inside
+        # The two rules count apart: a content in articles and elsewhere has two hashes.
+        same = (_hash(f"in{content[id(node)]:x}") if within else content[id(node)], within)
+        if node.tag in BLOCK or a and not within:
+            form = not within if marked else 2 * weight[id(node)][1] >= chars > 0
+            out[id(node)] = (same, (shape[id(node)], False)) if form else (same,)
     return out
 
 
@@ -204,51 +324,91 @@ def blocks(tops: list[Node], gone: set[int]) -> list[str]:
     return out
 
 
+def strip(root: Node, templates: frozenset[int] | set[int]) -> tuple[Node, bool]:
+    """The tree without the elements that ``templates`` holds a hash of, and whether any went."""
+    gone = {k for k, hs in subtree_hashes(root).items() if any(h in templates for h, _ in hs)} if templates else set()
+    stack = [root] if gone else []
+    while stack:
+        node = stack.pop()
+        # A block leaves a line break, which separates its neighbours.
+        node.children = [c if isinstance(c, str) or id(c) not in gone else Node("hr" if c.tag in BLOCK else "wbr") for c in node.children]
+        stack += [c for c in node.children if not isinstance(c, str)]
+    return root, bool(gone)
+
+
+def main_parts(html: str | None, templates: frozenset[int] | set[int] = frozenset(), lists: bool = True) -> tuple[str, bool]:
+    """(main text, whether templates took any); without ``lists`` only templates, and what is no text, are left out."""
+    root, went = strip(parse(html or ""), templates)
+    if lists:
+        return "\n".join(blocks(article(prune(root)), set())), went
+    return "\n".join(blocks([root], {id(x) for x in _find(root, lambda x: x.tag in RAW or x.tag == "head")})), went
+
+
 def extract(html: str | None, templates: frozenset[int] | set[int] = frozenset()) -> str:
-    tops = article(prune(parse(html or "")))
-    gone = {k for k, h in subtree_hashes(tops).items() if h in templates} if templates else set()
-    return "\n".join(blocks(tops, gone))
+    return main_parts(html, templates)[0]
 
 
 def _host(col):
     return F.lower(F.coalesce(F.regexp_extract(col, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)", 1), F.lit("")))
 
 
+def page_hashes(html: str | None) -> tuple[int, list[tuple[int, bool]]]:
+    """(hash of the page's text, its elements' distinct hashes and whether they are inside an article)."""
+    root = parse(html or "")
+    return _hash("\n".join(blocks([root], set()))), sorted({x for hs in subtree_hashes(root).values() for x in hs})
+
+
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(host, content, subtree): each page's distinct subtrees; the page itself counts with subtree null."""
+    """(host, page, content, subtree, inside): each page's distinct hashes; the page itself counts with subtree null."""
     for batch in batches:
-        host, content, subtree = [], [], []
-        for h, page in zip(batch["host"].to_pylist(), batch["html"].to_pylist(), strict=True):
-            tops = article(prune(parse(page or "")))
-            found = subtree_hashes(tops)
-            whole = _signed(xxhash.xxh64_intdigest("\n".join(blocks(tops, set())).encode("utf-8", "surrogatepass")))
-            mine = [None, *sorted(set(found.values()))]
-            host += [h] * len(mine)
-            content += [whole] * len(mine)
-            subtree += mine
-        yield pa.record_batch([pa.array(host, pa.string()), pa.array(content, pa.int64()), pa.array(subtree, pa.int64())], ["host", "content", "subtree"])
+        for lo in range(0, batch.num_rows, 64):
+            host, key, content, subtree, inside = ([] for _ in range(5))
+            rows = batch.slice(lo, 64)
+            for h, k, page in zip(*(rows[c].to_pylist() for c in ("host", "page", "html")), strict=True):
+                whole, mine = page_hashes(page)
+                n = len(mine) + 1
+                host += [h] * n
+                key += [k] * n
+                content += [whole] * n
+                subtree += [None, *(x for x, _ in mine)]
+                inside += [False, *(x for _, x in mine)]
+            yield pa.record_batch([pa.array(host, pa.string()), pa.array(key, pa.int64()), pa.array(content, pa.int64()), pa.array(subtree, pa.int64()), pa.array(inside, pa.bool_())], _FEATURES)
+
+
+_FEATURES = ["host", "page", "content", "subtree", "inside"]
+_FEATURE_SCHEMA = "host string, page long, content long, subtree long, inside boolean"
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """(host, subtree) of each host's template; ``pages`` has (host, html)."""
-    rows = pages.select("host", "html").mapInArrow(_features, "host string, content long, subtree long")
+    """(host, subtree) of each host's template; ``pages`` has (host, page, html)."""
+    rows = pages.select("host", "page", "html").mapInArrow(_features, _FEATURE_SCHEMA)
     # Pages of equal content count once: distinct first, then counts; both combine before they shuffle.
-    counts = rows.distinct().groupBy("host", "subtree").agg(F.count("*").alias("n"))
-    counts = materialise(counts.where(f"subtree IS NULL OR n >= {MIN_PAGES}"), "subtrees", narrow=True)
+    counts = rows.select("host", "content", "subtree", "inside").distinct().groupBy("host", "subtree", "inside").agg(F.count("*").alias("n"))
+    counts = materialise(counts.where(f"subtree IS NULL OR n >= IF(inside, {MIN_INSIDE}, {MIN_PAGES})"), "subtrees", narrow=True)
     pages_of = counts.where("subtree IS NULL").select("host", F.col("n").alias("pages"))
-    return materialise(counts.where("subtree IS NOT NULL").join(pages_of, "host").where(F.col("n") >= MIN_SHARE * F.col("pages")).select("host", "subtree"), "templates", narrow=True)
+    found = counts.where("subtree IS NOT NULL").join(pages_of, "host").where(~F.col("inside") | (F.col("n") >= MIN_SHARE * F.col("pages")))
+    return materialise(found.select("host", "subtree"), "templates", narrow=True)
 
 
-def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """page_id, url, text, n_chars of every row of ``pages``."""
+def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", lists: bool = True) -> DataFrame:
+    """page_id, url, text, n_chars, by_method of every row of ``pages``; ``lists`` switches the second step."""
     pages = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), _host(F.col(url_col)).alias("host"), F.col(html_col).cast("string").alias("html"))
+    pages = pages.withColumn("page", F.xxhash64("html"))
     found = templates(pages)
-    out = "page_id long, url string, text string, n_chars long"
-
-    def rows(batch: pa.RecordBatch, of) -> pa.RecordBatch:
-        texts = [extract(page, of(k)) for k, page in enumerate(batch["html"].to_pylist())]
-        return pa.record_batch([batch["page_id"], batch["url"], pa.array(texts, pa.string()), pa.array(np.array([len(t) for t in texts], np.int64))], ["page_id", "url", "text", "n_chars"])
-
+    names = ["page_id", "url", "text", "n_chars", "by_method"]
+
+    def rows(batch: pa.RecordBatch, of) -> Iterator[pa.RecordBatch]:
+        for lo in range(0, batch.num_rows, 64):
+            part = batch.slice(lo, 64)
+            texts, cut = [], []
+            for k, page in enumerate(part["html"].to_pylist()):
+                known = of(lo + k)
+                text, went = main_parts(page, known, lists)
+                texts.append(text)
+                cut.append(went)
+            yield pa.record_batch([part["page_id"], part["url"], pa.array(texts, pa.string()), pa.array(np.array([len(t) for t in texts], np.int64)), pa.array(cut, pa.bool_())], names)
+
+    out = "page_id long, url string, text string, n_chars long, by_method boolean"
     if found.count() <= BROADCAST_TEMPLATES:
         sets: dict[str, set[int]] = {}
         got = found.toArrow()
@@ -259,15 +419,16 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 hosts = batch["host"].to_pylist()
-                yield rows(batch, lambda k, hosts=hosts: shared.value.get(hosts[k], frozenset()))
+                yield from rows(batch, lambda k, hosts=hosts: shared.value.get(hosts[k], frozenset()))
 
         return pages.mapInArrow(run, out)
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch["subtrees"].to_pylist()
-            yield rows(batch, lambda k, lists=lists: frozenset(lists[k] or ()))
+            lists_of = batch["subtrees"].to_pylist()
+            yield from rows(batch, lambda k, lists_of=lists_of: frozenset(lists_of[k] or ()))
 
-    # A host's template is at most MIN_SHARE**-1 pages' worth of subtrees, so a list of it is small.
-    lists = found.groupBy("host").agg(F.collect_list("subtree").alias("subtrees"))
-    return pages.join(lists, "host", "left").mapInArrow(joined, out)
+    # A page's list holds at most the hashes of its own elements.
+    own = pages.select("host", "page", "html").mapInArrow(_features, _FEATURE_SCHEMA).select("host", "page", "subtree").distinct()
+    own = own.join(found, ["host", "subtree"]).groupBy("host", "page").agg(F.collect_list("subtree").alias("subtrees"))
+    return pages.join(own, ["host", "page"], "left").mapInArrow(joined, out)

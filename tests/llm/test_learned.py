@@ -111,21 +111,93 @@ def test_page_extraction():
     assert pagetext.extract("<div>" * 5000 + "deep") == "deep"
 
 
-def test_site_templates_go(spark):
+PAGES = "page_id long, url string, html string, text int, host int, page int, subtrees int"
+
+
+def _pages(spark, rows):
+    return spark.createDataFrame([(*r, 1, 1, 1, 1) for r in rows], PAGES)
+
+
+def _plain_templates(rows):
+    """(host, hash) by dictionaries, from the module's hashes of single pages."""
+    pages, seen = {}, {}
+    for _, url, html in rows:
+        host = (url or "").partition("://")[2].partition("/")[0].lower()
+        whole, mine = pagetext.page_hashes(html)
+        pages.setdefault(host, set()).add(whole)
+        for h, inside in mine:
+            seen.setdefault((host, h, inside), set()).add(whole)
+    least = lambda host, inside: max(pagetext.MIN_INSIDE, pagetext.MIN_SHARE * len(pages[host])) if inside else pagetext.MIN_PAGES
+    return {(host, h) for (host, h, inside), found in seen.items() if len(found) >= least(host, inside)}
+
+
+def _site(rng, n, host, marked=True):
+    """Pages of one site: menus and footers of other words on each page, an article with a paragraph that some repeat."""
+    rows, want = [], []
+    shared = prose(rng, 25)
+    for i in range(n):
+        body = [prose(rng, 6), *(prose(rng, 30) for _ in range(rng.randint(1, 4))), *([shared] if i % 3 == 0 else [])]
+        menu = "".join(f'<li><a href="/{k}">{prose(rng, 1)}</a></li>' for k in range(rng.randint(3, 7)))
+        inner = f"<h1>{body[0]}</h1>" + "".join(f"<p>{x}</p>" for x in body[1:])
+        # Element names and classes that no list holds.
+        html = f'<html><head><title>t</title></head><body><div class="x1"><ul>{menu}</ul></div><div class="x2">Call {rng.randint(0, 9999)}</div>' + (f"<article>{inner}</article>" if marked else f'<div class="z">{inner}</div>') + "<section>All rights kept by us</section></body></html>"
+        rows.append((i, f"https://{host}/{i}", html))
+        want.append("\n".join(body))
+    return rows, want
+
+
+def test_site_templates_go_without_the_lists(spark):
+    rows, want = _site(random.Random(3), 40, "a.example")
+    got = {r["page_id"]: r for r in pagetext.main_text(_pages(spark, rows), lists=False).collect()}
+    assert [got[i]["text"] for i in range(40)] == want and all(r["by_method"] for r in got.values())
+
+
+def test_site_templates_without_article_elements(spark):
+    rows, want = _site(random.Random(4), 40, "b.example", marked=False)
+    got = {r["page_id"]: r["text"] for r in pagetext.main_text(_pages(spark, rows), lists=False).collect()}
+    # The menu goes by its links, the constant section by its content; a line of other words stays.
+    assert all(got[i].split("\n")[1:] == want[i].split("\n") and got[i].startswith("Call ") for i in range(40))
+
+
+def test_template_counts_match_brute_force(spark):
+    rng = random.Random(5)
+    rows = _site(rng, 25, "a.example")[0] + _site(rng, 3, "b.example")[0] + _site(rng, 1, "c.example")[0] + _site(rng, 12, "d.example", False)[0]
+    rows += [(900 + i, "https://copies.example/x", "<section>same page</section><article><p>again</p></article>") for i in range(9)]
+    rows += [(990, None, "<p>lone</p>"), (991, "https://A.example/up", rows[0][2]), (992, "https://a.example/none", None)]
+    pages = _pages(spark, rows).select("page_id", "url", "html").withColumn("host", pagetext._host(pagetext.F.col("url"))).withColumn("page", pagetext.F.xxhash64("html"))
+    assert {(r["host"], r["subtree"]) for r in pagetext.templates(pages).collect()} == _plain_templates(rows)
+
+
+def test_site_templates_go_and_repeated_rows_stay(spark):
     rng = random.Random(1)
     own = [prose(rng, 20) for _ in range(30)]
-    rows = [(i, f"https://h.example/{i}", f"<body><div>Follow us on all channels</div><p>{t}</p></body>", 1) for i, t in enumerate(own)]
-    rows += [(100 + i, "https://copies.example/x", "<p>same page again</p>", 1) for i in range(30)]
-    rows += [(200, None, None, 1), (201, "not a url", "<p>lone</p>", 1)]
-    pages = spark.createDataFrame(rows, "page_id long, url string, html string, text int")
+    rows = [(i, f"https://h.example/{i}", f"<body><div>Follow us on all channels</div><p>{t}</p></body>") for i, t in enumerate(own)]
+    rows += [(100 + i, "https://copies.example/x", "<p>same page again</p>") for i in range(30)]
+    rows += [(200, None, None), (201, "not a url", "<p>lone</p>"), (0, "https://h.example/0", rows[0][2])]
     for limit in (pagetext.BROADCAST_TEMPLATES, -1):
         held, pagetext.BROADCAST_TEMPLATES = pagetext.BROADCAST_TEMPLATES, limit
-        got = {r["page_id"]: r["text"] for r in pagetext.main_text(pages).collect()}
+        found = pagetext.main_text(_pages(spark, rows)).collect()
         pagetext.BROADCAST_TEMPLATES = held
-        assert len(got) == len(rows) and all(got[i] == t for i, t in enumerate(own))
+        got = {r["page_id"]: r["text"] for r in found}
+        assert len(found) == len(rows) and all(got[i] == t for i, t in enumerate(own))
         assert got[100] == "same page again" and got[200] == "" and got[201] == "lone"
 
 
+def test_pages_without_rows_and_long_ones(spark):
+    import time
+
+    assert pagetext.main_text(_pages(spark, [])).count() == 0
+    words = prose(random.Random(2), 900_000)
+    long = "<nav>menu</nav><article>" + "".join(f"<p>{words[k : k + 4000]}</p>" for k in range(0, 5_000_000, 4000)) + "</article>"
+    assert len(long) > 5_000_000
+    (got,) = pagetext.main_text(_pages(spark, [(1, "https://l.example/", long)])).collect()
+    assert got["text"] == "\n".join(x for x in (" ".join(words[k : k + 4000].split()) for k in range(0, 5_000_000, 4000)) if x)
+    for odd in ("<a " * 1_500_000, "<a '" * 1_000_000, '<a "> ' * 300_000, "<div>" * 300_000 + "</p>" * 300_000, "<li><div>" + "<b>" * 200_000 + "<li></li>" * 200_000, "<!--" * 900_000, "<" * 3_000_000):
+        began = time.time()
+        pagetext.extract(odd)
+        assert time.time() - began < 30
+
+
 def test_quotes_link_and_go(spark):
     rows = [
         (1, 0, "user", "How do I sort?\nThanks a lot"),
