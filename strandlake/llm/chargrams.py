@@ -51,3 +51,12 @@ def per_text(cp: np.ndarray, offsets: np.ndarray, sizes: tuple[int, ...], bits:
     every = [grams(cp, n, bits) for n in sizes]
     for a, b in zip(offsets[:-1], offsets[1:], strict=True):
         yield [g[a : max(a, b - n + 1)] for g, n in zip(every, sizes, strict=True)]
+
+
+def aligned(cp: np.ndarray, offsets: np.ndarray, n: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """(bucket of the n-gram at each code point, whether it ends within its own text)."""
+    g = grams(np.concatenate((cp, np.zeros(n - 1, np.uint32))), n, bits)
+    own = np.ones(len(cp), dtype=bool)
+    for k in range(1, n):
+        own[np.maximum(offsets[1:] - k, offsets[:-1])] = False
+    return g, own

@@ -2,7 +2,9 @@
 
 Counts of n-grams (lengths ``SIZES``, lower case) by language give a log-probability matrix of
 2**BITS rows and one column a language, which is broadcast (languages x 65,536 floats); texts are scored
-in numpy by gathering the rows of their n-grams and summing them by text.
+in numpy by gathering the rows of their n-grams and summing them by text, ``CELLS`` numbers at a time
+whatever the number of languages and the length of a text.  No n-gram reaches from one text into the next, so
+a prediction depends on its text alone, to the last bit.
 
 Contract: one row per input row.  ``und`` with score 0 if the text is null or has no letter; also where no
 language could be learned.  The score is the posterior of the predicted language; ties go to the
@@ -24,24 +26,35 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chargrams import code_points, grams, text_slices
+from .chargrams import aligned, code_points, text_slices
 from .store import crc_bucket, project
 
 SIZES = (1, 2, 3)
 BITS = 16
 MAX_ROWS = 3000
+#: Log-probabilities gathered at once.
+CELLS = 4_000_000
 _LETTER = re.compile(r"[^\W\d_]")
 
 
 def _bucket_counts(texts: list[str | None]) -> np.ndarray:
     total = np.zeros(1 << BITS, np.int64)
     for _, part in text_slices(texts):
-        cp, _ = code_points(part)
+        cp, offsets = code_points(part)
         for n in SIZES:
-            total += np.bincount(grams(cp, n, BITS), minlength=1 << BITS)
+            g, own = aligned(cp, offsets, n, BITS)
+            total += np.bincount(g[own], minlength=1 << BITS)
     return total
 
 
+def _pieces(offsets: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first place, text) of pieces of at most ``most`` places; every text is cut from its own start."""
+    count = np.maximum(1, -(-np.diff(offsets) // most))
+    text = np.repeat(np.arange(len(count)), count)
+    nth = np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count)
+    return offsets[text] + nth * most, text
+
+
 @dataclass
 class Model:
     langs: list[str]
@@ -63,11 +76,17 @@ class Model:
         for lo, part in text_slices(texts):
             cp, offsets = code_points(part)
             ll = np.tile(self.prior, (len(part), 1))
+            most = max(1, CELLS // len(self.langs))
+            at, text = _pieces(offsets, most)
             for n in SIZES:
-                rows = self.logp[grams(cp, n, BITS)]
-                if len(rows):
-                    # n-grams that reach over a text's end hold its closing blank: they count for it.
-                    ll += np.add.reduceat(rows, np.minimum(offsets[:-1], len(rows) - 1), axis=0, dtype=np.float64)
+                g, own = aligned(cp, offsets, n, BITS)
+                a = 0
+                while a < len(at):
+                    b = max(a + 1, int(np.searchsorted(at, at[a] + most, side="right")) - 1)
+                    stop = at[b] if b < len(at) else len(cp)
+                    rows = np.where(own[at[a] : stop, None], self.logp[g[at[a] : stop]], np.float32(0))
+                    np.add.at(ll, text[a:b], np.add.reduceat(rows, at[a:b] - at[a], axis=0, dtype=np.float64))
+                    a = b
             best = ll.argmax(axis=1)
             post = 1 / np.exp(ll - ll.max(axis=1, keepdims=True)).sum(axis=1)
             for i, t in enumerate(part):

@@ -243,6 +243,55 @@ def test_redaction_keeps_everything_else(spark):
     assert sorted((r["doc_id"], r["text"]) for r in got.collect() if r["text"]) == [(1, "other text of this id"), (1, "é a [SECRET] b [SECRET]")]
 
 
+def _library_spans(sp, text):
+    """(begin, end) of every piece from the library's own offsets; begin and end ids included.
+
+    Of a character that is spelt in byte pieces the library gives all bytes to the last one: those come in order.
+    """
+    spans, size = [(0, 0)], len(text.encode())
+    for p in sp.encode(text, return_type="proto").pieces:
+        if sp.is_byte(p.id):
+            spans.append((spans[-1][1], spans[-1][1] + 1))
+        else:
+            spans.append((p.begin, p.end))
+    return [*spans, (size, size)]
+
+
+def _span_digest(spans):
+    return hashlib.sha256(b"".join(a.to_bytes(8, "little") + b.to_bytes(8, "little") for a, b in spans)).hexdigest()
+
+
+ODD_TEXTS = ["  two  blanks ", "▁ü ▁", "日本 𝄞\n\tx", "<s> </s> <0x41>", "ﬁne ﬂow Ｆｕｌｌ　ｗｉｄｔｈ ①②", "e\u0301 A\u030a ½ ㌀ …", "\u200bzero\ufeff width\u00a0nbsp", "x" * 70 + "ﬃ", "", " ", "㍿㍿ ㎒"]
+
+
+@pytest.mark.parametrize("rule", ["nmt_nfkc", "nfkc_cf", "identity"])
+@pytest.mark.parametrize("squeeze", [False, True])
+def test_spans_through_a_real_character_map(tmp_path, rule, squeeze):
+    from sentencepiece import sentencepiece_model_pb2 as proto
+
+    model, rules = proto.ModelProto(), proto.ModelProto()
+    with open(queries.piece_model(), "rb") as f:
+        model.ParseFromString(f.read())
+    rules.ParseFromString(sentencepiece.SentencePieceNormalizer(rule_name=rule).serialized_model_proto())
+    model.normalizer_spec.precompiled_charsmap = rules.normalizer_spec.precompiled_charsmap
+    model.normalizer_spec.remove_extra_whitespaces = squeeze
+    path = tmp_path / "model"
+    path.write_bytes(model.SerializeToString())
+    tok, sp = pieces.Tokenizer(str(path)), sentencepiece.SentencePieceProcessor(model_file=str(path))
+    assert (len(tok.map.units) > 1000) == (rule != "identity")
+    for text, e in zip(ODD_TEXTS, tok.encode(ODD_TEXTS), strict=True):
+        assert e.ids.tolist() == sp.encode(text, add_bos=True, add_eos=True)
+        normal, where = tok.normalise(text)
+        mine = list(zip(e.begin.tolist(), e.end.tolist(), strict=True))
+        theirs = _library_spans(sp, text)
+        if not any(sp.is_byte(i) for i in e.ids.tolist()):
+            assert mine == theirs, text
+        # Pieces follow each other and cover the text but for blanks that squeezing drops.
+        raw = text.encode()
+        assert all(a <= b for a, b in mine) and all(x[1] <= y[0] or x[0] == y[0] for x, y in zip(mine, mine[1:], strict=False))
+        assert squeeze or rule != "identity" or b"".join(raw[a:b] for a, b in mine) == raw
+
+
 def test_pieces_equal_the_library_and_spans_tile_the_text(spark):
     rows = [r for r in documents(7, 30)] + [(900 + i, t, "", "", 0, 0.0, 0) for i, t in enumerate(["  two  blanks ", "▁ü ▁", "日本 𝄞\n\tx", "a" * 5000, "<s> </s> <0x41>"])]
     texts = {r[0]: r[1] or "" for r in rows}
@@ -257,6 +306,7 @@ def test_pieces_equal_the_library_and_spans_tile_the_text(spark):
         assert r["n_tokens"] == len(ids)
         assert r["ids_sha256"] == hashlib.sha256(b"".join(i.to_bytes(4, "little") for i in ids)).hexdigest()
         assert r["decoded_sha256"] == hashlib.sha256(sp.decode(ids).encode()).hexdigest()
+        assert r["span_bytes"] == len(texts[r["doc_id"]].encode()) and r["spans_sha256"] == _span_digest(_library_spans(sp, texts[r["doc_id"]]))
 
 
 def test_charsmap_longest_prefix():

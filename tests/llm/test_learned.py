@@ -4,6 +4,7 @@ import random
 import zlib
 
 import numpy as np
+import pytest
 from corpus import documents, frame, prose
 
 from strandlake.llm import decontaminate, langid, neardup, pagetext, quotes, toxicity
@@ -55,6 +56,55 @@ def test_language_on_held_out_rows(spark):
     assert all(r["held_out"] for r in held) and np.mean([r["lang_pred"] == "ab"[r["doc_id"] % 2] for r in held]) > 0.98
 
 
+def _counted_model(langs=4, seed=5):
+    rng = np.random.default_rng(seed)
+    return langid.Model.of({f"l{k}": rng.integers(0, 50, 1 << langid.BITS).astype(float) for k in range(langs)}, dict.fromkeys([f"l{k}" for k in range(langs)], 7))
+
+
+def _plain_scores(model, text):
+    """Log-likelihoods by plain loops over the n-grams of one text."""
+    cp, offsets = langid.code_points([text.lower()])
+    ll = model.prior.copy()
+    for n in langid.SIZES:
+        for k in range(len(cp) - n + 1):
+            g = langid.aligned(cp[k : k + n], np.array([0, n]), n, langid.BITS)[0][0]
+            ll += model.logp[g]
+    return ll
+
+
+def test_language_depends_on_the_text_alone(monkeypatch):
+    rng = random.Random(3)
+    model = _counted_model()
+    texts = ["hello", "", "a", prose(rng, 40), "x", prose(rng, 300), "hello", None, "Zz top"]
+    alone = [model.predict([t]) for t in texts]
+    for cells in (langid.CELLS, 400, 4):
+        monkeypatch.setattr(langid, "CELLS", cells)
+        names, scores = model.predict(texts)
+        for k, (name, score) in enumerate(alone):
+            assert names[k] == name[0] and scores[k] == pytest.approx(score[0], rel=1e-12)
+    monkeypatch.undo()
+    for order in (texts, texts[::-1], texts[3:] + texts[:3]):
+        names, scores = model.predict(order)
+        assert [(n, float(s)) for n, s in zip(names, scores, strict=True)] == [(model.predict([t])[0][0], float(model.predict([t])[1][0])) for t in order]
+    for t in ("hello", "a", texts[3]):
+        ll = _plain_scores(model, t)
+        name, score = model.predict([t])
+        assert name == [model.langs[int(ll.argmax())]] and score[0] == pytest.approx(1 / np.exp(ll - ll.max()).sum(), rel=1e-5)
+
+
+def test_language_counts_of_many_texts_add_up():
+    texts = ["ab", "c", "", None, "déjà vu", "ab"]
+    assert (langid._bucket_counts(texts) == sum(langid._bucket_counts([t]) for t in texts)).all()
+
+
+def test_language_ties_and_repeated_rows(spark):
+    even = langid.Model.of(dict.fromkeys("ba", np.ones(1 << langid.BITS)), {"a": 3, "b": 3})
+    assert even.predict(["some text"])[0] == ["a"] and even.predict(["some text"])[1][0] == pytest.approx(0.5)
+    rows = [(1, "some text", "en", "s", 0, 0.0, 0)] * 3 + [(None, "some text", "en", "s", 0, 0.0, 0), (2, prose(random.Random(1), 60_000), "en", "s", 0, 0.0, 0)]
+    got = langid.predict(frame(spark, rows), even).collect()
+    assert len(got) == 5 and len({(r["lang_pred"], r["score"]) for r in got[:4]}) == 1
+
+
 def test_language_without_rows(spark):
     assert langid.held_out_query(frame(spark, [])).count() == 0
     one = frame(spark, [(2, "hello", None, "s", 0, 0.0, 0)])
@@ -216,10 +266,45 @@ def test_quotes_link_and_go(spark):
     assert [got[1, t]["depth"] for t in range(5)] == [0, 1, 1, 2, 3]
     assert [got[1, t]["text"] for t in range(5)] == ["How do I sort?\nThanks a lot", "Use sort.", "I meant stable.", "Is that stable?", "well"]
     assert got[1, 2]["n_quotes"] == 2 and got[1, 2]["n_linked"] == 1 and got[1, 4]["n_linked"] == 0
+    assert [quotes.brute_force(rows)[k][2:] for k in range(5)] == [(got[1, t]["reply_to"], got[1, t]["n_linked"]) for t in range(5)]
     assert got[2, 5]["reply_to"] is None and got[2, 9]["thread"] == 9 and got[2, 9]["text"] is None
     assert quotes.reply_order(table.limit(0)).count() == 0
 
 
+def test_quotes_wrapped_anew_and_common_lines(spark):
+    long = "The scheduler keeps a queue of tasks. It gives each worker the oldest one that fits, and waits for the rest."
+    wrapped = "> The scheduler keeps a queue\n> of tasks. It gives each worker\n> the oldest one that fits, and waits for the rest."
+    rows = [
+        (1, 0, "user", long + "\n\nThanks"),
+        (1, 1, "assistant", "Thanks"),
+        (1, 2, "user", "Thanks\n\nother words here"),
+        (1, 3, "assistant", wrapped + "\n>\n> Thanks\nWhich task is that?"),
+        (1, 4, "user", "> It gives each worker the\n> oldest one that fits, and waits for the rest.\n\nso?"),
+    ]
+    got = {r["turn"]: (r["reply_to"], r["n_linked"]) for r in quotes.reply_order(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert got == {0: (None, 0), 1: (0, 0), 2: (1, 0), 3: (0, 1), 4: (0, 1)}
+
+
+def test_quotes_match_brute_force(spark):
+    rng = random.Random(11)
+    rows = []
+    for conv in range(12):
+        said = []
+        for turn in range(rng.randint(1, 14)):
+            own = prose(rng, rng.choice([1, 4, 12])) + rng.choice(["", ". ", "\n\n"]) + rng.choice(["ok", "Thanks", prose(rng, 9)])
+            quoted = ""
+            if said and rng.random() < 0.6:
+                words = rng.choice(said).split()
+                quoted = rng.choice(["", "Bob wrote:\n"]) + "\n".join("> " + rng.choice(["", "> "]) + " ".join(words[k : k + 5]) for k in range(0, len(words), 5)) + "\n"
+            said.append(own)
+            rows.append((conv, turn * rng.choice([1, 1, 2]), rng.choice(["user", None]), quoted + own))
+    rows += [rows[3], (None, 4, "user", "> ok\nx"), (3, None, "user", "> ok\ny"), (50, 1, None, None), (50, 2, "user", ""), (51, 1, "user", "> " + "long " * 50_000)]
+    table = spark.createDataFrame([(*r, 1, 2, 3) for r in rows], "conv_id long, turn long, role string, text string, unit int, source int, lines int")
+    key = lambda r: tuple((x is None, x) for x in r)
+    got = sorted(((r["conv_id"], r["turn"], r["reply_to"], r["n_linked"]) for r in quotes.reply_order(table).collect()), key=key)
+    assert got == sorted(quotes.brute_force(rows), key=key)
+
+
 def test_quotes_in_a_long_conversation(spark):
     table = spark.createDataFrame([(1, i, "user", f"m {i}") for i in range(300)], "conv_id long, turn long, role string, text string")
     got = {r["turn"]: (r["depth"], r["thread"]) for r in quotes.reply_order(table).collect()}
