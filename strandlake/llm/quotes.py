@@ -1,20 +1,22 @@
 """Quotation linking: conversations in reply order, without quotes.
 
 Each message is parsed to passages: runs of lines of one quote level (the number of leading ``>`` marks,
-blanks between them allowed); a line that introduces a quote ("... wrote:") belongs to it.  A quoted passage
-is normalised (marks off, white space squeezed, lower case) and hashed line by line; the hashes are
-joined, within the conversation, to the lines that its messages hold outside quotes.  A message
-replies to the latest earlier message that holds most of the lines that it quotes at level 1 (deeper levels
-only count if level 1 finds nothing); without a quote that links, to the turn before it, if there is one.
+blanks between them allowed); a line that introduces a quote ("... wrote:") belongs to it.  A passage, quoted or
+own, is normalised: marks off, lines put together, white space squeezed, lower case; so a quote that was
+wrapped anew is the same passage.  It is hashed whole, by paragraph, and by sentence of ``LEAST_WORDS`` words or
+more, as quotes are cut; the hashes are joined, within the conversation, to those of what its messages
+hold outside quotes.  A message replies to the latest earlier message that holds most words of what it quotes at
+level 1 (deeper levels only count if level 1 finds nothing), so a passage outweighs a line that many messages
+share; without a quote that links, to the turn before it, if there is one.
 
 Contract: one row per input row: conv_id, turn, role, text (the message without quotes), n_quotes (passages),
-n_linked (quoted lines found), reply_to (turn, null at a root), thread (the turn of its root), depth.
+n_linked (quoted passages of which something was found), reply_to (turn, null at a root), thread (the turn of its root), depth.
 Ordering a conversation by (thread, depth, turn) gives every reply after what it answers.  A null
 text is empty and stays null; empty messages stay.  Rows that repeat a (conv_id, turn) each stay; links
 go by turn.  A null conv_id or turn links with nothing.  Other columns are ignored.
 
-Only hashes of lines are shuffled, keyed by conversation and line, and a quoted line is looked up once a
-conversation, however often it is quoted.  Roots come by pointer doubling, so a hot conversation of n turns
+Only hashes of passages and their parts are shuffled, keyed by conversation and hash, and a quoted one is looked up
+once a conversation, however often it is quoted.  Roots come by pointer doubling, so a hot conversation of n turns
 takes log2(n) rounds of joins on (conv_id, turn), never one task.
 """
 
@@ -30,6 +32,8 @@ from pyspark.sql import functions as F
 
 from .store import materialise
 
+#: Words of a sentence that is hashed for itself.
+LEAST_WORDS = 4
 _MARKS = re.compile(r"^[ \t]*((?:>[ \t]?)+)")
 _INTRO = re.compile(r"(?:wrote|writes|said|schrieb|escribió|a écrit)\s*:\s*$", re.I)
 
@@ -46,59 +50,79 @@ def passages(text: str) -> list[tuple[int, list[str]]]:
     return out
 
 
-def normal(line: str) -> str:
-    return " ".join(line.split()).lower()
+_SENTENCE = re.compile(r"(?<=[.!?]) ")
 
 
-def split_message(text: str) -> tuple[str, list[tuple[int, str]], int]:
-    """(text outside quotes, (level, normalised line) of quotes, number of quoted passages)."""
+def _hash(text: str) -> int:
+    h = xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"))
+    return h - (1 << 64) if h >= 1 << 63 else h
+
+
+def units(lines: list[str]) -> dict[int, int]:
+    """hash -> words, of the passage that ``lines`` make, of its paragraphs and of its longer sentences."""
+    paragraphs: list[list[str]] = [[]]
+    for line in lines:
+        words = line.lower().split()
+        if words:
+            paragraphs[-1] += words
+        elif paragraphs[-1]:
+            paragraphs.append([])
+    texts = [" ".join(p) for p in paragraphs if p]
+    out = {_hash(t): t.count(" ") + 1 for t in (*texts, " ".join(texts)) if t}
+    for t in texts:
+        for x in _SENTENCE.split(t):
+            if x.count(" ") + 1 >= LEAST_WORDS:
+                out[_hash(x)] = x.count(" ") + 1
+    return out
+
+
+def split_message(text: str) -> tuple[str, list[tuple[int, dict[int, int]]], set[int]]:
+    """(text outside quotes, (level, units) of each quoted passage, hashes of what the message holds itself)."""
     parts = passages(text)
-    own, quoted, n = [], [], 0
+    own, quoted, held = [], [], set()
     for k, (level, lines) in enumerate(parts):
         if level:
-            n += 1
-            quoted += [(level, x) for x in map(normal, lines) if x]
+            quoted.append((level, units(lines)))
             continue
         follows = k + 1 < len(parts)
         filled = [i for i, x in enumerate(lines) if x.strip()]
         if follows and filled and _INTRO.search(lines[filled[-1]]):
             lines = lines[: filled[-1]]
         own.append("\n".join(lines))
-    return ("\n".join(own).strip("\n") if n else text), quoted, n
-
-
-def _hash(line: str) -> int:
-    h = xxhash.xxh64_intdigest(line.encode("utf-8", "surrogatepass"))
-    return h - (1 << 64) if h >= 1 << 63 else h
+        held |= units(lines).keys()
+    held |= units("\n".join(own).split("\n")).keys()
+    return ("\n".join(own).strip("\n") if quoted else text), quoted, held
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kind = pa.list_(pa.struct([("level", pa.int32()), ("line", pa.int64())]))
+    kind = pa.list_(pa.struct([("passage", pa.int32()), ("level", pa.int32()), ("unit", pa.int64()), ("words", pa.int64())]))
     for batch in batches:
         text, n, quotes, lines = [], [], [], []
         for t in batch["text"].to_pylist():
-            own, quoted, count = split_message(t or "")
+            own, quoted, held = split_message(t or "")
             text.append(None if t is None else own)
-            n.append(count)
-            quotes.append([{"level": a, "line": b} for a, b in sorted({(level, _hash(x)) for level, x in quoted})])
-            lines.append(sorted({_hash(x) for x in map(normal, own.split("\n")) if x}))
-        yield pa.record_batch([batch["conv_id"], batch["turn"], batch["role"], pa.array(text, pa.string()), pa.array(n, pa.int64()), pa.array(quotes, kind), pa.array(lines, pa.list_(pa.int64()))], ["conv_id", "turn", "role", "text", "n_quotes", "quotes", "lines"])
+            n.append(len(quoted))
+            quotes.append([{"passage": k, "level": level, "unit": h, "words": w} for k, (level, found) in enumerate(quoted) for h, w in found.items()])
+            lines.append(sorted(held))
+        yield pa.record_batch([batch["conv_id"], batch["turn"], batch["role"], pa.array(text, pa.string()), pa.array(n, pa.int64()), pa.array(quotes, kind), pa.array(lines, pa.list_(pa.int64()))], ["conv_id", "turn", "role", "text", "n_quotes", "quotes", "units"])
 
 
 def link(conversations: DataFrame) -> DataFrame:
     """(conv_id, turn, reply_to, n_linked) of messages that quote, and the parsed messages."""
     rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
-    parsed = materialise(rows.mapInArrow(_parse, "conv_id long, turn long, role string, text string, n_quotes long, quotes array<struct<level:int,line:long>>, lines array<long>"), "messages")
-    quoted = parsed.select("conv_id", "turn", F.explode("quotes").alias("q")).select("conv_id", "turn", "q.level", "q.line")
-    wanted = quoted.select("conv_id", "line").distinct()
-    held = parsed.select("conv_id", F.col("turn").alias("source"), F.explode("lines").alias("line")).join(wanted, ["conv_id", "line"], "left_semi").distinct()
-    # The latest source before the quoting turn: lines and quotes of one key, sorted once, latest so far.
-    both = held.select("conv_id", "line", F.col("source").alias("at"), F.lit(1).alias("own"), F.lit(None).cast("int").alias("level")).unionByName(quoted.select("conv_id", "line", F.col("turn").alias("at"), F.lit(0).alias("own"), "level"))
-    before = Window.partitionBy("conv_id", "line").orderBy("at").rangeBetween(Window.unboundedPreceding, -1)
+    parsed = materialise(rows.mapInArrow(_parse, "conv_id long, turn long, role string, text string, n_quotes long, quotes array<struct<passage:int,level:int,unit:long,words:long>>, units array<long>"), "messages")
+    quoted = parsed.select("conv_id", "turn", F.explode("quotes").alias("q")).select("conv_id", "turn", "q.*").distinct()
+    wanted = quoted.select("conv_id", "unit").distinct()
+    held = parsed.select("conv_id", F.col("turn").alias("source"), F.explode("units").alias("unit")).join(wanted, ["conv_id", "unit"], "left_semi").distinct()
+    # The latest source before the quoting turn: sources and quotes of one key, sorted once, latest so far.
+    none = lambda c, kind: F.lit(None).cast(kind).alias(c)
+    both = held.select("conv_id", "unit", F.col("source").alias("at"), F.lit(1).alias("own"), none("passage", "int"), none("level", "int"), none("words", "long")).unionByName(quoted.select("conv_id", "unit", F.col("turn").alias("at"), F.lit(0).alias("own"), "passage", "level", "words"))
+    before = Window.partitionBy("conv_id", "unit").orderBy("at").rangeBetween(Window.unboundedPreceding, -1)
     found = both.withColumn("source", F.max(F.when(F.col("own") == 1, F.col("at"))).over(before)).where("own = 0 AND source IS NOT NULL")
-    votes = found.groupBy("conv_id", F.col("at").alias("turn"), "source").agg(F.count(F.when(F.col("level") == 1, 1)).alias("near"), F.count("*").alias("n"))
-    best = votes.groupBy("conv_id", "turn").agg(F.max(F.struct("near", "n", "source")).alias("m"), F.sum("n").alias("n_linked"))
-    return parsed, best.select("conv_id", "turn", F.col("m.source").alias("quoted_turn"), "n_linked")
+    votes = found.groupBy("conv_id", F.col("at").alias("turn"), "source").agg(F.sum(F.when(F.col("level") == 1, F.col("words")).otherwise(0)).alias("near"), F.sum("words").alias("n"))
+    best = votes.groupBy("conv_id", "turn").agg(F.max(F.struct("near", "n", "source")).alias("m"))
+    linked = found.groupBy("conv_id", F.col("at").alias("turn")).agg(F.countDistinct("passage").alias("n_linked"))
+    return parsed, best.join(linked, ["conv_id", "turn"]).select("conv_id", "turn", F.col("m.source").alias("quoted_turn"), "n_linked")
 
 
 def reply_order(conversations: DataFrame) -> DataFrame:
@@ -121,3 +145,23 @@ def reply_order(conversations: DataFrame) -> DataFrame:
         jump = jump.where("done").unionByName(moved)
     placed = parent.join(jump.select("conv_id", "turn", F.col("up").alias("thread"), F.col("far").alias("depth")), ["conv_id", "turn"])
     return parsed.join(placed, ["conv_id", "turn"], "left").select("conv_id", "turn", "role", "text", "n_quotes", F.coalesce("n_linked", F.lit(0)).alias("n_linked"), "reply_to", F.coalesce("thread", "turn").alias("thread"), F.coalesce("depth", F.lit(0)).alias("depth"))
+
+
+def brute_force(rows: list[tuple[int | None, int | None, str, str | None]]) -> list[tuple[int | None, int | None, int | None, int]]:
+    """(conv_id, turn, reply_to, n_linked) of each row by plain loops over the conversation, for tests."""
+    parsed = [(c, t, *split_message(text or "")) for c, t, _, text in rows]
+    out = []
+    for c, t, _, _, _ in parsed:
+        votes: dict[int, list[int]] = {}
+        found = set()
+        passages_of = {(k, level, h, w) for c2, t2, _, quoted, _ in parsed if (c2, t2) == (c, t) for k, (level, us) in enumerate(quoted) for h, w in us.items()}
+        for k, level, h, w in passages_of if c is not None and t is not None else ():
+            sources = [t2 for c2, t2, _, _, held in parsed if c2 == c and t2 is not None and t2 < t and h in held]
+            if sources:
+                v = votes.setdefault(max(sources), [0, 0])
+                v[0], v[1] = v[0] + (w if level == 1 else 0), v[1] + w
+                found.add(k)
+        best = max(((*v, source) for source, v in votes.items()), default=None)
+        before = c is not None and t is not None and any((c2, t2) == (c, t - 1) for c2, t2, *_ in parsed)
+        out.append((c, t, best[2] if best else t - 1 if before else None, len(found)))
+    return out
