@@ -105,8 +105,11 @@ class Tokenizer:
         """Blank handling: strip and squeeze if asked for, add the dummy prefix, escape."""
         squeeze, mark = self.spec.remove_extra_whitespaces, _MARK if self.spec.escape_whitespaces else b" "
         out, at = bytearray(), []
-        if self.spec.add_dummy_prefix and text and not self.suffix:
-            out, at = bytearray(mark), [0] * len(mark)
+        # The prefix stands at the first byte that stays, the end after the last one.
+        head = len(text) - len(text.lstrip(b" ")) if squeeze else 0
+        tail = total
+        if self.spec.add_dummy_prefix and text[head:] and not self.suffix:
+            out, at = bytearray(mark), [where[head]] * len(mark)
         blank = squeeze  # a blank at the start goes
         for b, w in zip(text, where, strict=False):
             if b == 32:
@@ -120,11 +123,12 @@ class Tokenizer:
                 blank = False
         if squeeze:
             while out.endswith(mark) and len(out) > len(mark):
+                tail = at[-len(mark)]
                 del out[-len(mark) :], at[-len(mark) :]
         if self.spec.add_dummy_prefix and text and self.suffix:
             out += mark
-            at += [total] * len(mark)
-        return bytes(out), np.array([*at, total], np.int64)
+            at += [tail] * len(mark)
+        return bytes(out), np.array([*at, tail], np.int64)
 
     @staticmethod
     def _normalise_plain(src: bytes) -> tuple[bytes, np.ndarray]:
@@ -144,8 +148,10 @@ class Tokenizer:
             stops = np.cumsum(self.length[ids])
             if stops[-1] != len(normal):  # an unknown piece stands for what the others leave
                 stops = self._with_unknown(ids, len(normal), text)
-            begin = where[np.concatenate(([0], stops[:-1]))]
-            yield Encoding(ids, begin, where[stops])
+            begin, end = where[np.concatenate(([0], stops[:-1]))], where[stops]
+            begin[0] = end[0] = 0
+            begin[-1] = end[-1] = len(text.encode("utf-8", "surrogatepass"))
+            yield Encoding(ids, begin, end)
 
     def _with_unknown(self, ids: np.ndarray, total: int, text: str) -> np.ndarray:
         """Piece ends in normalised bytes from the library's surfaces, for models without byte pieces."""
@@ -199,20 +205,22 @@ def encode(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: s
 
 
 def digests(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Counts and digests of the same encodings; ``span_bytes`` sums the spans, the text's bytes if whole."""
+    """Counts and digests of the same encodings; ``span_bytes`` sums the spans, the text's bytes if whole, and
+    ``spans_sha256`` is the digest of every piece's first and last byte as little-endian 64-bit integers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = tokenizer(model_file)
         for batch in batches:
             for lo, part in _groups(batch):
-                n, ids, decoded, span, lists = [], [], [], [], []
+                n, ids, decoded, span, spans, lists = [], [], [], [], [], []
                 for e in tok.encode(part):
                     n.append(len(e.ids))
                     ids.append(hashlib.sha256(e.ids.astype("<u4").tobytes()).hexdigest())
                     span.append(int((e.end - e.begin).sum()))
+                    spans.append(hashlib.sha256(np.stack((e.begin, e.end), axis=1).astype("<i8").tobytes()).hexdigest())
                     lists.append(e.ids.tolist())
                 for t in tok.decode(lists):
                     decoded.append(hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest())
-                yield pa.record_batch([batch["doc_id"].slice(lo, len(part)), pa.array(n, pa.int64()), pa.array(ids), pa.array(decoded), pa.array(span, pa.int64())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "span_bytes"])
+                yield pa.record_batch([batch["doc_id"].slice(lo, len(part)), pa.array(n, pa.int64()), pa.array(ids), pa.array(decoded), pa.array(span, pa.int64()), pa.array(spans)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "span_bytes", "spans_sha256"])
 
-    return project(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, span_bytes long")
+    return project(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, span_bytes long, spans_sha256 string")
