@@ -16,15 +16,34 @@ BATCH_ROWS = 1000
 def shared_dir(spark: SparkSession) -> str:
     """The folder that every executor shares: ``spark.checkpoint.dir``.
 
-    Only a session that has none (a test on one machine) gets a temporary folder of its own.
+    Only a session on one machine (a test) that has none gets a temporary folder; elsewhere that is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="strandlake-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+_SWEPT: set[str] = set()
+
+
+def _own_dir(spark: SparkSession) -> str:
+    """This application's folder below the shared one; it goes when the driver's JVM ends."""
+    path = f"{shared_dir(spark)}/strandlake/{spark.sparkContext.applicationId}"
+    if path not in _SWEPT:
+        jvm = spark._jvm
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        files = where.getFileSystem(spark._jsc.hadoopConfiguration())
+        files.mkdirs(where)
+        files.deleteOnExit(where)
+        _SWEPT.add(path)
+    return path
+
+
 def materialise(df: DataFrame, tag: str, narrow: bool = False) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
@@ -32,7 +51,7 @@ def materialise(df: DataFrame, tag: str, narrow: bool = False) -> DataFrame:
     narrow: rows of a few numbers, which are first rebalanced to files of a useful size.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/strandlake/{uuid.uuid4().hex}/{tag}"
+    path = f"{_own_dir(spark)}/{uuid.uuid4().hex}/{tag}"
     held = spark.conf.get(_BATCH, None)
     # Texts are long: small Arrow batches bound the memory outside the heap.
     spark.conf.set(_BATCH, str(BATCH_ROWS))
