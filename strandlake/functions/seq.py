@@ -20,8 +20,8 @@ def reverse_complement(seq: Column) -> Column:
 
 
 def piece(seq: Column, start: Column, end: Column) -> Column:
-    """seq[start:end), 0-based."""
-    return F.substring(seq, (start + 1).cast("int"), (end - start).cast("int"))
+    """seq[start:end), 0-based; cut as bytes, as a cut of a string walks all characters before it."""
+    return F.substring(seq.cast("binary"), (start + 1).cast("int"), (end - start).cast("int")).cast("string")
 
 
 def count_of(seq: Column, bases: str) -> Column:

@@ -82,11 +82,11 @@ def hamilton(rows: DataFrame, total: int, weight: str, order: str) -> DataFrame:
 
 
 def hamilton_real(rows: DataFrame, total: int, weight: str, order: str) -> DataFrame:
-    """The same for real weights."""
+    """The same for real weights.  Shares count to nine digits, so that the order of a sum decides nothing."""
     every = Window.partitionBy(F.lit(0))
-    rows = rows.withColumn("_share", F.col(weight) / F.sum(weight).over(every) * total).withColumn("_quota", F.floor("_share"))
+    rows = rows.withColumn("_share", F.col(weight) / F.sum(weight).over(every) * total).withColumn("_quota", F.floor(F.round("_share", 9)))
     rows = rows.withColumn("_left", F.lit(total) - F.sum("_quota").over(every))
-    place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc(F.col(weight) > 0), F.desc(F.col("_share") - F.col("_quota")), order))
+    place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc(F.col(weight) > 0), F.desc(F.round(F.col("_share") - F.col("_quota"), 9)), order))
     return rows.withColumn("seats", (F.col("_quota") + F.when((F.col(weight) > 0) & (place <= F.col("_left")), 1).otherwise(0)).cast("long")).drop("_share", "_quota", "_left")
 
 

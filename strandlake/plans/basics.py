@@ -128,6 +128,18 @@ def hamilton_sql(source: str, total: int, weight: str, order: str) -> str:
   FROM (SELECT *, {weight}::HUGEINT * {total} // sum({weight}) OVER () AS quota, {weight}::HUGEINT * {total} % sum({weight}) OVER () AS rest FROM {source}))"""
 
 
+def hamilton_real_sql(source: str, total: int, weight: str, order: str) -> str:
+    return f"""hamilton AS (SELECT * EXCLUDE (share, quota), CAST(quota + CASE WHEN {weight} > 0 AND row_number() OVER (ORDER BY {weight} > 0 DESC, round(share - quota, 9) DESC, {order}) <= {total} - sum(quota) OVER () THEN 1 ELSE 0 END AS BIGINT) AS seats
+  FROM (SELECT *, floor(round(share, 9)) AS quota FROM (SELECT *, {weight} / sum({weight}) OVER () * {total} AS share FROM {source})))"""
+
+
+def calibrated_weights(opportunities: DataFrame, accept: DataFrame, keys: list[str]) -> DataFrame:
+    """(ci, mass): the sum over bins, in their order, of eligible counts times acceptance."""
+    rows = opportunities.join(F.broadcast(accept), keys)  # one row a bin
+    lists = rows.groupBy("ci").agg(F.sort_array(F.collect_list(F.struct(*keys, (F.col("n") * F.col("acceptance")).alias("m")))).alias("l"))
+    return lists.select("ci", F.aggregate(F.col("l.m"), F.lit(0.0), lambda a, x: a + x).alias("mass"))
+
+
 _WEIGHTS_SQL = "weights AS (SELECT ci, count(*) AS weight FROM starts GROUP BY ci)"
 SEATS_SQL = f"{src.CONTIGS_SQL}, {_STARTS}, {_WEIGHTS_SQL}, {hamilton_sql('weights', TOTAL, 'weight', 'ci')}"
 

@@ -10,14 +10,15 @@ from ..functions import seq as sq
 from ..operators import relops
 from ..operators.lineage import kept
 from ..sources import derived as src
-from . import tiles
-from .basics import BINS, INSERT, MAX_N, READ, SEED, calibration, gc_profile
-from .libraries import CUTS, _motif_sql, candidate_pairs, candidates, gc_placed, numbered_starts, seats_of
+from . import haplotiles, sqlgen, tiles
+from .basics import _PROFILE_SQL, BINS, INSERT, MAX_N, READ, SEED, calibrated_weights, gc_profile, hamilton_real_sql, hamilton_sql
+from .libraries import _SHIFT, CUTS, SIGMA, VARIABLE, candidate_pairs, candidates, cuts_sql, enough, gc_placed, seats_of
 from .reads import FRAGMENTS_SQL, fragment_table, fragments
 from .registry import query
 from .variation import _ASM, _HAPS, SEQUENCES_SQL, asm_rows, boundaries, events_of, haplotype_segments, sequences
 
 TOTAL = 4000
+CORE = 16384
 
 
 def haplotypes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,81 +28,162 @@ def haplotypes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def physical_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(ci, hap, pos, gc): readable starts of either haplotype, each counted on its own."""
+    """(ci, hap, pos, gc): readable places of a fixed window on either haplotype's own bases."""
     rows = tiles.valid_starts(haplotypes(spark, sf_dir), READ, INSERT, MAX_N)
     return rows.select(F.floor(F.col("ci") / 2).alias("ci"), (F.col("ci") % 2).cast("int").alias("hap"), "pos", "gc")
 
 
-HAP_STARTS_SQL = f"""hap_starts AS (SELECT ci, hap, pos, CAST({INSERT} - length(translate(whole, 'CG', '')) AS BIGINT) AS gc FROM (
-  SELECT ci, hap, i AS pos, substr(seq, CAST(i + 1 AS INTEGER), {INSERT}) AS whole FROM haplotypes, unnest(range(greatest(0, length(seq) - {INSERT} + 1))) AS t(i))
-  WHERE {READ} - length(replace(substr(whole, 1, {READ}), 'N', '')) <= {MAX_N} AND {READ} - length(replace(right(whole, {READ}), 'N', '')) <= {MAX_N})"""
+def _tiled(spark: SparkSession, sf_dir: str, halo: int = INSERT) -> DataFrame:
+    return haplotiles.tiled(src.contigs(spark, sf_dir), events_of(spark, sf_dir), halo, CORE)
 
 
-@query(f"WITH {_HAPS}, {SEQUENCES_SQL}, {HAP_STARTS_SQL} SELECT ci, hap, gc * {BINS - 1} // {INSERT} + CASE WHEN gc * {BINS - 1} % {INSERT} * 2 >= {INSERT} THEN 1 ELSE 0 END AS bin, count(*) AS n FROM hap_starts GROUP BY ALL")
-def haplotype_gc_opportunities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Readable starts by contig, haplotype and GC bin."""
-    return physical_starts(spark, sf_dir).groupBy("ci", "hap", sq.gc_bin(F.col("gc"), F.lit(INSERT), BINS).alias("bin")).agg(F.count("*").alias("n"))
+#: One number for a haplotype, to which a place is added: joins on it alone, so that no plan joins by contig only.
+_KEY = "(ci * 2 + hap) * 1000000000"
+#: Projections in SQL: the haplotype place of every reference boundary, and counts of N and of G and C before each place.
+PROJECTED_SQL = f"""{_HAPS}, {SEQUENCES_SQL}, {src.windows_sql('hap_chars', 'haplotypes', 'ci, hap', 1)},
+hap_prefix AS MATERIALIZED (SELECT {_KEY} + pos + 1 AS k, CAST(sum(CASE WHEN near = 'N' THEN 1 ELSE 0 END) OVER w AS INTEGER) AS n, CAST(sum(CASE WHEN near IN ('C', 'G') THEN 1 ELSE 0 END) OVER w AS INTEGER) AS gc FROM hap_chars WINDOW w AS (PARTITION BY ci, hap ORDER BY pos ROWS UNBOUNDED PRECEDING) UNION ALL SELECT {_KEY}, 0, 0 FROM haplotypes),
+ref_places AS (SELECT c.ci, h.hap, i AS ref FROM contigs c, (VALUES (0), (1)) AS h(hap), unnest(range(len + 1)) AS t(i)),
+applied AS (SELECT ci, hap, ref_start, ref_end, event_kind, CAST(sum(delta) OVER (PARTITION BY ci, hap ORDER BY ref_start) AS BIGINT) AS upto FROM active),
+bounds AS MATERIALIZED (SELECT r.ci, r.hap, (r.ci * 2 + r.hap) * 1000000000 AS base, r.ref, CASE WHEN a.event_kind = 'deletion' AND r.ref < a.ref_end THEN NULL ELSE r.ref + coalesce(upto, 0) END AS place FROM ref_places r ASOF LEFT JOIN applied a ON r.ci = a.ci AND r.hap = a.hap AND r.ref > a.ref_start)"""
 
 
-def _seated(starts: DataFrame) -> DataFrame:
-    return seats_of(relops.hamilton(starts.groupBy("ci").agg(F.count("*").alias("weight")), TOTAL, "weight", "ci"))
+_READABLE = f"""JOIN hap_prefix p ON p.k = base + place JOIN hap_prefix p2 ON p2.k = base + place + {READ} JOIN hap_prefix q ON q.k = base + stop JOIN hap_prefix q2 ON q2.k = base + stop - {READ}
+  WHERE stop - place >= {READ} AND p2.n - p.n <= {MAX_N} AND q.n - q2.n <= {MAX_N}"""
 
 
-def placed_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(ci, pos, mask, hap0, hap1): reference starts that a haplotype can be read from, with its own places.
+def hap_starts_sql(name: str, insert: int) -> str:
+    """``name`` (ci, hap, pos, place, size, gc): reference starts whose interval of ``insert`` a haplotype can be read from."""
+    return f"""{name}_ends AS (SELECT ci, hap, base, ref AS pos, place, lead(place, {insert}) OVER (PARTITION BY ci, hap ORDER BY ref) AS stop FROM bounds),
+{name} AS MATERIALIZED (SELECT b.ci, b.hap, pos, place, stop - place AS size, CAST(q.gc - p.gc AS BIGINT) AS gc FROM {name}_ends b {_READABLE})"""
 
-    A start inside an insertion has no reference place and does not count.
-    """
-    spans = haplotype_segments(spark, sf_dir).where(F.col("bases").isNull() | (F.col("ref_end") > F.col("ref_begin"))).drop("bases")
-    rows = relops.range_join(physical_starts(spark, sf_dir), spans, ["ci", "hap"], "pos", "hap_begin", "hap_end", 256)
-    rows = rows.select("ci", "hap", F.col("pos").alias("own"), (F.col("ref_begin") + F.col("pos") - F.col("hap_begin")).alias("pos"))
-    own = lambda h: F.max(F.when(F.col("hap") == h, F.col("own"))).alias(f"hap{h}")
-    return rows.groupBy("ci", "pos").agg(F.bit_or(F.expr("shiftleft(1, hap)")).alias("mask"), own(0), own(1))
 
+_BIN = f"gc * {BINS - 1} // size + CASE WHEN gc * {BINS - 1} % size * 2 >= size THEN 1 ELSE 0 END"
+HAP_STARTS_SQL = f"{PROJECTED_SQL}, {hap_starts_sql('hap_starts', INSERT)}, masks AS (SELECT ci, pos, CAST(bit_or(1 << hap) AS INTEGER) AS mask FROM hap_starts GROUP BY ci, pos)"
 
-@query()
-def wgbs_haplotype_uniform(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Even draws over reference starts that at least one haplotype has; a coin decides where both do."""
-    starts = placed_starts(spark, sf_dir)
-    draws = _seated(starts).withColumn("w", rng.draw(SEED, rng.FRAGMENT, F.col("ci"), F.col("candidate"), F.lit(1)))
+
+@query(f"WITH {HAP_STARTS_SQL} SELECT ci, hap, {_BIN} AS bin, count(*) AS n FROM hap_starts GROUP BY ALL")
+def haplotype_gc_opportunities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Readable starts by contig, haplotype and GC bin of the projected template."""
+    rows = haplotiles.opportunities(_tiled(spark, sf_dir), READ, INSERT, MAX_N, BINS)
+    return rows.groupBy("ci", "hap", "bin").agg(F.sum("n").alias("n"))
+
+
+@query(f"WITH {HAP_STARTS_SQL} SELECT ci, mask, min(pos) AS first, max(pos) AS last FROM (SELECT *, pos - row_number() OVER (PARTITION BY ci, mask ORDER BY pos) AS run FROM masks) GROUP BY ci, mask, run")
+def haplotype_start_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of reference starts by the mask of haplotypes whose projected fragment is readable."""
+    rows = haplotiles.mask_runs(_tiled(spark, sf_dir), READ, INSERT, MAX_N).withColumn("stop", F.col("last") + 1)
+    # Only runs that a tile's end cuts are joined again.
+    return relops.islands(rows, ["ci", "mask"], "first", "stop").select("ci", "mask", "first", (F.col("stop") - 1).alias("last"))
+
+
+def _ranked(tile_counts: DataFrame, weight: str, draws: DataFrame) -> DataFrame:
+    """``draws`` (ci, candidate, ordinal, rank) with the tile that holds their rank and what is left of it."""
+    ranges = relops.running_ranges(tile_counts, ["ci"], weight, ["tile"])
+    return relops.cumulative_pick(draws, ranges, ["ci"], "rank", CORE).withColumn("rest", F.col("rank") - F.col("lo"))
+
+
+def _uniform(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(ordinal, ci, candidate, start, mask, haplotype)."""
+    tiled = _tiled(spark, sf_dir)
+    counts = kept(haplotiles.counts(tiled, READ, INSERT, MAX_N))
+    seats = relops.hamilton(counts.groupBy("ci").agg(F.sum("n").alias("weight")), TOTAL, "weight", "ci")
+    draws = seats_of(seats).withColumn("w", rng.draw(SEED, rng.FRAGMENT, F.col("ci"), F.col("candidate"), F.lit(1)))
     draws = draws.select("ci", "candidate", "ordinal", rng.bounded(F.col("w"), F.col("weight")).alias("rank"))
-    rows = relops.rank_select(draws, starts, ["ci"], "rank", ["pos"])
+    rows = haplotiles.at_ranks(tiled, _ranked(counts, "n", draws), READ, INSERT, MAX_N, False, BINS)
     rows = rows.withColumn("coin", rng.draw(SEED, rng.HAPLOTYPE, F.col("ci"), F.col("ordinal"), F.lit(0)))
     hap = F.when(F.col("mask") == 1, 0).when(F.col("mask") == 2, 1).otherwise(F.when(rng.bernoulli(F.col("coin"), F.lit(0.5)), 1).otherwise(0))
-    rows = rows.select("ordinal", "ci", "candidate", F.col("pos").alias("start"), "mask", hap.alias("haplotype"), "hap0", "hap1")
-    return rows.withColumn("own_start", F.when(F.col("haplotype") == 0, F.col("hap0")).otherwise(F.col("hap1"))).drop("hap0", "hap1")
+    return rows.select("ordinal", "ci", "candidate", "start", "mask", hap.alias("haplotype"))
 
 
-@query()
+_UNIFORM_SQL = f"""{HAP_STARTS_SQL}, weights AS (SELECT ci, count(*) AS weight FROM masks GROUP BY ci), {hamilton_sql('weights', TOTAL, 'weight', 'ci')},
+ask AS (SELECT ci, weight, i AS candidate, CAST(before + i AS BIGINT) AS ordinal FROM (SELECT ci, weight, seats, sum(seats) OVER (ORDER BY ci) - seats AS before FROM hamilton), unnest(range(seats)) AS t(i)), {sqlgen.draws('d', 'ask', SEED, rng.FRAGMENT, 'ci', 'candidate', '1')},
+ranks AS (SELECT ci, candidate, ordinal, {sqlgen.bounded('weight')} AS rank FROM d), numbered AS (SELECT ci, pos, mask, row_number() OVER (PARTITION BY ci ORDER BY pos) - 1 AS rank FROM masks),
+drawn AS (SELECT ci, candidate, ordinal, pos, mask FROM ranks JOIN numbered USING (ci, rank)), {sqlgen.draws('c', 'drawn', SEED, rng.HAPLOTYPE, 'ci', 'ordinal', '0')},
+uniform AS (SELECT ordinal, ci, candidate, pos AS "start", mask, CASE mask WHEN 1 THEN 0 WHEN 2 THEN 1 ELSE CASE WHEN {sqlgen.coin('0.5::DOUBLE')} THEN 1 ELSE 0 END END AS haplotype FROM c)"""
+
+
+@query(f'WITH {_UNIFORM_SQL} SELECT ordinal, ci, candidate, "start", mask, haplotype FROM uniform')
+def wgbs_haplotype_uniform(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Even draws over reference starts that at least one haplotype has; a coin decides where both do."""
+    return _uniform(spark, sf_dir)
+
+
+@query(f"""WITH {_UNIFORM_SQL}, cut AS (SELECT u.ordinal, u.ci, haplotype, "start", place, size, substr(seq, CAST(place + 1 AS INTEGER), CAST(size AS INTEGER)) AS template FROM uniform u JOIN hap_starts s ON u.ci = s.ci AND u.haplotype = s.hap AND u."start" = s.pos JOIN haplotypes h ON u.ci = h.ci AND u.haplotype = h.hap),
+held AS (SELECT ordinal, string_agg(greatest(hap_begin - place, 0) || ':' || least(hap_end - place, size) || ':' || bases, ',' ORDER BY hap_begin) AS events FROM cut c JOIN segments g ON g.ci = c.ci AND g.hap = c.haplotype AND bases IS NOT NULL AND hap_begin < place + size AND hap_end > place GROUP BY ordinal)
+SELECT ordinal, ci, haplotype, "start", template, coalesce(events, '') AS events FROM cut LEFT JOIN held USING (ordinal)""")
 def haplotype_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Templates cut from haplotypes, with the template intervals of the alleles they hold."""
-    picks = wgbs_haplotype_uniform(spark, sf_dir).withColumn("key", F.col("ci") * 2 + F.col("haplotype"))
-    core = 4096
-    tiled = tiles.tiles(haplotypes(spark, sf_dir), INSERT, core).select(F.col("ci").alias("key"), (F.col("core_start") / core).cast("long").alias("tile"), "from", F.col("seq").alias("around"))
-    rows = picks.withColumn("tile", F.floor(F.col("own_start") / core)).join(tiled, ["key", "tile"])
-    at = F.col("own_start") - F.col("from")
-    rows = rows.select("ordinal", "ci", "haplotype", "start", "own_start", sq.piece(F.col("around"), at, at + INSERT).alias("template"))
-    alleles = haplotype_segments(spark, sf_dir).where("bases IS NOT NULL").select("ci", F.col("hap").alias("haplotype"), "hap_begin", "hap_end", "bases")
-    spans = rows.select("ordinal", "ci", "haplotype", "own_start", (F.col("own_start") + INSERT).alias("own_end"))
-    held = relops.overlap_join(spans, alleles, ["ci", "haplotype"], "own_start", "own_end", "hap_begin", "hap_end", INSERT)
-    begin, end = F.greatest(F.col("hap_begin") - F.col("own_start"), F.lit(0)), F.least(F.col("hap_end") - F.col("own_start"), F.lit(INSERT))
-    lists = held.groupBy("ordinal").agg(F.sort_array(F.collect_list(F.struct(begin.alias("begin"), end.alias("end"), "bases"))).alias("l"))
-    text = F.array_join(F.transform("l", lambda e: F.concat_ws(":", e["begin"].cast("string"), e["end"].cast("string"), e["bases"])), ",")
-    return rows.join(lists, "ordinal", "left").select("ordinal", "ci", "haplotype", "start", "template", F.coalesce(text, F.lit("")).alias("events"))
+    """Templates of reference intervals on their haplotype, with the places of the alleles they hold."""
+    picked = _uniform(spark, sf_dir).select("ordinal", "ci", "start", F.lit(INSERT).cast("long").alias("span"), "haplotype")
+    return haplotiles.templates(_tiled(spark, sf_dir), picked, READ, MAX_N, CORE).select("ordinal", "ci", "haplotype", "start", "template", "events")
 
 
-@query()
-def wgbs_haplotype_gc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The GC target over physical (start, haplotype) pairs."""
-    starts = physical_starts(spark, sf_dir).withColumn("bin", sq.gc_bin(F.col("gc"), F.lit(INSERT), BINS))
-    accept = calibration(starts.groupBy("ci", "bin").agg(F.count("*").alias("n")), gc_profile(spark)).select("bin", "acceptance")
-    judged = starts.join(F.broadcast(accept), "bin", "left").select("ci", (F.col("pos") * 2 + F.col("hap")).alias("pos"), F.coalesce("acceptance", F.lit(0.0)).alias("acceptance"))
-    judged = kept(judged)
-    rows = gc_placed(_seated(starts).drop("ordinal"), numbered_starts(judged), judged.where("acceptance > 0").select("ci").distinct())
-    return rows.select("ci", "candidate", "attempt", F.floor(F.col("start") / 2).alias("start"), (F.col("start") % 2).cast("int").alias("haplotype"))
+def _gc_rounds_sql(name: str, source: str, first: int, last: int) -> str:
+    return f"""{name}_tries AS (SELECT a.*, attempt, 1 + 2 * attempt AS l1, 2 + 2 * attempt AS l2 FROM {source} a, unnest(range({first}, {last})) AS t(attempt)),
+{sqlgen.draws(name + '_d', name + '_tries', SEED, rng.FRAGMENT, 'ci', 'candidate', 'l1')}, {name}_one AS (SELECT * EXCLUDE (w0, w1, w2, w3), {sqlgen.bounded('weight')} AS rank FROM {name}_d), {sqlgen.draws(name + '_e', name + '_one', SEED, rng.FRAGMENT, 'ci', 'candidate', 'l2')},
+{name} AS (SELECT ci, candidate, min(attempt) AS attempt, arg_min(pos, attempt) AS "start", arg_min(hap, attempt) AS haplotype FROM (SELECT e.*, {sqlgen.uniform()} AS u FROM {name}_e e) x JOIN numbered USING (ci, rank) JOIN accepting USING (hap, bin) WHERE acceptance > 0 AND u < acceptance GROUP BY ci, candidate)"""
 
 
-_HAP_CUTS = "hap_contigs AS (SELECT ci * 2 + hap AS ci, seq, CAST(length(seq) AS BIGINT) AS len FROM haplotypes), hap_cuts AS (SELECT ci // 2 AS ci, CAST(ci % 2 AS INTEGER) AS hap, pos, count(*) AS sites FROM (" + " UNION ALL ".join(_motif_sql(*c).replace("FROM contigs", "FROM hap_contigs") for c in CUTS) + ") GROUP BY ALL)"
+_GC_SQL = f"""{HAP_STARTS_SQL}, {_PROFILE_SQL}, chances AS (SELECT ci, hap, {_BIN} AS bin, count(*) AS n FROM hap_starts GROUP BY ALL), ratios AS (SELECT hap, bin, p * 0.5 / sum(n) AS ratio FROM chances JOIN profile USING (bin) GROUP BY hap, bin, p),
+accepting AS (SELECT hap, bin, ratio / (SELECT max(ratio) FROM ratios) AS acceptance FROM ratios), masses AS (SELECT ci, list_sum(list(n * acceptance ORDER BY hap, bin)) AS mass FROM chances JOIN accepting USING (hap, bin) GROUP BY ci), {hamilton_real_sql('masses', TOTAL, 'mass', 'ci')},
+weights AS (SELECT ci, count(*) AS weight FROM hap_starts GROUP BY ci), ask AS (SELECT ci, weight, i AS candidate FROM hamilton JOIN weights USING (ci), unnest(range(seats)) AS t(i)), numbered AS (SELECT ci, pos, hap, {_BIN} AS bin, row_number() OVER (PARTITION BY ci ORDER BY pos, hap) - 1 AS rank FROM hap_starts),
+{_gc_rounds_sql('one', 'ask', 0, 16)}, left1 AS (SELECT * FROM ask w WHERE NOT EXISTS (SELECT 1 FROM one o WHERE o.ci = w.ci AND o.candidate = w.candidate)),
+{_gc_rounds_sql('two', 'left1', 16, 400)}, left2 AS (SELECT * FROM left1 w WHERE NOT EXISTS (SELECT 1 FROM two o WHERE o.ci = w.ci AND o.candidate = w.candidate)), {_gc_rounds_sql('three', 'left2', 400, 20000)}"""
+
+
+@query(f'WITH {_GC_SQL} SELECT ci, candidate, attempt, "start", haplotype FROM (SELECT * FROM one UNION ALL SELECT * FROM two UNION ALL SELECT * FROM three)')
+def wgbs_haplotype_gc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The GC target over physical (start, haplotype) pairs; half of its mass is for either haplotype."""
+    tiled = _tiled(spark, sf_dir)
+    o = kept(haplotiles.opportunities(tiled, READ, INSERT, MAX_N, BINS))
+    chances = o.groupBy("ci", "hap", "bin").agg(F.sum("n").alias("n"))
+    ratio = chances.groupBy("hap", "bin").agg(F.sum("n").alias("n")).join(gc_profile(spark), "bin").select("hap", "bin", (F.col("p") * 0.5 / F.col("n")).alias("ratio"))
+    accept = kept(ratio.select("hap", "bin", (F.col("ratio") / F.max("ratio").over(Window.partitionBy(F.lit(0)))).alias("acceptance")))  # two rows a bin
+    seats = relops.hamilton_real(calibrated_weights(chances, accept, ["hap", "bin"]), TOTAL, "mass", "ci").select("ci", "seats")
+    counts = kept(o.groupBy("ci", "tile").agg(F.sum("n").alias("pairs")))
+    want = seats_of(seats.join(counts.groupBy("ci").agg(F.sum("pairs").alias("weight")), "ci")).drop("ordinal")
+
+    def find(tries: DataFrame) -> DataFrame:
+        ranked = _ranked(counts, "pairs", tries.withColumnRenamed("attempt", "ordinal"))
+        found = haplotiles.at_ranks(tiled, ranked, READ, INSERT, MAX_N, True, BINS).select("ci", "candidate", F.col("ordinal").alias("attempt"), "start", (F.col("mask") - 1).alias("hap"), F.when(F.col("mask") == 1, F.col("bin0")).otherwise(F.col("bin1")).alias("bin"))
+        found = found.join(F.broadcast(accept), ["hap", "bin"], "left").select("ci", "candidate", "attempt", "start", F.col("hap").alias("haplotype"), F.coalesce("acceptance", F.lit(0.0)).alias("acceptance"))
+        return tries.join(found, ["ci", "candidate", "attempt"])
+
+    return gc_placed(want, find).select("ci", "candidate", "attempt", "start", "haplotype")
+
+
+def _variable_rounds(name: str, source: str, lo: int, hi: int) -> str:
+    low, mean, high, sd = VARIABLE
+    size = f"CAST(least({high}, greatest({low}, {mean} + {_SHIFT.replace(str(SIGMA), str(sd))})) AS BIGINT)"
+    good = f"""SELECT ci, candidate, any_value(seats) AS seats, any_value(span) AS span, any_value("start") AS "start", CAST(bit_or(1 << hap) AS INTEGER) AS mask FROM {name}_met {_READABLE} GROUP BY ci, candidate"""
+    return f"""{name}_ask AS (SELECT ci, seats, len, candidate FROM {source} JOIN contigs USING (ci), unnest(range({lo} * seats, {hi} * seats)) AS t(candidate)), {sqlgen.draws(name + '_n', name + '_ask', SEED, rng.FRAGMENT, 'ci', 'candidate', '0')},
+{name}_sized AS (SELECT * FROM (SELECT ci, seats, len, candidate, {size} AS span FROM {name}_n) WHERE len >= span), {sqlgen.draws(name + '_p', name + '_sized', SEED, rng.FRAGMENT, 'ci', 'candidate', '1')}, {name}_placed AS (SELECT ci, seats, candidate, span, {sqlgen.bounded('len - span + 1')} AS "start" FROM {name}_p),
+{name}_begun AS MATERIALIZED (SELECT c.*, hap, base, place FROM {name}_placed c JOIN bounds b ON b.ci = c.ci AND b.ref = c."start"), {name}_met AS MATERIALIZED (SELECT c.*, e.place AS stop FROM {name}_begun c JOIN bounds e ON e.base = c.base AND e.ref = c."start" + c.span), {name} AS ({good})"""
+
+
+_VARIABLE_SQL = f"""{PROJECTED_SQL}, {hap_starts_sql('wide', VARIABLE[2])}, weights AS (SELECT ci, count(DISTINCT pos) AS weight FROM wide GROUP BY ci), {hamilton_sql('weights', TOTAL, 'weight', 'ci')}, seated AS (SELECT ci, seats FROM hamilton WHERE seats > 0),
+{_variable_rounds('one', 'seated', 0, 8)}, short1 AS (SELECT s.ci, any_value(s.seats) AS seats FROM seated s LEFT JOIN one o USING (ci) GROUP BY s.ci HAVING count(o.ci) < any_value(s.seats)), {_variable_rounds('two', 'short1', 8, 2000)},
+taken AS (SELECT *, row_number() OVER (PARTITION BY ci ORDER BY candidate) - 1 AS accept_rank FROM (SELECT * FROM one UNION ALL SELECT * FROM two))"""
+
+
+@query(f'WITH {_VARIABLE_SQL} SELECT ci, candidate, accept_rank, candidate - accept_rank AS skipped, "start", span, mask FROM taken WHERE accept_rank < seats')
+def wgbs_haplotype_variable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Variable reference spans on haplotypes: a candidate counts if either haplotype's template is readable."""
+    contigs = src.contigs(spark, sf_dir)
+    wide = _tiled(spark, sf_dir, VARIABLE[2])
+    seats = relops.hamilton(haplotiles.counts(wide, READ, VARIABLE[2], MAX_N).groupBy("ci").agg(F.sum("n").alias("weight")), TOTAL, "weight", "ci")
+
+    def judged(short: DataFrame, lo: int, hi: int) -> DataFrame:
+        ask = short.select("ci", "seats", F.explode(F.sequence(lo * F.col("seats"), hi * F.col("seats") - 1)).alias("candidate")).join(contigs.select("ci", "len"), "ci")
+        ask = ask.withColumn("span", rng.clamped_normal(SEED, rng.FRAGMENT, F.col("ci"), F.col("candidate"), F.lit(0), *VARIABLE)).where(F.col("len") >= F.col("span"))
+        ask = ask.withColumn("start", rng.pick(SEED, rng.FRAGMENT, F.col("ci"), F.col("candidate"), F.lit(1), F.col("len") - F.col("span") + 1))
+        asked = ask.select(F.col("candidate").alias("ordinal"), "ci", "start", "span", F.lit(None).cast("int").alias("haplotype"))
+        good = haplotiles.templates(wide, asked, READ, MAX_N, CORE).where("ok").groupBy("ci", F.col("ordinal").alias("candidate"), "start", "span").agg(F.bit_or(F.expr("shiftleft(1, haplotype)")).alias("mask"))
+        return good.join(short.select("ci", "seats"), "ci").select("ci", "seats", "candidate", "start", "span", "mask")
+
+    return enough(seats, judged, 3).select("ci", "candidate", "accept_rank", "skipped", "start", "span", "mask")
+
+
+_HAP_CUTS = "hap_contigs AS (SELECT ci * 2 + hap AS ci, seq FROM haplotypes), " + cuts_sql("both_cuts", "hap_contigs") + ", hap_cuts AS (SELECT ci // 2 AS ci, CAST(ci % 2 AS INTEGER) AS hap, pos, sites FROM both_cuts)"
 
 
 @query(f"WITH {_HAPS}, {SEQUENCES_SQL}, {_HAP_CUTS} SELECT ci, hap, pos, sites FROM hap_cuts")

@@ -12,7 +12,7 @@ from ..operators import relops
 from ..operators.lineage import kept
 from ..sources import derived as src
 from . import sqlgen, tiles
-from .basics import _CALIBRATION_SQL, BINS, DEFAULTS, INSERT, MAX_N, READ, SEATS_SQL, SEED, Params, calibration, gc_opportunities, gc_profile, hamilton_allocation
+from .basics import _CALIBRATION_SQL, _STARTS, BINS, DEFAULTS, INSERT, MAX_N, READ, SEATS_SQL, SEED, TOTAL, Params, calibrated_weights, calibration, gc_opportunities, gc_profile, hamilton_real_sql, hamilton_sql
 from .registry import query
 
 #: Recognised motifs with the place of the cut: one short motif for volume, one that overlaps it.
@@ -22,10 +22,16 @@ SHORTEST, LONGEST = 40, 120
 
 def _motif_sql(motif: str, cut: int) -> str:
     pattern = motif.replace("N", "[ACGT]")
-    return f"SELECT ci, i + {cut} AS pos FROM contigs, unnest(range(len - {len(motif)} + 1)) AS t(i) WHERE regexp_matches(substr(seq, CAST(i + 1 AS INTEGER), {len(motif)}), '^{pattern}$')"
+    return f"SELECT ci, pos + {cut} AS pos FROM motif_places WHERE regexp_matches(near, '^{pattern}')"
 
 
-CUTS_SQL = f"cuts AS (SELECT ci, pos, count(*) AS sites FROM ({' UNION ALL '.join(_motif_sql(*c) for c in CUTS)}) GROUP BY ci, pos)"
+def cuts_sql(name: str, source: str) -> str:
+    """``name`` (ci, pos, sites): cut places of ``source``; blanks after the end let short motifs match there."""
+    widest = max(len(m) for m, _ in CUTS)
+    return f"{src.windows_sql('motif_places', source, 'ci', widest, '-' * widest).replace('at0 + j AS pos', f'at0 + j - {widest} AS pos')}, {name} AS (SELECT ci, pos, count(*) AS sites FROM ({' UNION ALL '.join(_motif_sql(*c) for c in CUTS)}) GROUP BY ci, pos)"
+
+
+CUTS_SQL = cuts_sql("cuts", "contigs")
 
 
 @query(f"WITH {src.CONTIGS_SQL}, {CUTS_SQL} SELECT ci, pos, sites FROM cuts")
@@ -100,7 +106,7 @@ def rrbs_score_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.groupBy("ci", state.alias("state")).agg(F.count("*").alias("n"), F.sum("score").alias("score"))
 
 
-def _picked(spark: SparkSession, weights: DataFrame, n_each: int, stage_contig: str = "ci") -> DataFrame:
+def _picked(weights: DataFrame, n_each: int) -> DataFrame:
     """Draws 0..n_each-1 of each contig with an integer pick below the contig's total weight."""
     d = weights.select("ci", "total", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_each - 1).cast("long"))).alias("ordinal"))
     w = rng.draw(SEED, rng.FRAGMENT, F.col("ci"), F.col("ordinal"), F.lit(1))
@@ -117,7 +123,7 @@ def rrbs_uniform_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates drawn evenly by physical copy (two of each here)."""
     rows = candidates(src.contigs(spark, sf_dir), rrbs_candidate_pairs(spark, sf_dir))
     totals = rows.groupBy("ci").agg((F.sum(F.bit_count("mask"))).alias("total"))
-    draws = _picked(spark, totals, 8).select("ci", "ordinal", F.floor(F.col("pick") / 2).alias("rank"), (F.col("pick") % 2).alias("copy"))
+    draws = _picked(totals, 8).select("ci", "ordinal", F.floor(F.col("pick") / 2).alias("rank"), (F.col("pick") % 2).alias("copy"))
     return relops.rank_select(draws, rows.select("ci", "left", "right"), ["ci"], "rank", ["left", "right"]).select("ci", "ordinal", "left", "right", "copy")
 
 
@@ -126,7 +132,7 @@ runs AS (SELECT *, sum(weight) OVER (PARTITION BY ci ORDER BY lft, rgt) AS hi FR
 def rrbs_profile_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates drawn by weight: the first running weight above the draw."""
     rows = candidates(src.contigs(spark, sf_dir), rrbs_candidate_pairs(spark, sf_dir)).select("ci", "left", "right", (F.col("sites") * F.bit_count("mask")).alias("weight"))
-    draws = _picked(spark, rows.groupBy("ci").agg(F.sum("weight").alias("total")), 8)
+    draws = _picked(rows.groupBy("ci").agg(F.sum("weight").alias("total")), 8)
     return relops.cumulative_pick(draws, relops.running_ranges(rows, ["ci"], "weight", ["left", "right"]), ["ci"], "pick", 64).select("ci", "ordinal", "left", "right")
 
 
@@ -159,7 +165,7 @@ def tbs_eligible(spark: SparkSession, sf_dir: str) -> DataFrame:
 runs AS (SELECT *, sum(score) OVER (PARTITION BY ci ORDER BY ordinal) AS hi FROM eligible) SELECT ci, p.ordinal AS draw, r.ordinal AS target, first FROM picks p JOIN runs r USING (ci) WHERE pick < hi AND pick >= hi - score""")
 def tbs_weight_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = tbs_eligible(spark, sf_dir).withColumnRenamed("ordinal", "target")
-    draws = _picked(spark, rows.groupBy("ci").agg(F.sum("score").alias("total")), 8).withColumnRenamed("ordinal", "draw")
+    draws = _picked(rows.groupBy("ci").agg(F.sum("score").alias("total")), 8).withColumnRenamed("ordinal", "draw")
     return relops.cumulative_pick(draws, relops.running_ranges(rows, ["ci"], "score", ["target"]), ["ci"], "pick", 64).select("ci", "draw", "target", "first")
 
 
@@ -168,36 +174,68 @@ ATTEMPTS, MOST_ATTEMPTS = 12, 100_000
 
 #: Standard deviation of a target fragment's displacement from the target's centre.
 SIGMA = 15.0
+#: No draw of the generator lies further out, in standard deviations: the root of -2 ln 2**-53, rounded up.
+FURTHEST = 8.6
+_SHIFT = f"CAST(trunc({SIGMA} * sqrt(-2 * ln((((w1 << 21) | (w0 >> 11))::DOUBLE + 1) * {2.0**-53!r})) * cos(2 * pi() * (((w3 << 21) | (w2 >> 11))::DOUBLE * {2.0**-53!r}))) AS BIGINT)"
+
+
+def _displaced_sql(name: str, source: str, first: int, last: int) -> str:
+    """``name`` (ci, ordinal, target, attempt, start): the first readable of attempts [first, last) of ``source``."""
+    return f"""{name}_tries AS (SELECT s.*, attempt, 2 + attempt AS local FROM {source} s, unnest(range({first}, {last})) AS t(attempt)), {sqlgen.draws(name + '_d', name + '_tries', SEED, rng.FRAGMENT, 'ci', 'ordinal', 'local')},
+{name} AS (SELECT d.ci, d.ordinal, target, min(attempt) AS attempt, arg_min(pos, attempt) AS "start" FROM (SELECT *, middle + {_SHIFT} AS place FROM {name}_d) d JOIN starts s ON d.ci = s.ci AND d.place = s.pos GROUP BY d.ci, d.ordinal, target)"""
+
 
+_DISPLACED = f"""{src.CONTIGS_SQL}, {src.TARGETS_SQL}, {_STARTS}, able AS (SELECT DISTINCT ci FROM starts),
+chosen AS (SELECT ci, row_number() OVER (PARTITION BY ci ORDER BY st, en, CASE strand WHEN '+' THEN 0 WHEN '-' THEN 1 ELSE 2 END) - 1 AS target, st + (en - st) // 2 - {INSERT // 2} AS middle, score FROM targets SEMI JOIN able USING (ci)),
+{_picks_sql('SELECT ci, CAST(sum(score) AS BIGINT) AS total FROM chosen GROUP BY ci', 8)}, runs AS (SELECT *, sum(score) OVER (PARTITION BY ci ORDER BY target) AS hi FROM chosen),
+want AS (SELECT ci, p.ordinal, target, middle FROM picks p JOIN runs r USING (ci) WHERE pick < hi AND pick >= hi - score),
+near AS (SELECT w.* FROM want w ASOF JOIN starts s ON w.ci = s.ci AND s.pos >= w.middle - {int(FURTHEST * SIGMA)} WHERE s.pos <= w.middle + {int(FURTHEST * SIGMA)}),
+{_displaced_sql('one', 'near', 0, 16)}, left1 AS (SELECT * FROM near w WHERE NOT EXISTS (SELECT 1 FROM one o WHERE o.ci = w.ci AND o.ordinal = w.ordinal)),
+{_displaced_sql('two', 'left1', 16, 400)}, left2 AS (SELECT * FROM left1 w WHERE NOT EXISTS (SELECT 1 FROM two o WHERE o.ci = w.ci AND o.ordinal = w.ordinal)),
+{_displaced_sql('three', 'left2', 400, MOST_ATTEMPTS)}, placed AS (SELECT * FROM one UNION ALL SELECT * FROM two UNION ALL SELECT * FROM three)"""
 
-@query()
+
+@query(f'WITH {_DISPLACED} SELECT w.ci, w.ordinal AS draw, w.target, attempt, "start" FROM want w LEFT JOIN placed p ON p.ci = w.ci AND p.ordinal = w.ordinal')
 def tbs_displaced(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fragments displaced from their target's centre: attempt k shifts by a normal draw, the first whose
-    fragment is readable counts.  Readable starts are runs, met by range; rounds try what is left."""
-    contigs = src.contigs(spark, sf_dir)
-    runs = kept(tiles.valid_runs(contigs, READ, INSERT, MAX_N))
-    # Targets with a readable start within the reach of a few standard deviations can be placed.
-    reach = int(4 * SIGMA)
-    rows = tbs_targets(spark, sf_dir).withColumnRenamed("ordinal", "target").withColumn("middle", F.col("st") + F.floor((F.col("en") - F.col("st")) / 2) - INSERT // 2)
-    near = rows.select("ci", "target", F.greatest(F.col("middle") - reach, F.lit(0).cast("long")).alias("from_"), F.greatest(F.col("middle") + reach + 1, F.lit(1)).alias("to_"))
-    able = relops.overlap_join(near, runs, ["ci"], "from_", "to_", "pos", "stop", 256).select("ci", "target").distinct()
-    rows = kept(rows.join(able, ["ci", "target"]).select("ci", "target", "middle", "score"))
-    draws = _picked(spark, rows.groupBy("ci").agg(F.sum("score").alias("total")), 8)
-    want = kept(relops.cumulative_pick(draws, relops.running_ranges(rows, ["ci"], "score", ["target"]), ["ci"], "pick", 64).select("ci", "ordinal", "target", "middle"))
+    """Fragments displaced from their target's centre; attempt and start are null where all attempts fail.
+
+    All targets of a contig that has a readable start take part, however far the start.
+    """
+    runs = kept(tiles.valid_runs(src.contigs(spark, sf_dir), READ, INSERT, MAX_N))
+    middle = F.col("st") + F.floor((F.col("en") - F.col("st")) / 2) - INSERT // 2
+    rows = tbs_targets(spark, sf_dir).select("ci", F.col("ordinal").alias("target"), middle.alias("middle"), "score").join(runs.select("ci").distinct(), "ci", "left_semi")
+    return displaced(rows, runs, strict=False).select("ci", F.col("ordinal").alias("draw"), "target", "attempt", "start")
+
+
+def displaced(rows: DataFrame, runs: DataFrame, strict: bool = True) -> DataFrame:
+    """(ci, ordinal, target, attempt, start): weighted picks of ``rows`` (ci, target, middle, score), displaced.
+
+    Attempt k shifts by a normal draw, the first whose fragment is readable counts.  Readable starts are
+    runs, met by range; rounds try what is left.  A draw that ``MOST_ATTEMPTS`` do not place, as none can where
+    no readable start is within ``FURTHEST`` deviations, is an error, or (not strict) a row of nulls.
+    """
+    draws = _picked(rows.groupBy("ci").agg(F.sum("score").alias("total")).where("total > 0"), 8)
+    every = kept(relops.cumulative_pick(draws, relops.running_ranges(rows, ["ci"], "score", ["target"]), ["ci"], "pick", 64).select("ci", "ordinal", "target", "middle"))
+    reach = int(FURTHEST * SIGMA)
+    near = every.select("ci", "ordinal", F.greatest(F.col("middle") - reach, F.lit(0).cast("long")).alias("from_"), F.greatest(F.col("middle") + reach + 1, F.lit(1)).alias("to_"))
+    able = relops.overlap_join(near, runs, ["ci"], "from_", "to_", "pos", "stop", 256).select("ci", "ordinal").distinct()
+    want = kept(every.join(able, ["ci", "ordinal"]))
+    if strict and want.count() < every.count():
+        raise ArithmeticError("a target has no readable start in reach")
     first, size, found = 0, ATTEMPTS, None
     while True:
         tries = want.withColumn("attempt", F.explode(F.sequence(F.lit(first).cast("long"), F.lit(first + size - 1).cast("long"))))
         shift = rng.clamped_normal(SEED, rng.FRAGMENT, F.col("ci"), F.col("ordinal"), 2 + F.col("attempt"), -(10**9), 0, 10**9, SIGMA)
         tries = tries.withColumn("shift", shift).withColumn("start", F.col("middle") + F.col("shift")).where("start >= 0")
-        met = relops.range_join(tries, runs, ["ci"], "start", "pos", "stop", 256).select("ci", "ordinal", "target", "attempt", "start", F.lit(True).alias("ok"))
+        met = relops.range_join(tries, runs, ["ci"], "start", "pos", "stop", 256).select("ci", "ordinal", "attempt", "start", F.lit(True).alias("ok"))
         got = kept(relops.first_accepted(met, ["ci", "ordinal"], "attempt", "ok"))
         found = got if found is None else found.unionByName(got)
         want = kept(want.join(got.select("ci", "ordinal"), ["ci", "ordinal"], "left_anti"))
-        if want.isEmpty():
-            return found.select("ci", F.col("ordinal").alias("draw"), "target", "attempt", "start")
-        first, size = first + size, 4 * size
-        if first >= MOST_ATTEMPTS:
+        first, size = first + size, min(4 * size, MOST_ATTEMPTS - first - size)
+        if strict and size <= 0 and not want.isEmpty():
             raise ArithmeticError("a target accepts too little")
+        if size <= 0 or want.isEmpty():
+            return every.join(found, ["ci", "ordinal"], "left")
 
 
 # Whole genome --------------------------------------------------------------------------------------
@@ -207,10 +245,6 @@ UNIFORM_SQL = f"""{SEATS_SQL}, {_ASK_SQL}, {sqlgen.draws('d', 'ask', SEED, rng.F
 numbered AS (SELECT ci, pos, row_number() OVER (PARTITION BY ci ORDER BY pos) - 1 AS rank FROM starts), picked AS (SELECT ci, candidate, ordinal, rank, pos AS "start" FROM ranks JOIN numbered USING (ci, rank))"""
 
 
-def seated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return seats_of(hamilton_allocation(spark, sf_dir))
-
-
 def seats_of(seats: DataFrame) -> DataFrame:
     """(ci, weight, candidate, ordinal): the candidates that each contig draws; ordinal runs over all contigs."""
     before = F.sum("seats").over(Window.partitionBy(F.lit(0)).orderBy("ci")) - F.col("seats")
@@ -267,70 +301,70 @@ def _tries(want: DataFrame, first: int, last: int) -> DataFrame:
     return tries.select("ci", "candidate", "attempt", rng.bounded(F.col("w"), F.col("weight")).alias("rank"), rng.uniform01(F.col("v")).alias("u"))
 
 
-def numbered_starts(starts: DataFrame):
-    """How attempts find their start among rows (ci, pos, acceptance), numbered within their contig."""
-    return lambda tries: relops.rank_select(tries, starts, ["ci"], "rank", ["pos"]).withColumnRenamed("pos", "start")
-
-
-def tiled_starts(spark: SparkSession, sf_dir: str):
-    """How attempts find their start inside the tiles, where no start is a row unless it is tried."""
-    contigs = src.contigs(spark, sf_dir)
+def tiled_starts(contigs: DataFrame, accept: DataFrame):
+    """How attempts find their start and its acceptance inside the tiles: no start is a row unless it is tried."""
     counts = kept(tile_counts(contigs, DEFAULTS))
-    accept = kept(calibration(gc_opportunities(spark, sf_dir), gc_profile(spark)).select("bin", "acceptance"))  # one row a bin
 
     def find(tries: DataFrame) -> DataFrame:
         found = at_ranks(contigs, tries.withColumnRenamed("attempt", "ordinal"), counts, DEFAULTS).withColumnRenamed("ordinal", "attempt")
-        found = found.withColumn("bin", sq.gc_bin(F.col("gc"), F.lit(INSERT), BINS)).join(F.broadcast(accept), "bin", "left").na.fill(0.0, ["acceptance"])
+        found = found.withColumn("bin", sq.gc_bin(F.col("gc"), F.lit(INSERT), BINS)).join(F.broadcast(accept), "bin", "left").na.fill(0.0, ["acceptance"])  # one row a bin
         return tries.join(found.select("ci", "candidate", "attempt", "start", "acceptance"), ["ci", "candidate", "attempt"])
 
     return find
 
 
 def gc_accepted(want: DataFrame, find, first: int, last: int) -> DataFrame:
-    """(ci, candidate, attempt, start): the first accepted attempt in [first, last) of each candidate."""
+    """(ci, candidate, attempt, start, ...): the first accepted attempt in [first, last) of each candidate."""
     found = find(_tries(want, first, last))
-    found = found.withColumn("accepted", (F.col("acceptance") > 0) & (F.col("u") < F.col("acceptance"))).select("ci", "candidate", "attempt", "start", "accepted")
+    found = found.withColumn("accepted", (F.col("acceptance") > 0) & (F.col("u") < F.col("acceptance"))).drop("acceptance", "u", "rank")
     return relops.first_accepted(found, ["ci", "candidate"], "attempt", "accepted")
 
 
-_GC_SQL = f"""{SEATS_SQL}, {_CALIBRATION_SQL}, {_ASK_SQL}, tries AS (SELECT a.*, attempt, 1 + 2 * attempt AS l1, 2 + 2 * attempt AS l2 FROM ask a, unnest(range({ATTEMPTS})) AS t(attempt)),
-{sqlgen.draws('d', 'tries', SEED, rng.FRAGMENT, 'ci', 'candidate', 'l1')}, one AS (SELECT * EXCLUDE (w0, w1, w2, w3), {sqlgen.bounded('weight')} AS rank FROM d), {sqlgen.draws('e', 'one', SEED, rng.FRAGMENT, 'ci', 'candidate', 'l2')},
-numbered AS (SELECT ci, pos, {f"gc * {BINS - 1} // {INSERT} + CASE WHEN gc * {BINS - 1} % {INSERT} * 2 >= {INSERT} THEN 1 ELSE 0 END"} AS bin, row_number() OVER (PARTITION BY ci ORDER BY pos) - 1 AS rank FROM starts),
-accepted AS (SELECT ci, candidate, attempt, pos FROM (SELECT e.*, {sqlgen.uniform()} AS u FROM e) x JOIN numbered USING (ci, rank) JOIN calibration USING (bin) WHERE acceptance > 0 AND u < acceptance)"""
+def _gc_attempts_sql(name: str, source: str, first: int, last: int) -> str:
+    """``name`` (ci, candidate, attempt, start): the first accepted of attempts [first, last) of ``source``."""
+    return f"""{name}_tries AS (SELECT a.*, attempt, 1 + 2 * attempt AS l1, 2 + 2 * attempt AS l2 FROM {source} a, unnest(range({first}, {last})) AS t(attempt)),
+{sqlgen.draws(name + '_d', name + '_tries', SEED, rng.FRAGMENT, 'ci', 'candidate', 'l1')}, {name}_one AS (SELECT * EXCLUDE (w0, w1, w2, w3), {sqlgen.bounded('weight')} AS rank FROM {name}_d), {sqlgen.draws(name + '_e', name + '_one', SEED, rng.FRAGMENT, 'ci', 'candidate', 'l2')},
+{name} AS (SELECT ci, candidate, min(attempt) AS attempt, arg_min(pos, attempt) AS "start" FROM (SELECT e.*, {sqlgen.uniform()} AS u FROM {name}_e e) x JOIN numbered USING (ci, rank) JOIN calibration USING (bin) WHERE acceptance > 0 AND u < acceptance GROUP BY ci, candidate)"""
 
 
-@query(f"WITH {_GC_SQL} SELECT ci, candidate, min(attempt) AS attempt, arg_min(pos, attempt) AS \"start\" FROM accepted GROUP BY ci, candidate")
+_BIN_OF = f"gc * {BINS - 1} // {INSERT} + CASE WHEN gc * {BINS - 1} % {INSERT} * 2 >= {INSERT} THEN 1 ELSE 0 END"
+#: Seats by calibrated mass, as a profile's seats are; picks are even over a contig's starts.
+GC_SEATS_SQL = f"""{_CALIBRATION_SQL}, masses AS (SELECT ci, list_sum(list(o.n * acceptance ORDER BY bin)) AS mass FROM opportunities o JOIN calibration USING (bin) GROUP BY ci), {hamilton_real_sql('masses', TOTAL, 'mass', 'ci')}"""
+_GC_SQL = f"""{src.CONTIGS_SQL}, {_STARTS}, {GC_SEATS_SQL}, weights AS (SELECT ci, count(*) AS weight FROM starts GROUP BY ci), ask AS (SELECT ci, weight, i AS candidate FROM hamilton JOIN weights USING (ci), unnest(range(seats)) AS t(i)),
+numbered AS (SELECT ci, pos, {_BIN_OF} AS bin, row_number() OVER (PARTITION BY ci ORDER BY pos) - 1 AS rank FROM starts),
+{_gc_attempts_sql('one', 'ask', 0, 16)}, left1 AS (SELECT * FROM ask w WHERE NOT EXISTS (SELECT 1 FROM one o WHERE o.ci = w.ci AND o.candidate = w.candidate)),
+{_gc_attempts_sql('two', 'left1', 16, 400)}, left2 AS (SELECT * FROM left1 w WHERE NOT EXISTS (SELECT 1 FROM two o WHERE o.ci = w.ci AND o.candidate = w.candidate)),
+{_gc_attempts_sql('three', 'left2', 400, 20000)}"""
+
+
+@query(f'WITH {_GC_SQL} SELECT ci, candidate, attempt, "start" FROM (SELECT * FROM one UNION ALL SELECT * FROM two UNION ALL SELECT * FROM three)')
 def wgbs_gc_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Candidates that the GC target accepts within the first round of attempts."""
-    return gc_accepted(seated(spark, sf_dir).drop("ordinal"), tiled_starts(spark, sf_dir), 0, ATTEMPTS)
+    """Every candidate's first accepted attempt under the GC target; seats go by calibrated mass."""
+    o = kept(gc_opportunities(spark, sf_dir))
+    accept = kept(calibration(o, gc_profile(spark)).select("bin", "acceptance"))
+    seats = relops.hamilton_real(calibrated_weights(o, accept, ["bin"]), TOTAL, "mass", "ci").select("ci", "seats")
+    want = seats_of(seats.join(o.groupBy("ci").agg(F.sum("n").alias("weight")), "ci")).drop("ordinal")
+    # A contig with a seat has mass, so it has an acceptable start.
+    return gc_placed(want, tiled_starts(src.contigs(spark, sf_dir), accept))
 
 
-def gc_placed(want: DataFrame, find, able: DataFrame) -> DataFrame:
+def gc_placed(want: DataFrame, find) -> DataFrame:
     """``gc_accepted`` until every candidate is placed: each round tries what the rounds before left.
 
-    Candidates of contigs outside ``able`` (ci), which have no acceptable start, are left out.
+    A candidate that takes more than ``MOST_ATTEMPTS`` is an error.
     """
-    first, size, found = 0, ATTEMPTS, None
-    want = kept(want.join(able, "ci", "left_semi"))
+    first, size, found, want = 0, ATTEMPTS, None, kept(want)
     while True:
         got = kept(gc_accepted(want, find, first, first + size))
         found = got if found is None else found.unionByName(got)
         want = kept(want.join(got.select("ci", "candidate"), ["ci", "candidate"], "left_anti"))
         if want.isEmpty():
             return found
-        first, size = first + size, 4 * size
-        if first >= MOST_ATTEMPTS:
+        first, size = first + size, min(4 * size, MOST_ATTEMPTS - first - size)
+        if size <= 0:
             raise ArithmeticError("the target accepts too little")
 
 
-@query()
-def wgbs_gc_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every candidate's first accepted attempt under the GC target."""
-    o = gc_opportunities(spark, sf_dir)
-    able = o.join(calibration(o, gc_profile(spark)).where("acceptance > 0").select("bin"), "bin", "left_semi").select("ci").distinct()
-    return gc_placed(seated(spark, sf_dir).drop("ordinal"), tiled_starts(spark, sf_dir), able)
-
-
 #: The length model of variable inserts: least, mean, greatest, standard deviation.
 VARIABLE = (30, INSERT, 90, 10.0)
 
@@ -350,33 +384,17 @@ def variable_candidates(contigs: DataFrame, seats: DataFrame, first: int, last:
     return ask.where(good).select("ci", "seats", "candidate", "start", "insert_length", sq.count_of(F.col("template"), "CG").alias("gc"))
 
 
-def _bins_of(contigs: DataFrame) -> DataFrame:
-    """(ci, bin): GC bins of all readable fragments of each contig, of every length that an insert can have."""
-    low, high = VARIABLE[0], VARIABLE[2]
-
-    def kernel(x, at, a, b, n):
-        seen: set[int] = set()
-        for size in range(low, high + 1):
-            _, gc = tiles.valid_places(x, at, a, b, n, READ, size, MAX_N)
-            whole, rest = np.divmod(np.unique(gc) * (BINS - 1), size)
-            seen.update((whole + (rest * 2 >= size)).tolist())
-        bins = np.array(sorted(seen), np.int64)
-        return {"pos": np.full(len(bins), a, np.int64), "bin": bins.astype(np.int32)}
-
-    return tiles.per_tile(tiles.tiles(contigs, high), kernel, "ci long, pos long, bin int").select("ci", "bin").distinct()
-
-
-def _enough(contigs: DataFrame, seats: DataFrame, judged, first: int, able: DataFrame) -> DataFrame:
-    """The first accepted candidates of each contig of ``able`` (ci), as many as its seats.
+def enough(seats: DataFrame, judged, first: int) -> DataFrame:
+    """The first accepted candidates of each contig of ``seats`` (ci, seats), as many as its seats.
 
     All contigs try ``first`` ordinals a seat; those that are short try eight times as many more, and so
     on, so that later rounds are small.  A fragment may take ``MOST_ATTEMPTS`` ordinals; one that takes
-    more is an error.  Contigs outside ``able``, which have no acceptable start, are left out.
+    more is an error.
     """
-    seats = kept(seats.where("seats > 0").select("ci", "seats").join(able, "ci", "left_semi"))
+    seats = kept(seats.where("seats > 0").select("ci", "seats"))
     lo, hi, short, rows = 0, first, seats, None
     while True:
-        got = kept(judged(contigs, short, lo, hi))
+        got = kept(judged(short, lo, hi))
         rows = got if rows is None else rows.unionByName(got)
         taken = relops.ordered_accept(rows, ["ci"], "candidate", "seats")
         have = taken.groupBy("ci").agg(F.count("*").alias("n"), F.max("candidate").alias("last"))
@@ -390,26 +408,55 @@ def _enough(contigs: DataFrame, seats: DataFrame, judged, first: int, able: Data
         short, lo, hi = short.drop("last"), hi, hi * 9
 
 
-@query()
+def _variable_sql(name: str, source: str, lo: int, hi: int, gc: bool) -> str:
+    """``name``: readable (gc: and accepted) candidates among ordinals lo to hi a seat of ``source`` (ci, seats)."""
+    low, mean, high, sd = VARIABLE
+    size = f"CAST(least({high}, greatest({low}, {mean} + {_SHIFT.replace(str(SIGMA), str(sd))})) AS BIGINT)"
+    read = f"SELECT *, substr(seq, CAST(\"start\" + 1 AS INTEGER), CAST(insert_length AS INTEGER)) AS template FROM (SELECT p.*, {sqlgen.bounded('len - insert_length + 1')} AS \"start\" FROM {name}_p p) JOIN contigs USING (ci, len)"
+    n = lambda x: f"{READ} - length(replace({x}, 'N', ''))"
+    rows = f"SELECT ci, seats, candidate, \"start\", insert_length, CAST(insert_length - length(translate(template, 'CG', '')) AS BIGINT) AS gc FROM ({read}) WHERE {n(f'substr(template, 1, {READ})')} <= {MAX_N} AND {n(f'right(template, {READ})')} <= {MAX_N}"
+    out = f"""{name}_ask AS (SELECT ci, seats, len, candidate FROM {source} JOIN contigs USING (ci), unnest(range({lo} * seats, {hi} * seats)) AS t(candidate)), {sqlgen.draws(name + '_n', name + '_ask', SEED, rng.FRAGMENT, 'ci', 'candidate', '0')},
+{name}_sized AS (SELECT * FROM (SELECT ci, seats, len, candidate, {size} AS insert_length FROM {name}_n) WHERE len >= insert_length), {sqlgen.draws(name + '_p', name + '_sized', SEED, rng.FRAGMENT, 'ci', 'candidate', '1')}, {name}{'_read' if gc else ''} AS ({rows})"""
+    if gc:
+        out += f""", {sqlgen.draws(name + '_u', name + '_read', SEED, rng.FRAGMENT, 'ci', 'candidate', '2')}, {name} AS (SELECT * EXCLUDE (w0, w1, w2, w3, bin, acceptance) FROM (SELECT u.*, gc * {BINS - 1} // insert_length + CASE WHEN gc * {BINS - 1} % insert_length * 2 >= insert_length THEN 1 ELSE 0 END AS bin FROM {name}_u u) JOIN (SELECT bin, acceptance FROM calibration) USING (bin) WHERE {sqlgen.coin('acceptance')})"""
+    return out
+
+
+def _variable_rounds(gc: bool) -> str:
+    return f"""seated AS (SELECT ci, seats FROM hamilton WHERE seats > 0), {_variable_sql('one', 'seated', 0, 8, gc)}, short1 AS (SELECT s.ci, any_value(s.seats) AS seats FROM seated s LEFT JOIN one o USING (ci) GROUP BY s.ci HAVING count(o.ci) < any_value(s.seats)),
+{_variable_sql('two', 'short1', 8, 400, gc)}, short2 AS (SELECT s.ci, any_value(s.seats) AS seats FROM short1 s LEFT JOIN (SELECT ci FROM one UNION ALL SELECT ci FROM two) o USING (ci) GROUP BY s.ci HAVING count(o.ci) < any_value(s.seats)), {_variable_sql('three', 'short2', 400, 20000, gc)},
+taken AS (SELECT *, row_number() OVER (PARTITION BY ci ORDER BY candidate) - 1 AS accept_rank FROM (SELECT * FROM one UNION ALL SELECT * FROM two UNION ALL SELECT * FROM three))
+SELECT ci, candidate, accept_rank, candidate - accept_rank AS skipped, "start", insert_length{', gc' if gc else ''} FROM taken WHERE accept_rank < seats"""
+
+
+@query(f"WITH {src.CONTIGS_SQL}, {tiles.valid_starts_sql(READ, VARIABLE[2], MAX_N, 'wide')}, weights AS (SELECT ci, count(*) AS weight FROM wide GROUP BY ci), {hamilton_sql('weights', TOTAL, 'weight', 'ci')}, {_variable_rounds(False)}")
 def wgbs_variable(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Variable inserts: the first accepted candidates of each contig, and the ordinals passed over."""
-    seats = hamilton_allocation(spark, sf_dir)  # seats go to contigs with readable starts only
-    return _enough(src.contigs(spark, sf_dir), seats, variable_candidates, 3, seats.select("ci")).select("ci", "candidate", "accept_rank", "skipped", "start", "insert_length")
+    """Variable inserts: the first accepted candidates of each contig, and the ordinals passed over.
 
+    Seats go by the starts of the longest insert.
+    """
+    contigs = src.contigs(spark, sf_dir)
+    weights = tiles.start_counts(contigs, READ, VARIABLE[2], MAX_N).groupBy("ci").agg(F.sum("n").alias("weight"))
+    seats = relops.hamilton(weights, TOTAL, "weight", "ci")
+    return enough(seats, lambda short, lo, hi: variable_candidates(contigs, short, lo, hi), 3).select("ci", "candidate", "accept_rank", "skipped", "start", "insert_length")
 
-@query()
+
+@query(f"WITH {src.CONTIGS_SQL}, {_STARTS}, {GC_SEATS_SQL}, {_variable_rounds(True)}")
 def wgbs_variable_gc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Variable inserts with the GC target: one more draw decides each candidate."""
-    accept = kept(calibration(gc_opportunities(spark, sf_dir), gc_profile(spark)).select("bin", "acceptance"))
+    """Variable inserts with the GC target: one more draw decides each candidate.
+
+    Target and seats are calibrated on inserts of the mean length.
+    """
+    contigs, o = src.contigs(spark, sf_dir), kept(gc_opportunities(spark, sf_dir))
+    accept = kept(calibration(o, gc_profile(spark)).select("bin", "acceptance"))
 
-    def judged(contigs: DataFrame, seats: DataFrame, lo: int, hi: int) -> DataFrame:
+    def judged(seats: DataFrame, lo: int, hi: int) -> DataFrame:
         rows = variable_candidates(contigs, seats, lo, hi).withColumn("bin", sq.gc_bin(F.col("gc"), F.col("insert_length"), BINS)).join(F.broadcast(accept), "bin")
         rows = rows.withColumn("w", rng.draw(SEED, rng.FRAGMENT, F.col("ci"), F.col("candidate"), F.lit(2))).where(rng.bernoulli(F.col("w"), F.col("acceptance")))
         return rows.drop("w", "bin", "acceptance")
 
-    contigs = src.contigs(spark, sf_dir)
-    able = _bins_of(contigs).join(F.broadcast(accept.where("acceptance > 0")), "bin", "left_semi").select("ci").distinct()
-    return _enough(contigs, hamilton_allocation(spark, sf_dir), judged, 6, able).select("ci", "candidate", "accept_rank", "skipped", "start", "insert_length", "gc")
+    seats = relops.hamilton_real(calibrated_weights(o, accept, ["bin"]), TOTAL, "mass", "ci")
+    return enough(seats, judged, 6).select("ci", "candidate", "accept_rank", "skipped", "start", "insert_length", "gc")
 
 
 _HAP_SQL = f"WITH ask AS (SELECT l_orderkey, l_linenumber, l_partkey % 3 + 1 AS mask, l_orderkey * 8 + l_linenumber AS ordinal, 0 AS contig FROM lineitem), {sqlgen.draws('d', 'ask', SEED, rng.HAPLOTYPE, 'contig', 'ordinal', '0')}"

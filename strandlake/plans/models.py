@@ -126,16 +126,6 @@ def confusion_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Haplotype starts and alignments -------------------------------------------------------------------
 
 
-@query()
-def haplotype_start_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Runs of haplotype starts that are readable, by haplotype (the mask's bit)."""
-    haps = sequences(src.contigs(spark, sf_dir), haplotype_segments(spark, sf_dir))
-    keyed = haps.select((F.col("ci") * 2 + F.col("hap")).alias("ci"), "seq", "len")
-    starts = tiles.valid_starts(keyed, READ, INSERT, MAX_N).select("ci", "pos", (F.col("pos") + 1).alias("stop"))
-    runs = relops.islands(starts, ["ci"], "pos", "stop")
-    return runs.select(F.floor(F.col("ci") / 2).alias("ci"), F.expr("CAST(1 + ci % 2 AS INT)").alias("bit"), F.col("pos").alias("first"), (F.col("stop") - 1).alias("last"))
-
-
 CIGAR_SQL = f"""reads AS (SELECT DISTINCT s.ci, s.hap, t.st AS read_start FROM targets t JOIN (SELECT ci, hap, max(hap_end) AS len FROM segments GROUP BY ci, hap) s ON s.ci = t.ci WHERE t.st + {READ} <= s.len),
 parts AS (SELECT r.ci, r.hap, read_start, hap_begin, CASE WHEN bases IS NOT NULL AND ref_begin = ref_end THEN 'I' ELSE 'M' END AS op, least(hap_end, read_start + {READ}) - greatest(hap_begin, read_start) AS n, ref_begin, ref_end FROM reads r JOIN segments s ON r.ci = s.ci AND r.hap = s.hap AND s.hap_begin < read_start + {READ} AND s.hap_end > read_start),
 gaps AS (SELECT *, CASE WHEN lag(ref_end) OVER w IS NULL THEN 0 ELSE ref_begin - lag(ref_end) OVER w END AS skipped FROM parts WINDOW w AS (PARTITION BY ci, hap, read_start ORDER BY hap_begin)),

@@ -14,6 +14,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.seq import piece
+from ..sources.derived import windows_sql
+
 CORE = 65536
 #: Bases as numbers: fixed values.
 CODE = np.full(256, 4, np.uint8)
@@ -26,7 +29,7 @@ def tiles(contigs: DataFrame, halo: int, core: int = CORE) -> DataFrame:
     starts = contigs.select("ci", "len", "seq", F.explode(F.sequence(F.lit(0).cast("long"), F.col("len") - 1, F.lit(core).cast("long"))).alias("core_start"))
     begin = F.greatest(F.col("core_start") - halo, F.lit(0))
     end = F.least(F.col("core_start") + core + halo, F.col("len"))
-    return starts.select("ci", "len", "core_start", F.least(F.col("core_start") + core, F.col("len")).alias("core_end"), begin.alias("from"), F.substring("seq", (begin + 1).cast("int"), (end - begin).cast("int")).alias("seq"))
+    return starts.select("ci", "len", "core_start", F.least(F.col("core_start") + core, F.col("len")).alias("core_end"), begin.alias("from"), piece(F.col("seq"), begin, end).alias("seq"))
 
 
 def per_tile(tiled: DataFrame, kernel: Callable[[np.ndarray, int, int, int, int], dict[str, np.ndarray]], schema: str) -> DataFrame:
@@ -81,7 +84,7 @@ def contexts(contigs: DataFrame) -> DataFrame:
     return per_tile(tiles(contigs, 2), kernel, "ci long, pos long, code int")
 
 
-CONTEXTS_SQL = """bases AS (SELECT ci, len, i AS pos, substr('--' || seq || '--', CAST(i + 1 AS INTEGER), 5) AS near FROM contigs, unnest(range(len)) AS t(i)),
+CONTEXTS_SQL = f"""{windows_sql('bases', 'contigs', 'ci', 5, '--')},
 contexts AS (SELECT * FROM (SELECT ci, pos, CAST(CASE WHEN regexp_matches(near, '^..CG') THEN 1 WHEN regexp_matches(near, '^..C[ACT]G') THEN 3 WHEN regexp_matches(near, '^..C[ACT][ACT]') THEN 7
   WHEN regexp_matches(near, '^.CG') THEN 9 WHEN regexp_matches(near, '^C[AGT]G') THEN 11 WHEN regexp_matches(near, '^[AGT][AGT]G') THEN 15 END AS INTEGER) AS code FROM bases) WHERE code IS NOT NULL)"""
 
@@ -161,10 +164,9 @@ def starts_at(contigs: DataFrame, draws: DataFrame, read: int, insert: int, max_
     return rows.mapInArrow(run, "ci long, candidate long, ordinal long, rank long, start long, gc long")
 
 
-def valid_starts_sql(read: int, insert: int, max_n: int) -> str:
-    return f"""starts AS (SELECT ci, pos, CAST({insert} - length(translate(whole, 'CG', '')) AS BIGINT) AS gc FROM (
-  SELECT ci, i AS pos, substr(seq, CAST(i + 1 AS INTEGER), {insert}) AS whole FROM contigs, unnest(range(len - {insert} + 1)) AS t(i) WHERE len >= {insert})
-  WHERE {read} - length(replace(substr(whole, 1, {read}), 'N', '')) <= {max_n} AND {read} - length(replace(substr(whole, {insert - read + 1}, {read}), 'N', '')) <= {max_n})"""
+def valid_starts_sql(read: int, insert: int, max_n: int, name: str = "starts") -> str:
+    return f"""{windows_sql(name + '_whole', 'contigs', 'ci', insert)}, {name} AS (SELECT ci, pos, CAST({insert} - length(translate(near, 'CG', '')) AS BIGINT) AS gc FROM {name}_whole
+  WHERE {read} - length(replace(substr(near, 1, {read}), 'N', '')) <= {max_n} AND {read} - length(replace(substr(near, {insert - read + 1}, {read}), 'N', '')) <= {max_n})"""
 
 
 def cut_places(contigs: DataFrame, sites: list[tuple[str, int]]) -> DataFrame:

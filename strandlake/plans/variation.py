@@ -124,7 +124,7 @@ def sequences(contigs: DataFrame, parts: DataFrame) -> DataFrame:
     """(ci, hap, seq, len): each haplotype's bases, its segments laid end to end."""
     cut = parts.groupBy("ci", "hap").agg(F.sort_array(F.collect_list(F.struct("hap_begin", "ref_begin", "ref_end", "bases"))).alias("parts"))
     rows = cut.join(contigs.select("ci", "seq"), "ci")
-    piece = lambda p: F.coalesce(p["bases"], F.substr(F.col("seq"), (p["ref_begin"] + 1).cast("int"), (p["ref_end"] - p["ref_begin"]).cast("int")))
+    piece = lambda p: F.coalesce(p["bases"], sq.piece(F.col("seq"), p["ref_begin"], p["ref_end"]))
     rows = rows.select("ci", "hap", F.array_join(F.transform("parts", piece), "").alias("seq"))
     return rows.withColumn("len", F.length("seq").cast("long"))
 
@@ -193,8 +193,8 @@ def haplotype_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
     return met.select("ci", "hap", F.when(inserted, F.col("ref_begin")).otherwise(F.col("ref_begin") + within).alias("origin"), F.when(inserted, within + 1).otherwise(0).cast("int").alias("inserted"), "code")
 
 
-HAP_SITES_SQL = """hap_bases AS (SELECT ci, hap, i AS hap_pos, substr('--' || seq || '--', CAST(i + 1 AS INTEGER), 5) AS near FROM haplotypes, unnest(range(length(seq))) AS t(i)),
-hap_codes AS (SELECT * FROM (SELECT ci, hap, hap_pos, CAST(CASE WHEN regexp_matches(near, '^..CG') THEN 1 WHEN regexp_matches(near, '^..C[ACT]G') THEN 3 WHEN regexp_matches(near, '^..C[ACT][ACT]') THEN 7
+HAP_SITES_SQL = f"""{src.windows_sql('hap_bases', 'haplotypes', 'ci, hap', 5, '--')},
+hap_codes AS (SELECT * FROM (SELECT ci, hap, pos AS hap_pos, CAST(CASE WHEN regexp_matches(near, '^..CG') THEN 1 WHEN regexp_matches(near, '^..C[ACT]G') THEN 3 WHEN regexp_matches(near, '^..C[ACT][ACT]') THEN 7
   WHEN regexp_matches(near, '^.CG') THEN 9 WHEN regexp_matches(near, '^C[AGT]G') THEN 11 WHEN regexp_matches(near, '^[AGT][AGT]G') THEN 15 END AS INTEGER) AS code FROM hap_bases) WHERE code IS NOT NULL),
 hap_sites AS (SELECT c.ci, c.hap, CASE WHEN bases IS NOT NULL AND ref_begin = ref_end THEN ref_begin ELSE ref_begin + hap_pos - hap_begin END AS origin, CAST(CASE WHEN bases IS NOT NULL AND ref_begin = ref_end THEN hap_pos - hap_begin + 1 ELSE 0 END AS INTEGER) AS inserted, code
   FROM hap_codes c ASOF JOIN segments s ON c.ci = s.ci AND c.hap = s.hap AND c.hap_pos >= s.hap_begin)"""
@@ -316,7 +316,7 @@ def mutated(contigs: DataFrame, rate: float = MUTATION_RATE) -> DataFrame:
     return tiles.per_tile_keyed(tiles.tiles(contigs, 0), kernel, CATALOG_SEED, rng.MUTATION, "ci long, pos long, base int, indel boolean")
 
 
-_DENOVO = f"ask AS (SELECT ci, i AS pos, substr(seq, CAST(i + 1 AS INTEGER), 1) AS b FROM contigs, unnest(range(len)) AS t(i) WHERE substr(seq, CAST(i + 1 AS INTEGER), 1) <> 'N'), {sqlgen.draws('d', 'ask', CATALOG_SEED, rng.MUTATION, 'ci', 'pos', '0')}, hit AS (SELECT ci, pos, b FROM d WHERE {sqlgen.uniform()} < {MUTATION_RATE}), {sqlgen.draws('e', 'hit', CATALOG_SEED, rng.MUTATION, 'ci', 'pos', '1')}"
+_DENOVO = f"{src.windows_sql('places', 'contigs', 'ci', 1)}, ask AS (SELECT ci, pos, near AS b FROM places WHERE near <> 'N'), {sqlgen.draws('d', 'ask', CATALOG_SEED, rng.MUTATION, 'ci', 'pos', '0')}, hit AS (SELECT ci, pos, b FROM d WHERE {sqlgen.uniform()} < {MUTATION_RATE}), {sqlgen.draws('e', 'hit', CATALOG_SEED, rng.MUTATION, 'ci', 'pos', '1')}"
 
 
 @query(f"WITH {src.CONTIGS_SQL}, {_DENOVO} SELECT ci, pos, CAST(strpos('ACGT', b) - 1 AS INTEGER) AS base, {sqlgen.uniform()} < {INDEL_RATE} AS indel FROM e")

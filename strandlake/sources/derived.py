@@ -9,11 +9,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.seq import piece
+
 #: Fixed map: letters by place in the alphabet modulo four; '#' (any other character) becomes N.
 LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz#"
 BASES = "ACGTACGTACGTACGTACGTACGTACACGTACGTACGTACGTACGTACGTACN"
-LEAST_LENGTH = 200
-LONGEST = 4000
+#: Targets need room: contigs longer than this hold them.
+ROOM = 20
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,18 +23,29 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def dna(text):
-    return F.translate(F.regexp_replace(F.substring(text, 1, LONGEST), "[^A-Za-z]", "#"), LETTERS, BASES)
+    return F.translate(F.regexp_replace(text, "[^A-Za-z]", "#"), LETTERS, BASES)
 
 
 def contigs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(ci, name, seq, len): contigs of at least LEAST_LENGTH bases; ci is the document's id."""
+    """(ci, name, seq, len): every whole text that is not empty; ci is the document's id."""
     docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("ci"), dna(F.col("text")).alias("seq"))
-    return docs.select("ci", F.concat(F.lit("doc"), F.col("ci")).alias("name"), "seq", F.length("seq").cast("long").alias("len")).where(F.col("len") >= LEAST_LENGTH)
+    return docs.select("ci", F.concat(F.lit("doc"), F.col("ci")).alias("name"), "seq", F.length("seq").cast("long").alias("len")).where("len > 0")
 
 
 CONTIGS_SQL = f"""contigs AS (SELECT ci, 'doc' || ci AS name, seq, CAST(length(seq) AS BIGINT) AS len FROM (
-  SELECT doc_id AS ci, translate(regexp_replace(substr(text, 1, {LONGEST}), '[^A-Za-z]', '#', 'g'), '{LETTERS}', '{BASES}') AS seq FROM documents)
-  WHERE length(seq) >= {LEAST_LENGTH})"""
+  SELECT doc_id AS ci, translate(regexp_replace(text, '[^A-Za-z]', '#', 'g'), '{LETTERS}', '{BASES}') AS seq FROM documents)
+  WHERE length(seq) > 0)"""
+
+
+def windows_sql(name: str, source: str, keys: str, width: int, pad: str = "") -> str:
+    """``name`` (keys, pos, near): the ``width`` bases from each place of ``source`` on, with ``pad`` before and after.
+
+    Cut by way of blocks, as each cut of a long text walks to its place.
+    """
+    whole = f"'{pad}' || seq || '{pad}'" if pad else "seq"
+    n = f"greatest(0, length(seq) + {2 * len(pad)} - {width} + 1)"
+    return f"""{name}_blocks AS (SELECT {keys}, {n} AS n, k AS at0, substr({whole}, CAST(k + 1 AS INTEGER), {1000 + width}) AS part FROM {source}, unnest(range(0, {n}, 1000)) AS t(k)),
+{name} AS (SELECT {keys}, at0 + j AS pos, substr(part, CAST(j + 1 AS INTEGER), {width}) AS near FROM {name}_blocks, unnest(range(least(1000, n - at0))) AS t(j))"""
 
 
 def _on_contig(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,15 +63,15 @@ _ITEMS_SQL = "(SELECT *, l_partkey * 31 + l_linenumber * 17 + l_orderkey AS h, l
 
 def targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(ci, st, en, strand, score): distinct stranded intervals with an integer score."""
-    h, n = F.col("h"), F.col("len") - 20
+    h, n = F.col("h"), F.col("len") - ROOM
     strand = F.when(F.col("l_returnflag") == "A", "+").when(F.col("l_returnflag") == "N", "-").otherwise(".")
-    rows = _on_contig(spark, sf_dir).select("ci", (h % n).alias("st"), (h % n + 1 + F.col("l_suppkey") % 20).alias("en"), strand.alias("strand"), F.col("l_quantity").cast("long").alias("q"))
+    rows = _on_contig(spark, sf_dir).where(F.col("len") > ROOM).select("ci", (h % n).alias("st"), (h % n + 1 + F.col("l_suppkey") % 20).alias("en"), strand.alias("strand"), F.col("l_quantity").cast("long").alias("q"))
     return rows.groupBy("ci", "st", "en", "strand").agg(F.max("q").alias("score"))
 
 
 TARGETS_SQL = f"""targets AS (SELECT ci, st, en, strand, max(q) AS score FROM (
-  SELECT ci, h % (len - 20) AS st, h % (len - 20) + 1 + l_suppkey % 20 AS en,
-    CASE l_returnflag WHEN 'A' THEN '+' WHEN 'N' THEN '-' ELSE '.' END AS strand, CAST(l_quantity AS BIGINT) AS q FROM {_ITEMS_SQL}) GROUP BY ALL)"""
+  SELECT ci, h % (len - {ROOM}) AS st, h % (len - {ROOM}) + 1 + l_suppkey % 20 AS en,
+    CASE l_returnflag WHEN 'A' THEN '+' WHEN 'N' THEN '-' ELSE '.' END AS strand, CAST(l_quantity AS BIGINT) AS q FROM {_ITEMS_SQL} WHERE len > {ROOM}) GROUP BY ALL)"""
 
 
 def variants(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,7 +83,7 @@ def variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     h = F.col("h")
     pos = F.floor((h % F.col("len")) / 10) * 10 + 5
     rows = _on_contig(spark, sf_dir).select("ci", "seq", pos.alias("pos"), (F.lit(1) + F.col("l_suppkey") % 3).alias("mask"), (F.col("l_linenumber") % 3).alias("kind")).where(F.col("pos") + 5 < F.length("seq"))
-    rows = rows.groupBy("ci", "pos", F.substring("seq", F.col("pos").cast("int") + 1, F.lit(3)).alias("near")).agg(F.min("mask").alias("mask"), F.min("kind").alias("kind"))
+    rows = rows.groupBy("ci", "pos", piece(F.col("seq"), F.col("pos"), F.col("pos") + 3).alias("near")).agg(F.min("mask").alias("mask"), F.min("kind").alias("kind"))
     rows = rows.where(F.when(F.col("kind") == 2, ~F.col("near").contains("N")).otherwise(~F.substring("near", 1, 1).contains("N")))
     first = F.substring("near", 1, 1)
     ref = F.when(F.col("kind") == 2, F.col("near")).otherwise(first)
