@@ -109,7 +109,8 @@ def wgbs_haplotype_uniform(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {_UNIFORM_SQL}, cut AS (SELECT u.ordinal, u.ci, haplotype, "start", place, size, substr(seq, CAST(place + 1 AS INTEGER), CAST(size AS INTEGER)) AS template FROM uniform u JOIN hap_starts s ON u.ci = s.ci AND u.haplotype = s.hap AND u."start" = s.pos JOIN haplotypes h ON u.ci = h.ci AND u.haplotype = h.hap),
-held AS (SELECT ordinal, string_agg(greatest(hap_begin - place, 0) || ':' || least(hap_end - place, size) || ':' || bases, ',' ORDER BY hap_begin) AS events FROM cut c JOIN segments g ON g.ci = c.ci AND g.hap = c.haplotype AND bases IS NOT NULL AND hap_begin < place + size AND hap_end > place GROUP BY ordinal)
+alleles AS (SELECT ci, hap, ref_start, alt_bases, CAST(ref_start + shift AS BIGINT) AS lo, CAST(ref_start + shift + length(alt_bases) AS BIGINT) AS hi FROM active),
+held AS (SELECT ordinal, string_agg(greatest(lo - place, 0) || ':' || least(hi - place, size) || ':' || alt_bases, ',' ORDER BY lo, ref_start) AS events FROM cut c JOIN alleles g ON g.ci = c.ci AND g.hap = c.haplotype AND CASE WHEN lo = hi THEN lo > place AND lo < place + size ELSE lo < place + size AND hi > place END GROUP BY ordinal)
 SELECT ordinal, ci, haplotype, "start", template, coalesce(events, '') AS events FROM cut LEFT JOIN held USING (ordinal)""")
 def haplotype_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Templates of reference intervals on their haplotype, with the places of the alleles they hold."""

@@ -8,6 +8,8 @@ events inside it.  An end strictly inside a deletion that the haplotype has cann
 
 from __future__ import annotations
 
+import bisect
+import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -18,6 +20,8 @@ from pyspark.sql import functions as F
 
 from . import tiles
 
+#: Flags of event kinds in read summaries: fixed values.
+FLAGS = {"snv": 1 << 8, "insertion": 1 << 9, "deletion": 1 << 10}
 _EVENTS = ("ref_start", "ref_end", "alt_bases", "mask")
 
 
@@ -46,8 +50,10 @@ class Layout:
     tail: int
     unknown: np.ndarray
     gc: np.ndarray
-    #: (first place, end, bases) of every allele of the haplotype.
-    alleles: list[tuple[int, int, str]]
+    #: (first place, end, bases, kind's flag) of every event of the haplotype; a deletion ends where it begins.
+    alleles: list[tuple[int, int, str, int]]
+    #: The reference place of each base, -1 for inserted ones.
+    origin: np.ndarray
 
     def span(self, start: np.ndarray, end: np.ndarray, last: int) -> tuple[np.ndarray, np.ndarray]:
         """The projected ends of reference intervals; ``last`` is the boundary behind which a tail counts."""
@@ -66,20 +72,43 @@ def layout(x: np.ndarray, at: int, total: int, events: list, hap: int) -> Layout
         if b - a != len(alt):
             cut[max(a + 1, 0) : max(b, 0)] = True
         if a >= 0:
-            alts.append((a, int(before[a]), alt))
+            alts.append((a, b, int(before[a]), alt))
             before[a] += len(alt)
     place = np.concatenate(([0], np.cumsum(own + before[:n])))
     tail = int(before[n]) if at + n == total else 0
     bases = np.zeros(int(place[n]) + tail, np.uint8)
     kept = np.flatnonzero(own)
     bases[place[kept] + before[kept]] = x[kept]
+    origin = np.full(len(bases), -1, np.int64)
+    origin[place[kept] + before[kept]] = kept + at
     alleles = []
-    for a, skip, alt in alts:
+    for a, b, skip, alt in alts:
         p = int(place[a]) + skip
-        bases[p : p + len(alt)] = tiles.CODE[np.frombuffer(alt.encode(), np.uint8)][: max(0, len(bases) - p)]
-        if alt:
-            alleles.append((p, p + len(alt), alt))
-    return Layout(bases, place, cut, tail, tiles._prefix(bases == 4), tiles._prefix((bases == 1) | (bases == 2)), sorted(alleles))
+        room = max(0, len(bases) - p)
+        bases[p : p + len(alt)] = tiles.CODE[np.frombuffer(alt.encode(), np.uint8)][:room]
+        if len(alt) == b - a:
+            origin[p : p + len(alt)] = (np.arange(a, b) + at)[:room]
+        alleles.append((p, p + len(alt), alt, FLAGS["snv" if len(alt) == b - a else "insertion" if a == b else "deletion"]))
+    return Layout(bases, place, cut, tail, tiles._prefix(bases == 4), tiles._prefix((bases == 1) | (bases == 2)), alleles, origin)
+
+
+def plain(x: np.ndarray, at: int) -> Layout:
+    """The reference itself as a layout."""
+    n = len(x)
+    return Layout(x, np.arange(n + 1), np.zeros(n + 1, bool), 0, tiles._prefix(x == 4), tiles._prefix((x == 1) | (x == 2)), [], np.arange(n, dtype=np.int64) + at)
+
+
+def seen(h: Layout, a: int, b: int) -> list[tuple[int, int, str, int]]:
+    """The events within [a, b), by places from ``a`` on; a deletion only strictly inside."""
+    out, k = [], max(0, bisect.bisect_left(h.alleles, a, key=lambda e: e[0]) - 1)
+    while k > 0 and h.alleles[k][1] > a:
+        k -= 1
+    for lo, hi, alt, flag in itertools.islice(h.alleles, k, None):
+        if lo >= b:
+            break
+        if hi > max(lo, a) or lo == hi and a < lo < b:
+            out.append((max(lo, a) - a, min(hi, b) - a, alt, flag))
+    return out
 
 
 def readable(h: Layout, start: np.ndarray, end: np.ndarray, last: int, read: int, max_n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -107,7 +136,8 @@ def starts(row: dict, read: int, insert: int, max_n: int) -> tuple[np.ndarray, l
     return s, both, oks, ends
 
 
-def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+def dicts(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """Rows one at a time, so that one tile's Python objects live at once."""
     for batch in batches:
         for k in range(batch.num_rows):
             yield batch.slice(k, 1).to_pylist()[0]
@@ -117,7 +147,7 @@ def opportunities(tiled_: DataFrame, read: int, insert: int, max_n: int, bins: i
     """(ci, tile, hap, bin, n): sequenceable (start, haplotype) pairs of each tile by the template's GC bin."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row in _rows(batches):
+        for row in dicts(batches):
             _, both, oks, ends = starts(row, read, insert, max_n)
             for hap in (0, 1):
                 (p, q), ok = ends[hap], oks[hap]
@@ -133,7 +163,7 @@ def mask_runs(tiled_: DataFrame, read: int, insert: int, max_n: int) -> DataFram
     """(ci, tile, mask, first, last): runs within a tile of reference starts that the same haplotypes have."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row in _rows(batches):
+        for row in dicts(batches):
             s, _, oks, _ = starts(row, read, insert, max_n)
             mask = oks[0] + 2 * oks[1].astype(np.int32) if len(s) else np.zeros(0, np.int32)
             opens = np.flatnonzero(np.diff(mask, prepend=-1) != 0)
@@ -151,7 +181,7 @@ def counts(tiled_: DataFrame, read: int, insert: int, max_n: int) -> DataFrame:
     """(ci, tile, n, pairs): reference starts that some haplotype has, and (start, haplotype) pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row in _rows(batches):
+        for row in dicts(batches):
             _, _, oks, _ = starts(row, read, insert, max_n)
             yield pa.record_batch([pa.array([row["ci"]], pa.int64()), pa.array([row["tile"]], pa.int64()), pa.array([int((oks[0] | oks[1]).sum())], pa.int64()), pa.array([int(oks[0].sum() + oks[1].sum())], pa.int64())], ["ci", "tile", "n", "pairs"])
 
@@ -168,7 +198,7 @@ def at_ranks(tiled_: DataFrame, draws: DataFrame, read: int, insert: int, max_n:
     rows = tiled_.join(lists, ["ci", "tile"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row in _rows(batches):
+        for row in dicts(batches):
             s, both, oks, ends = starts(row, read, insert, max_n)
             rest = np.array([p["rest"] for p in row["picks"]], np.int64)
             if pairs:
@@ -201,7 +231,7 @@ def templates(tiled_: DataFrame, picked: DataFrame, read: int, max_n: int, core:
     letters = np.frombuffer(b"ACGTN", np.uint8)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row in _rows(batches):
+        for row in dicts(batches):
             x = tiles.CODE[np.frombuffer(row["seq"].encode(), np.uint8)]
             at, total = row["from"], row["len"]
             events = [tuple(e[c] for c in _EVENTS) for e in row["events"] or ()]
@@ -211,17 +241,10 @@ def templates(tiled_: DataFrame, picked: DataFrame, read: int, max_n: int, core:
                 if not mine:
                     continue
                 h = layout(x, at, total, events, hap)
-                begins = np.array([a for a, _, _ in h.alleles], np.int64)
                 s, n = (np.array([p[c] for p in mine], np.int64) for c in ("start", "span"))
                 ok, p, q = readable(h, s - at, s - at + n, total - at, read, max_n)
                 for pick, good, a, b in zip(mine, ok.tolist(), p.tolist(), q.tolist(), strict=True):
-                    held = []
-                    k = max(0, int(np.searchsorted(begins, a, side="right")) - 1)
-                    while good and k < len(h.alleles) and h.alleles[k][0] < b:
-                        lo, hi, alt = h.alleles[k]
-                        if hi > a:
-                            held.append(f"{max(lo, a) - a}:{min(hi, b) - a}:{alt}")
-                        k += 1
+                    held = [f"{lo}:{hi}:{alt}" for lo, hi, alt, _ in seen(h, a, b)] if good else []
                     out.append((pick["ordinal"], row["ci"], hap, pick["start"], pick["span"], letters[h.bases[a:b]].tobytes().decode() if good else None, ",".join(held), good))
             types = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.bool_())
             yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)

@@ -13,11 +13,11 @@ from ..functions import philox as rng
 from ..functions import samplers
 from ..operators import relops
 from ..sources import derived as src
-from . import tiles
-from .basics import CATALOG_SEED, INSERT, MAX_N, READ, SEED
-from .reads import fragment_table
+from . import sqlgen, tiles
+from .basics import CATALOG_SEED, DEFAULTS, READ, SEED
+from .reads import FRAGMENTS_SQL, READS_SQL, Options, placed_reads, sequence
 from .registry import query
-from .variation import _HAPS, INDEL_RATE, haplotype_segments, mutated, sequences
+from .variation import _HAPS, INDEL_RATE, haplotype_segments, mutated
 
 #: Beta shapes by context class: fixed defaults.
 SHAPES = {1: (0.5, 0.5), 3: (0.01, 0.05), 7: (0.01, 0.05)}
@@ -81,46 +81,37 @@ def denovo_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mutated(contigs).groupBy("ci").cogroup(contigs.select("ci", "seq").groupBy("ci")).applyInArrow(scan, schema)
 
 
-def qualities(frags: DataFrame, model: dict) -> DataFrame:
-    """(ordinal, mate, qual): quality strings of both mates."""
+def _cumulative_sql(name: str, rows: list[tuple[int, int, list[int]]]) -> str:
+    """``name`` (mate, row, upto, total): running counts of each row of a count model."""
+    values = ", ".join(f"({mate}::BIGINT, {k}::BIGINT, {np.cumsum(counts).tolist()}::BIGINT[], {sum(counts)}::BIGINT)" for mate, k, counts in rows)
+    return f"{name} AS (SELECT * FROM (VALUES {values}) AS t(mate, row, upto, total))"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ordinal, ci = batch["ordinal"].to_numpy(), batch["ci"].to_numpy()
-            if not len(ordinal):
-                continue
-            distinct, place = np.unique(ci, return_inverse=True)
-            key = rng.stage_key(SEED, rng.QUALITY, distinct)[place]
-            for mate in (0, 1):
-                q = samplers.markov_qualities(model, mate, key, ordinal.astype(np.uint64), READ)
-                yield pa.record_batch([batch["ordinal"], pa.array(np.full(len(ordinal), mate, np.int32)), pa.array([r.tobytes().decode() for r in (q + 33).astype(np.uint8)])], ["ordinal", "mate", "qual"])
 
-    return frags.select("ordinal", "ci").mapInArrow(run, "ordinal long, mate int, qual string")
+_PICKED = "list_sum(list_transform(upto, lambda u: CASE WHEN u <= {pick} THEN 1 ELSE 0 END))::BIGINT"
+_CHAIN_SQL = f"""{_cumulative_sql('opening', [(m, t, r) for m, x in enumerate(MARKOV['mates']) for t, r in enumerate(x['initial_counts'])])}, {_cumulative_sql('stepping', [(m, t, r) for m, x in enumerate(MARKOV['mates']) for t, r in enumerate(x['transition_counts'])])},
+qask AS (SELECT ordinal, ci, mate, t, (mate << 32) + t AS local FROM fragments, (VALUES (0::BIGINT), (1::BIGINT)) AS m(mate), unnest(range({READ})) AS r(t)), {sqlgen.draws('qd', 'qask', SEED, rng.QUALITY, 'ci', 'ordinal', 'local')},
+chain AS (SELECT q.ordinal, q.mate, t, {_PICKED.format(pick=sqlgen.bounded('total'))} AS state FROM qd q JOIN opening o ON o.mate = q.mate AND o.row = q.t WHERE t = 0
+  UNION ALL SELECT c.ordinal, c.mate, q.t, {_PICKED.format(pick=sqlgen.bounded('total'))} FROM chain c JOIN qd q ON q.ordinal = c.ordinal AND q.mate = c.mate AND q.t = c.t + 1 JOIN (SELECT mate, row, 0 AS later, upto, total FROM opening UNION ALL SELECT mate, row, 1, upto, total FROM stepping) o ON o.mate = c.mate AND o.later = CASE WHEN c.t + 1 < 5 THEN 0 ELSE 1 END AND o.row = CASE WHEN c.t + 1 < 5 THEN c.t + 1 ELSE c.state END)"""
+_SCORE = f"{MARKOV['quality_scores']}::BIGINT[]"
 
 
-@query()
+@query(f"WITH RECURSIVE {FRAGMENTS_SQL}, {_CHAIN_SQL} SELECT ordinal, CAST(mate AS INTEGER) AS mate, string_agg(chr(CAST(({_SCORE})[state + 1] + 33 AS INTEGER)), '' ORDER BY t) AS qual FROM chain GROUP BY ordinal, mate")
 def markov_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return qualities(fragment_table(spark, sf_dir), MARKOV)
+    """Quality strings of both mates, drawn by the chain."""
+    rows = sequence(placed_reads(spark, sf_dir), DEFAULTS, Options(quality=MARKOV, details=False))
+    return rows.select("ordinal", F.posexplode(F.array("qual1", "qual2")).alias("mate", "qual"))
 
 
-@query()
-def confusion_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First mates after quality-dependent substitution, their qualities drawn by the chain."""
+_CONFUSED_SQL = f"""{_cumulative_sql('mixing', [(m, 4 * q + b, r) for m, x in enumerate(CONFUSION['mates']) for q, rows in enumerate(x['base_transition_counts']) for b, r in enumerate(rows)])},
+mixed AS (SELECT e.ordinal, e.mate, e.cycle, CASE WHEN called = 'N' THEN 'N' ELSE substr('ACGT', CAST({_PICKED.format(pick=sqlgen.bounded('total'))} + 1 AS INTEGER), 1) END AS base, called FROM ed e JOIN chain c ON c.ordinal = e.ordinal AND c.mate = e.mate AND c.t = e.cycle JOIN mixing x ON x.mate = e.mate AND x.row = 4 * c.state + CASE called WHEN 'C' THEN 1 WHEN 'G' THEN 2 WHEN 'T' THEN 3 WHEN 'N' THEN 3 ELSE 0 END)"""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ordinal, ci = batch["ordinal"].to_numpy(), batch["ci"].to_numpy()
-            if not len(ordinal):
-                continue
-            distinct, place = np.unique(ci, return_inverse=True)
-            key = lambda stage: rng.stage_key(SEED, stage, distinct)[place]  # noqa: B023, E731
-            called = tiles.CODE[np.frombuffer("".join(t[:READ] for t in batch["template"].to_pylist()).encode(), np.uint8)].reshape(-1, READ).astype(np.int64)
-            q = samplers.markov_qualities(MARKOV, 0, key(rng.QUALITY), ordinal.astype(np.uint64), READ)
-            got = samplers.confused(CONFUSION, 0, key(rng.SEQUENCING_ERROR), ordinal.astype(np.uint64), called, q)
-            text = [r.tobytes().decode() for r in np.frombuffer(b"ACGTN", np.uint8)[got]]
-            yield pa.record_batch([batch["ordinal"], pa.array(text), pa.array((got != called).sum(1).astype(np.int32))], ["ordinal", "seq", "n_errors"])
-
-    return fragment_table(spark, sf_dir).select("ordinal", "ci", "template").mapInArrow(run, "ordinal long, seq string, n_errors int")
+
+@query(f"WITH RECURSIVE {READS_SQL}, {_CHAIN_SQL}, {_CONFUSED_SQL} SELECT ordinal, CAST(mate AS INTEGER) AS mate, string_agg(base, '' ORDER BY cycle) AS seq, CAST(count(*) FILTER (base <> called) AS INTEGER) AS n_errors FROM mixed GROUP BY ordinal, mate")
+def confusion_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both mates after conversion and quality-dependent substitution, their qualities drawn by the chain."""
+    rows = sequence(placed_reads(spark, sf_dir), DEFAULTS, Options(quality=MARKOV, confusion=CONFUSION))
+    mates = F.posexplode(F.array(*[F.struct(F.col(f"mate{k}").alias("seq"), F.element_at(f"summary{k}", 11).alias("n_errors")) for k in (1, 2)])).alias("mate", "m")
+    return rows.select("ordinal", mates).select("ordinal", "mate", "m.seq", "m.n_errors")
 
 
 # Haplotype starts and alignments -------------------------------------------------------------------

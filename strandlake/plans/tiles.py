@@ -25,11 +25,12 @@ for _i, _b in enumerate(b"ACGT"):
 
 
 def tiles(contigs: DataFrame, halo: int, core: int = CORE) -> DataFrame:
-    """(ci, len, core_start, core_end, from, seq): ``seq`` starts at ``from`` and covers core and halos."""
-    starts = contigs.select("ci", "len", "seq", F.explode(F.sequence(F.lit(0).cast("long"), F.col("len") - 1, F.lit(core).cast("long"))).alias("core_start"))
+    """(ci, len, core_start, core_end, from, seq, ...): ``seq`` starts at ``from`` and covers core and halos."""
+    others = [c for c in contigs.columns if c not in ("ci", "len", "seq")]
+    starts = contigs.select("ci", "len", "seq", *others, F.explode(F.sequence(F.lit(0).cast("long"), F.col("len") - 1, F.lit(core).cast("long"))).alias("core_start"))
     begin = F.greatest(F.col("core_start") - halo, F.lit(0))
     end = F.least(F.col("core_start") + core + halo, F.col("len"))
-    return starts.select("ci", "len", "core_start", F.least(F.col("core_start") + core, F.col("len")).alias("core_end"), begin.alias("from"), piece(F.col("seq"), begin, end).alias("seq"))
+    return starts.select("ci", "len", "core_start", F.least(F.col("core_start") + core, F.col("len")).alias("core_end"), begin.alias("from"), piece(F.col("seq"), begin, end).alias("seq"), *others)
 
 
 def per_tile(tiled: DataFrame, kernel: Callable[[np.ndarray, int, int, int, int], dict[str, np.ndarray]], schema: str) -> DataFrame:
@@ -62,22 +63,28 @@ def _prefix(flags: np.ndarray) -> np.ndarray:
     return np.concatenate(([0], np.cumsum(flags, dtype=np.int64)))
 
 
+def context_codes(x: np.ndarray) -> np.ndarray:
+    """The context code at each base of ``x``, 0 where undefined; two bases at either end are needed to be sure."""
+    y = np.concatenate(([4, 4], x, [4, 4])).astype(np.int8)
+    m2, m1, c, p1, p2 = (y[k : k + len(x)] for k in range(5))
+    code = np.zeros(len(x), np.int32)
+    plus, minus = c == 1, c == 2
+    code[plus & (p1 == 2)] = 1
+    h = plus & (p1 != 2) & (p1 < 4)
+    code[h & (p2 == 2)] = 3
+    code[h & (p2 != 2) & (p2 < 4)] = 7
+    code[minus & (m1 == 1)] = 9
+    h = minus & (m1 != 1) & (m1 < 4)
+    code[h & (m2 == 1)] = 11
+    code[h & (m2 != 1) & (m2 < 4)] = 15
+    return code
+
+
 def contexts(contigs: DataFrame) -> DataFrame:
     """(ci, pos, code): every classified cytosine of either strand."""
 
     def kernel(x: np.ndarray, at: int, a: int, b: int, n: int) -> dict[str, np.ndarray]:
-        y = np.concatenate(([4, 4], x, [4, 4])).astype(np.int8)
-        m2, m1, c, p1, p2 = (y[k : k + len(x)] for k in range(5))
-        code = np.zeros(len(x), np.int32)
-        plus, minus = c == 1, c == 2
-        code[plus & (p1 == 2)] = 1
-        h = plus & (p1 != 2) & (p1 < 4)
-        code[h & (p2 == 2)] = 3
-        code[h & (p2 != 2) & (p2 < 4)] = 7
-        code[minus & (m1 == 1)] = 9
-        h = minus & (m1 != 1) & (m1 < 4)
-        code[h & (m2 == 1)] = 11
-        code[h & (m2 != 1) & (m2 < 4)] = 15
+        code = context_codes(x)
         pos = np.flatnonzero(code[a - at : b - at]) + a
         return {"pos": pos.astype(np.int64), "code": code[pos - at]}
 
