@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -11,7 +13,7 @@ from ..operators import relops
 from ..operators.lineage import kept
 from ..sources import derived as src
 from . import haplotiles, sqlgen, tiles
-from .basics import _PROFILE_SQL, BINS, INSERT, MAX_N, READ, SEED, calibrated_weights, gc_profile, hamilton_real_sql, hamilton_sql
+from .basics import _PROFILE_SQL, BINS, DEFAULTS, INSERT, MAX_N, READ, SEED, Params, calibrated_weights, gc_profile, hamilton_real_sql, hamilton_sql
 from .libraries import _SHIFT, CUTS, SIGMA, VARIABLE, candidate_pairs, candidates, cuts_sql, enough, gc_placed, seats_of
 from .reads import FRAGMENTS_SQL, fragment_table, fragments
 from .registry import query
@@ -82,17 +84,25 @@ def _ranked(tile_counts: DataFrame, weight: str, draws: DataFrame) -> DataFrame:
     return relops.cumulative_pick(draws, ranges, ["ci"], "rank", CORE).withColumn("rest", F.col("rank") - F.col("lo"))
 
 
-def _uniform(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(ordinal, ci, candidate, start, mask, haplotype)."""
-    tiled = _tiled(spark, sf_dir)
-    counts = kept(haplotiles.counts(tiled, READ, INSERT, MAX_N))
-    seats = relops.hamilton(counts.groupBy("ci").agg(F.sum("n").alias("weight")), TOTAL, "weight", "ci")
-    draws = seats_of(seats).withColumn("w", rng.draw(SEED, rng.FRAGMENT, F.col("ci"), F.col("candidate"), F.lit(1)))
+def draw_uniform(tiled: DataFrame, p: Params) -> DataFrame:
+    """(ordinal, ci, candidate, start, mask, haplotype): even draws over the reference starts of tiles with events."""
+    counts = kept(haplotiles.counts(tiled, p.read, p.insert, p.max_n))
+    seats = relops.hamilton(counts.groupBy("ci").agg(F.sum("n").alias("weight")), p.total, "weight", "ci")
+    draws = seats_of(seats).withColumn("w", rng.draw(p.seed, rng.FRAGMENT, F.col("ci"), F.col("candidate"), F.lit(1)))
     draws = draws.select("ci", "candidate", "ordinal", rng.bounded(F.col("w"), F.col("weight")).alias("rank"))
-    rows = haplotiles.at_ranks(tiled, _ranked(counts, "n", draws), READ, INSERT, MAX_N, False, BINS)
-    rows = rows.withColumn("coin", rng.draw(SEED, rng.HAPLOTYPE, F.col("ci"), F.col("ordinal"), F.lit(0)))
+    rows = haplotiles.at_ranks(tiled, _ranked(counts, "n", draws), p.read, p.insert, p.max_n, False, BINS)
+    return chosen(rows, p.seed).select("ordinal", "ci", "candidate", "start", "mask", "haplotype")
+
+
+def chosen(rows: DataFrame, seed: int) -> DataFrame:
+    """``rows`` (ordinal, ci, mask, ...) with ``haplotype``: a coin where both have the fragment."""
+    rows = rows.withColumn("coin", rng.draw(seed, rng.HAPLOTYPE, F.col("ci"), F.col("ordinal"), F.lit(0)))
     hap = F.when(F.col("mask") == 1, 0).when(F.col("mask") == 2, 1).otherwise(F.when(rng.bernoulli(F.col("coin"), F.lit(0.5)), 1).otherwise(0))
-    return rows.select("ordinal", "ci", "candidate", "start", "mask", hap.alias("haplotype"))
+    return rows.withColumn("haplotype", hap).drop("coin")
+
+
+def _uniform(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return draw_uniform(_tiled(spark, sf_dir), replace(DEFAULTS, total=TOTAL))
 
 
 _UNIFORM_SQL = f"""{HAP_STARTS_SQL}, weights AS (SELECT ci, count(*) AS weight FROM masks GROUP BY ci), {hamilton_sql('weights', TOTAL, 'weight', 'ci')},
@@ -134,22 +144,26 @@ weights AS (SELECT ci, count(*) AS weight FROM hap_starts GROUP BY ci), ask AS (
 @query(f'WITH {_GC_SQL} SELECT ci, candidate, attempt, "start", haplotype FROM (SELECT * FROM one UNION ALL SELECT * FROM two UNION ALL SELECT * FROM three)')
 def wgbs_haplotype_gc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The GC target over physical (start, haplotype) pairs; half of its mass is for either haplotype."""
-    tiled = _tiled(spark, sf_dir)
-    o = kept(haplotiles.opportunities(tiled, READ, INSERT, MAX_N, BINS))
+    return draw_gc(_tiled(spark, sf_dir), gc_profile(spark), BINS, replace(DEFAULTS, total=TOTAL)).select("ci", "candidate", "attempt", "start", "haplotype")
+
+
+def draw_gc(tiled: DataFrame, profile: DataFrame, bins: int, p: Params) -> DataFrame:
+    """(ci, candidate, ordinal, attempt, start, haplotype) under a GC ``profile`` (bin, p)."""
+    o = kept(haplotiles.opportunities(tiled, p.read, p.insert, p.max_n, bins))
     chances = o.groupBy("ci", "hap", "bin").agg(F.sum("n").alias("n"))
-    ratio = chances.groupBy("hap", "bin").agg(F.sum("n").alias("n")).join(gc_profile(spark), "bin").select("hap", "bin", (F.col("p") * 0.5 / F.col("n")).alias("ratio"))
+    ratio = chances.groupBy("hap", "bin").agg(F.sum("n").alias("n")).join(profile, "bin").select("hap", "bin", (F.col("p") * 0.5 / F.col("n")).alias("ratio"))
     accept = kept(ratio.select("hap", "bin", (F.col("ratio") / F.max("ratio").over(Window.partitionBy(F.lit(0)))).alias("acceptance")))  # two rows a bin
-    seats = relops.hamilton_real(calibrated_weights(chances, accept, ["hap", "bin"]), TOTAL, "mass", "ci").select("ci", "seats")
+    seats = relops.hamilton_real(calibrated_weights(chances, accept, ["hap", "bin"]), p.total, "mass", "ci").select("ci", "seats")
     counts = kept(o.groupBy("ci", "tile").agg(F.sum("n").alias("pairs")))
-    want = seats_of(seats.join(counts.groupBy("ci").agg(F.sum("pairs").alias("weight")), "ci")).drop("ordinal")
+    want = kept(seats_of(seats.join(counts.groupBy("ci").agg(F.sum("pairs").alias("weight")), "ci")))
 
     def find(tries: DataFrame) -> DataFrame:
         ranked = _ranked(counts, "pairs", tries.withColumnRenamed("attempt", "ordinal"))
-        found = haplotiles.at_ranks(tiled, ranked, READ, INSERT, MAX_N, True, BINS).select("ci", "candidate", F.col("ordinal").alias("attempt"), "start", (F.col("mask") - 1).alias("hap"), F.when(F.col("mask") == 1, F.col("bin0")).otherwise(F.col("bin1")).alias("bin"))
+        found = haplotiles.at_ranks(tiled, ranked, p.read, p.insert, p.max_n, True, bins).select("ci", "candidate", F.col("ordinal").alias("attempt"), "start", (F.col("mask") - 1).alias("hap"), F.when(F.col("mask") == 1, F.col("bin0")).otherwise(F.col("bin1")).alias("bin"))
         found = found.join(F.broadcast(accept), ["hap", "bin"], "left").select("ci", "candidate", "attempt", "start", F.col("hap").alias("haplotype"), F.coalesce("acceptance", F.lit(0.0)).alias("acceptance"))
         return tries.join(found, ["ci", "candidate", "attempt"])
 
-    return gc_placed(want, find).select("ci", "candidate", "attempt", "start", "haplotype")
+    return gc_placed(want.drop("ordinal"), find, p.seed).join(want.select("ci", "candidate", "ordinal"), ["ci", "candidate"])
 
 
 def _variable_rounds(name: str, source: str, lo: int, hi: int) -> str:
@@ -169,19 +183,23 @@ taken AS (SELECT *, row_number() OVER (PARTITION BY ci ORDER BY candidate) - 1 A
 @query(f'WITH {_VARIABLE_SQL} SELECT ci, candidate, accept_rank, candidate - accept_rank AS skipped, "start", span, mask FROM taken WHERE accept_rank < seats')
 def wgbs_haplotype_variable(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Variable reference spans on haplotypes: a candidate counts if either haplotype's template is readable."""
-    contigs = src.contigs(spark, sf_dir)
-    wide = _tiled(spark, sf_dir, VARIABLE[2])
-    seats = relops.hamilton(haplotiles.counts(wide, READ, VARIABLE[2], MAX_N).groupBy("ci").agg(F.sum("n").alias("weight")), TOTAL, "weight", "ci")
+    rows = draw_variable(src.contigs(spark, sf_dir), _tiled(spark, sf_dir, VARIABLE[2]), replace(DEFAULTS, total=TOTAL), VARIABLE)
+    return rows.select("ci", "candidate", "accept_rank", "skipped", "start", "span", "mask")
+
+
+def draw_variable(contigs: DataFrame, wide: DataFrame, p: Params, sizes: tuple) -> DataFrame:
+    """(ci, candidate, accept_rank, skipped, start, span, mask, seats); ``wide`` are tiles with a halo of the longest span."""
+    seats = relops.hamilton(haplotiles.counts(wide, p.read, sizes[2], p.max_n).groupBy("ci").agg(F.sum("n").alias("weight")), p.total, "weight", "ci")
 
     def judged(short: DataFrame, lo: int, hi: int) -> DataFrame:
         ask = short.select("ci", "seats", F.explode(F.sequence(lo * F.col("seats"), hi * F.col("seats") - 1)).alias("candidate")).join(contigs.select("ci", "len"), "ci")
-        ask = ask.withColumn("span", rng.clamped_normal(SEED, rng.FRAGMENT, F.col("ci"), F.col("candidate"), F.lit(0), *VARIABLE)).where(F.col("len") >= F.col("span"))
-        ask = ask.withColumn("start", rng.pick(SEED, rng.FRAGMENT, F.col("ci"), F.col("candidate"), F.lit(1), F.col("len") - F.col("span") + 1))
+        ask = ask.withColumn("span", rng.clamped_normal(p.seed, rng.FRAGMENT, F.col("ci"), F.col("candidate"), F.lit(0), *sizes)).where(F.col("len") >= F.col("span"))
+        ask = ask.withColumn("start", rng.pick(p.seed, rng.FRAGMENT, F.col("ci"), F.col("candidate"), F.lit(1), F.col("len") - F.col("span") + 1))
         asked = ask.select(F.col("candidate").alias("ordinal"), "ci", "start", "span", F.lit(None).cast("int").alias("haplotype"))
-        good = haplotiles.templates(wide, asked, READ, MAX_N, CORE).where("ok").groupBy("ci", F.col("ordinal").alias("candidate"), "start", "span").agg(F.bit_or(F.expr("shiftleft(1, haplotype)")).alias("mask"))
+        good = haplotiles.templates(wide, asked, p.read, p.max_n, CORE).where("ok").groupBy("ci", F.col("ordinal").alias("candidate"), "start", "span").agg(F.bit_or(F.expr("shiftleft(1, haplotype)")).alias("mask"))
         return good.join(short.select("ci", "seats"), "ci").select("ci", "seats", "candidate", "start", "span", "mask")
 
-    return enough(seats, judged, 3).select("ci", "candidate", "accept_rank", "skipped", "start", "span", "mask")
+    return enough(seats, judged, 3)
 
 
 _HAP_CUTS = "hap_contigs AS (SELECT ci * 2 + hap AS ci, seq FROM haplotypes), " + cuts_sql("both_cuts", "hap_contigs") + ", hap_cuts AS (SELECT ci // 2 AS ci, CAST(ci % 2 AS INTEGER) AS hap, pos, sites FROM both_cuts)"

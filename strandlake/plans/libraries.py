@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import numpy as np
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -39,11 +40,12 @@ def rrbs_cut_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiles.cut_places(src.contigs(spark, sf_dir), CUTS)
 
 
-def candidate_pairs(cuts: DataFrame) -> DataFrame:
+def candidate_pairs(cuts: DataFrame, shortest: int | None = None, longest: int | None = None) -> DataFrame:
     """(ci, left, right, sites): ordered cut pairs in the length band, with the motifs they span."""
+    shortest, longest = shortest or SHORTEST, longest or LONGEST
     w = Window.partitionBy("ci").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ranked = cuts.withColumn("upto", F.sum("sites").over(w))
-    pairs = relops.band_self_join(ranked, ["ci"], "pos", SHORTEST, LONGEST, {"pos": "right", "upto": "upto_right"})
+    pairs = relops.band_self_join(ranked, ["ci"], "pos", shortest, longest, {"pos": "right", "upto": "upto_right"})
     return pairs.select("ci", F.col("pos").alias("left"), "right", (F.col("upto_right") - F.col("upto") + F.col("sites")).alias("sites"))
 
 
@@ -56,17 +58,18 @@ def rrbs_candidate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return candidate_pairs(rrbs_cut_sites(spark, sf_dir))
 
 
-def candidates(contigs: DataFrame, pairs: DataFrame) -> DataFrame:
+def candidates(contigs: DataFrame, pairs: DataFrame, longest: int | None = None, read: int = READ, max_n: int = MAX_N) -> DataFrame:
     """Pairs whose two reads have few enough N, with GC count, id and mask."""
+    longest = longest or LONGEST
     # Contigs are cut to tiles as long as a few fragments: a pair meets the tile of its left cut only.
-    core = 16 * LONGEST
-    tiled = tiles.tiles(contigs, LONGEST, core).select("ci", "from", (F.col("core_start") / core).cast("long").alias("tile"), F.col("seq").alias("around"))
+    core = 16 * longest
+    tiled = tiles.tiles(contigs, longest, core).select("ci", "from", (F.col("core_start") / core).cast("long").alias("tile"), F.col("seq").alias("around"))
     # The contig's end can be a cut; it then belongs to the last tile by its left partner.
     rows = pairs.withColumn("tile", F.floor(F.col("left") / core)).join(tiled, ["ci", "tile"])
     template = sq.piece(F.col("around"), F.col("left") - F.col("from"), F.col("right") - F.col("from"))
     rows = rows.select("ci", "left", "right", "sites", template.alias("template"))
     unknown = lambda s: F.length(s) - F.length(F.replace(s, F.lit("N"), F.lit("")))
-    rows = rows.where((unknown(F.substring("template", 1, READ)) <= MAX_N) & (unknown(F.expr(f"right(template, {READ})")) <= MAX_N))
+    rows = rows.where((unknown(F.substring("template", 1, read)) <= max_n) & (unknown(F.expr(f"right(template, {read})")) <= max_n))
     return rows.select("ci", "left", "right", "sites", sq.count_of(F.col("template"), "CG").alias("gc"), F.lit(3).alias("mask"))
 
 
@@ -108,11 +111,67 @@ def rrbs_score_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _picked(weights: DataFrame, n_each: int) -> DataFrame:
     """Draws 0..n_each-1 of each contig with an integer pick below the contig's total weight."""
-    d = weights.select("ci", "total", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_each - 1).cast("long"))).alias("ordinal"))
-    w = rng.draw(SEED, rng.FRAGMENT, F.col("ci"), F.col("ordinal"), F.lit(1))
+    return picks_of(weights.select("ci", "total", F.lit(n_each).alias("seats")), SEED)
+
+
+def picks_of(weights: DataFrame, seed: int) -> DataFrame:
+    """(ci, ordinal, pick): as many draws of each contig as it has seats, below its total weight (ci, total, seats)."""
+    d = weights.where("seats > 0").select("ci", "total", F.explode(F.sequence(F.lit(0).cast("long"), F.col("seats").cast("long") - 1)).alias("ordinal"))
+    w = rng.draw(seed, rng.FRAGMENT, F.col("ci"), F.col("ordinal"), F.lit(1))
     return d.withColumn("w", w).select("ci", "ordinal", rng.bounded(F.col("w"), F.col("total")).alias("pick"))
 
 
+def seated_by(weights: DataFrame, total: int, real: bool = False) -> DataFrame:
+    """(ci, total, seats, before): ``total`` fragments shared by contig weight; ``before`` numbers them over all contigs."""
+    seats = (relops.hamilton_real if real else relops.hamilton)(weights, total, "total", "ci")
+    return seats.withColumn("before", F.sum("seats").over(Window.partitionBy(F.lit(0)).orderBy("ci")) - F.col("seats"))  # one row a contig
+
+
+def draw_rrbs(contigs: DataFrame, cuts: list[tuple[str, int]], p: Params, shortest: int, longest: int, scores: DataFrame | None = None) -> DataFrame:
+    """(ordinal, ci, start, span): restriction fragments, drawn evenly by physical copy or by ``scores``
+    (ci, left, right, score: integers below 2**32)."""
+    pairs = candidate_pairs(tiles.cut_places(contigs, cuts), shortest, longest)
+    rows = candidates(contigs, pairs, longest, p.read, p.max_n).select("ci", "left", "right", F.bit_count("mask").cast("long").alias("weight"))
+    if scores is not None:
+        rows = rows.drop("weight").join(exact_weights(scores, "score").select("ci", "left", "right", (F.col("score") * 2).alias("weight")), ["ci", "left", "right"])
+    rows = kept(rows.where("weight > 0"))
+    seats = kept(seated_by(rows.groupBy("ci").agg(F.sum("weight").alias("total")), p.total))
+    ranges = relops.running_ranges(rows, ["ci"], "weight", ["left", "right"])
+    picked = relops.cumulative_pick(picks_of(seats, p.seed), ranges, ["ci"], "pick", 64)
+    return picked.join(seats.select("ci", "before"), "ci").select((F.col("before") + F.col("ordinal")).alias("ordinal"), "ci", F.col("left").alias("start"), (F.col("right") - F.col("left")).alias("span"))
+
+
+def exact_weights(rows: DataFrame, score: str) -> DataFrame:
+    """``rows`` with the score as an exact integer; one that is no integer from 0 below 2**32 is an error."""
+    good = F.coalesce((F.col(score) >= 0) & (F.col(score) < 2**32) & (F.col(score) == F.floor(score)), F.lit(False))
+    bad = rows.where(~good).limit(1).collect()
+    if bad:
+        raise ValueError(f"not an exact output weight: {bad[0].asDict()}")
+    return rows.withColumn(score, F.col(score).cast("long"))
+
+
+def draw_tbs(contigs: DataFrame, targets: DataFrame, p: Params, sigma: float, by_score: bool) -> DataFrame:
+    """(ordinal, ci, start, span, strand): fragments at targets (ci, st, en, strand, score), evenly or by score."""
+    strand = F.when(F.col("strand") == "+", 1).when(F.col("strand") == "-", 2).otherwise(3)
+    rows = exact_weights(targets, "score") if by_score else targets
+    rows = rows.withColumn("target", F.row_number().over(Window.partitionBy("ci").orderBy("st", "en", strand)).cast("long") - 1)
+    rows = rows.withColumn("middle", F.col("st") + F.floor((F.col("en") - F.col("st")) / 2) - p.insert // 2)
+    rows = rows.select("ci", "target", "middle", (strand % 3).alias("strand"), (F.col("score") if by_score else F.lit(1).cast("long")).alias("score"))
+    runs = kept(tiles.valid_runs(contigs, p.read, p.insert, p.max_n))
+    if sigma == 0:
+        rows = relops.range_join(rows, runs, ["ci"], "middle", "pos", "stop", 256).select(*rows.columns)
+    else:
+        rows = rows.join(runs.select("ci").distinct(), "ci", "left_semi")
+    rows = kept(rows.where("score > 0"))
+    seats = kept(seated_by(rows.groupBy("ci").agg(F.sum("score").alias("total")), p.total))
+    ranges = relops.running_ranges(rows, ["ci"], "score", ["target"])
+    picked = relops.cumulative_pick(picks_of(seats, p.seed), ranges, ["ci"], "pick", 64).select("ci", "ordinal", "target", "middle", "strand")
+    if sigma > 0:
+        moved = displaced_picks(picked.drop("strand"), runs, p.seed, sigma, strict=True).select("ci", "ordinal", F.col("start").alias("middle"))
+        picked = picked.drop("middle").join(moved, ["ci", "ordinal"])
+    return picked.join(seats.select("ci", "before"), "ci").select((F.col("before") + F.col("ordinal")).alias("ordinal"), "ci", F.col("middle").alias("start"), F.lit(p.insert).cast("long").alias("span"), "strand")
+
+
 def _picks_sql(totals: str, n_each: int) -> str:
     return f"ask AS (SELECT ci, total, ordinal FROM ({totals}), unnest(range({n_each})) AS t(ordinal)), " + sqlgen.draws("d", "ask", SEED, rng.FRAGMENT, "ci", "ordinal", "1") + f", picks AS (SELECT ci, ordinal, {sqlgen.bounded('total')} AS pick FROM d)"
 
@@ -208,15 +267,22 @@ def tbs_displaced(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def displaced(rows: DataFrame, runs: DataFrame, strict: bool = True) -> DataFrame:
-    """(ci, ordinal, target, attempt, start): weighted picks of ``rows`` (ci, target, middle, score), displaced.
+    """(ci, ordinal, target, attempt, start): weighted picks of ``rows`` (ci, target, middle, score), displaced."""
+    draws = _picked(rows.groupBy("ci").agg(F.sum("score").alias("total")).where("total > 0"), 8)
+    picked = relops.cumulative_pick(draws, relops.running_ranges(rows, ["ci"], "score", ["target"]), ["ci"], "pick", 64).select("ci", "ordinal", "target", "middle")
+    return displaced_picks(picked, runs, SEED, SIGMA, strict)
+
 
-    Attempt k shifts by a normal draw, the first whose fragment is readable counts.  Readable starts are
-    runs, met by range; rounds try what is left.  A draw that ``MOST_ATTEMPTS`` do not place, as none can where
-    no readable start is within ``FURTHEST`` deviations, is an error, or (not strict) a row of nulls.
+def displaced_picks(picked: DataFrame, runs: DataFrame, seed: int, sigma: float, strict: bool) -> DataFrame:
+    """``picked`` (ci, ordinal, target, middle) with (attempt, start): attempt k shifts by a normal draw, the first
+    whose fragment is readable counts.
+
+    Readable starts are runs, met by range; rounds try what is left.  A draw that ``MOST_ATTEMPTS`` do not
+    place, as none can where no readable start is within ``FURTHEST`` deviations, is an error, or (not
+    strict) a row of nulls.
     """
-    draws = _picked(rows.groupBy("ci").agg(F.sum("score").alias("total")).where("total > 0"), 8)
-    every = kept(relops.cumulative_pick(draws, relops.running_ranges(rows, ["ci"], "score", ["target"]), ["ci"], "pick", 64).select("ci", "ordinal", "target", "middle"))
-    reach = int(FURTHEST * SIGMA)
+    every = kept(picked)
+    reach = int(FURTHEST * sigma)
     near = every.select("ci", "ordinal", F.greatest(F.col("middle") - reach, F.lit(0).cast("long")).alias("from_"), F.greatest(F.col("middle") + reach + 1, F.lit(1)).alias("to_"))
     able = relops.overlap_join(near, runs, ["ci"], "from_", "to_", "pos", "stop", 256).select("ci", "ordinal").distinct()
     want = kept(every.join(able, ["ci", "ordinal"]))
@@ -225,7 +291,7 @@ def displaced(rows: DataFrame, runs: DataFrame, strict: bool = True) -> DataFram
     first, size, found = 0, ATTEMPTS, None
     while True:
         tries = want.withColumn("attempt", F.explode(F.sequence(F.lit(first).cast("long"), F.lit(first + size - 1).cast("long"))))
-        shift = rng.clamped_normal(SEED, rng.FRAGMENT, F.col("ci"), F.col("ordinal"), 2 + F.col("attempt"), -(10**9), 0, 10**9, SIGMA)
+        shift = rng.clamped_normal(seed, rng.FRAGMENT, F.col("ci"), F.col("ordinal"), 2 + F.col("attempt"), -(10**9), 0, 10**9, sigma)
         tries = tries.withColumn("shift", shift).withColumn("start", F.col("middle") + F.col("shift")).where("start >= 0")
         met = relops.range_join(tries, runs, ["ci"], "start", "pos", "stop", 256).select("ci", "ordinal", "attempt", "start", F.lit(True).alias("ok"))
         got = kept(relops.first_accepted(met, ["ci", "ordinal"], "attempt", "ok"))
@@ -294,28 +360,28 @@ def wgbs_uniform_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
-def _tries(want: DataFrame, first: int, last: int) -> DataFrame:
+def _tries(want: DataFrame, first: int, last: int, seed: int = SEED) -> DataFrame:
     """(ci, candidate, attempt, rank, u) of every attempt in [first, last) of ``want`` (ci, weight, candidate)."""
     tries = want.withColumn("attempt", F.explode(F.sequence(F.lit(first).cast("long"), F.lit(last - 1).cast("long"))))
-    tries = tries.withColumn("w", rng.draw(SEED, rng.FRAGMENT, F.col("ci"), F.col("candidate"), 1 + 2 * F.col("attempt"))).withColumn("v", rng.draw(SEED, rng.FRAGMENT, F.col("ci"), F.col("candidate"), 2 + 2 * F.col("attempt")))
+    tries = tries.withColumn("w", rng.draw(seed, rng.FRAGMENT, F.col("ci"), F.col("candidate"), 1 + 2 * F.col("attempt"))).withColumn("v", rng.draw(seed, rng.FRAGMENT, F.col("ci"), F.col("candidate"), 2 + 2 * F.col("attempt")))
     return tries.select("ci", "candidate", "attempt", rng.bounded(F.col("w"), F.col("weight")).alias("rank"), rng.uniform01(F.col("v")).alias("u"))
 
 
-def tiled_starts(contigs: DataFrame, accept: DataFrame):
+def tiled_starts(contigs: DataFrame, accept: DataFrame, p: Params, bins: int):
     """How attempts find their start and its acceptance inside the tiles: no start is a row unless it is tried."""
-    counts = kept(tile_counts(contigs, DEFAULTS))
+    counts = kept(tile_counts(contigs, p))
 
     def find(tries: DataFrame) -> DataFrame:
-        found = at_ranks(contigs, tries.withColumnRenamed("attempt", "ordinal"), counts, DEFAULTS).withColumnRenamed("ordinal", "attempt")
-        found = found.withColumn("bin", sq.gc_bin(F.col("gc"), F.lit(INSERT), BINS)).join(F.broadcast(accept), "bin", "left").na.fill(0.0, ["acceptance"])  # one row a bin
+        found = at_ranks(contigs, tries.withColumnRenamed("attempt", "ordinal"), counts, p).withColumnRenamed("ordinal", "attempt")
+        found = found.withColumn("bin", sq.gc_bin(F.col("gc"), F.lit(p.insert), bins)).join(F.broadcast(accept), "bin", "left").na.fill(0.0, ["acceptance"])  # one row a bin
         return tries.join(found.select("ci", "candidate", "attempt", "start", "acceptance"), ["ci", "candidate", "attempt"])
 
     return find
 
 
-def gc_accepted(want: DataFrame, find, first: int, last: int) -> DataFrame:
+def gc_accepted(want: DataFrame, find, first: int, last: int, seed: int = SEED) -> DataFrame:
     """(ci, candidate, attempt, start, ...): the first accepted attempt in [first, last) of each candidate."""
-    found = find(_tries(want, first, last))
+    found = find(_tries(want, first, last, seed))
     found = found.withColumn("accepted", (F.col("acceptance") > 0) & (F.col("u") < F.col("acceptance"))).drop("acceptance", "u", "rank")
     return relops.first_accepted(found, ["ci", "candidate"], "attempt", "accepted")
 
@@ -340,22 +406,34 @@ numbered AS (SELECT ci, pos, {_BIN_OF} AS bin, row_number() OVER (PARTITION BY c
 @query(f'WITH {_GC_SQL} SELECT ci, candidate, attempt, "start" FROM (SELECT * FROM one UNION ALL SELECT * FROM two UNION ALL SELECT * FROM three)')
 def wgbs_gc_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every candidate's first accepted attempt under the GC target; seats go by calibrated mass."""
-    o = kept(gc_opportunities(spark, sf_dir))
-    accept = kept(calibration(o, gc_profile(spark)).select("bin", "acceptance"))
-    seats = relops.hamilton_real(calibrated_weights(o, accept, ["bin"]), TOTAL, "mass", "ci").select("ci", "seats")
-    want = seats_of(seats.join(o.groupBy("ci").agg(F.sum("n").alias("weight")), "ci")).drop("ordinal")
+    return draw_gc(src.contigs(spark, sf_dir), gc_profile(spark), BINS, DEFAULTS).select("ci", "candidate", "attempt", "start")
+
+
+def gc_domain(contigs: DataFrame, profile: DataFrame, bins: int, p: Params) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(eligible starts by contig and bin, acceptance by bin, seats by calibrated mass) of fixed inserts."""
+    o = tiles.gc_counts(contigs, p.read, p.insert, p.max_n, bins).groupBy("ci", F.col("pos").alias("bin")).agg(F.sum("n").alias("n"))
+    o = kept(o)
+    accept = kept(calibration(o, profile).select("bin", "acceptance"))
+    return o, accept, relops.hamilton_real(calibrated_weights(o, accept, ["bin"]), p.total, "mass", "ci").select("ci", "seats")
+
+
+def draw_gc(contigs: DataFrame, profile: DataFrame, bins: int, p: Params) -> DataFrame:
+    """(ci, candidate, ordinal, attempt, start): draws whose GC content follows ``profile`` (bin, p)."""
+    o, accept, seats = gc_domain(contigs, profile, bins, p)
     # A contig with a seat has mass, so it has an acceptable start.
-    return gc_placed(want, tiled_starts(src.contigs(spark, sf_dir), accept))
+    want = kept(seats_of(seats.join(o.groupBy("ci").agg(F.sum("n").alias("weight")), "ci")))
+    placed = gc_placed(want.drop("ordinal"), tiled_starts(contigs, accept, p, bins), p.seed)
+    return placed.join(want.select("ci", "candidate", "ordinal"), ["ci", "candidate"])
 
 
-def gc_placed(want: DataFrame, find) -> DataFrame:
+def gc_placed(want: DataFrame, find, seed: int = SEED) -> DataFrame:
     """``gc_accepted`` until every candidate is placed: each round tries what the rounds before left.
 
     A candidate that takes more than ``MOST_ATTEMPTS`` is an error.
     """
     first, size, found, want = 0, ATTEMPTS, None, kept(want)
     while True:
-        got = kept(gc_accepted(want, find, first, first + size))
+        got = kept(gc_accepted(want, find, first, first + size, seed))
         found = got if found is None else found.unionByName(got)
         want = kept(want.join(got.select("ci", "candidate"), ["ci", "candidate"], "left_anti"))
         if want.isEmpty():
@@ -369,21 +447,48 @@ def gc_placed(want: DataFrame, find) -> DataFrame:
 VARIABLE = (30, INSERT, 90, 10.0)
 
 
-def variable_candidates(contigs: DataFrame, seats: DataFrame, first: int, last: int) -> DataFrame:
+def variable_candidates(contigs: DataFrame, seats: DataFrame, first: int, last: int, p: Params = DEFAULTS, sizes: tuple = VARIABLE) -> DataFrame:
     """(ci, seats, candidate, start, insert_length, gc): readable candidates among ``first`` to ``last`` ordinals a
     seat, each judged on its own."""
     ask = seats.select("ci", "seats", F.explode(F.sequence(first * F.col("seats"), last * F.col("seats") - 1)).alias("candidate")).join(contigs.select("ci", "len"), "ci")
-    ask = ask.withColumn("insert_length", rng.clamped_normal(SEED, rng.FRAGMENT, F.col("ci"), F.col("candidate"), F.lit(0), *VARIABLE)).where(F.col("len") >= F.col("insert_length"))
-    ask = ask.withColumn("start", rng.pick(SEED, rng.FRAGMENT, F.col("ci"), F.col("candidate"), F.lit(1), F.col("len") - F.col("insert_length") + 1))
+    ask = ask.withColumn("insert_length", rng.clamped_normal(p.seed, rng.FRAGMENT, F.col("ci"), F.col("candidate"), F.lit(0), *sizes)).where(F.col("len") >= F.col("insert_length"))
+    ask = ask.withColumn("start", rng.pick(p.seed, rng.FRAGMENT, F.col("ci"), F.col("candidate"), F.lit(1), F.col("len") - F.col("insert_length") + 1))
     core = 4096
-    tiled = tiles.tiles(contigs, VARIABLE[2], core).select("ci", (F.col("core_start") / core).cast("long").alias("tile"), "from", F.col("seq").alias("around"))
+    tiled = tiles.tiles(contigs, sizes[2], core).select("ci", (F.col("core_start") / core).cast("long").alias("tile"), "from", F.col("seq").alias("around"))
     ask = ask.withColumn("tile", F.floor(F.col("start") / core)).join(tiled, ["ci", "tile"])
     at = F.col("start") - F.col("from")
     ask = ask.withColumn("template", sq.piece(F.col("around"), at, at + F.col("insert_length")))
-    good = (sq.count_of(F.substring("template", 1, READ), "N") <= MAX_N) & (sq.count_of(F.expr(f"right(template, {READ})"), "N") <= MAX_N)
+    good = (sq.count_of(F.substring("template", 1, p.read), "N") <= p.max_n) & (sq.count_of(F.expr(f"right(template, {p.read})"), "N") <= p.max_n)
     return ask.where(good).select("ci", "seats", "candidate", "start", "insert_length", sq.count_of(F.col("template"), "CG").alias("gc"))
 
 
+def draw_variable(contigs: DataFrame, p: Params, sizes: tuple, profile: DataFrame | None = None, bins: int = BINS) -> DataFrame:
+    """(ci, candidate, accept_rank, skipped, start, insert_length, gc, seats): the first accepted candidates of each
+    contig.  ``sizes``: least, mean and greatest insert, standard deviation.
+
+    Seats go by the starts of the longest insert, or with a GC ``profile`` by its mass on inserts of the mean
+    length, where one more draw decides each candidate.
+    """
+    if profile is None:
+        weights = tiles.start_counts(contigs, p.read, sizes[2], p.max_n).groupBy("ci").agg(F.sum("n").alias("weight"))
+        return enough(relops.hamilton(weights, p.total, "weight", "ci"), lambda short, lo, hi: variable_candidates(contigs, short, lo, hi, p, sizes), 3)
+    _, accept, seats = gc_domain(contigs, profile, bins, replace(p, insert=sizes[1]))
+
+    def judged(short: DataFrame, lo: int, hi: int) -> DataFrame:
+        rows = variable_candidates(contigs, short, lo, hi, p, sizes).withColumn("bin", sq.gc_bin(F.col("gc"), F.col("insert_length"), bins)).join(F.broadcast(accept), "bin")
+        rows = rows.withColumn("w", rng.draw(p.seed, rng.FRAGMENT, F.col("ci"), F.col("candidate"), F.lit(2))).where(rng.bernoulli(F.col("w"), F.col("acceptance")))
+        return rows.drop("w", "bin", "acceptance")
+
+    return enough(seats, judged, 6)
+
+
+def numbered(accepted: DataFrame, span: str) -> DataFrame:
+    """(ordinal, ci, start, span, ...) of accepted candidates: numbered over all contigs in their order."""
+    seats = accepted.groupBy("ci").agg(F.max("seats").alias("seats"))
+    before = seats.select("ci", (F.sum("seats").over(Window.partitionBy(F.lit(0)).orderBy("ci")) - F.col("seats")).alias("before"))  # one row a contig
+    return accepted.join(before, "ci").withColumn("ordinal", F.col("before") + F.col("accept_rank")).withColumnRenamed(span, "span")
+
+
 def enough(seats: DataFrame, judged, first: int) -> DataFrame:
     """The first accepted candidates of each contig of ``seats`` (ci, seats), as many as its seats.
 
@@ -431,32 +536,14 @@ SELECT ci, candidate, accept_rank, candidate - accept_rank AS skipped, "start",
 
 @query(f"WITH {src.CONTIGS_SQL}, {tiles.valid_starts_sql(READ, VARIABLE[2], MAX_N, 'wide')}, weights AS (SELECT ci, count(*) AS weight FROM wide GROUP BY ci), {hamilton_sql('weights', TOTAL, 'weight', 'ci')}, {_variable_rounds(False)}")
 def wgbs_variable(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Variable inserts: the first accepted candidates of each contig, and the ordinals passed over.
-
-    Seats go by the starts of the longest insert.
-    """
-    contigs = src.contigs(spark, sf_dir)
-    weights = tiles.start_counts(contigs, READ, VARIABLE[2], MAX_N).groupBy("ci").agg(F.sum("n").alias("weight"))
-    seats = relops.hamilton(weights, TOTAL, "weight", "ci")
-    return enough(seats, lambda short, lo, hi: variable_candidates(contigs, short, lo, hi), 3).select("ci", "candidate", "accept_rank", "skipped", "start", "insert_length")
+    """Variable inserts: the first accepted candidates of each contig, and the ordinals passed over."""
+    return draw_variable(src.contigs(spark, sf_dir), DEFAULTS, VARIABLE).select("ci", "candidate", "accept_rank", "skipped", "start", "insert_length")
 
 
 @query(f"WITH {src.CONTIGS_SQL}, {_STARTS}, {GC_SEATS_SQL}, {_variable_rounds(True)}")
 def wgbs_variable_gc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Variable inserts with the GC target: one more draw decides each candidate.
-
-    Target and seats are calibrated on inserts of the mean length.
-    """
-    contigs, o = src.contigs(spark, sf_dir), kept(gc_opportunities(spark, sf_dir))
-    accept = kept(calibration(o, gc_profile(spark)).select("bin", "acceptance"))
-
-    def judged(seats: DataFrame, lo: int, hi: int) -> DataFrame:
-        rows = variable_candidates(contigs, seats, lo, hi).withColumn("bin", sq.gc_bin(F.col("gc"), F.col("insert_length"), BINS)).join(F.broadcast(accept), "bin")
-        rows = rows.withColumn("w", rng.draw(SEED, rng.FRAGMENT, F.col("ci"), F.col("candidate"), F.lit(2))).where(rng.bernoulli(F.col("w"), F.col("acceptance")))
-        return rows.drop("w", "bin", "acceptance")
-
-    seats = relops.hamilton_real(calibrated_weights(o, accept, ["bin"]), TOTAL, "mass", "ci")
-    return enough(seats, judged, 6).select("ci", "candidate", "accept_rank", "skipped", "start", "insert_length", "gc")
+    """Variable inserts with the GC target."""
+    return draw_variable(src.contigs(spark, sf_dir), DEFAULTS, VARIABLE, gc_profile(spark)).select("ci", "candidate", "accept_rank", "skipped", "start", "insert_length", "gc")
 
 
 _HAP_SQL = f"WITH ask AS (SELECT l_orderkey, l_linenumber, l_partkey % 3 + 1 AS mask, l_orderkey * 8 + l_linenumber AS ordinal, 0 AS contig FROM lineitem), {sqlgen.draws('d', 'ask', SEED, rng.HAPLOTYPE, 'contig', 'ordinal', '0')}"

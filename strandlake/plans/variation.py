@@ -61,7 +61,7 @@ def vcf_phase(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("ci", "event_ordinal", F.when(F.col("mask") == 3, 3).when(F.col("event_kind") == "snv", coin).otherwise(F.col("mask")).alias("phased"))
 
 
-_LOOSE = "loose AS (SELECT DISTINCT ci, h % (len - 8) AS st, h % (len - 8) + l_linenumber % 4 AS en FROM " + src._ITEMS_SQL + ")"
+_LOOSE = "loose AS (SELECT DISTINCT ci, h % (len - 8) AS st, h % (len - 8) + l_linenumber % 4 AS en FROM " + src._ITEMS_SQL + " WHERE len > 8)"
 
 
 @query(f"""WITH {src.CONTIGS_SQL}, {_LOOSE} SELECT ci, st, en FROM (SELECT *, max(greatest(en, st)) OVER w AS reach, lag(st) OVER (PARTITION BY ci ORDER BY st, en) AS prev_st, lag(en) OVER (PARTITION BY ci ORDER BY st, en) AS prev_en FROM loose WINDOW w AS (PARTITION BY ci ORDER BY st, en ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
@@ -69,7 +69,7 @@ WHERE st < reach OR (st = en AND prev_st = st AND prev_en = st)""")
 def vcf_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events that overlap an earlier one, or insert where another does."""
     h, n = F.col("h"), F.col("len") - 8
-    rows = src._on_contig(spark, sf_dir).select("ci", (h % n).alias("st"), (h % n + F.col("l_linenumber") % 4).alias("en")).distinct()
+    rows = src._on_contig(spark, sf_dir).where("len > 8").select("ci", (h % n).alias("st"), (h % n + F.col("l_linenumber") % 4).alias("en")).distinct()
     w = Window.partitionBy("ci").orderBy("st", "en")
     rows = rows.withColumn("reach", F.max("en").over(w.rowsBetween(Window.unboundedPreceding, -1))).withColumn("prev_st", F.lag("st").over(w)).withColumn("prev_en", F.lag("en").over(w))
     return rows.where((F.col("st") < F.col("reach")) | ((F.col("st") == F.col("en")) & (F.col("prev_st") == F.col("st")) & (F.col("prev_en") == F.col("st")))).select("ci", "st", "en")

@@ -77,29 +77,100 @@ def test_ordered_accept_and_first_accepted(spark):
 
 def _every(gap, upto):
     """Accepts the ordinals 7, 7 + gap, ... below ``upto``."""
-    return lambda contigs, seats, lo, hi: seats.select("ci", "seats", F.explode(F.sequence(lo * F.col("seats"), hi * F.col("seats") - 1)).alias("candidate")).where((F.col("candidate") % gap == 7) & (F.col("candidate") < upto))
+    return lambda seats, lo, hi: seats.select("ci", "seats", F.explode(F.sequence(lo * F.col("seats"), hi * F.col("seats") - 1)).alias("candidate")).where((F.col("candidate") % gap == 7) & (F.col("candidate") < upto))
 
 
 def test_variable_inserts_fill_every_seat(spark):
-    rows = contigs(spark, "A" * 300)
     seats = spark.createDataFrame([(0, 2), (1, 0)], "ci long, seats long")
-    able = seats.select("ci")
-    got = libraries._enough(rows, seats, _every(50021, 10**9), 3, able).collect()
+    got = libraries.enough(seats, _every(50021, 10**9), 3).collect()
     assert sorted((r["candidate"], r["skipped"]) for r in got) == [(7, 7), (50028, 50027)]
     for gap, upto in ((50021, 8), (100_002, 10**9)):
         with pytest.raises(ArithmeticError):
-            libraries._enough(rows, seats, _every(gap, upto), 3, able)
-    assert libraries._enough(rows, seats, _every(50021, 8), 3, able.where("ci = 1")).count() == 0
-
-
-def test_bins_of_all_insert_lengths(spark):
-    seqs = ["N" * 300, "A" * 100, "N" * 100 + "ACGTTGCAAT" * 4 + "N" * 100, "C" * 40]
-    want = set()
-    for ci, s in enumerate(seqs):
-        for size in range(30, 91):
-            for k in range(len(s) - size + 1):
-                t = s[k : k + size]
-                if t[:20].count("N") <= libraries.MAX_N and t[-20:].count("N") <= libraries.MAX_N:
-                    x = (t.count("C") + t.count("G")) * (libraries.BINS - 1)
-                    want.add((ci, x // size + (x % size * 2 >= size)))
-    assert {tuple(r) for r in libraries._bins_of(contigs(spark, *seqs)).collect()} == want
+            libraries.enough(seats, _every(gap, upto), 3)
+
+
+def test_exact_weights(spark):
+    rows = spark.createDataFrame([(0, 3.0), (1, 0.0)], "ci long, score double")
+    assert sorted(r["score"] for r in libraries.exact_weights(rows, "score").collect()) == [0, 3]
+    for bad in (0.5, -1.0, 2.0**32, float("nan"), None):
+        with pytest.raises(ValueError):
+            libraries.exact_weights(spark.createDataFrame([(0, bad)], "ci long, score double"), "score")
+
+
+def test_targets_far_from_readable_starts(spark):
+    c = contigs(spark, "ACGT" * 30 + "N" * 2000)
+    runs = tiles.valid_runs(c, 20, 60, 8)
+    picked = spark.createDataFrame([(0, 0, 0, 30), (0, 1, 1, 1500)], "ci long, ordinal long, target long, middle long")
+    got = {r["ordinal"]: r["start"] for r in libraries.displaced_picks(picked, runs, 1, 15.0, strict=False).collect()}
+    assert got[0] is not None and got[1] is None
+    with pytest.raises(ArithmeticError):
+        libraries.displaced_picks(picked, runs, 1, 15.0, strict=True)
+
+
+def _haplotype(seq, events, hap):
+    """(bases, place of each boundary or None inside a deletion, origins, event places) by plain loops."""
+    bases, place, origin, places, at = "", [None] * (len(seq) + 1), [], [], 0
+    for start, end, alt, mask in sorted(events):
+        if not mask >> hap & 1:
+            continue
+        for r in range(at, start):
+            place[r] = len(bases) if place[r] is None else place[r]
+            bases += seq[r]
+            origin.append(r)
+        place[start] = len(bases) if place[start] is None else place[start]
+        places.append((len(bases), len(bases) + len(alt)))
+        origin += range(start, end) if len(alt) == end - start else [-1] * len(alt)
+        bases += alt
+        at = end
+    for r in range(at, len(seq)):
+        place[r] = len(bases) if place[r] is None else place[r]
+        bases += seq[r]
+        origin.append(r)
+    place[len(seq)] = len(bases) if place[len(seq)] is None else place[len(seq)]
+    return bases, place, origin, places
+
+
+@pytest.mark.parametrize("core", [7, 64, 100_000])
+def test_projected_starts_match_plain_loops(spark, core):
+    import random
+
+    from strandlake.plans import haplotiles
+
+    rng = random.Random(core)
+    read, insert, max_n = 5, 17, 1
+    seqs, events = [], []
+    for ci in range(3):
+        seq = "".join(rng.choice("ACGTN" if rng.random() < 0.1 else "ACGT") for _ in range(150 + 40 * ci))
+        seqs.append(seq)
+        at = 3
+        while at < len(seq) - 8:
+            kind, mask = rng.randrange(3), rng.randint(1, 3)
+            size = rng.randint(1, 5)
+            alt = "".join(rng.choice("ACGT") for _ in range(size))
+            events.append((ci, at, *((at + 1, alt[0]) if kind == 0 else (at, alt) if kind == 1 else (at + size, "")), mask))
+            at += rng.randint(7, 25)
+    table = spark.createDataFrame(events, "ci long, ref_start long, ref_end long, alt_bases string, mask int")
+    tiled = haplotiles.tiled(contigs(spark, *seqs), table, insert + 8, core)
+    want, chances = {}, {}
+    for ci, seq in enumerate(seqs):
+        for hap in (0, 1):
+            bases, place, _, _ = _haplotype(seq, [e[1:] for e in events if e[0] == ci], hap)
+            for s in range(len(seq) - insert + 1):
+                p, q = place[s], place[s + insert]
+                if p is None or q is None or q - p < read or bases[p : p + read].count("N") > max_n or bases[q - read : q].count("N") > max_n:
+                    continue
+                want[ci, s] = want.get((ci, s), 0) | 1 << hap
+                gc, size = sum(bases[p:q].count(c) for c in "CG") * 10, q - p
+                key = ci, hap, gc // size + (gc % size * 2 >= size)
+                chances[key] = chances.get(key, 0) + 1
+    got = {(r["ci"], s): r["mask"] for r in haplotiles.mask_runs(tiled, read, insert, max_n).collect() for s in range(r["first"], r["last"] + 1)}
+    assert got == want
+    counts = haplotiles.opportunities(tiled, read, insert, max_n, 11).groupBy("ci", "hap", "bin").agg(F.sum("n").alias("n")).collect()
+    assert {(r["ci"], r["hap"], r["bin"]): r["n"] for r in counts} == chances
+    asked = spark.createDataFrame([(i, ci, s, insert, h) for i, (ci, s) in enumerate(sorted(want)) for h in (0, 1) if want[ci, s] >> h & 1], "ordinal long, ci long, start long, span long, haplotype int")
+    for r in haplotiles.templates(tiled, asked, read, max_n, core).collect():
+        bases, place, _, places = _haplotype(seqs[r["ci"]], [e[1:] for e in events if e[0] == r["ci"]], r["haplotype"])
+        a, b = place[r["start"]], place[r["start"] + insert]
+        assert r["ok"] and r["template"] == bases[a:b]
+        held = [f"{max(x, a) - a}:{min(y, b) - a}" for x, y in places if (a < x < b if x == y else max(x, a) < min(y, b))]
+        assert [":".join(e.split(":")[:2]) for e in filter(None, r["events"].split(","))] == held

@@ -1,6 +1,7 @@
 """End to end: readers, a simulation, its outputs, and the same run as a stream."""
 
 import json
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
@@ -65,17 +66,135 @@ def test_count_models(spark, tmp_path):
 CONFIG = run.RunConfig(fragments=60, read_length=5, insert=12, seed=9)
 
 
+def _whole(sim, contigs):
+    """(read row, template) of every fragment of a run on the reference."""
+    seqs = {r["ci"]: r["seq"] for r in contigs.collect()}
+    return [(r, seqs[r["ci"]][r["start"] : r["start"] + r["span"]]) for r in sim.reads.collect()]
+
+
+RC = str.maketrans("ACGTN", "TGCAN")
+
+
 def test_extremes(spark, contigs):
     c = _plain(contigs)
-    whole = run.simulate(spark, c, config=run.RunConfig(fragments=40, read_length=5, insert=12, conversion_rate=0, error_rate=0))
-    for r in whole.reads.join(whole.fragments.select("ordinal", "template"), "ordinal").collect():
-        assert r["mate1"] == r["template"][:5] and r["mate2"] == r["template"][::-1].translate(str.maketrans("ACGT", "TGCA"))[:5]
+    sim = run.simulate(spark, c, config=run.RunConfig(fragments=40, read_length=5, insert=12, conversion_rate=0, error_rate=0))
+    rows = _whole(sim, c)
+    assert len(rows) == 40
+    for r, t in rows:
+        assert r["mate1"] == t[:5] and r["mate2"] == t[::-1].translate(RC)[:5] and r["mode"] == 0 and r["cigar1"] == "5M"
     wrong = run.simulate(spark, c, config=run.RunConfig(fragments=40, read_length=5, insert=12, conversion_rate=0, error_rate=1))
-    assert all(a != b for r in wrong.reads.join(wrong.fragments.select("ordinal", "template"), "ordinal").collect() for a, b in zip(r["mate1"], r["template"][:5], strict=True))
+    assert all(a != b for r, t in _whole(wrong, c) for a, b in zip(r["mate1"], t[:5], strict=True))
+    both = run.simulate(spark, c, config=run.RunConfig(fragments=40, read_length=5, insert=12, directional=False))
+    assert {r["mode"] for r in both.reads.collect()} == {0, 1}
+    one = run.simulate(spark, c, config=run.RunConfig(fragments=40, read_length=5, insert=12, paired=False))
+    assert all(r["mate2"] is None and r["mate1"] for r in one.reads.collect()) and one.fastq().count() == 40
+    lines = [r["line"].split("\t") for r in one.sam().collect()]
+    assert {x[1] for x in lines} == {"0"} and {tuple(x[6:9]) for x in lines} == {("*", "0", "0")}
+
+
+MODEL = {"quality_scores": [10, 30], "mates": [{"initial_counts": [[1, 0]] * 5, "transition_counts": [[0, 1], [0, 1]]}, {"initial_counts": [[0, 1]] * 5, "transition_counts": [[1, 0], [1, 0]]}]}
+SWAP = {"quality_scores": [10, 30], "mates": [{"base_transition_counts": [[[0, 1, 0, 0], [1, 0, 0, 0], [0, 0, 0, 1], [0, 0, 1, 0]], [[1, 0, 0, 0], [0, 1, 0, 0], [0, 0, 1, 0], [0, 0, 0, 1]]]}] * 2}
+
+
+def test_models_apply_after_conversion(spark, contigs):
+    c = _plain(contigs)
+    config = run.RunConfig(fragments=30, read_length=7, insert=12, conversion_rate=1.0)
+    plain = {r["ordinal"]: r for r in run.simulate(spark, c, config=config, inputs=run.Inputs(levels=None, quality=MODEL, confusion={**SWAP, "mates": [{"base_transition_counts": [[[1, 0, 0, 0], [0, 1, 0, 0], [0, 0, 1, 0], [0, 0, 0, 1]]] * 2}] * 2})).reads.collect()}
+    swapped = run.simulate(spark, c, config=config, inputs=run.Inputs(quality=MODEL, confusion=SWAP)).reads.collect()
+    for r in swapped:
+        # The first five cycles of mate 1 and the last two of mate 2 have the quality that swaps A with C and G with T.
+        assert r["qual1"] == "+" * 5 + "??" and r["qual2"] == "?" * 5 + "++"
+        for mate, low in ((1, slice(0, 5)), (2, slice(5, 7))):
+            before, after = plain[r["ordinal"]][f"mate{mate}"], r[f"mate{mate}"]
+            assert after[low] == before[low].translate(str.maketrans("ACGT", "CATG"))
+            assert after[:5] + after[5:] == "".join(a if (k < 5) == (mate == 1) else b for k, (a, b) in enumerate(zip(after, before, strict=True)))
+        assert plain[r["ordinal"]]["mate1"].count("C") == sum(1 for k, x in enumerate(plain[r["ordinal"]]["converted"][:7]) if x == "C")
+
+
+def test_restriction_and_target_runs(spark, contigs, tmp_path):
+    c = _plain(contigs)
+    seqs = {r["ci"]: r["seq"] for r in c.collect()}
+    rrbs = run.RunConfig(fragments=50, technology="RRBS", read_length=4, insert_min=8, insert_max=30, cut_sites=("C|CGG", "C|G"))
+    cuts = {ci: sorted({k + 1 for k in range(len(s)) if s.startswith("CCGG", k) or s.startswith("CG", k)}) for ci, s in seqs.items()}
+    rows = run.simulate(spark, c, config=rrbs).reads.collect()
+    assert len({r["ordinal"] for r in rows}) == 50
+    assert all(r["start"] in cuts[r["ci"]] and r["start"] + r["span"] in cuts[r["ci"]] and 8 <= r["span"] <= 30 for r in rows)
+    fragments = [(ci, a, b, 3.0 * (k == 2)) for k, (ci, a, b) in enumerate((ci, a, b) for ci, x in cuts.items() for a in x for b in x if 8 <= b - a <= 30)]
+    scores = spark.createDataFrame(fragments, "ci long, left long, right long, score double")
+    scored = run.simulate(spark, c, config=replace(rrbs, by_score=True), inputs=run.Inputs(scores=scores)).reads.collect()
+    assert {(r["ci"], r["start"], r["start"] + r["span"]) for r in scored} == {fragments[2][:3]}
+    targets = spark.createDataFrame([(0, 14, 18, "+", 3.0), (0, 30, 34, "-", 1.0), (0, 22, 26, ".", 0.0)], "ci long, st long, en long, strand string, score double")
+    tbs = run.RunConfig(fragments=60, technology="TBS", read_length=4, insert=12, center_stddev=0.0, by_score=True)
+    rows = run.simulate(spark, c, config=tbs, inputs=run.Inputs(targets=targets)).reads.collect()
+    assert {(r["start"], r["mode"]) for r in rows} == {(10, 0), (26, 1)} and len(rows) == 60
+    moved = run.simulate(spark, c, config=replace(tbs, center_stddev=3.0), inputs=run.Inputs(targets=targets)).reads.collect()
+    assert len(moved) == 60 and len({r["start"] for r in moved}) > 4
+    with pytest.raises(run.ConfigError):
+        run.simulate(spark, c, config=tbs)
+
+
+def _cigar(origins):
+    ops, last = [], None
+    for x in origins:
+        if x >= 0 and last is not None and x > last + 1:
+            ops.append(("D", x - last - 1))
+        if ops and ops[-1][0] == ("M" if x >= 0 else "I"):
+            ops[-1] = ops[-1][0], ops[-1][1] + 1
+        else:
+            ops.append(("M" if x >= 0 else "I", 1))
+        last = x if x >= 0 else last
+    return "".join(f"{n}{op}" for op, n in ops)
+
+
+@pytest.mark.parametrize("variable", [False, True])
+def test_reads_with_variants_align(spark, variable):
+    import random
+
+    from test_operators import _haplotype
+
+    rng = random.Random(4)
+    seq = "".join(rng.choice("ACGT") for _ in range(400))
+    events = [(20, 21, "G" if seq[20] != "G" else "T", 3), (40, 40, "ACCGT", 1), (70, 74, "", 2), (100, 100, "TTTTTTTTT", 3), (130, 131, "A" if seq[130] != "A" else "C", 2), (200, 206, "", 3), (260, 260, "C", 2)]
+    c = spark.createDataFrame([(0, "c", seq, len(seq))], "ci long, name string, seq string, len long")
+    table = spark.createDataFrame([(0, *e) for e in events], "ci long, ref_start long, ref_end long, alt_bases string, mask int")
+    config = run.RunConfig(fragments=300, read_length=9, insert=30, conversion_rate=0, error_rate=0, **({"insert_min": 20, "insert_max": 40, "insert_stddev": 6.0} if variable else {}))
+    sim = run.simulate(spark, c, config=config, inputs=run.Inputs(events=table))
+    rows = sim.reads.collect()
+    lines = {(r["ordinal"], r["mate"]): r["line"].split("\t") for r in sim.sam(summary=True, realization=True).collect()}
+    assert len(rows) == 300 and {r["haplotype"] for r in rows} == {0, 1}
+    haps = [_haplotype(seq, events, h) for h in (0, 1)]
+    for r in rows:
+        bases, place, origin, places = haps[r["haplotype"]]
+        a, b = place[r["start"]], place[r["start"] + r["span"]]
+        assert r["converted"] == bases[a:b] and r["mate1"] == bases[a : a + 9] and r["mate2"] == bases[b - 9 : b][::-1].translate(RC)
+        for mate, (x, y) in enumerate(((a, a + 9), (b - 9, b))):
+            line = lines[r["ordinal"], mate]
+            assert line[1] == ("99", "147")[mate] and line[5] == _cigar(origin[x:y]) and line[9] == bases[x:y]
+            mapped = [o for o in origin[x:y] if o >= 0]
+            if mapped:
+                assert int(line[3]) == mapped[0] + 1
+            n = sum((x < p < y) if p == q else max(p, x) < min(q, y) for p, q in places)
+            assert r[f"summary{mate + 1}"][9] == n and r[f"summary{mate + 1}"][0] & 3 == r["haplotype"] + 1 and (r[f"summary{mate + 1}"][0] >> 4 & 1) == mate
+            state = r["state"].split(",")[mate]
+            covered = [any(p <= k < q for p, q in places) for k in range(x, y)]
+            assert [reads.sq.STATE64.index(s) >> 4 & 1 for s in state] == list(map(int, covered))
+        spans = [(int(lines[r["ordinal"], m][3]), lines[r["ordinal"], m][8]) for m in (0, 1)]
+        assert int(spans[0][1]) == -int(spans[1][1])
+        assert any(t.startswith("zf:B:S,") for t in lines[r["ordinal"], 0]) and any(t.startswith("zx:Z:") for t in lines[r["ordinal"], 0])
+
+
+def test_levels_of_one_haplotype(spark):
+    c = spark.createDataFrame([(0, "c", "ACGT" * 20, 80)], "ci long, name string, seq string, len long")
+    none = spark.createDataFrame([(0, 2, 2, "", 3)], "ci long, ref_start long, ref_end long, alt_bases string, mask int").limit(0)
+    levels = spark.createDataFrame([(0, 4 * k + 1, 1, 0.0, None) for k in range(20)] + [(0, 4 * k + 1, 1, 1.0, 1) for k in range(20)], "ci long, pos long, code int, level double, hap int")
+    sim = run.simulate(spark, c, config=run.RunConfig(fragments=60, read_length=8, insert=16, conversion_rate=1.0, error_rate=0), inputs=run.Inputs(levels=levels, events=none))
+    for r in sim.reads.collect():
+        assert ("C" in r["converted"]) == (r["haplotype"] == 1)
+        assert r["whole"][0] >> 7 & 1 == r["haplotype"]
 
 
 def test_config():
-    for bad in (dict(fragments=1, depth=1.0), dict(), dict(fragments=1, read_length=9, insert=8), dict(fragments=1, error_rate=2.0), dict(fragments=1, seed=-1)):
+    for bad in (dict(fragments=1, depth=1.0), dict(), dict(fragments=1, read_length=9, insert=8), dict(fragments=1, error_rate=2.0), dict(fragments=1, seed=-1), dict(fragments=1, technology="X"), dict(fragments=1, technology="RRBS"), dict(fragments=1, insert_min=1), dict(fragments=1, insert_min=500, insert_max=600)):
         with pytest.raises(run.ConfigError):
             run.RunConfig(**bad).checked()
     assert run.parse_cut("C|CGG") == ("CCGG", 1)
@@ -103,10 +222,7 @@ def test_stream_equals_batch(spark, contigs, tmp_path):
     sim = run.simulate(spark, _plain(contigs), config=CONFIG)
     ordinals.split_ranges(spark, 60, 7).repartition(4).write.parquet(str(tmp_path / "ranges"))
 
-    def of(batch):
-        return reads.sequence(sim.fragments.join(batch, "ordinal"), sim.states.join(batch, "ordinal", "left_semi"), sim.params)
-
-    query = ordinals.run(spark, str(tmp_path / "ranges"), of, str(tmp_path / "rows"), str(tmp_path / "check"))
+    query = ordinals.run(spark, str(tmp_path / "ranges"), sim.of, str(tmp_path / "rows"), str(tmp_path / "check"))
     query.awaitTermination(120)
     got = spark.read.parquet(str(tmp_path / "rows")).drop("batch")
     assert sorted(map(str, got.select(*sim.reads.columns).collect())) == sorted(map(str, sim.reads.collect()))
@@ -118,20 +234,3 @@ def test_binding(spark, contigs):
     assert run.binding(c, 1, variants="x") != run.binding(c, 1, mutation=(0.1,))
     with pytest.raises(run.ConfigError):
         run.binding(c, 1, "x", (0.1,))
-
-
-def test_haplotype_fragments(spark):
-    from strandlake.plans import diploid, variation
-    from strandlake.sources import derived
-
-    data = "/root/testdata/sf0.001"
-    seqs = {(r["ci"], r["hap"]): r["seq"] for r in variation.sequences(derived.contigs(spark, data), variation.haplotype_segments(spark, data)).collect()}
-    picks = {r["ordinal"]: r["own_start"] for r in diploid.wgbs_haplotype_uniform(spark, data).collect()}
-    rows = diploid.haplotype_fragments(spark, data).collect()
-    assert len(rows) == len(picks) == diploid.TOTAL and any(r["events"] for r in rows)
-    for r in rows:
-        seq = seqs[r["ci"], r["haplotype"]]
-        assert r["template"] == seq[picks[r["ordinal"]] :][:60]
-        for event in filter(None, r["events"].split(",")):
-            begin, end, bases = event.split(":")
-            assert r["template"][int(begin) : int(end)] in bases
