@@ -348,6 +348,10 @@ def sequence_batch(t: Templates, p: Params, o: Options) -> pa.RecordBatch:
             reads.append(samplers.confused(o.confusion, mate, key(rng.SEQUENCING_ERROR, n), ordinal, called, quals[mate]))
             wrongs.append(reads[mate] != called)
             continue
+        if p.error == 0:
+            reads.append(called)
+            wrongs.append(np.zeros((n, read), bool))
+            continue
         local = np.broadcast_to((mate << 32) + cycle, (n, read)).ravel()
         w = rng.block(key(rng.SEQUENCING_ERROR, n * read), np.repeat(ordinal, read), local)
         wrong = (rng.uniform(w).reshape(n, read) < p.error) & (called < 4)
