@@ -270,6 +270,17 @@ def keep_first(docs: DataFrame) -> DataFrame:
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
+SQL = f"""WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents WHERE doc_id IS NOT NULL),
+shingles AS (SELECT DISTINCT doc_id, md5(array_to_string(list_slice(w, s, s + {SHINGLE - 1}), ' ')) AS h FROM words, unnest(range(1, greatest(len(w) - {SHINGLE - 2}, 2))) AS t(s) WHERE len(w) > 0),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+meets AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n_both FROM shingles a JOIN shingles b ON a.h = b.h AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM meets JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * n_both >= {LIMIT} * (x.n + y.n - n_both)),
+ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reached AS (SELECT doc_id AS a, doc_id AS b FROM words UNION SELECT r.a, w.b FROM reached r JOIN ways w ON w.a = r.b),
+least AS (SELECT a AS doc_id, min(b) AS component_id FROM reached GROUP BY a)
+SELECT w.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, w.doc_id = component_id AS kept FROM words w JOIN least USING (doc_id) LEFT JOIN sizes s ON s.doc_id = w.doc_id"""
+
+
 def brute_force(rows: list[tuple[int, str | None]]) -> dict[int, tuple[int, int, bool]]:
     """The same by comparing all pairs that share a shingle, for tests."""
     sets = {}

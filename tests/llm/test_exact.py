@@ -26,6 +26,15 @@ def test_substrings_at_every_shift(spark):
     assert got == {0: 0, 99: 0} | dict.fromkeys(range(1, 30), 20)
 
 
+def test_substrings_of_versions_and_repeated_rows(spark):
+    rng = __import__("random").Random(3)
+    first, other = prose(rng, 60), prose(rng, 50)
+    rows = [(1, first), (1, first), (2, other), (2, other + " " + first), (3, first), (3, other), (4, None), (4, "")]
+    table = spark.createDataFrame([(*r, 1, "x", 2) for r in rows], "doc_id long, text string, h1 long, copy string, key int")
+    got = sorted((r["doc_id"], r["n_words"], r["n_removed"]) for r in substrings.digest_query(table).collect())
+    assert got == sorted([(1, 60, 0), (1, 60, 0), (2, 50, 0), (2, 110, 60), (3, 60, 60), (3, 50, 50), (4, 0, 0), (4, 0, 0)])
+
+
 @pytest.mark.parametrize("seed", [1, 3])
 def test_near_duplicates_match_brute_force(spark, seed):
     rows = documents(seed, 150)
@@ -220,6 +229,40 @@ def test_benjamini_hochberg_within_a_text(spark):
     assert row["n_random"] == want >= 4
 
 
+def _by_sql(sql, rows):
+    import duckdb
+    import pandas as pd
+
+    con = duckdb.connect()
+    con.register("given", pd.DataFrame([r[:2] for r in rows], columns=["doc_id", "text"]))
+    con.execute("CREATE TABLE documents AS SELECT doc_id, CAST(text AS VARCHAR) AS text FROM given")
+    return con.execute(sql).df()
+
+
+def test_secrets_match_sql(spark):
+    import random
+
+    rng = random.Random(12)
+    odd = [f"some {''.join(rng.choice(p) for _ in range(rng.randint(18, 70)))} words token={''.join(rng.choice(p) for _ in range(rng.randint(3, 40)))} é {''.join(rng.choice(p) for _ in range(rng.randint(20, 30)))}" for p in POOLS.values() for _ in range(12)]
+    odd.append(" ".join("".join(rng.choice(POOLS["base62"]) for _ in range(26)) if k % 9 == 0 else f"ordinaryIdentifierNumber{k}" for k in range(60)))
+    rows = [(i, t) for i, t in enumerate([*odd, None, "", "token=secret:abcdefghij password : 'hunter2hunter2'"])]
+    got = secrets.report(spark.createDataFrame(rows, "doc_id long, text string")).toPandas().sort_values("doc_id").reset_index(drop=True)
+    want = _by_sql(secrets.SQL, rows).sort_values("doc_id").reset_index(drop=True)
+    assert got["spans"].str.contains("random").sum() > 50
+    for c in got.columns:
+        assert got[c].tolist() == want[c].tolist(), c
+
+
+@pytest.mark.parametrize("seed", [5, 6])
+def test_substrings_and_near_duplicates_match_sql(spark, seed):
+    rows = documents(seed, 140)
+    for frame_of, sql in ((substrings.digest_query, substrings.SQL), (neardup.near_duplicates, neardup.SQL)):
+        got = frame_of(frame(spark, rows)).toPandas().sort_values("doc_id").reset_index(drop=True)
+        want = _by_sql(sql, rows).sort_values("doc_id").reset_index(drop=True)
+        for c in got.columns:
+            assert got[c].tolist() == want[c].tolist(), c
+
+
 def test_secrets_of_repeated_rows_and_long_texts(spark):
     long = "token=abcdefgh1 " * 20000
     rows = [(1, "token=abcdefgh1", "", "", 0, 0.0, 0)] * 3 + [(1, None, "", "", 0, 0.0, 0)] * 2 + [(2, long, "", "", 0, 0.0, 0), (None, "secret: 12345678", "", "", 0, 0.0, 0)]

@@ -36,6 +36,19 @@ def test_toxicity_on_held_out_rows(spark):
     assert np.mean([r["predicted"] == truth[r["doc_id"]] for r in held]) > 0.95
 
 
+def test_toxicity_learns_from_bounded_bytes(spark):
+    import pyarrow as pa
+
+    sized = pa.table({"doc_id": [1, 2, 3, 4, 5], "y": [0, 0, 0, 1, 1], "place": [3, 1, 2, 9, 8], "size": [10, 50, 60, 500, 1]})
+    assert toxicity.within(sized, 100) == [(2, 0), (1, 0), (5, 1)]
+    assert toxicity.within(sized, 5) == [(2, 0), (5, 1)]
+    rows, labels = _labelled(60)
+    rows.append((999, "idiotic " * 100_000, "en", "s", 0, 0.0, 0))
+    got = toxicity.held_out_query(frame(spark, rows), spark.createDataFrame([*labels, (999, 1, 1)], "doc_id long, quality int, toxic int")).collect()
+    assert len(got) == len(rows)
+    assert toxicity.held_out_query(frame(spark, []), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).count() == 0
+
+
 def test_toxicity_without_labels(spark):
     rows, _ = _labelled(5)
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
@@ -151,6 +164,23 @@ def test_short_and_value_only_items(spark):
     assert {(r["doc_id"], r["item_id"]): (r["n_windows"], r["item_windows"], r["reparameterised"]) for r in got} == {(0, 1): (1, 1, False), (1, 2): (1, 1, False), (3, 3): (2, 2, False)}
 
 
+def test_spelt_numbers_fill_slots(spark):
+    item = "If a farmer buys twelve sheep at 9 euros each and sells three of them, how many are left over now?"
+    texts = ["If a farmer buys twenty sheep at 7 euros each and sells Five of them, how many are left over now?", "so If a farmer buys twelve sheep at 9 euros each and sells three of them, how many are left over now?", "nothing like it, three of them at most"]
+    got = decontaminate.find(frame(spark, [(i, t, "", "", 0, 0.0, 0) for i, t in enumerate(texts)]), spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert {r["doc_id"]: r["reparameterised"] for r in got.collect()} == {0: True, 1: False}
+
+
+def test_many_benchmark_windows_give_the_same(spark, monkeypatch):
+    rng = random.Random(6)
+    items = [(i, prose(rng, rng.randint(4, 30)) + rng.choice(["", " 12 of 7"])) for i in range(30)]
+    texts = [prose(rng, 60) + " " + rng.choice(items)[1] + " " + prose(rng, 5) if i % 3 else prose(rng, 3000) for i in range(40)] + [None, "", items[0][1]]
+    docs, bench = frame(spark, [(i, t, "", "", 0, 0.0, 0) for i, t in enumerate(texts)] + [(0, texts[0], "", "", 0, 0.0, 0)]), spark.createDataFrame([(*x, 1, "h") for x in items], "item_id long, text string, doc_id int, hash string")
+    few = sorted(map(tuple, decontaminate.find(docs, bench).collect()))
+    monkeypatch.setattr(decontaminate, "BROADCAST_WINDOWS", 0)
+    assert sorted(map(tuple, decontaminate.find(docs, bench).collect())) == few and len(few) > 20
+
+
 PAGE = """<html><head><title>T</title></head><body><header>Site</header><nav><ul><li>a</li></ul></nav><div class="cookie-notice">We use</div><main><article><header><h1>Ti&amp;t</h1></header><p><b>One<br><p>Two  x&nbsp;y {}</p><ul><li>i1<li>i2</ul><div id="comments"><p>c</p></div><script>var t="</p>";</script><form><input>f</form><p>End &lt;b&gt; <i>it</i>alic</article></main><footer>F</footer></body></html>"""
 
 
