@@ -14,11 +14,13 @@ a word sequence that also starts earlier: at a smaller doc_id, or earlier in the
 
 Skew: equal hashes within one block of texts are settled there, so a hash reaches its bucket once a block
 however many copies there are; the copies travel in rows that are dealt evenly.  Rows are packed arrays, not one
-row a hash.  The number of buckets and blocks follows the number of documents; none is capped.
+row a hash.  The number of buckets and blocks follows the bytes of text; none is capped.  The smallest id of each
+repeated text is a table of its own, so that the join of a text that very many documents have can be split.
 
-Contract: one row per input row with a distinct non-null id; ids must be unique (rows that repeat an id
-are taken as further texts of that id and give one row each, in unspecified order of precedence).  Null
-and empty texts have no words: n_removed 0 and the digest of the empty text.  Other columns are ignored.
+Contract: one row per input row with a non-null id.  Rows that share an id are versions of one document: a
+window does not repeat itself at the same place of another version, and a place that is a repeat in one version is
+removed from all that have a window there; equal rows get equal results.  Null and empty texts have no words:
+n_removed 0 and the digest of the empty text.  Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -39,8 +41,8 @@ WINDOW = 20
 PERIOD = 13
 COVER = (0, 1, 3, 9)
 ANCHOR = WINDOW - PERIOD + 1
-#: Documents a block of texts, and a bucket of hashes, stand for.
-BLOCK_DOCS, BUCKET_DOCS, LEAST = 1024, 16384, 256
+#: Bytes of text that a block of texts, and a bucket of hashes, stand for; the least number of either.
+BLOCK_BYTES, BUCKET_BYTES, LEAST = 2 << 20, 32 << 20, 256
 
 _IN_COVER = np.zeros(PERIOD, dtype=bool)
 _IN_COVER[list(COVER)] = True
@@ -79,12 +81,15 @@ def _batch(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
 
 
 def _first_of(hashes: list[np.ndarray], doc: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(first: is it the first by document and place of its hash; several: has its hash others)."""
+    """(first: is it the first by document and place of its hash, or the same place again; several: has its hash
+    others)."""
     order = np.lexsort((pos, doc, *hashes))
     new = np.ones(len(order), dtype=bool)
     new[1:] = np.logical_or.reduce([h[order][1:] != h[order][:-1] for h in hashes])
+    opener = np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
+    same = (doc[order] == doc[order][opener]) & (pos[order] == pos[order][opener])
     first = np.zeros(len(order), dtype=bool)
-    first[order] = new
+    first[order] = same
     several = np.zeros(len(order), dtype=bool)
     several[order] = ~new | np.concatenate((~new[1:], [False]))
     return first, several
@@ -180,13 +185,15 @@ def _candidates(ids: np.ndarray, raw: np.ndarray, offsets: np.ndarray, shared: d
             yield windows(w.hashes(0), WINDOW, 0)[at], windows(w.hashes(1), WINDOW, 1)[at], own[row[at]], place[at].astype(np.uint32)
 
 
-def _finish(ids: np.ndarray, raw: np.ndarray, offsets: np.ndarray, repeats: dict[int, np.ndarray], copies: set[int], texts: bool) -> tuple[list, ...]:
+def _finish(ids: np.ndarray, raw: np.ndarray, offsets: np.ndarray, repeats: dict[int, np.ndarray], copied: np.ndarray, texts: bool) -> tuple[list, ...]:
     n_words, n_removed, digest, kept_text = [], [], [], []
+    row = -1
     for w, own, _, _ in _doc_slices(raw, offsets, ids):
         for d, doc in enumerate(own):
             a, b = int(w.first[d]), int(w.first[d + 1])
             n, found = b - a, repeats.get(int(doc))
-            if int(doc) in copies and n >= WINDOW:
+            row += 1
+            if copied[row] and n >= WINDOW:
                 kept, gone = b"", n
             elif found is None:
                 kept = b" ".join(w.data[w.offsets[d] : w.offsets[d + 1]].tobytes().split())
@@ -213,22 +220,28 @@ def _prime_from(n: int) -> int:
     return n
 
 
-def exact_copies(docs: DataFrame) -> DataFrame:
-    """(doc_id) of documents whose whole text a smaller id also has; only hashes and ids are shuffled."""
-    keyed = docs.where("text IS NOT NULL").select("doc_id", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"))
+def exact_copies(keyed: DataFrame) -> DataFrame:
+    """(doc_id, h1) of the texts that a smaller id also has; ``keyed`` holds (doc_id, h1, h2), hashes of whole texts."""
     first = keyed.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first <> last").drop("last")
-    return keyed.join(first, ["h1", "h2"]).where("doc_id <> first").select("doc_id")
+    return keyed.join(materialise(first, "firsts", narrow=True), ["h1", "h2"]).where("doc_id <> first").select("doc_id", "h1").distinct()
+
+
+def _copied(left: pa.Table, right: pa.Table) -> np.ndarray:
+    """Which rows of ``left`` (doc_id, h1, ...) are among the copies ``right`` (doc_id, h1)."""
+    known = set(zip(right["copy"].to_pylist(), right["h1"].to_pylist(), strict=True)) if right.num_rows else set()
+    return np.array([pair in known for pair in zip(left["doc_id"].to_pylist(), left["h1"].to_pylist(), strict=True)], dtype=bool)
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", texts: bool = False) -> DataFrame:
     """RESULT for every row of ``docs``; ``kept_text`` is filled if ``texts``."""
     docs = project(docs, id_col, text_col).where("doc_id IS NOT NULL")
-    total = docs.count()
-    blocks, buckets = _prime_from(max(LEAST, total // BLOCK_DOCS)), max(LEAST, total // BUCKET_DOCS)
+    keyed = materialise(docs.where("text IS NOT NULL").select("doc_id", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"), F.octet_length("text").cast("long").alias("bytes")), "keyed", narrow=True)
+    total = keyed.agg(F.sum("bytes")).first()[0] or 0
+    blocks, buckets = _prime_from(max(LEAST, total // BLOCK_BYTES)), max(LEAST, total // BUCKET_BYTES)
 
     def find_anchors(left: pa.Table, right: pa.Table) -> pa.Table:
         if right.num_rows and left.num_rows:
-            left = left.filter(pa.compute.invert(pa.compute.is_in(left["doc_id"], right["doc_id"].combine_chunks())))
+            left = left.filter(pa.array(~_copied(left, right)))
         found = list(_anchors(*string_buffers(left["text"]), left["doc_id"].to_numpy())) if left.num_rows else []
         if not found:
             return _PACKED.empty_table()
@@ -256,21 +269,21 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         out: tuple[list, ...] = ([], [], [], [])
         ids = left["doc_id"].to_numpy() if left.num_rows else np.zeros(0, np.int64)
         if left.num_rows:
-            copied = {x for x in right["copy"].to_pylist() if x is not None} if right.num_rows else set()
             found = _by_doc([x for x in right["payload"].to_pylist() if x is not None]) if right.num_rows else {}
-            out = _finish(ids, *string_buffers(left["text"]), found, copied, texts)
+            out = _finish(ids, *string_buffers(left["text"]), found, _copied(left, right), texts)
         return pa.table([pa.array(ids), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.string()), pa.array(out[3], pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"])
 
     packed = "key int, payload binary"
     block = F.pmod("doc_id", F.lit(blocks)).cast("int").alias("key")
-    copies = materialise(exact_copies(docs), "copies", narrow=True).select(block, F.col("doc_id"))
+    copies = materialise(exact_copies(keyed), "copies", narrow=True).select(block, F.col("doc_id").alias("copy"), "h1")
     # One plan to the end: the texts are dealt to blocks once, and the same exchange is read three times.
-    blocked = docs.select(block, "doc_id", "text")
+    blocked = docs.select(block, "doc_id", "text", F.xxhash64("text").alias("h1"))
     anchors = blocked.groupBy("key").cogroup(copies.groupBy("key")).applyInArrow(find_anchors, packed)
     shared = anchors.groupBy("key").applyInArrow(settle(1, True), packed)
     starts = blocked.groupBy("key").cogroup(shared.groupBy("key")).applyInArrow(extend, packed)
-    repeats = starts.groupBy("key").applyInArrow(settle(2, False), packed).withColumn("copy", F.lit(None).cast("long"))
-    repeats = repeats.unionByName(copies.select("key", F.lit(None).cast("binary").alias("payload"), F.col("doc_id").alias("copy")))
+    none = F.lit(None).cast("long")
+    repeats = starts.groupBy("key").applyInArrow(settle(2, False), packed).withColumns({"copy": none, "h1": none})
+    repeats = repeats.unionByName(copies.select("key", F.lit(None).cast("binary").alias("payload"), "copy", "h1"))
     return blocked.groupBy("key").cogroup(repeats.groupBy("key")).applyInArrow(finish, RESULT).hint("rebalance")
 
 
@@ -278,6 +291,15 @@ def digest_query(docs: DataFrame) -> DataFrame:
     return remove_repeats(docs).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+SQL = f"""WITH words AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents WHERE doc_id IS NOT NULL),
+starts AS (SELECT doc_id, s, md5(array_to_string(list_slice(w, s, s + {WINDOW - 1}), ' ')) AS h FROM words, unnest(range(1, len(w) - {WINDOW - 2})) AS t(s)),
+repeats AS (SELECT doc_id, s FROM (SELECT doc_id, s, row_number() OVER (PARTITION BY h ORDER BY doc_id, s) AS n FROM starts) WHERE n > 1),
+gone AS (SELECT DISTINCT doc_id, s + k AS i FROM repeats, unnest(range({WINDOW})) AS t(k)),
+each AS (SELECT doc_id, i, w[i] AS word FROM words, unnest(range(1, len(w) + 1)) AS t(i)),
+left_ AS (SELECT e.doc_id, string_agg(word, ' ' ORDER BY e.i) AS kept, count(*) AS n FROM each e ANTI JOIN gone g ON g.doc_id = e.doc_id AND g.i = e.i GROUP BY e.doc_id)
+SELECT words.doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM words LEFT JOIN left_ ON left_.doc_id = words.doc_id"""
+
+
 def brute_force(rows: list[tuple[int, str | None]]) -> dict[int, tuple[int, int, str]]:
     """The same by a plain dictionary of word sequences, for tests."""
     seen: dict[tuple, tuple[int, int]] = {}
