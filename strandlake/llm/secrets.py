@@ -196,6 +196,54 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     return out.select("doc_id", *[f"n_{k}" for k in KINDS], F.sha2("base", 256).alias("base_sha256"), "spans").hint("rebalance")
 
 
+def _matches_sql(kind: int, pattern: str, group: int = 0) -> str:
+    p = pattern.replace("'", "''")
+    return f"""SELECT doc_id, {kind} AS kind, unnest(regexp_extract_all(text, '{p}')) AS whole, unnest(regexp_extract_all(text, '{p}', {group})) AS value, unnest(list_transform(string_split_regex(text, '{p}')[:-2], lambda x: length(x))) AS gap, unnest(range(len(regexp_extract_all(text, '{p}')))) AS k FROM texts WHERE regexp_matches(text, '{p}')"""
+
+
+def _below_sql(z: str) -> str:
+    t = f"(1 / (1 + abs({z}) / sqrt(2) * 0.3275911))"
+    tail = f"({t} * ({t} * ({t} * ({t} * ({t} * 1.061405429 - 1.453152027) + 1.421413741) - 0.284496736) + 0.254829592) * exp(-({z}) * ({z}) / 2) / 2)"
+    return f"greatest(CASE WHEN {z} > 0 THEN 1 - {tail} ELSE {tail} END, 1e-12)"
+
+
+def _sql() -> str:
+    """The same in DuckDB's SQL: plain match places, then the battery's formulas over lists of characters."""
+    has = lambda cls: f"regexp_matches(token, '{cls}')"
+    both = f"({has('[a-z]')} AND {has('[A-Z]')})"
+    alphabet = f"""CASE WHEN NOT {has('[A-Za-z]')} OR (NOT {has('[0-9]')} AND NOT {both}) OR ({has('[_-]')} AND {has('[+/]')}) THEN NULL
+  WHEN NOT {has('[^0-9a-f]')} THEN '{_DIGITS}abcdef' WHEN NOT {has('[^0-9A-F]')} THEN '{_DIGITS}ABCDEF' WHEN NOT {has('[^A-Z2-7]')} THEN '{_UPPER}234567' WHEN NOT {has('[^a-z0-9]')} THEN '{_DIGITS}{_LOWER}'
+  WHEN NOT {has('[^A-Z0-9]')} THEN '{_DIGITS}{_UPPER}' WHEN NOT {has('[^A-Za-z0-9]')} THEN '{_DIGITS}{_UPPER}{_LOWER}' WHEN {both} THEN CASE WHEN {has('[_-]')} THEN '{_UPPER}{_LOWER}{_DIGITS}-_' ELSE '{_UPPER}{_LOWER}{_DIGITS}+/' END END"""
+    kinds = f"regexp_replace(translate(token, '{_DIGITS + _UPPER + _LOWER}', '{'D' * 10 + 'U' * 26 + 'L' * 26}'), '[+/_-]', '', 'g')"
+    s2, s3 = (f"CASE WHEN a = 16 THEN {COINCIDE_16[k]!r}::DOUBLE ELSE {COINCIDE[k]!r}::DOUBLE END" for k in (0, 1))
+    change = f"CASE WHEN a <= 36 THEN {CHANGE_ONE!r}::DOUBLE ELSE {CHANGE!r}::DOUBLE END"
+    least = "CASE kind WHEN 0 THEN length(value) >= 8 WHEN 1 THEN length(whole) >= 16 WHEN 2 THEN length(whole) >= 32 ELSE true END"
+    cls = "CASE " + " ".join(f"WHEN stop - start >= {c} THEN {c}" for c in reversed(CLASSES)) + " END"
+    name = f"{list(KINDS)}"
+    listed = lambda most: f"coalesce(string_agg({name}[kind + 1] || ':' || start || ':' || stop, ',' ORDER BY start, kind) FILTER (kind < {most}), '')"
+    return f"""WITH texts AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+found AS ({_matches_sql(0, ASSIGN, 2)} UNION ALL {_matches_sql(1, ACCESS)} UNION ALL {_matches_sql(2, HEX)} UNION ALL {_matches_sql(3, TOKEN)}),
+placed AS (SELECT doc_id, kind, whole, value, CAST(sum(gap + length(whole)) OVER (PARTITION BY doc_id, kind ORDER BY k) AS BIGINT) AS stop FROM found),
+good AS (SELECT doc_id, kind, stop - length(whole) AS start, stop, whole AS token FROM placed WHERE {least}),
+clear AS (SELECT * FROM good t WHERE kind = 3 AND NOT EXISTS (SELECT 1 FROM good b WHERE b.doc_id = t.doc_id AND b.kind < 3 AND b.start < t.stop AND b.stop > t.start)),
+encoded AS (SELECT * FROM (SELECT *, {alphabet} AS alphabet FROM clear) WHERE alphabet IS NOT NULL),
+spelt AS (SELECT doc_id, start, stop, length(alphabet)::DOUBLE AS a, (stop - start)::DOUBLE AS n, string_split(token, '') AS c, list_transform(string_split(token, ''), lambda x: (strpos(alphabet, x) - 1)::DOUBLE) AS v, string_split(replace({kinds}, 'UL', 'LL'), '') AS kinds FROM encoded),
+counted AS (SELECT *, list_sum(list_transform(list_distinct(c), lambda x: pow(len(list_filter(c, lambda y: y = x)), 2))) AS squares, list_sum(v) / n AS mean, list_sum(list_transform(v, lambda x: CASE WHEN x * 2 >= a THEN 1.0 ELSE 0.0 END)) AS n1,
+  1 + list_sum(list_transform(range(1, len(v)), lambda i: CASE WHEN (v[i] * 2 >= a) <> (v[i + 1] * 2 >= a) THEN 1.0 ELSE 0.0 END)) AS runs, len(kinds)::DOUBLE AS m, coalesce(list_sum(list_transform(range(1, len(kinds)), lambda i: CASE WHEN kinds[i] <> kinds[i + 1] THEN 1.0 ELSE 0.0 END)), 0) AS changes FROM spelt),
+spread AS (SELECT *, list_sum(list_transform(v, lambda x: (x - mean) * (x - mean))) AS var, list_sum(list_transform(range(1, len(v)), lambda i: (v[i] - mean) * (v[i + 1] - mean))) AS lagged, 2 * n1 * (n - n1) AS twice, n * (n - 1) / 2 AS pairs, {s2} AS s2, {s3} AS s3, {change} AS change FROM counted),
+scored AS (SELECT *, CASE WHEN var > 0 THEN lagged / var + 1 / n ELSE 1.0 END AS serial, (squares * a / n - n - a + 1) / sqrt(2 * (a - 1) * (n - 1) / n) AS z1, CASE WHEN twice * (twice - n) > 0 THEN (runs - twice / n - 1) / sqrt(twice * (twice - n) / (n * n * (n - 1))) ELSE sqrt(n) END AS z2,
+  ((squares - n) / 2 - pairs * s2) / sqrt(pairs * (s2 - s2 * s2 + 2 * (n - 2) * (s3 - s2 * s2))) AS low, (changes - 0.5 - (m - 1) * change) / sqrt(greatest(m - 1, 1.0) * change * (1 - change) * {SPREAD}) AS many FROM spread),
+tested AS (SELECT *, z1 * z1 + z2 * z2 + serial * serial * n AS t, -ln({_below_sql('low')}) - ln({_below_sql('(-many)')}) - ln({_below_sql(f'((serial - {NEIGHBOURS}) * sqrt(n))')}) AS x, {cls} AS class FROM scored),
+families AS (SELECT *, exp(-x) * (1 + x + x * x / 2) AS p, t <= {PASSES} AS even FROM tested),
+ranked AS (SELECT *, count(*) OVER (PARTITION BY doc_id, class) AS tokens, CASE WHEN even THEN p END AS even_p, count(*) FILTER (even) OVER (PARTITION BY doc_id, class ORDER BY p RANGE UNBOUNDED PRECEDING) AS rank FROM families),
+cuts AS (SELECT *, max(CASE WHEN even_p * tokens <= {RATE} * rank THEN even_p END) OVER (PARTITION BY doc_id, class) AS cut FROM ranked),
+every AS (SELECT doc_id, kind, start, stop FROM good WHERE kind < 3 UNION ALL SELECT doc_id, 3, start, stop FROM cuts WHERE even_p <= cut)
+SELECT t.doc_id, {', '.join(f'count(*) FILTER (kind = {i}) AS n_{k}' for i, k in enumerate(KINDS))}, sha256({listed(3)}) AS base_sha256, {listed(4)} AS spans FROM texts t LEFT JOIN every e ON e.doc_id = t.doc_id GROUP BY t.doc_id"""
+
+
+SQL = _sql()
+
+
 def redact(docs: DataFrame) -> DataFrame:
     """``docs`` (doc_id, text, ...) with every span, overlapping ones merged, replaced by ``MARK``."""
     found = spans(docs).where("kind IS NOT NULL")
