@@ -9,8 +9,9 @@ classifier's intercept).  Labels that are null or of unknown documents are not l
 labelled row at all, or one class only, every score is that class's smoothed share.  Repeated rows are
 scored alike; columns other than id and text are ignored, so clashing names do no harm.
 
-Bound: at most ``max_rows`` labelled texts of each class are learned from (the smallest hashes of doc_id);
-they are read by one bounded join and fitted on the driver in numpy.  Everything else covers all rows.
+Bound: at most ``max_rows`` labelled texts of each class are learned from (the smallest hashes of doc_id), and
+of those, in that order, as many as fit in ``max_bytes`` of whole texts a class; they are read by bounded
+joins and fitted on the driver in numpy.  Everything else covers all rows.
 """
 
 from __future__ import annotations
@@ -29,6 +30,7 @@ from .store import crc_bucket, project
 SIZES = (3, 4, 5)
 BITS = 18
 MAX_ROWS = 2500
+MAX_BYTES = 32 << 20
 
 
 @dataclass
@@ -99,18 +101,31 @@ def fit(texts: list[str], labels: np.ndarray, rounds: int = 150, ridge: float =
     return Model(weight, float(b))
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = MAX_ROWS) -> Model:
-    """Fit on at most ``max_rows`` labelled texts of each class; ``labels`` holds (id, 0 or 1)."""
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES) -> Model:
+    """Fit on at most ``max_rows`` labelled texts and ``max_bytes`` of each class; ``labels`` holds (id, 0 or 1)."""
     known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y")).where("doc_id IS NOT NULL AND y IN (0, 1)").groupBy("doc_id").agg(F.max("y").alias("y"))
     picked = None
     for y in (0, 1):
-        part = known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
+        part = known.where(F.col("y") == y).withColumn("place", F.xxhash64("doc_id")).orderBy("place", "doc_id").limit(max_rows)
         picked = part if picked is None else picked.unionByName(part)
-    # 2 * max_rows rows of 12 bytes: a proven bound for the broadcast.
-    rows = project(docs, id_col, text_col).join(F.broadcast(picked), "doc_id").select("doc_id", "y", "text").where("text IS NOT NULL").toArrow()
-    order = np.argsort(rows["doc_id"].to_numpy(), kind="stable")
-    texts = rows["text"].to_pylist()
-    return fit([texts[i] for i in order], rows["y"].to_numpy()[order])
+    # 2 * max_rows rows of 20 bytes: a proven bound for the broadcast, and for the sizes that come to the driver.
+    sized = project(docs, id_col, text_col).where("text IS NOT NULL").join(F.broadcast(picked), "doc_id").groupBy("doc_id", "y", "place").agg(F.sum(F.octet_length("text").cast("long")).alias("size"))
+    fits = within(sized.toArrow(), max_bytes)
+    wanted = docs.sparkSession.createDataFrame(fits or [(0, 0)], "doc_id long, y int").limit(len(fits))
+    rows = project(docs, id_col, text_col).where("text IS NOT NULL").join(F.broadcast(wanted), "doc_id").select("doc_id", "y", "text").toArrow()
+    texts, ids = rows["text"].to_pylist(), rows["doc_id"].to_pylist()
+    order = sorted(range(len(texts)), key=lambda i: (ids[i], texts[i]))
+    return fit([texts[i] for i in order], rows["y"].to_numpy()[np.array(order, np.int64)])
+
+
+def within(sized: pa.Table, max_bytes: int) -> list[tuple[int, int]]:
+    """(doc_id, y) of each class's first texts, by place, that fit in ``max_bytes`` together; one at least."""
+    out, used = [], {0: 0, 1: 0}
+    for r in sorted(sized.to_pylist(), key=lambda r: (r["place"], r["doc_id"])):
+        if not used[r["y"]] or used[r["y"]] + r["size"] <= max_bytes:
+            used[r["y"]] += r["size"] or 1
+            out.append((r["doc_id"], r["y"]))
+    return out
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
