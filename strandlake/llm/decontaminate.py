@@ -1,7 +1,7 @@
 """Benchmark decontamination by template canonicalisation, in DataFrame functions only.
 
-Numbers, names (capitalised words that do not begin a sentence) and units after a number become typed
-placeholders, so that a question with other numbers or names keeps its template.  Every window of
+Numbers (in digits, or spelt out from two on), names (capitalised words that do not begin a sentence) and units
+after a number become typed placeholders, so that a question with other numbers or names keeps its template.  Every window of
 ``WINDOW`` = 8 tokens is hashed, in documents and benchmark alike, and hash-joined.  Matches of a document
 and an item are aligned by the difference of their places; along one alignment the values that fill the
 item's slots must map consistently to the document's (one item value, one document value).  A pair is
@@ -16,8 +16,9 @@ Contract: one row per (doc_id, item_id) found: doc_id, item_id, n_windows matche
 item_windows, reparameterised (some slot differs).  Null and empty texts match nothing.  Repeated rows of
 either table count once per id.  Other columns are ignored.
 
-The benchmark's windows are broadcast only if they number at most ``BROADCAST_WINDOWS``; else the same
-join shuffles.  Matches are grouped by document, item and alignment, never by window.
+The benchmark's windows are broadcast only if they number at most ``BROADCAST_WINDOWS``.  Beyond that hashes alone
+are joined first, and only documents with a hit are cut to windows with their tokens.  Matches are grouped by
+document, item and alignment, never by window.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .store import materialise
+
 WINDOW = 8
 LITERAL = 4
 ENOUGH = 6
@@ -35,7 +38,9 @@ NAME, NUMBER, UNIT = "", "", ""
 UNITS = "percent|%|€|\\$|£|km/h|km|cm|mm|m|kg|mg|g|lb|lbs|oz|l|ml|miles?|feet|foot|ft|inch(?:es)?|hours?|hrs?|minutes?|mins?|seconds?|secs?|days?|weeks?|months?|years?|dollars?|cents?|euros?|pounds?|degrees?|°C|°F|mph|kWh|W|V|Hz|GB|MB"
 _BLANKS = " \t\n\u000b\f\r"
 _NAMES = r"\p{Lu}(?<=[\p{Ll}\d,;] \p{Lu})[\p{L}\p{M}'’-]*"
-_NUMBERS = r"\d+(?:[.,]\d+)*"
+#: Spelt numbers: fixed list.
+SPELT = "two|three|four|five|six|seven|eight|nine|ten|eleven|twelve|(?:thir|four|fif|six|seven|eigh|nine)teen|(?:twen|thir|for|fif|six|seven|eigh|nine)ty|hundred|thousand|million|billion|dozen"
+_NUMBERS = rf"\d+(?:[.,]\d+)*|(?<![\p{{L}}\d])(?i:{SPELT})(?![\p{{L}}\d])"
 _UNITS = rf"(?<=[ -]?)(?:{UNITS})(?![\p{{L}}\d])"
 
 
@@ -79,6 +84,15 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     known = known.join(per_item, "item_id")
     kinds = known.groupBy("width", "exact").count().collect()  # two rows a width at most
     few = sum(k["count"] for k in kinds) <= BROADCAST_WINDOWS
+    if not few:
+        # Hashes of 8 bytes meet first; the tokens of a window travel only for documents with a hit.
+        touched = None
+        for width in sorted({k["width"] for k in kinds}):
+            keys = known.where(F.col("width") == width).select("hash").distinct()
+            of_docs = windows(docs, "doc_id", width, raw=True).select("doc_id", F.explode(F.array("hash", "raw_hash")).alias("hash"))
+            met = of_docs.distinct().join(keys, "hash").select("doc_id")
+            touched = met if touched is None else touched.unionByName(met)
+        docs = docs.join(materialise(touched.distinct(), "touched", narrow=True), "doc_id", "left_semi")
     hits = None
     for width in sorted({k["width"] for k in kinds} or {WINDOW}):
         mine = known.where(F.col("width") == width).drop("width")
