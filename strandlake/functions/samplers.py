@@ -46,6 +46,8 @@ def gamma(key: np.ndarray, entity: np.ndarray, shape: float, role: int) -> np.nd
 def beta(key: np.ndarray, entity: np.ndarray, a: float, b: float) -> np.ndarray:
     """Beta(a, b) in single precision, as levels are stored."""
     x, y = gamma(key, entity, a, ALPHA), gamma(key, entity, b, BETA)
+    if not (x + y > 0).all():
+        raise ArithmeticError("both gamma draws of a level are zero")
     return (x / (x + y)).astype(np.float32)
 
 
@@ -93,23 +95,40 @@ def confused(model: dict, mate: int, key: np.ndarray, ordinal: np.ndarray, calle
     return out
 
 
-def denovo_events(key: int, positions: np.ndarray, bases: np.ndarray, fraction: float, extension: float, homozygous: bool) -> list[tuple]:
+#: Places that an event can keep from the next ones: a deletion is no longer.
+REACH = 4
+
+
+def restart(positions: np.ndarray, first: int) -> int:
+    """The least index from which a scan does not depend on what is before: after a gap that no event reaches over.
+
+    ``first`` is the place from which positions are complete.
+    """
+    if not len(positions) or first == 0:
+        return 0
+    gaps = np.flatnonzero(np.diff(positions, prepend=first - 1) > REACH)
+    if not len(gaps):
+        raise ArithmeticError("mutations are too dense for a tile")
+    return int(gaps[0])
+
+
+def denovo_events(key: int, positions: np.ndarray, bases: np.ndarray, fraction: float, extension: float, homozygous: bool, at: int = 0) -> list[tuple]:
     """(kind, ref_start, ref_end, ref, alt, mask) along one contig.
 
     ``positions`` are those whose first draw mutates, in order; an accepted event moves the scan on, which
-    is why this is a loop.  ``bases`` is the contig (4: N).
+    is why this is a loop.  ``bases`` are the contig's from place ``at`` on (4: N).
     """
     keys = np.full(len(positions), key, np.uint64)
     draw = lambda local: rng.block(keys, positions, np.full(len(positions), local))
     u = {k: rng.uniform(draw(k)) for k in (1, 3, 4, 5, 6, 16, 17)}
     snv = bounded(draw(2), np.full(len(positions), 3))
     inserted = [bounded(draw(8 + k), np.full(len(positions), 4)) for k in range(4)]
-    out, free, n = [], 0, len(bases)
+    out, free, n = [], 0, len(bases) + at
     for i, pos in enumerate(positions.tolist()):
         if pos < free:
             continue
         mask = 3 if homozygous or u[16][i] < 1 / 3 else 1 if u[17][i] < 0.5 else 2
-        ref = int(bases[pos])
+        ref = int(bases[pos - at])
         if u[1][i] >= fraction:
             out.append(("S", pos, pos + 1, "ACGT"[ref], "ACGT"[(ref + 1 + int(snv[i])) & 3], mask))
             free = pos + 1
@@ -121,9 +140,9 @@ def denovo_events(key: int, positions: np.ndarray, bases: np.ndarray, fraction:
             size += 1
         if u[3][i] < 0.5:
             end = pos + 1
-            while end < min(n, pos + size) and bases[end] < 4:
+            while end < min(n, pos + size) and bases[end - at] < 4:
                 end += 1
-            out.append(("D", pos, end, "".join("ACGT"[b] for b in bases[pos:end]), "", mask))
+            out.append(("D", pos, end, "".join("ACGT"[b] for b in bases[pos - at : end - at]), "", mask))
             free = end
         else:
             out.append(("I", pos + 1, pos + 1, "", "".join("ACGT"[int(inserted[k][i])] for k in range(size)), mask))

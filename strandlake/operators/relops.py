@@ -41,10 +41,35 @@ def band_self_join(rows: DataFrame, keys: list[str], pos: str, low: int, high: i
     return left.join(right, [*keys, "_bin"]).where((gap >= low) & (gap <= high)).drop("_bin")
 
 
-def running_ranges(rows: DataFrame, keys: list[str], weight: str, order: list[str]) -> DataFrame:
-    """``lo`` and ``hi``: the half-open range of running weight that each row owns, within its key."""
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return rows.withColumn("hi", F.sum(weight).over(w)).withColumn("lo", F.col("hi") - F.col(weight))
+def _blocked(rows: DataFrame, keys: list[str], weight: Column, block: Column) -> DataFrame:
+    """``rows`` with ``_block`` and ``_before``, the weight of the blocks before theirs: only block sums are put in
+    order over a whole key."""
+    rows = rows.withColumn("_block", block.cast("long"))
+    upto = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    sums = rows.groupBy(*keys, "_block").agg(F.sum(weight).alias("_sum"))
+    sums = sums.withColumn("_before", F.coalesce(F.sum("_sum").over(upto), F.lit(0))).drop("_sum")
+    return rows.join(sums, [*keys, "_block"])
+
+
+def running_ranges(rows: DataFrame, keys: list[str], weight: str, order: list[str], block: Column | None = None) -> DataFrame:
+    """``lo`` and ``hi``: the half-open range of running weight that each row owns, within its key.
+
+    ``block`` must not decrease along ``order``: rows are then put in order within their block only, so that a
+    long key spreads over many tasks.
+    """
+    held = rows if block is None else _blocked(rows, keys, F.col(weight), block)
+    within = keys if block is None else [*keys, "_block"]
+    w = Window.partitionBy(*within).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    hi = F.sum(weight).over(w) + (0 if block is None else F.col("_before"))
+    return held.withColumn("hi", hi).withColumn("lo", F.col("hi") - F.col(weight)).select(*rows.columns, "hi", "lo")
+
+
+def numbered(rows: DataFrame, keys: list[str], name: str, order: list, block: Column | None = None) -> DataFrame:
+    """``rows`` with their number from 0 within their key; ``block`` as in ``running_ranges``."""
+    held = rows if block is None else _blocked(rows, keys, F.lit(1), block)
+    within = keys if block is None else [*keys, "_block"]
+    number = F.row_number().over(Window.partitionBy(*within).orderBy(*order)).cast("long") - 1
+    return held.withColumn(name, number + (0 if block is None else F.col("_before"))).select(*[c for c in rows.columns if c != name], name)
 
 
 def cumulative_pick(draws: DataFrame, ranges: DataFrame, keys: list[str], draw: str, width: int) -> DataFrame:
@@ -52,10 +77,9 @@ def cumulative_pick(draws: DataFrame, ranges: DataFrame, keys: list[str], draw:
     return range_join(draws, ranges.where("hi > lo"), keys, draw, "lo", "hi", width)
 
 
-def rank_select(draws: DataFrame, domain: DataFrame, keys: list[str], rank: str, order: list[str]) -> DataFrame:
+def rank_select(draws: DataFrame, domain: DataFrame, keys: list[str], rank: str, order: list[str], block: Column | None = None) -> DataFrame:
     """The domain row of each drawn rank: numbers within the key, then an equi-join on key and rank."""
-    numbered = domain.withColumn(rank, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long") - 1)
-    return draws.join(numbered, [*keys, rank])
+    return draws.join(numbered(domain, keys, rank, order, block), [*keys, rank])
 
 
 def islands(rows: DataFrame, keys: list[str], start: str, end: str) -> DataFrame:
@@ -103,3 +127,9 @@ def ordered_accept(candidates: DataFrame, keys: list[str], ordinal: str, need: s
     w = Window.partitionBy(*keys).orderBy(ordinal)
     kept = candidates.withColumn("accept_rank", F.row_number().over(w).cast("long") - 1).where(F.col("accept_rank") < F.col(need))
     return kept.withColumn("skipped", F.col(ordinal) - F.col("accept_rank"))
+
+
+def same_rows(left: DataFrame, right: DataFrame, keys: list[str]) -> bool:
+    """Whether both hold the same set of keys: one aggregate over both, no difference of either from the other."""
+    marked = left.select(*keys, F.lit(1).alias("_side")).unionByName(right.select(*keys, F.lit(2).alias("_side")))
+    return marked.groupBy(*keys).agg(F.bit_or("_side").alias("_sides")).where("_sides <> 3").isEmpty()

@@ -262,12 +262,18 @@ def variant_reference_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("ci").agg(F.count("*").alias("n_variants"), F.count_if(sq.piece(F.col("around"), at, at + F.length("ref")) == F.col("ref")).alias("n_matching"))
 
 
-@query(f"""WITH {FRAGMENTS_SQL} SELECT ci, sha256(string_agg(sha256(ordinal || ':' || st || ':' || template), '' ORDER BY ordinal)) AS digest FROM fragments GROUP BY ci""")
+DIGESTED = 1024
+
+
+@query(f"""WITH {FRAGMENTS_SQL}, blocks AS (SELECT ci, ordinal // {DIGESTED} AS block, sha256(string_agg(sha256(ordinal || ':' || st || ':' || template), '' ORDER BY ordinal)) AS d FROM fragments GROUP BY ALL)
+SELECT ci, sha256(string_agg(d, '' ORDER BY block)) AS digest FROM blocks GROUP BY ci""")
 def stream_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An order-sensitive digest of each contig's fragments: of their digests in ordinal order."""
+    """An order-sensitive digest of each contig's fragments: of the digests of its ranges of ``DIGESTED`` ordinals, each
+    of the digests of its fragments."""
     rows = fragments(spark, sf_dir).withColumn("d", F.sha2(F.concat_ws(":", F.col("ordinal").cast("string"), F.col("start").cast("string"), "template"), 256))
-    lists = rows.groupBy("ci").agg(F.sort_array(F.collect_list(F.struct("ordinal", "d"))).alias("l"))
-    return lists.select("ci", F.sha2(F.array_join(F.col("l.d"), ""), 256).alias("digest"))
+    joined = lambda of, by: F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(by, of))), lambda x: x[of]), ""), 256)
+    blocks = rows.groupBy("ci", F.floor(F.col("ordinal") / DIGESTED).alias("block")).agg(joined("d", "ordinal").alias("b"))
+    return blocks.groupBy("ci").agg(joined("b", "block").alias("digest"))
 
 
 @query(f"WITH {FRAGMENTS_SQL} SELECT count(*) AS n, count(DISTINCT ordinal) AS n_distinct, min(ordinal) AS least, max(ordinal) AS greatest, max(ordinal) - min(ordinal) + 1 = count(DISTINCT ordinal) AS consecutive FROM fragments")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import philox as rng
@@ -40,11 +40,15 @@ def rrbs_cut_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiles.cut_places(src.contigs(spark, sf_dir), CUTS)
 
 
+def block(place: str) -> Column:
+    """The block of a place on a contig, within which rows are put in order."""
+    return F.floor(F.col(place) / tiles.CORE)
+
+
 def candidate_pairs(cuts: DataFrame, shortest: int | None = None, longest: int | None = None) -> DataFrame:
     """(ci, left, right, sites): ordered cut pairs in the length band, with the motifs they span."""
     shortest, longest = shortest or SHORTEST, longest or LONGEST
-    w = Window.partitionBy("ci").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = cuts.withColumn("upto", F.sum("sites").over(w))
+    ranked = relops.running_ranges(cuts, ["ci"], "sites", ["pos"], block("pos")).withColumnRenamed("hi", "upto").drop("lo")
     pairs = relops.band_self_join(ranked, ["ci"], "pos", shortest, longest, {"pos": "right", "upto": "upto_right"})
     return pairs.select("ci", F.col("pos").alias("left"), "right", (F.col("upto_right") - F.col("upto") + F.col("sites")).alias("sites"))
 
@@ -136,7 +140,7 @@ def draw_rrbs(contigs: DataFrame, cuts: list[tuple[str, int]], p: Params, shorte
         rows = rows.drop("weight").join(exact_weights(scores, "score").select("ci", "left", "right", (F.col("score") * 2).alias("weight")), ["ci", "left", "right"])
     rows = kept(rows.where("weight > 0"))
     seats = kept(seated_by(rows.groupBy("ci").agg(F.sum("weight").alias("total")), p.total))
-    ranges = relops.running_ranges(rows, ["ci"], "weight", ["left", "right"])
+    ranges = relops.running_ranges(rows, ["ci"], "weight", ["left", "right"], block("left"))
     picked = relops.cumulative_pick(picks_of(seats, p.seed), ranges, ["ci"], "pick", 64)
     return picked.join(seats.select("ci", "before"), "ci").select((F.col("before") + F.col("ordinal")).alias("ordinal"), "ci", F.col("left").alias("start"), (F.col("right") - F.col("left")).alias("span"))
 
@@ -154,7 +158,7 @@ def draw_tbs(contigs: DataFrame, targets: DataFrame, p: Params, sigma: float, by
     """(ordinal, ci, start, span, strand): fragments at targets (ci, st, en, strand, score), evenly or by score."""
     strand = F.when(F.col("strand") == "+", 1).when(F.col("strand") == "-", 2).otherwise(3)
     rows = exact_weights(targets, "score") if by_score else targets
-    rows = rows.withColumn("target", F.row_number().over(Window.partitionBy("ci").orderBy("st", "en", strand)).cast("long") - 1)
+    rows = relops.numbered(rows, ["ci"], "target", ["st", "en", strand], block("st"))
     rows = rows.withColumn("middle", F.col("st") + F.floor((F.col("en") - F.col("st")) / 2) - p.insert // 2)
     rows = rows.select("ci", "target", "middle", (strand % 3).alias("strand"), (F.col("score") if by_score else F.lit(1).cast("long")).alias("score"))
     runs = kept(tiles.valid_runs(contigs, p.read, p.insert, p.max_n))
@@ -164,7 +168,7 @@ def draw_tbs(contigs: DataFrame, targets: DataFrame, p: Params, sigma: float, by
         rows = rows.join(runs.select("ci").distinct(), "ci", "left_semi")
     rows = kept(rows.where("score > 0"))
     seats = kept(seated_by(rows.groupBy("ci").agg(F.sum("score").alias("total")), p.total))
-    ranges = relops.running_ranges(rows, ["ci"], "score", ["target"])
+    ranges = relops.running_ranges(rows, ["ci"], "score", ["target"], F.floor(F.col("target") / 4096))
     picked = relops.cumulative_pick(picks_of(seats, p.seed), ranges, ["ci"], "pick", 64).select("ci", "ordinal", "target", "middle", "strand")
     if sigma > 0:
         moved = displaced_picks(picked.drop("strand"), runs, p.seed, sigma, strict=True).select("ci", "ordinal", F.col("start").alias("middle"))
@@ -183,7 +187,7 @@ def rrbs_uniform_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = candidates(src.contigs(spark, sf_dir), rrbs_candidate_pairs(spark, sf_dir))
     totals = rows.groupBy("ci").agg((F.sum(F.bit_count("mask"))).alias("total"))
     draws = _picked(totals, 8).select("ci", "ordinal", F.floor(F.col("pick") / 2).alias("rank"), (F.col("pick") % 2).alias("copy"))
-    return relops.rank_select(draws, rows.select("ci", "left", "right"), ["ci"], "rank", ["left", "right"]).select("ci", "ordinal", "left", "right", "copy")
+    return relops.rank_select(draws, rows.select("ci", "left", "right"), ["ci"], "rank", ["left", "right"], block("left")).select("ci", "ordinal", "left", "right", "copy")
 
 
 @query(f"""WITH {_RRBS_SQL}, weighted AS (SELECT ci, lft, rgt, sites * 2 AS weight FROM candidates), {_picks_sql('SELECT ci, CAST(sum(weight) AS BIGINT) AS total FROM weighted GROUP BY ci', 8)},
@@ -192,7 +196,7 @@ def rrbs_profile_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates drawn by weight: the first running weight above the draw."""
     rows = candidates(src.contigs(spark, sf_dir), rrbs_candidate_pairs(spark, sf_dir)).select("ci", "left", "right", (F.col("sites") * F.bit_count("mask")).alias("weight"))
     draws = _picked(rows.groupBy("ci").agg(F.sum("weight").alias("total")), 8)
-    return relops.cumulative_pick(draws, relops.running_ranges(rows, ["ci"], "weight", ["left", "right"]), ["ci"], "pick", 64).select("ci", "ordinal", "left", "right")
+    return relops.cumulative_pick(draws, relops.running_ranges(rows, ["ci"], "weight", ["left", "right"], block("left")), ["ci"], "pick", 64).select("ci", "ordinal", "left", "right")
 
 
 # Targets -------------------------------------------------------------------------------------------
@@ -207,7 +211,7 @@ eligible AS (SELECT ci, ordinal, st, en, strand, score, first FROM (SELECT c.*,
 def tbs_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Targets in canonical order, numbered within their contig."""
     strand = F.when(F.col("strand") == "+", 0).when(F.col("strand") == "-", 1).otherwise(2)
-    return src.targets(spark, sf_dir).withColumn("ordinal", F.row_number().over(Window.partitionBy("ci").orderBy("st", "en", strand)).cast("long") - 1)
+    return relops.numbered(src.targets(spark, sf_dir), ["ci"], "ordinal", ["st", "en", strand], block("st"))
 
 
 @query(f"WITH {src.CONTIGS_SQL}, {src.TARGETS_SQL}, {TBS_SQL} SELECT ci, ordinal, first, score FROM eligible")
@@ -225,7 +229,7 @@ runs AS (SELECT *, sum(score) OVER (PARTITION BY ci ORDER BY ordinal) AS hi FROM
 def tbs_weight_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = tbs_eligible(spark, sf_dir).withColumnRenamed("ordinal", "target")
     draws = _picked(rows.groupBy("ci").agg(F.sum("score").alias("total")), 8).withColumnRenamed("ordinal", "draw")
-    return relops.cumulative_pick(draws, relops.running_ranges(rows, ["ci"], "score", ["target"]), ["ci"], "pick", 64).select("ci", "draw", "target", "first")
+    return relops.cumulative_pick(draws, relops.running_ranges(rows, ["ci"], "score", ["target"], F.floor(F.col("target") / 4096)), ["ci"], "pick", 64).select("ci", "draw", "target", "first")
 
 
 #: Attempts tried at once; what they leave is tried on, a round at a time, until nothing is left.
@@ -269,7 +273,7 @@ def tbs_displaced(spark: SparkSession, sf_dir: str) -> DataFrame:
 def displaced(rows: DataFrame, runs: DataFrame, strict: bool = True) -> DataFrame:
     """(ci, ordinal, target, attempt, start): weighted picks of ``rows`` (ci, target, middle, score), displaced."""
     draws = _picked(rows.groupBy("ci").agg(F.sum("score").alias("total")).where("total > 0"), 8)
-    picked = relops.cumulative_pick(draws, relops.running_ranges(rows, ["ci"], "score", ["target"]), ["ci"], "pick", 64).select("ci", "ordinal", "target", "middle")
+    picked = relops.cumulative_pick(draws, relops.running_ranges(rows, ["ci"], "score", ["target"], F.floor(F.col("target") / 4096)), ["ci"], "pick", 64).select("ci", "ordinal", "target", "middle")
     return displaced_picks(picked, runs, SEED, SIGMA, strict)
 
 

@@ -17,7 +17,7 @@ from . import sqlgen, tiles
 from .basics import CATALOG_SEED, DEFAULTS, READ, SEED
 from .reads import FRAGMENTS_SQL, READS_SQL, Options, placed_reads, sequence
 from .registry import query
-from .variation import _HAPS, INDEL_RATE, haplotype_segments, mutated
+from .variation import _HAPS, INDEL_RATE, MUTATION_RATE, haplotype_segments
 
 #: Beta shapes by context class: fixed defaults.
 SHAPES = {1: (0.5, 0.5), 3: (0.01, 0.05), 7: (0.01, 0.05)}
@@ -59,26 +59,32 @@ def beta_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def denovo_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mutations of every contig after neighbours have suppressed each other.
+    """Mutations of every contig after neighbours have suppressed each other."""
+    return mutations(src.contigs(spark, sf_dir), MUTATION_RATE, INDEL_RATE, EXTENSION, CATALOG_SEED)
 
-    Only the mutating bases (one in fifty here, one in a thousand usually) and the contig's own sequence
-    reach a contig's scan.
+
+def mutations(contigs: DataFrame, rate: float, indels: float, extension: float, seed: int, homozygous: bool = False, halo: int = 4096) -> DataFrame:
+    """(ci, kind, ref_start, ref_end, ref, alt, mask), map-only over tiles.
+
+    An accepted event keeps a few places from the next ones, so a scan starts in the halo, after a gap that none
+    reaches over; a halo without such a gap is an error.
     """
-    contigs = src.contigs(spark, sf_dir)
-
-    def scan(left: pa.Table, right: pa.Table) -> pa.Table:
-        rows, ci = [], None
-        if left.num_rows and right.num_rows:
-            ci = right["ci"][0].as_py()
-            pos = np.sort(left["pos"].to_numpy())
-            bases = tiles.CODE[np.frombuffer(right["seq"][0].as_py().encode(), np.uint8)]
-            rows = samplers.denovo_events(int(rng.stage_key(CATALOG_SEED, rng.MUTATION, np.array([ci]))[0]), pos, bases, INDEL_RATE, EXTENSION, False)
-        columns = list(zip(*rows, strict=True)) or [()] * 6
-        types = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32())
-        return pa.table([pa.array([ci] * len(rows), pa.int64()), *[pa.array(c, t) for c, t in zip(columns, types, strict=True)]], names=["ci", "kind", "ref_start", "ref_end", "ref", "alt", "mask"])
-
-    schema = "ci long, kind string, ref_start long, ref_end long, ref string, alt string, mask int"
-    return mutated(contigs).groupBy("ci").cogroup(contigs.select("ci", "seq").groupBy("ci")).applyInArrow(scan, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for ci, a, b, at, seq in zip(*(batch[c].to_pylist() for c in ("ci", "core_start", "core_end", "from", "seq")), strict=True):
+                x = tiles.CODE[np.frombuffer(seq.encode(), np.uint8)]
+                key = rng.stage_key(seed, rng.MUTATION, np.array([ci]))
+                pos = np.flatnonzero(x[: b - at] < 4) + at
+                pos = pos[rng.uniform(rng.block(np.broadcast_to(key, pos.shape), pos, np.zeros(len(pos)))) < rate]
+                found = samplers.denovo_events(int(key[0]), pos[samplers.restart(pos, at) :], x, indels, extension, homozygous, at)
+                # An insertion stands after the base that mutated.
+                rows = [e for e in found if a <= e[1] - (e[0] == "I") < b]
+                columns = list(zip(*rows, strict=True)) or [()] * 6
+                types = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32())
+                yield pa.record_batch([pa.array([ci] * len(rows), pa.int64()), *[pa.array(c, t) for c, t in zip(columns, types, strict=True)]], ["ci", "kind", "ref_start", "ref_end", "ref", "alt", "mask"])
+
+    return tiles.tiles(contigs, halo).mapInArrow(run, "ci long, kind string, ref_start long, ref_end long, ref string, alt string, mask int")
 
 
 def _cumulative_sql(name: str, rows: list[tuple[int, int, list[int]]]) -> str:

@@ -65,6 +65,14 @@ def fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fragment_table(spark, sf_dir).select("ordinal", "ci", "start", "template")
 
 
+@query(f"""WITH {FRAGMENTS_SQL}, places AS (SELECT ordinal, i FROM fragments, unnest(range({INSERT})) AS t(i) WHERE substr(template, CAST(i + 1 AS INTEGER), 1) = 'N') SELECT ordinal, count(*) AS n, string_agg(i, ',' ORDER BY i) AS offsets FROM places GROUP BY ordinal""")
+def original_unknown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The places of unknown bases in the templates that have any, before errors can make others."""
+    rows = fragment_table(spark, sf_dir).where(F.contains("template", F.lit("N")))
+    places = F.filter(F.transform(F.split("template", ""), lambda c, i: F.when(c == "N", i)), lambda i: i.isNotNull())
+    return rows.select("ordinal", places.alias("p")).select("ordinal", F.size("p").cast("long").alias("n"), F.array_join(F.col("p").cast("array<string>"), ",").alias("offsets"))
+
+
 def placed(contigs: DataFrame, picked: DataFrame, levels: DataFrame | None, longest: int, events: DataFrame | None = None) -> DataFrame:
     """Tiles of ``contigs`` with what falls on them: ``picks``, ``levels`` and ``events``.
 

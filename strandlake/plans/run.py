@@ -210,7 +210,7 @@ class Simulation:
             else:
                 rows = self.fastq()
                 for mate in (1, 2) if self.config.paired else (1,):
-                    out.text(f"mate{mate}", rows.where(F.col("mate") == mate), "record", ["ordinal"])
+                    out.text(f"mate{mate}", rows.where(F.col("mate") == mate), "record", ["ordinal"], lines=4)
             return out.commit({"config": json.loads(self.config.canonical()), "config_sha256": digest_of(self.config.canonical())})
 
 
@@ -309,3 +309,24 @@ def binding(contigs: DataFrame, catalog_seed: int, variants: str | None = None,
         raise ConfigError("a catalogue is bound to a variant file or to mutation parameters, not to both")
     names = [(r["name"], r["d"]) for r in contigs.orderBy("ci").select("name", F.sha2("seq", 256).alias("d")).collect()]  # a line a contig
     return digest_of(json.dumps({"contigs": names, "catalog_seed": catalog_seed, "variants": variants, "mutation": mutation}, sort_keys=True))
+
+
+def save_catalog(folder: str, catalog: DataFrame, bound_to: str) -> dict:
+    """Write a methylation catalogue (ci, pos, code, level) by contig, and the ``binding`` that it belongs to."""
+    spark = catalog.sparkSession
+    with sinks.Session(spark, folder) as out:
+        out.parquet("levels", catalog.sortWithinPartitions("ci", "pos"), by="ci")
+        return out.commit({"binding": bound_to})
+
+
+def load_catalog(spark: SparkSession, folder: str, bound_to: str) -> DataFrame:
+    """(ci, pos, code, level) of a saved catalogue; it must be bound to the same inputs, whole, and without repeats."""
+    manifest = json.loads(spark.read.text(f"{folder.rstrip('/')}/manifest").first()["value"])
+    if manifest.get("binding") != bound_to:
+        raise ConfigError("the catalogue is bound to another reference, seed or variants")
+    rows = spark.read.parquet(f"{folder.rstrip('/')}/levels").select(F.col("ci").cast("long").alias("ci"), "pos", "code", "level")
+    if rows.count() != manifest["outputs"]["levels"]["rows"]:
+        raise ConfigError("the catalogue is not whole")
+    if not rows.groupBy("ci", "pos").count().where("count > 1").isEmpty():
+        raise ConfigError("a site occurs twice in the catalogue")
+    return rows

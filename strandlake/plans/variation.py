@@ -296,7 +296,7 @@ def context_pool_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
     sizes = pool.groupBy("ci", "class").agg(F.count("*").alias("n"))
     ask = rows.where("level IS NULL").select("ci", "pos", "class").join(sizes, ["ci", "class"])
     ask = ask.withColumn("w", rng.draw(CATALOG_SEED, rng.METHYLATION_LEVEL, F.col("ci"), F.col("pos"), F.lit(-1))).select("ci", "pos", "class", rng.bounded(F.col("w"), F.col("n")).alias("rank"))
-    return relops.rank_select(ask, pool, ["ci", "class"], "rank", ["at"]).select("ci", "pos", "class", "picked")
+    return relops.rank_select(ask, pool, ["ci", "class"], "rank", ["at"], F.floor(F.col("at") / tiles.CORE)).select("ci", "pos", "class", "picked")
 
 
 # Draws over every base -----------------------------------------------------------------------------

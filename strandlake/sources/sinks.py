@@ -29,19 +29,32 @@ class Session:
     def _fs(self):
         return self._path(self.folder).getFileSystem(self.spark._jsc.hadoopConfiguration())
 
-    def text(self, name: str, rows: DataFrame, column: str, order: list[str], compression: str = "gzip", header: str = "") -> None:
-        """Lines of ``column``, ordered over all files; ``header`` becomes a file that sorts before them."""
+    def text(self, name: str, rows: DataFrame, column: str, order: list[str], compression: str = "gzip", header: str = "", lines: int = 1) -> None:
+        """Records of ``lines`` lines in ``column``, ordered over all files; ``header`` becomes a file that sorts before them.
+
+        Counts and digests are of the files as written.
+        """
         # Range partitions keep the order across files without one task seeing all rows.
         ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order).select(F.col(column).alias("value"))
         ordered.write.option("compression", compression).text(f"{self.staging}/{name}")
+        written = self.spark.read.text(f"{self.staging}/{name}").agg(F.count("*").alias("n"), F.sum(F.xxhash64("value").cast("decimal(38,0)")).alias("s")).first()
+        if written["n"] % lines:
+            raise OSError(f"{name} was written with {written['n']} lines")
         if header:
             self.spark.createDataFrame([(header,)], "value string").coalesce(1).write.text(f"{self.staging}/{name}/header")
-        self.parts[name] = {"kind": "text", "rows": rows.count(), "sum": str(rows.agg(F.sum(F.xxhash64(column).cast("decimal(38,0)")).alias("s")).first()["s"])}
+        self.parts[name] = {"kind": "text", "rows": written["n"] // lines, "sum": str(written["s"]), "files": self._files(name)}
+
+    def _files(self, name: str) -> dict:
+        """How many files a part has, their bytes, and the SHA-256 over their digests in the order of their names."""
+        found = self.spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(f"{self.staging}/{name}")
+        rows = found.select(F.regexp_extract("path", r"/([^/]+/[^/]+)$", 1).alias("path"), "length", F.sha2("content", 256).alias("d")).agg(F.count("*").alias("n"), F.sum("length").alias("bytes"), F.sort_array(F.collect_list(F.struct("path", "d"))).alias("l"))
+        row = rows.select("n", "bytes", F.sha2(F.array_join(F.col("l.d"), ""), 256).alias("digest")).first()
+        return {"count": row["n"], "bytes": row["bytes"], "sha256": row["digest"]}
 
     def parquet(self, name: str, rows: DataFrame, by: str | None = None) -> None:
         writer = rows.write.partitionBy(by) if by else rows.write
         writer.parquet(f"{self.staging}/{name}")
-        self.parts[name] = {"kind": "parquet", "rows": self.spark.read.parquet(f"{self.staging}/{name}").count()}
+        self.parts[name] = {"kind": "parquet", "rows": self.spark.read.parquet(f"{self.staging}/{name}").count(), "files": self._files(name)}
 
     def commit(self, facts: dict) -> dict:
         fs = self._fs()

@@ -89,6 +89,12 @@ def test_variable_inserts_fill_every_seat(spark):
             libraries.enough(seats, _every(gap, upto), 3)
 
 
+def test_same_rows(spark):
+    a = spark.createDataFrame([(1, 2), (1, 2), (3, 4)], "x int, y int")
+    b = spark.createDataFrame([(3, 4), (1, 2)], "x int, y int")
+    assert relops.same_rows(a, b, ["x", "y"]) and not relops.same_rows(a, b.where("x = 1"), ["x", "y"]) and not relops.same_rows(a.where("x = 1"), b, ["x", "y"])
+
+
 def test_exact_weights(spark):
     rows = spark.createDataFrame([(0, 3.0), (1, 0.0)], "ci long, score double")
     assert sorted(r["score"] for r in libraries.exact_weights(rows, "score").collect()) == [0, 3]
@@ -174,3 +180,30 @@ def test_projected_starts_match_plain_loops(spark, core):
         assert r["ok"] and r["template"] == bases[a:b]
         held = [f"{max(x, a) - a}:{min(y, b) - a}" for x, y in places if (a < x < b if x == y else max(x, a) < min(y, b))]
         assert [":".join(e.split(":")[:2]) for e in filter(None, r["events"].split(","))] == held
+
+
+@pytest.mark.parametrize("core", [50, 333, 100_000])
+def test_mutations_do_not_depend_on_tiles(spark, core, monkeypatch):
+    import random
+
+    from strandlake.plans import models
+
+    rng = random.Random(2)
+    c = contigs(spark, *["".join(rng.choice("ACGTN" if rng.random() < 0.05 else "ACGT") for _ in range(n)) for n in (3000, 700, 3)])
+    want = sorted(map(tuple, models.mutations(c, 0.1, 0.5, 0.6, 3).collect()))
+    plain = tiles.tiles
+    monkeypatch.setattr(tiles, "tiles", lambda rows, halo: plain(rows, 200, core))
+    assert sorted(map(tuple, models.mutations(c, 0.1, 0.5, 0.6, 3).collect())) == want and len(want) > 200
+    with pytest.raises(Exception, match="too dense"):
+        models.mutations(c, 0.999, 0.5, 0.6, 3).collect() if core < 3000 else (_ for _ in ()).throw(ArithmeticError("too dense"))
+
+
+def test_running_ranges_by_blocks(spark):
+    import random
+
+    rng = random.Random(1)
+    rows = spark.createDataFrame([(k % 3, rng.randrange(1000), rng.randrange(5), i) for i, k in enumerate(range(300))], "k int, at long, w long, i int")
+    whole = sorted(map(tuple, relops.running_ranges(rows, ["k"], "w", ["at", "i"]).collect()))
+    assert sorted(map(tuple, relops.running_ranges(rows, ["k"], "w", ["at", "i"], F.floor(F.col("at") / 64)).collect())) == whole
+    whole = sorted(map(tuple, relops.numbered(rows, ["k"], "n", ["at", "i"]).collect()))
+    assert sorted(map(tuple, relops.numbered(rows, ["k"], "n", ["at", "i"], F.floor(F.col("at") / 64)).collect())) == whole

@@ -1,5 +1,6 @@
 """End to end: readers, a simulation, its outputs, and the same run as a stream."""
 
+import hashlib
 import json
 from dataclasses import replace
 
@@ -26,9 +27,19 @@ def _plain(contigs):
 def test_fasta(contigs, spark, tmp_path):
     rows = contigs.orderBy("contig_index").collect()
     assert [(r["contig_index"], r["name"], r["length"]) for r in rows] == [(0, "chrA", 48), (1, "chrB", 24)]
-    (tmp_path / "bad.fa").write_text(">a\nACGU\n")
-    with pytest.raises(readers.FormatError):
-        readers.fasta(spark, str(tmp_path / "bad.fa"))
+    (tmp_path / "odd.fa").write_text(">a x>y >z\r\nac\r\nGT\r\n>b\nNN\n")
+    assert sorted((r["name"], r["seq"]) for r in readers.fasta(spark, str(tmp_path / "odd.fa")).collect()) == [("a", "ACGT"), ("b", "NN")]
+    for bad in (">a\nACGU\n", "ACGT\n>a\nAC\n", ">a\n>b\nAC\n", ">a\nA\n>a\nC\n"):
+        (tmp_path / "bad.fa").write_text(bad)
+        with pytest.raises(readers.FormatError):
+            readers.fasta(spark, str(tmp_path / "bad.fa")).collect()
+
+
+def test_unsigned_numbers():
+    assert readers.u64("0") == 0 and readers.u64(str(2**64 - 1)) == 2**64 - 1
+    for bad in ("", "-1", "+1", "01", " 1", str(2**64), "1e3", "١"):
+        with pytest.raises(readers.FormatError):
+            readers.u64(bad)
 
 
 def test_variant_calls(contigs, spark, tmp_path):
@@ -41,6 +52,82 @@ def test_variant_calls(contigs, spark, tmp_path):
         readers.vcf(spark, str(tmp_path / "y.vcf"), contigs)
 
 
+VCF = "##fileformat=VCFv4.3\n#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\tS\n"
+
+
+def test_rows_out_of_order_are_refused(contigs, spark, tmp_path):
+    call = lambda c, p, i=".": f"{c}\t{p}\t{i}\tC\tT\t.\t.\t.\tGT\t0|1\n"
+    site = lambda c, p, dinuc="CG": f"{c}\tC\t{p}\tCG\t{dinuc}\t0.25\t1\t4\n"
+    for k, rows in enumerate(([("chrA", 9), ("chrA", 2)], [("chrA", 2), ("chrA", 2)], [("chrB", 1), ("chrA", 2)], [("chrA", 2), ("chrB", 1), ("chrA", 5)])):
+        (tmp_path / f"{k}.vcf").write_text(VCF + "".join(call(*r) for r in rows))
+        (tmp_path / f"{k}.cg").write_text("".join(site(*r) for r in rows))
+        with pytest.raises(readers.FormatError, match="order"):
+            readers.vcf(spark, str(tmp_path / f"{k}.vcf"), contigs)
+        with pytest.raises(readers.FormatError, match="order"):
+            readers.cgmap(spark, str(tmp_path / f"{k}.cg"), contigs)
+    (tmp_path / "d.cg").write_text(site("chrA", 2, "TT"))
+    with pytest.raises(readers.FormatError, match="dinucleotide"):
+        readers.cgmap(spark, str(tmp_path / "d.cg"), contigs)
+    rows = [("chrA", p) for p in range(1, 40)] + [("chrB", p) for p in range(1, 20)]
+    (tmp_path / "long.cg").write_text("".join(site(*r) for r in rows))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "300")
+    try:
+        assert readers.cgmap(spark, str(tmp_path / "long.cg"), contigs).count() == 58
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_variant_ids_are_unique(contigs, spark, tmp_path):
+    call = lambda c, p, i: f"{c}\t{p}\t{i}\tC\tT\t.\t.\t.\tGT\t0|1\n"
+    (tmp_path / "i.vcf").write_text(VCF + call("chrA", 2, ".") + call("chrA", 6, "rs1") + call("chrB", 1, "rs1") + call("chrB", 5, "."))
+    got = readers.vcf(spark, str(tmp_path / "i.vcf"), contigs).orderBy("ci", "pos").collect()
+    assert [r["id"] for r in got] == ["vcf_0", "rs1", "rs1@100000000", "vcf_100000001"]
+
+
+def test_modified_bases_and_allele_levels(contigs, spark, tmp_path):
+    row = "chrA\t{0}\t{1}\tm\t9\t{2}\t{0}\t{1}\t{3}\t4\t{4}"
+    (tmp_path / "a.bed").write_text("track t\n" + row.format(1, 2, "+", "0", "25") + "\n" + row.format(2, 3, "-", "255,0,9", "100.0") + "\n")
+    assert [tuple(r) for r in readers.bed_methyl(spark, str(tmp_path / "a.bed"), contigs).orderBy("pos").collect()] == [(0, 1, "+", 0.25), (0, 2, "-", 1.0)]
+    (tmp_path / "b.bed").write_text(row.format(1, 2, "+", "0", "25") + "\t1\t2\t1\t7\t0\t0\t0\n")
+    assert readers.bed_methyl(spark, str(tmp_path / "b.bed"), contigs).count() == 1
+    bad = [row.format(1, 2, "+", "256,0,0", "25"), row.format(1, 3, "+", "0", "25"), row.format(1, 2, "*", "0", "25"), row.format(1, 2, "+", "0", "101"), row.format(1, 2, "+", "0", "25") + "\t1\t1\t1\t7\t0\t0\t0", row.format(2, 3, "+", "0", "25") + "\n" + row.format(1, 2, "+", "0", "25")]
+    for text in bad:
+        (tmp_path / "c.bed").write_text(text + "\n")
+        with pytest.raises(readers.FormatError):
+            readers.bed_methyl(spark, str(tmp_path / "c.bed"), contigs)
+    (tmp_path / "x.asm").write_text("chrA\tC\t2\tCG\tCG\t0.5\t5\tA\tG\t0.1\t0.9\t2.0\t0.01\tc\n")
+    assert [tuple(r) for r in readers.asm(spark, str(tmp_path / "x.asm"), contigs).collect()] == [(0, 1, 1, 4, "A", "G", 0.1, 0.9)]
+    (tmp_path / "y.asm").write_text("chrA\tC\t2\tCG\tCG\t0.5\t5\tA\tGG\t0.1\t0.9\t2.0\t0.01\tc\n")
+    with pytest.raises(readers.FormatError):
+        readers.asm(spark, str(tmp_path / "y.asm"), contigs)
+    (tmp_path / "z.bed").write_text("chrA\t1\t2\tn\t900\t+\t4\t5\tA\tG\t0.1\t0.9\n")
+    assert [tuple(r) for r in readers.asm_bed(spark, str(tmp_path / "z.bed"), contigs).collect()] == [(0, 1, "+", 4, "A", "G", 0.1, 0.9)]
+    (tmp_path / "z2.bed").write_text("chrA\t1\t2\tn\t1001\t+\t4\t5\tA\tG\t0.1\t0.9\n")
+    with pytest.raises(readers.FormatError):
+        readers.asm_bed(spark, str(tmp_path / "z2.bed"), contigs)
+
+
+def test_fragment_catalogue_round_trip(contigs, spark, tmp_path):
+    columns = ["chrom", "start", "end", "candidate_id", "score", "strand", "haplotype_mask", "template_length", "gc_count", "restriction_site_count"]
+    c = _plain(contigs)
+    rows = run.rrbs_catalog(c, [("CG", 1)]).join(c.select("ci", "name"), "ci")
+    rows = rows.select(F.col("name").alias("chrom"), F.col("left").alias("start"), F.col("right").alias("end"), F.concat_ws(":", "name", "left", "right").alias("candidate_id"), F.lit(None).cast("double").alias("score"), F.lit(".").alias("strand"), F.col("mask").alias("haplotype_mask"), (F.col("right") - F.col("left")).alias("template_length"), F.col("gc").alias("gc_count"), F.col("sites").alias("restriction_site_count"))
+    given = spark.createDataFrame([("chrA", 1, 45, "a", 2.0, ".", 3, 44, 20, 2), ("chrB", 0, 20, "b", None, ".", 1, 20, 9, 2)], rows.schema)
+    sinks.bed_lines(given, columns).select("line").coalesce(1).write.text(str(tmp_path / "bed"))
+    got = readers.candidates(spark, str(tmp_path / "bed"), contigs).orderBy("start").collect()
+    assert [(r["ci"], r["candidate_id"], r["score"], r["start"], r["haplotype_mask"]) for r in got] == [(1, "b", None, 0, 1), (0, "a", 2.0, 1, 3)]
+
+
+def test_saved_catalogue_is_bound(contigs, spark, tmp_path):
+    c = _plain(contigs)
+    catalog = run.methylation_catalog(c, 5)
+    run.save_catalog(str(tmp_path / "db"), catalog, run.binding(c, 5))
+    back = run.load_catalog(spark, str(tmp_path / "db"), run.binding(c, 5))
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, catalog.collect()))
+    with pytest.raises(run.ConfigError):
+        run.load_catalog(spark, str(tmp_path / "db"), run.binding(c, 6))
+
+
 def test_levels_and_targets(contigs, spark, tmp_path):
     (tmp_path / "x.cg").write_text("chrA\tC\t2\tCG\tCG\t0.25\t1\t4\nchrA\tG\t3\tCG\tCG\tna\t0\t0\n")
     assert [tuple(r) for r in readers.cgmap(spark, str(tmp_path / "x.cg"), contigs).orderBy("pos").collect()] == [(0, 1, 1, 0.25), (0, 2, 9, None)]
@@ -207,7 +294,10 @@ def test_outputs_and_manifest(spark, contigs, tmp_path):
     with pytest.warns(UserWarning):
         run.simulate(spark, _plain(contigs), config=run.RunConfig(fragments=1, read_length=5, insert=12, state_model="other"))
     manifest = sim.write(str(tmp_path / "out"))
-    assert manifest["outputs"]["mate1"]["rows"] == 60
+    part = manifest["outputs"]["mate1"]
+    written = sorted((tmp_path / "out/mate1").glob("part-*"))
+    assert part["rows"] == 60 and part["files"]["count"] == len(written) and part["files"]["bytes"] == sum(f.stat().st_size for f in written)
+    assert part["files"]["sha256"] == hashlib.sha256("".join(hashlib.sha256(f.read_bytes()).hexdigest() for f in written).encode()).hexdigest()
     lines = [r["value"] for r in spark.read.text(str(tmp_path / "out/mate1")).collect()]
     assert len(lines) == 240 and len({x for x in lines[::4]}) == 60
     assert json.loads(spark.read.text(str(tmp_path / "out/manifest")).first()["value"]) == manifest
