@@ -22,11 +22,17 @@ if 100 * intersection >= 75 * union.
    - An open class y is compared, on full sets, with the hub h of each larger component that it meets.
      For any other x of that component |x & y| <= |h & y| + |x - h within reach|, which tells the few x
      that are worth a comparison with y.  Those pairs are estimated and verified as well.
-   So no link that shares a band is lost, and no group is expanded into all its pairs.
-
-Contract: one row per input row of distinct non-null id: doc_id, n_shingles, component_id (smallest id
-reachable, its own at least), kept.  Null and empty texts: 0 shingles, own component, kept.  Ties do not
-arise: ids decide.  Other columns are ignored.
+   - Of two classes that link, the one that is not larger has a reach of at least 6/7 of its size, as the
+     intersection is 6/7 of it.  Only such full classes meet all others of their bands; those that are not
+     meet full ones alone.  So documents that share a long passage, or most of a form, without linking
+     are never paired with each other.
+   So no link that shares a band is lost.  What is left of pairs is full classes times the components of their
+   band, and members of a component that a comparison with its hub could not rule out.
+
+Contract: one row per input row of non-null id: doc_id, n_shingles, component_id (smallest id reachable, its own
+at least), kept.  Null and empty texts: 0 shingles, own component, kept.  Rows that share an id are taken as
+versions of one document: each gives a row with its own n_shingles, and all get the smallest id that any of them
+reaches; equal rows get equal results.  Ties do not arise: ids decide.  Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -247,19 +253,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # A link needs both reaches to be LIMIT / (100 + LIMIT) of both sizes; room is what a reach leaves for the
     # other's size.
     sized = able.join(centres, "comp").withColumn("room", F.expr(f"{100 + LIMIT} * reach - {LIMIT} * n"))
+    sized = sized.withColumn("full", F.expr(f"room >= {LIMIT} * n"))
     spots = open_.select("band", "doc_id").join(sized, "doc_id")
-    theirs = spots.groupBy("band", F.col("comp").alias("c"), F.col("size").alias("c_size"), F.col("hub").alias("c_hub")).agg(F.max("room").alias("c_room"), F.min("n").alias("c_least"))
+    theirs = spots.groupBy("band", F.col("comp").alias("c"), F.col("size").alias("c_size"), F.col("hub").alias("c_hub")).agg(F.max("room").alias("c_room"), F.min("n").alias("c_least"), F.max("full").alias("c_full"))
     larger = f"comp <> c AND (c_size > size OR (c_size = size AND c < comp)) AND c_room >= {LIMIT} * n AND room >= {LIMIT} * c_least"
-    meets = spots.join(theirs, "band").where(larger).select("doc_id", "n", "room", "c", "c_hub").distinct()
+    both_ways = spots.where("full").join(theirs, "band").unionByName(spots.where("NOT full").join(theirs.where("c_full"), "band"))
+    meets = both_ways.where(larger).select("doc_id", "n", "room", "full", "c", "c_hub").distinct()
     meets = materialise(meets, "meets", narrow=True)
     seen = _compare(meets.select(F.col("doc_id").alias("a"), F.col("c_hub").alias("b")), known, "hub_links")
     bound = meets.join(seen.select(F.col("a").alias("doc_id"), F.col("b").alias("c_hub"), "both"), ["doc_id", "c_hub"])
-    inner = sized.where("doc_id <> hub").select(F.col("comp").alias("c"), F.col("doc_id").alias("x"), F.col("n").alias("nx"), F.col("room").alias("room_x"), "beyond")
+    inner = sized.where("doc_id <> hub").select(F.col("comp").alias("c"), F.col("doc_id").alias("x"), F.col("n").alias("nx"), F.col("room").alias("room_x"), F.col("full").alias("full_x"), "beyond")
     worth = f"{100 + LIMIT} * (both + beyond) >= {LIMIT} * (n + nx) AND room >= {LIMIT} * nx AND room_x >= {LIMIT} * n"
-    rest = bound.join(inner, "c").where(worth).select(F.greatest("doc_id", "x").alias("a"), F.least("doc_id", "x").alias("b")).distinct()
+    paired = bound.where("full").join(inner, "c").unionByName(bound.where("NOT full").join(inner.where("full_x"), "c"))
+    rest = paired.where(worth).select(F.greatest("doc_id", "x").alias("a"), F.least("doc_id", "x").alias("b")).distinct()
     extra = materialise(seen.where("link").select("a", "b").unionByName(_links(rest, known)), "extra", narrow=True)
-    found = _joined(first, extra)
-    member = signed.join(classes, ["k1", "k2", "n_shingles"], "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep"))
+    member = materialise(signed.join(classes, ["k1", "k2", "n_shingles"], "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep")), "members", narrow=True)
+    # Versions of one id stay together.
+    several_of = member.groupBy("doc_id").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo <> hi")
+    versions = member.join(several_of, "doc_id").where("rep <> lo").select(F.col("rep").alias("a"), F.col("lo").alias("b")).distinct()
+    found = _joined(first, extra.unionByName(versions))
     out = member.join(found, "rep", "left").select("doc_id", "n_shingles", F.coalesce("comp", "rep").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id") == F.col("component_id")).hint("rebalance")
 

@@ -42,6 +42,20 @@ def test_near_duplicates_match_brute_force(spark, seed):
     assert got == neardup.brute_force([r[:2] for r in rows])
 
 
+def test_near_duplicates_of_versions_and_forms(spark):
+    rng = __import__("random").Random(2)
+    a, b, c = (prose(rng, 80) for _ in range(3))
+    rows = [(5, a), (5, a), (5, b), (3, b + " x"), (9, a), (7, c), (7, c), (8, None), (8, ""), (None, a)]
+    table = spark.createDataFrame([(*r, 1, 2.0, "z") for r in rows], "doc_id long, text string, band long, n double, comp string")
+    got = sorted((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in neardup.near_duplicates(table).collect())
+    assert got == [(3, 77, 3, True), (5, 76, 3, False), (5, 76, 3, False), (5, 76, 3, False), (7, 76, 7, True), (7, 76, 7, True), (8, 0, 8, True), (8, 0, 8, True), (9, 76, 3, False)]
+    # Forms: three quarters and more of the words are common, few pairs link.
+    form = [prose(rng, 1) for _ in range(300)]
+    forms = [(i, " ".join(form[:150] + [prose(rng, 1) for _ in range(rng.choice([20, 60, 70, 80]))] + form[150:])) for i in range(120)]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in neardup.near_duplicates(spark.createDataFrame(forms, "doc_id long, text string")).collect()}
+    assert got == neardup.brute_force(forms)
+
+
 def test_near_duplicates_of_short_texts(spark):
     base = [f"t{i}" for i in range(40)]
     rows = [(i, " ".join(base[: 5 + i]), "", "", 0, 0.0, 0) for i in range(34)]
