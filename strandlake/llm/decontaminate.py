@@ -34,13 +34,13 @@ ENOUGH = 6
 BROADCAST_WINDOWS = 200_000
 
 NAME, NUMBER, UNIT = "", "", ""
-#: Units: fixed list.
-UNITS = "percent|%|€|\\$|£|km/h|km|cm|mm|m|kg|mg|g|lb|lbs|oz|l|ml|miles?|feet|foot|ft|inch(?:es)?|hours?|hrs?|minutes?|mins?|seconds?|secs?|days?|weeks?|months?|years?|dollars?|cents?|euros?|pounds?|degrees?|°C|°F|mph|kWh|W|V|Hz|GB|MB"
+#: Units: fixed list, in lower case.
+UNITS = "percent|%|€|\\$|£|km/h|km|cm|mm|m|kg|mg|g|lb|lbs|oz|l|ml|miles?|feet|foot|ft|inch(?:es)?|hours?|hrs?|minutes?|mins?|seconds?|secs?|days?|weeks?|months?|years?|dollars?|cents?|euros?|pounds?|degrees?|°c|°f|mph|kwh|w|v|hz|gb|mb"
 _BLANKS = " \t\n\u000b\f\r"
-_NAMES = r"\p{Lu}(?<=[\p{Ll}\d,;] \p{Lu})[\p{L}\p{M}'’-]*"
-#: Spelt numbers: fixed list.
-SPELT = "two|three|four|five|six|seven|eight|nine|ten|eleven|twelve|(?:thir|four|fif|six|seven|eigh|nine)teen|(?:twen|thir|for|fif|six|seven|eigh|nine)ty|hundred|thousand|million|billion|dozen"
-_NUMBERS = rf"\d+(?:[.,]\d+)*|(?<![\p{{L}}\d])(?i:{SPELT})(?![\p{{L}}\d])"
+_NAMES = r"\p{Lu}(?<=[\p{Ll}\d,;] \p{Lu})[\p{L}\p{M}'’-]*"
+_NUMBERS = r"\d+(?:[.,]\d+)*"
+#: Numbers spelt out, from two on: a fixed list, by first letters.
+_SPELT = r"(?<![\p{L}\d])(?:t(?:wo|hree|en|welve|hir(?:teen|ty)|wenty|housand)|f(?:our(?:teen)?|ive|if(?:teen|ty)|orty)|s(?:ix(?:teen|ty)?|even(?:teen|ty)?)|e(?:ight(?:een|y)?|leven)|nine(?:teen|ty)?|hundred|million|billion|dozen)(?![\p{L}\d])"
 _UNITS = rf"(?<=[ -]?)(?:{UNITS})(?![\p{{L}}\d])"
 
 
@@ -50,10 +50,9 @@ def _tokens(text: Column) -> Column:
 
 def canonical(text: Column) -> Column:
     """The text with typed placeholders, lower case; white space, and so the number of tokens, stays."""
-    named = F.regexp_replace(text, _NAMES, NAME)
-    numbered = F.regexp_replace(named, _NUMBERS, NUMBER)
-    united = F.when(F.contains(numbered, F.lit(NUMBER)), F.regexp_replace(numbered, _UNITS, UNIT)).otherwise(numbered)
-    return F.lower(united)
+    named = F.lower(F.regexp_replace(text, _NAMES, NAME))
+    numbered = F.regexp_replace(F.regexp_replace(named, _NUMBERS, NUMBER), _SPELT, NUMBER)
+    return F.when(F.contains(numbered, F.lit(NUMBER)), F.regexp_replace(numbered, _UNITS, UNIT)).otherwise(numbered)
 
 
 def windows(rows: DataFrame, id_col: str, width: Column | int = WINDOW, raw: bool = False) -> DataFrame:
@@ -61,11 +60,13 @@ def windows(rows: DataFrame, id_col: str, width: Column | int = WINDOW, raw: boo
 
     The last two only if its text has placeholders, or ``raw``; the raw tokens' hash only if ``raw``.
     """
+    # No filter on what the patterns give: it would be moved below them and run them once more.
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = rows.select(id_col, text.alias("text"), canonical(text).alias("canon")).where("canon != ''")
-    rows = rows.select(id_col, _tokens(F.col("canon")).alias("canon"), (F.lit(raw) | F.col("canon").rlike("[-]")).alias("slotted"), "text")
-    rows = rows.withColumn("width", width if isinstance(width, Column) else F.lit(width)).where(F.size("canon") >= F.col("width"))
-    rows = rows.select(id_col, "canon", "width", F.when(F.col("slotted"), _tokens(F.col("text"))).alias("raw"), F.explode(F.sequence(F.lit(0), F.size("canon") - F.col("width"))).alias("place"))
+    rows = rows.select(id_col, text.alias("text"), canonical(text).alias("canon"))
+    rows = rows.select(id_col, F.when(F.col("canon") != "", _tokens(F.col("canon"))).alias("canon"), (F.lit(raw) | F.col("canon").rlike("[-]")).alias("slotted"), "text")
+    rows = rows.withColumn("width", width if isinstance(width, Column) else F.lit(width))
+    places = F.when(F.size("canon") >= F.col("width"), F.sequence(F.lit(0), F.size("canon") - F.col("width")))
+    rows = rows.select(id_col, "canon", "width", F.when(F.col("slotted"), _tokens(F.col("text"))).alias("raw"), F.explode_outer(places).alias("place")).where("place IS NOT NULL")
     cut = lambda c: F.slice(c, F.col("place") + 1, F.col("width"))
     raw_hash = F.xxhash64(cut(F.col("raw"))) if raw else F.lit(None).cast("long")
     return rows.select(id_col, "place", "width", F.xxhash64(cut(F.col("canon"))).alias("hash"), raw_hash.alias("raw_hash"), cut(F.col("raw")).alias("filled"), F.when(F.col("raw").isNotNull(), cut(F.col("canon"))).alias("template"))
