@@ -495,7 +495,17 @@ def fragment_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequenced(spark, sf_dir).select("ordinal", *[F.col("whole")[i].alias(n) for i, n in enumerate(NAMES)])
 
 
-@query()
+def _packed_sql(bits: str) -> str:
+    """A text of 0 and 1 as bytes, lowest bit first, in unpadded URL-safe base 64."""
+    byte = f"list_sum(list_transform(range(8), lambda k: CASE WHEN substr({bits}, CAST(8 * j + k + 1 AS INTEGER), 1) = '1' THEN CAST(pow(2, k) AS INTEGER) ELSE 0 END))"
+    whole = f"list_aggregate(list_transform(range((length({bits}) + 7) // 8), lambda j: printf('%02x', CAST({byte} AS INTEGER))), 'string_agg', '')"
+    return f"CASE WHEN length({bits}) = 0 THEN '' ELSE rtrim(translate(to_base64(unhex({whole})), '+/', '-_'), '=') END"
+
+
+@query(f"""WITH {CONVERTED_SQL}, sbits AS (SELECT ordinal, count(*) AS n, string_agg(CASE WHEN methylated THEN '1' ELSE '0' END, '' ORDER BY site_index) AS b FROM states GROUP BY ordinal),
+cbits AS (SELECT ordinal, count(*) AS n, string_agg(CASE WHEN done THEN '1' ELSE '0' END, '' ORDER BY off) AS b FROM changed WHERE b = CASE mode WHEN 0 THEN 'C' ELSE 'G' END GROUP BY ordinal),
+every AS (SELECT f.ordinal, coalesce(s.n, 0) AS n_sites, coalesce(c.n, 0) AS n_convertible, coalesce(s.b, '') AS sb, coalesce(c.b, '') AS cb FROM fragments f LEFT JOIN sbits s ON s.ordinal = f.ordinal LEFT JOIN cbits c ON c.ordinal = f.ordinal)
+SELECT ordinal, lower(to_hex(n_sites)) || '.' || lower(to_hex(n_convertible)) || '.' || {_packed_sql('sb')} || '.' || {_packed_sql('cb')} AS zx FROM every""")
 def fragment_realization(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts in hexadecimal and packed bits of all sites and conversions of a fragment."""
     rows = sequenced(spark, sf_dir)
