@@ -368,6 +368,35 @@ def test_pipeline_stages(spark, tmp_path):
     assert sorted(r["doc_id"] for r in got.collect()) == [0, 2]
 
 
+def test_pipeline_of_an_empty_table_and_of_clashing_columns(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(4)
+    schema = "doc_id long, text string, lang string, source string, n_chars long, cuts int, cut_id int, th long, hash int, rep long, comp long, n_shingles int, item_id long, column_0 string"
+    items = spark.createDataFrame([(1, prose(rng, 40), 1, "x")], "item_id long, text string, doc_id int, hash string")
+    good = prose(rng, 200)
+    rows = [(1, good), (1, good), (2, prose(rng, 120) + " token=abcdefgh1"), (3, None), (None, prose(rng, 90)), (4, prose(rng, 30_000))]
+    for name, part in (("none", []), ("odd", [(*r, "en", "s", 1, 1, 2, 3, 4, 5, 6, 7, 8, "c") for r in rows])):
+        spark.createDataFrame(part, schema).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        items.write.parquet(f"{tmp_path}/{name}/benchmark.parquet")
+        docs = spark.read.parquet(f"{tmp_path}/{name}/documents.parquet")
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            docs = stage(spark, docs, f"{tmp_path}/{name}")
+            assert docs.columns == [x.split()[0] for x in schema.split(", ")]
+        got = corpus_pipeline.run(spark, f"{tmp_path}/{name}").collect()
+        assert sorted(str(r["doc_id"]) for r in got) == ([] if name == "none" else ["1", "1", "2", "4", "None"])
+
+
+def test_repeated_rows_everywhere(spark):
+    from strandlake.llm import pieces, quality, queries
+
+    rows = [(1, "some words of a text", "en", "s", 0, 0.0, 0)] * 3 + [(2, None, "en", "s", 0, 0.0, 0)] * 2 + [(None, "x y", "en", "s", 0, 0.0, 0)]
+    docs = frame(spark, rows)
+    for out in (quality.measure(docs), pieces.digests(docs, queries.piece_model()), langid.predict(docs, _counted_model()), toxicity.score(docs, toxicity.fit([], np.zeros(0)))):
+        got = [tuple(r) for r in out.collect()]
+        assert len(got) == 6 and len(set(got)) == 3, out.columns
+
+
 def test_documents_fixture_runs_everywhere(spark):
     rows = documents(3, 20)
     assert neardup.keep_first(frame(spark, rows)).columns == frame(spark, []).columns
