@@ -14,10 +14,10 @@ from ..operators.lineage import kept
 from ..sources import derived as src
 from . import haplotiles, sqlgen, tiles
 from .basics import _PROFILE_SQL, BINS, DEFAULTS, INSERT, MAX_N, READ, SEED, Params, calibrated_weights, gc_profile, hamilton_real_sql, hamilton_sql
-from .libraries import _SHIFT, CUTS, SIGMA, VARIABLE, candidate_pairs, candidates, cuts_sql, enough, gc_placed, seats_of
+from .libraries import _SHIFT, CUTS, LONGEST, SHORTEST, SIGMA, VARIABLE, candidate_pairs, candidates, cuts_sql, enough, gc_placed, picks_of, seats_of, tbs_targets
 from .reads import FRAGMENTS_SQL, fragment_table, fragments
 from .registry import query
-from .variation import _ASM, _HAPS, SEQUENCES_SQL, asm_rows, boundaries, events_of, haplotype_segments, sequences
+from .variation import _ASM, _HAPS, SEQUENCES_SQL, asm_rows, events_of, haplotype_segments, sequences
 
 TOTAL = 4000
 CORE = 16384
@@ -212,17 +212,25 @@ def rrbs_haplotype_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.floor(F.col("ci") / 2).alias("ci"), (F.col("ci") % 2).cast("int").alias("hap"), "pos", "sites")
 
 
-@query()
+_DIPLOID_RRBS = f"""{_HAPS}, {SEQUENCES_SQL}, {_HAP_CUTS}, met AS (SELECT c.*, s.ref_begin + least(c.pos - s.hap_begin, s.ref_end - s.ref_begin) AS ref, s.bases IS NOT NULL AND s.ref_begin = s.ref_end AND c.pos > s.hap_begin AND c.pos < s.hap_end AS inside FROM hap_cuts c ASOF JOIN segments s ON c.ci = s.ci AND c.hap = s.hap AND c.pos >= s.hap_begin),
+ranked AS (SELECT *, sum(sites) OVER (PARTITION BY ci, hap ORDER BY pos) AS upto FROM met WHERE NOT inside),
+pairs AS (SELECT a.ci, a.hap, a.pos AS lft, b.pos AS rgt, a.ref AS rs, b.ref AS re, CAST(b.upto - a.upto + a.sites AS BIGINT) AS sites FROM ranked a JOIN ranked b ON a.ci = b.ci AND a.hap = b.hap AND b.pos - a.pos BETWEEN {SHORTEST} AND {LONGEST}),
+cut AS (SELECT p.*, substr(seq, CAST(lft + 1 AS INTEGER), CAST(rgt - lft AS INTEGER)) AS t FROM pairs p JOIN haplotypes USING (ci, hap)),
+good AS (SELECT *, CAST(rgt - lft - length(translate(t, 'CG', '')) AS BIGINT) AS gc FROM cut WHERE {READ} - length(replace(substr(t, 1, {READ}), 'N', '')) <= {MAX_N} AND {READ} - length(replace(right(t, {READ}), 'N', '')) <= {MAX_N})"""
+
+
+@query(f'WITH {_DIPLOID_RRBS} SELECT ci, rs AS "start", re AS "end", rgt - lft AS template_length, gc, sites, CAST(bit_or(1 << hap) AS INTEGER) AS mask FROM good GROUP BY ALL')
 def rrbs_diploid_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Restriction fragments of both haplotypes by reference envelope, with the mask of those that have it.
 
-    Cuts inside an insertion have no reference place and are dropped.
+    Cuts inside an insertion have no reference place and are dropped; a haplotype's end can be a cut.
     """
     haps, parts = haplotypes(spark, sf_dir), haplotype_segments(spark, sf_dir)
     cuts = tiles.cut_places(haps, CUTS).withColumn("hap", (F.col("ci") % 2).cast("int")).withColumn("own", F.floor(F.col("ci") / 2))
-    spans = parts.select(F.col("ci").alias("own"), "hap", "hap_begin", "hap_end", "ref_begin", "ref_end", "bases")
-    inside = F.col("bases").isNotNull() & (F.col("ref_begin") == F.col("ref_end")) & (F.col("pos") > F.col("hap_begin"))
-    placed = relops.range_join(cuts, spans, ["own", "hap"], "pos", "hap_begin", "hap_end", 256).where(~inside)
+    ends = parts.groupBy("ci", "hap").agg(F.max("hap_end").alias("last"))
+    spans = parts.join(ends, ["ci", "hap"]).select(F.col("ci").alias("own"), "hap", "hap_begin", (F.col("hap_end") + F.when(F.col("hap_end") == F.col("last"), 1).otherwise(0)).alias("hap_stop"), "hap_end", "ref_begin", "ref_end", "bases")
+    inside = F.col("bases").isNotNull() & (F.col("ref_begin") == F.col("ref_end")) & (F.col("pos") > F.col("hap_begin")) & (F.col("pos") < F.col("hap_end"))
+    placed = relops.range_join(cuts, spans, ["own", "hap"], "pos", "hap_begin", "hap_stop", 256).where(~inside)
     places = placed.select("ci", "pos", (F.col("ref_begin") + F.least(F.col("pos") - F.col("hap_begin"), F.col("ref_end") - F.col("ref_begin"))).alias("ref"))
     rows = candidates(haps, candidate_pairs(placed.select("ci", "pos", "sites")))
     left, right = places.select("ci", F.col("pos").alias("left"), F.col("ref").alias("start")), places.select("ci", F.col("pos").alias("right"), F.col("ref").alias("end"))
@@ -231,14 +239,79 @@ def rrbs_diploid_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merged.agg(F.bit_or(F.expr("shiftleft(1, CAST(ci % 2 AS INT))")).alias("mask"))
 
 
-@query()
+def _with_targets(tiled: DataFrame, rows: DataFrame, columns: list[str], how: str) -> DataFrame:
+    """Tiles with ``targets``, the list of ``rows`` (ci, centre, ...) whose centre lies on them."""
+    lists = rows.groupBy("ci", F.floor(F.col("centre") / CORE).alias("tile")).agg(F.collect_list(F.struct(*columns)).alias("targets"))
+    return tiled.join(lists, ["ci", "tile"], how)
+
+
+#: Windows on haplotypes in SQL: reference boundaries of a place, and places that end an insertion.
+_WINDOWS_SQL = f"""{PROJECTED_SQL}, {src.TARGETS_SQL}, exact AS MATERIALIZED (SELECT base + place AS k, min(ref) AS lo, max(ref) AS hi FROM bounds WHERE place IS NOT NULL GROUP BY k),
+added AS MATERIALIZED (SELECT {_KEY} + ref_start + shift + length(alt_bases) AS k, ref_start AS r FROM active WHERE event_kind = 'insertion'),
+centred AS (SELECT t.ci, b.hap, base, t.st, t.en, t.strand, t.score, b.place AS middle FROM targets t JOIN bounds b ON b.ci = t.ci AND b.ref = t.st + (t.en - t.st) // 2 WHERE place IS NOT NULL)"""
+
+
+def _windows_sql(name: str, source: str, columns: str) -> str:
+    """``name``: rows of ``source`` (base, place, ...) whose window from ``place`` on can be drawn, with its reference interval."""
+    return f"""{name}_met AS MATERIALIZED (SELECT s.*, p.n AS n0, coalesce(x.hi, a.r) AS left_, x.k IS NULL AND a.k IS NULL AS bad0 FROM {source} s JOIN hap_prefix p ON p.k = base + place LEFT JOIN exact x ON x.k = base + place LEFT JOIN added a ON a.k = base + place WHERE place >= 0),
+{name}_read AS MATERIALIZED (SELECT s.* FROM {name}_met s JOIN hap_prefix p ON p.k = base + place + {READ} JOIN hap_prefix q ON q.k = base + place + {INSERT - READ} JOIN hap_prefix r ON r.k = base + place + {INSERT} WHERE p.n - n0 <= {MAX_N} AND r.n - q.n <= {MAX_N} AND NOT bad0),
+{name} AS MATERIALIZED (SELECT {columns}, CAST(left_ AS BIGINT) AS "start", CAST(coalesce(x.lo, a.r) AS BIGINT) AS "end" FROM {name}_read s LEFT JOIN exact x ON x.k = base + place + {INSERT} LEFT JOIN added a ON a.k = base + place + {INSERT} WHERE coalesce(x.lo, a.r) IS NOT NULL AND left_ <= coalesce(x.lo, a.r))"""
+
+
+@query(f"""WITH {_WINDOWS_SQL}, asked AS (SELECT *, middle - {INSERT // 2} AS place FROM centred), {_windows_sql('fitting', 'asked', 's.ci, s.hap, st, en, strand, score')}
+SELECT ci, st, en, strand, score, CAST(bit_or(1 << hap) AS INTEGER) AS mask FROM fitting GROUP BY ci, st, en, strand, score""")
 def tbs_diploid_eligible(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Targets whose centred fragment is readable on a haplotype, with the mask of such haplotypes."""
-    rows = src.targets(spark, sf_dir).withColumn("centre", F.col("st") + F.floor((F.col("en") - F.col("st")) / 2))
-    met = boundaries(rows.select("ci", "centre").distinct(), src.contigs(spark, sf_dir), events_of(spark, sf_dir), "centre", "place").where("place IS NOT NULL")
-    readable = met.withColumn("pos", F.col("place") - INSERT // 2).join(physical_starts(spark, sf_dir).select("ci", "hap", "pos"), ["ci", "hap", "pos"])
-    masks = readable.groupBy("ci", "centre").agg(F.bit_or(F.expr("shiftleft(1, hap)")).alias("mask"))
-    return rows.join(masks, ["ci", "centre"]).select("ci", "st", "en", "strand", "score", "mask")
+    """Targets whose centred fragment can be drawn on a haplotype, with the mask of such haplotypes: its reads have few
+    enough N and its ends are not inside an insertion."""
+    rows = _diploid_targets(spark, sf_dir)
+    tiled = _with_targets(_tiled(spark, sf_dir, 2 * INSERT + 64), rows, ["target", "centre"], "inner")
+    masks = haplotiles.target_masks(tiled, READ, INSERT, MAX_N).where("fits > 0").select("ci", "target", F.col("fits").alias("mask"))
+    return rows.join(masks, ["ci", "target"]).select("ci", "st", "en", "strand", "score", "mask")
+
+
+def _diploid_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    centre = F.col("st") + F.floor((F.col("en") - F.col("st")) / 2)
+    return tbs_targets(spark, sf_dir).withColumnRenamed("ordinal", "target").withColumn("centre", centre)
+
+
+_TRIES = f"{_SHIFT}"
+
+
+def _attempts_sql(name: str, source: str, first: int, last: int) -> str:
+    return f"""{name}_tries AS (SELECT s.*, attempt, 2 + attempt AS local FROM {source} s, unnest(range({first}, {last})) AS t(attempt)), {sqlgen.draws(name + '_d', name + '_tries', SEED, rng.FRAGMENT, 'ci', 'ordinal', 'local')},
+{name}_asked AS (SELECT ci, ordinal, attempt, base, middle + {_TRIES} - {INSERT // 2} AS place FROM {name}_d), {_windows_sql(name + '_all', name + '_asked', 's.ci, s.ordinal, s.attempt')},
+{name} AS (SELECT ci, ordinal, min(attempt) AS attempt, arg_min("start", attempt) AS "start", arg_min("end", attempt) AS "end" FROM {name}_all GROUP BY ci, ordinal)"""
+
+
+_DIPLOID_TBS = f"""{_WINDOWS_SQL}, every AS (SELECT {_KEY} AS base, unnest(range(length(seq) - {INSERT} + 1)) AS place, ci, hap FROM haplotypes WHERE length(seq) >= {INSERT}), possible AS (SELECT DISTINCT e.ci, e.hap FROM every e JOIN hap_prefix p ON p.k = base + place JOIN hap_prefix p2 ON p2.k = base + place + {READ} JOIN hap_prefix q ON q.k = base + place + {INSERT - READ} JOIN hap_prefix q2 ON q2.k = base + place + {INSERT} WHERE p2.n - p.n <= {MAX_N} AND q2.n - q.n <= {MAX_N}),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY ci ORDER BY st, en, CASE strand WHEN '+' THEN 0 WHEN '-' THEN 1 ELSE 2 END) - 1 AS target FROM targets),
+choices AS (SELECT n.ci, target, n.score, CAST(bit_or(1 << c.hap) AS INTEGER) AS mask FROM numbered n JOIN centred c ON c.ci = n.ci AND c.st = n.st AND c.en = n.en AND c.strand = n.strand JOIN possible p ON p.ci = c.ci AND p.hap = c.hap GROUP BY n.ci, target, n.score),
+totals AS (SELECT ci, CAST(sum(score) AS BIGINT) AS total FROM choices GROUP BY ci HAVING sum(score) > 0), ask AS (SELECT ci, total, ordinal, 8 * (row_number() OVER (ORDER BY ci, ordinal) - 1 - ordinal) // 8 + ordinal AS fragment FROM totals, unnest(range(8)) AS t(ordinal)), {sqlgen.draws('d', 'ask', SEED, rng.FRAGMENT, 'ci', 'ordinal', '1')}, picks AS (SELECT ci, ordinal, fragment, {sqlgen.bounded('total')} AS pick FROM d),
+runs AS (SELECT *, sum(score) OVER (PARTITION BY ci ORDER BY target) AS upto FROM choices), chosen AS (SELECT p.ci, p.ordinal, fragment, target, mask FROM picks p JOIN runs r ON r.ci = p.ci AND pick < upto AND pick >= upto - score), {sqlgen.draws('h', 'chosen', SEED, rng.HAPLOTYPE, 'ci', 'fragment', '0')},
+sided AS (SELECT ci, ordinal, target, CASE mask WHEN 1 THEN 0 WHEN 2 THEN 1 ELSE CASE WHEN {sqlgen.coin('0.5::DOUBLE')} THEN 1 ELSE 0 END END AS haplotype FROM h),
+want AS (SELECT s.ci, s.ordinal, s.target, s.haplotype, c.base, c.middle FROM sided s JOIN numbered n ON n.ci = s.ci AND n.target = s.target JOIN centred c ON c.ci = n.ci AND c.st = n.st AND c.en = n.en AND c.strand = n.strand AND c.hap = s.haplotype),
+{_attempts_sql('one', 'want', 0, 16)}, left1 AS (SELECT * FROM want w WHERE NOT EXISTS (SELECT 1 FROM one o WHERE o.ci = w.ci AND o.ordinal = w.ordinal)), {_attempts_sql('two', 'left1', 16, 400)}, left2 AS (SELECT * FROM left1 w WHERE NOT EXISTS (SELECT 1 FROM two o WHERE o.ci = w.ci AND o.ordinal = w.ordinal)),
+{_attempts_sql('three', 'left2', 400, 4000)}, placed AS (SELECT * FROM one UNION ALL SELECT * FROM two UNION ALL SELECT * FROM three)"""
+
+
+@query(f'WITH {_DIPLOID_TBS} SELECT w.ci, w.ordinal AS draw, target, haplotype, attempt, "start", "end" FROM want w LEFT JOIN placed p ON p.ci = w.ci AND p.ordinal = w.ordinal')
+def tbs_diploid_displaced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Displaced target fragments on haplotypes: a target by weight, a haplotype by its mask, then attempts around the
+    projected centre until a window can be drawn (4,000 here; nulls beyond)."""
+    rows = _diploid_targets(spark, sf_dir)
+    tiled = _tiled(spark, sf_dir, 2 * INSERT + int(2 * haplotiles.FURTHEST * SIGMA) + 64)
+    masks = kept(haplotiles.target_masks(_with_targets(tiled, rows, ["target", "centre"], "left"), READ, INSERT, MAX_N))
+    possible = masks.where("target IS NULL").groupBy("ci").agg(F.bit_or("any_start").alias("possible"))
+    choices = masks.where("target IS NOT NULL").join(possible, "ci").select("ci", "target", F.col("centred").bitwiseAND(F.col("possible")).alias("mask")).where("mask > 0")
+    choices = kept(choices.join(rows.select("ci", "target", "centre", "score"), ["ci", "target"]))
+    totals = choices.groupBy("ci").agg(F.sum("score").alias("total")).where("total > 0")
+    before = totals.select("ci", (8 * (F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("ci")) - 1)).alias("before"))  # one row a contig
+    ranges = relops.running_ranges(choices, ["ci"], "score", ["target"], F.floor(F.col("target") / 4096))
+    picked = relops.cumulative_pick(picks_of(totals.select("ci", "total", F.lit(8).alias("seats")), SEED), ranges, ["ci"], "pick", 64)
+    named = chosen(picked.join(before, "ci").select("ci", F.col("ordinal").alias("draw"), (F.col("before") + F.col("ordinal")).alias("ordinal"), "target", "centre", "mask"), SEED)
+    named = kept(named.select("ci", F.col("draw").alias("ordinal"), "target", "centre", "haplotype"))
+    moved = haplotiles.displaced(_with_targets(tiled, named, ["ordinal", "centre", "haplotype"], "inner"), READ, INSERT, MAX_N, SEED, SIGMA, 4000)
+    return named.join(moved, ["ci", "ordinal"]).select("ci", F.col("ordinal").alias("draw"), "target", "haplotype", "attempt", "start", "end")
 
 
 # Checks and digests --------------------------------------------------------------------------------

@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import philox as rng
 from . import tiles
 
 #: Flags of event kinds in read summaries: fixed values.
@@ -250,3 +251,111 @@ def templates(tiled_: DataFrame, picked: DataFrame, read: int, max_n: int, core:
             yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
 
     return rows.mapInArrow(run, "ordinal long, ci long, haplotype int, start long, span long, template string, events string, ok boolean")
+
+
+def _inner(h: Layout) -> np.ndarray:
+    """Which haplotype places lie strictly inside an insertion: no fragment ends there."""
+    out = np.zeros(len(h.bases) + 1, bool)
+    for lo, hi, _, flag in h.alleles:
+        if flag == FLAGS["insertion"]:
+            out[lo + 1 : hi] = True
+    return out
+
+
+@dataclass
+class Windows:
+    """Fragments of a fixed length on a haplotype's own bases, within one tile."""
+
+    held: Layout
+    inner: np.ndarray
+    #: Whether the window that begins at a place may be sequenced and ends on boundaries of the reference.
+    good: np.ndarray
+    insert: int
+    whole: tuple[bool, bool]
+
+    def reference(self, place: int) -> tuple[int, int]:
+        """(reference boundary before, and after) a haplotype place; they differ at a deletion."""
+        after = int(np.searchsorted(self.held.place, place, side="right")) - 1
+        before = int(np.searchsorted(self.held.place, place, side="left"))
+        return (before if before < len(self.held.place) and self.held.place[before] == place else after), after
+
+    def at(self, start: int) -> tuple[int, int] | None:
+        """The reference interval of the window from ``start`` on, if it is one that can be drawn."""
+        if start < 0 and not self.whole[0] or start + self.insert > len(self.held.bases) and not self.whole[1]:
+            raise ArithmeticError("deletions are too long for the halo of a tile")
+        if not 0 <= start < len(self.good) or not self.good[start]:
+            return None
+        left, right = self.reference(start)[1], self.reference(start + self.insert)[0]
+        return (left, right) if left <= right else None
+
+
+def windows_of(row: dict, read: int, insert: int, max_n: int) -> list[Windows]:
+    """The windows of either haplotype over a tile."""
+    x = tiles.CODE[np.frombuffer(row["seq"].encode(), np.uint8)]
+    at, total = row["from"], row["len"]
+    events = [tuple(e[c] for c in _EVENTS) for e in row["events"] or ()]
+    out = []
+    for hap in (0, 1):
+        h = layout(x, at, total, events, hap)
+        inner, n = _inner(h), len(h.bases) - insert + 1
+        s = np.arange(max(n, 0))
+        good = (h.unknown[s + read] - h.unknown[s] <= max_n) & (h.unknown[s + insert] - h.unknown[s + insert - read] <= max_n) & ~inner[s] & ~inner[s + insert]
+        out.append(Windows(h, inner, good, insert, (at == 0, at + len(x) == total)))
+    return out
+
+
+def target_masks(tiled_: DataFrame, read: int, insert: int, max_n: int) -> DataFrame:
+    """(ci, target, centred, fits, any_start) of ``tiled_`` with ``targets`` (target, centre).
+
+    Masks of the haplotypes on which the centre can be projected, and on which the fragment around it can be drawn.
+    A row with target null tells on which haplotypes the tile has any window at all.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in dicts(batches):
+            both = windows_of(row, read, insert, max_n)
+            rows = [(None, 0, 0, sum(bool(w.good.any()) << k for k, w in enumerate(both)))]
+            for t in row["targets"] or ():
+                c = t["centre"] - row["from"]
+                centred = [not w.held.cut[c] for w in both]
+                fits = [ok and w.at(int(w.held.place[c]) - insert // 2) is not None for ok, w in zip(centred, both, strict=True)]
+                rows.append((t["target"], centred[0] + 2 * centred[1], fits[0] + 2 * fits[1], 0))
+            target, centred, fits, any_start = zip(*rows, strict=True)
+            yield pa.record_batch([pa.array([row["ci"]] * len(rows), pa.int64()), pa.array(target, pa.int64()), *(pa.array(c, pa.int32()) for c in (centred, fits, any_start))], ["ci", "target", "centred", "fits", "any_start"])
+
+    return tiled_.mapInArrow(run, "ci long, target long, centred int, fits int, any_start int")
+
+
+def displaced(tiled_: DataFrame, read: int, insert: int, max_n: int, seed: int, sigma: float, most: int) -> DataFrame:
+    """(ci, ordinal, attempt, start, end) of ``tiled_`` with ``targets`` (ordinal, centre, haplotype): attempt k moves the
+    centre by a normal draw; the first whose window can be drawn counts; nulls where ``most`` attempts fail."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in dicts(batches):
+            both, out = windows_of(row, read, insert, max_n), []
+            key = rng.stage_key(seed, rng.FRAGMENT, np.array([row["ci"]]))
+            for t in row["targets"] or ():
+                w, found = both[t["haplotype"]], None
+                first = int(w.held.place[t["centre"] - row["from"]]) - insert // 2
+                reach = int(FURTHEST * sigma) + 1
+                lo, hi = max(0, first - reach), min(len(w.good), first + reach + 1)
+                attempt, size = 0, 16
+                while found is None and attempt < most and w.good[lo:hi].any():
+                    k = np.arange(attempt, min(attempt + size, most), dtype=np.uint64)
+                    z = rng.normal(np.broadcast_to(key, k.shape), np.full(len(k), t["ordinal"], np.uint64), k + np.uint64(2))
+                    s = first + np.trunc(sigma * z).astype(np.int64)
+                    for i in np.flatnonzero((s < 0) | (s >= len(w.good)) | w.good[np.clip(s, 0, len(w.good) - 1)]).tolist():
+                        held = w.at(int(s[i]))
+                        if held is not None:
+                            found = attempt + i, held[0] + row["from"], held[1] + row["from"]
+                            break
+                    attempt, size = attempt + size, 4 * size
+                out.append((row["ci"], t["ordinal"], *(found or (None, None, None))))
+            if out:
+                yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["ci", "ordinal", "attempt", "start", "end"])
+
+    return tiled_.mapInArrow(run, "ci long, ordinal long, attempt long, start long, end long")
+
+
+#: No draw of the generator lies further out, in standard deviations: the root of -2 ln 2**-53, rounded up.
+FURTHEST = 8.6

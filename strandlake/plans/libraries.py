@@ -13,6 +13,7 @@ from ..operators import relops
 from ..operators.lineage import kept
 from ..sources import derived as src
 from . import sqlgen, tiles
+from .haplotiles import FURTHEST
 from .basics import _CALIBRATION_SQL, _STARTS, BINS, DEFAULTS, INSERT, MAX_N, READ, SEATS_SQL, SEED, TOTAL, Params, calibrated_weights, calibration, gc_opportunities, gc_profile, hamilton_real_sql, hamilton_sql
 from .registry import query
 
@@ -237,8 +238,6 @@ ATTEMPTS, MOST_ATTEMPTS = 12, 100_000
 
 #: Standard deviation of a target fragment's displacement from the target's centre.
 SIGMA = 15.0
-#: No draw of the generator lies further out, in standard deviations: the root of -2 ln 2**-53, rounded up.
-FURTHEST = 8.6
 _SHIFT = f"CAST(trunc({SIGMA} * sqrt(-2 * ln((((w1 << 21) | (w0 >> 11))::DOUBLE + 1) * {2.0**-53!r})) * cos(2 * pi() * (((w3 << 21) | (w2 >> 11))::DOUBLE * {2.0**-53!r}))) AS BIGINT)"
 
 
