@@ -17,7 +17,7 @@ from . import sqlgen, tiles
 from .basics import CATALOG_SEED, DEFAULTS, READ, SEED
 from .reads import FRAGMENTS_SQL, READS_SQL, Options, placed_reads, sequence
 from .registry import query
-from .variation import _HAPS, INDEL_RATE, MUTATION_RATE, haplotype_segments
+from .variation import _DENOVO_HITS, _HAPS, INDEL_RATE, MUTATION_RATE, haplotype_segments
 
 #: Beta shapes by context class: fixed defaults.
 SHAPES = {1: (0.5, 0.5), 3: (0.01, 0.05), 7: (0.01, 0.05)}
@@ -57,7 +57,21 @@ def beta_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return beta_table(tiles.contexts(src.contigs(spark, sf_dir)))
 
 
-@query()
+_LOCALS = (1, 2, 3, 4, 5, 6, 8, 9, 10, 11, 16, 17)
+_U, _W = sqlgen.uniform(), sqlgen.bounded
+_EVENTS_SQL = f"""{_DENOVO_HITS}, asked AS (SELECT ci, pos, l FROM hit, unnest({list(_LOCALS)}) AS t(l)), {sqlgen.draws('v', 'asked', CATALOG_SEED, rng.MUTATION, 'ci', 'pos', 'l')},
+wide AS (SELECT ci, pos, {', '.join(f'max(CASE WHEN l = {k} THEN {_U} END) AS u{k}' for k in (1, 3, 4, 5, 6, 16, 17))}, max(CASE WHEN l = 2 THEN {_W('3')} END) AS s2, {', '.join(f'max(CASE WHEN l = {k} THEN {_W("4")} END) AS i{k}' for k in (8, 9, 10, 11))} FROM v GROUP BY ci, pos),
+{src.windows_sql('fours', 'contigs', 'ci', 4, '----').replace('at0 + j AS pos', 'at0 + j - 4 AS pos')},
+sized AS (SELECT w.*, near, length(regexp_extract(near, '^[ACGT]+')) AS m, 1 + CASE WHEN u4 < {EXTENSION} THEN 1 + CASE WHEN u5 < {EXTENSION} THEN 1 + CASE WHEN u6 < {EXTENSION} THEN 1 ELSE 0 END ELSE 0 END ELSE 0 END AS size FROM wide w JOIN fours f ON f.ci = w.ci AND f.pos = w.pos),
+kinds AS (SELECT *, CASE WHEN u1 >= {INDEL_RATE} THEN 'S' WHEN u3 < 0.5 THEN 'D' ELSE 'I' END AS kind, CASE WHEN u16 < 1.0::DOUBLE / 3 THEN 3 WHEN u17 < 0.5 THEN 1 ELSE 2 END AS mask, least(size, m) AS cut FROM sized),
+spans AS (SELECT *, CASE kind WHEN 'S' THEN pos + 1 WHEN 'D' THEN pos + cut ELSE pos + 2 END AS free, CASE WHEN lag(pos) OVER w IS NULL OR pos - lag(pos) OVER w > {samplers.REACH} THEN 1 ELSE 0 END AS opens FROM kinds WINDOW w AS (PARTITION BY ci ORDER BY pos)),
+grouped AS (SELECT *, sum(opens) OVER (PARTITION BY ci ORDER BY pos) AS island FROM spans), ordered AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY ci, island ORDER BY pos) AS k FROM grouped),
+scan AS (SELECT ci, island, k, pos, free AS until, true AS taken FROM ordered WHERE k = 1 UNION ALL SELECT o.ci, o.island, o.k, o.pos, CASE WHEN o.pos >= s.until THEN o.free ELSE s.until END, o.pos >= s.until FROM scan s JOIN ordered o ON o.ci = s.ci AND o.island = s.island AND o.k = s.k + 1)"""
+
+
+@query(f"""WITH RECURSIVE {src.CONTIGS_SQL}, {_EVENTS_SQL} SELECT ci, kind, CAST(CASE kind WHEN 'I' THEN pos + 1 ELSE pos END AS BIGINT) AS ref_start, CAST(CASE kind WHEN 'S' THEN pos + 1 WHEN 'D' THEN pos + cut ELSE pos + 1 END AS BIGINT) AS ref_end,
+CASE kind WHEN 'S' THEN substr(near, 1, 1) WHEN 'D' THEN substr(near, 1, CAST(cut AS INTEGER)) ELSE '' END AS ref, CASE kind WHEN 'S' THEN substr('ACGT', CAST((strpos('ACGT', substr(near, 1, 1)) + s2) & 3 AS INTEGER) + 1, 1) WHEN 'D' THEN '' ELSE substr(substr('ACGT', CAST(i8 + 1 AS INTEGER), 1) || substr('ACGT', CAST(i9 + 1 AS INTEGER), 1) || substr('ACGT', CAST(i10 + 1 AS INTEGER), 1) || substr('ACGT', CAST(i11 + 1 AS INTEGER), 1), 1, CAST(size AS INTEGER)) END AS alt,
+CAST(mask AS INTEGER) AS mask FROM ordered JOIN (SELECT ci, pos FROM scan WHERE taken) USING (ci, pos)""")
 def denovo_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mutations of every contig after neighbours have suppressed each other."""
     return mutations(src.contigs(spark, sf_dir), MUTATION_RATE, INDEL_RATE, EXTENSION, CATALOG_SEED)

@@ -316,7 +316,8 @@ def mutated(contigs: DataFrame, rate: float = MUTATION_RATE) -> DataFrame:
     return tiles.per_tile_keyed(tiles.tiles(contigs, 0), kernel, CATALOG_SEED, rng.MUTATION, "ci long, pos long, base int, indel boolean")
 
 
-_DENOVO = f"{src.windows_sql('places', 'contigs', 'ci', 1)}, ask AS (SELECT ci, pos, near AS b FROM places WHERE near <> 'N'), {sqlgen.draws('d', 'ask', CATALOG_SEED, rng.MUTATION, 'ci', 'pos', '0')}, hit AS (SELECT ci, pos, b FROM d WHERE {sqlgen.uniform()} < {MUTATION_RATE}), {sqlgen.draws('e', 'hit', CATALOG_SEED, rng.MUTATION, 'ci', 'pos', '1')}"
+_DENOVO_HITS = f"{src.windows_sql('places', 'contigs', 'ci', 1)}, ask AS (SELECT ci, pos, near AS b FROM places WHERE near <> 'N'), {sqlgen.draws('d', 'ask', CATALOG_SEED, rng.MUTATION, 'ci', 'pos', '0')}, hit AS (SELECT ci, pos, b FROM d WHERE {sqlgen.uniform()} < {MUTATION_RATE})"
+_DENOVO = f"{_DENOVO_HITS}, {sqlgen.draws('e', 'hit', CATALOG_SEED, rng.MUTATION, 'ci', 'pos', '1')}"
 
 
 @query(f"WITH {src.CONTIGS_SQL}, {_DENOVO} SELECT ci, pos, CAST(strpos('ACGT', b) - 1 AS INTEGER) AS base, {sqlgen.uniform()} < {INDEL_RATE} AS indel FROM e")
