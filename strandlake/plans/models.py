@@ -52,9 +52,29 @@ def beta_table(sites: DataFrame, seed: int = CATALOG_SEED) -> DataFrame:
     return sites.mapInArrow(run, "ci long, pos long, code int, level float")
 
 
-@query()
+_TOP = lambda lo, hi: f"((w{hi} << 21) | (w{lo} >> 11))::DOUBLE"
+_GAUSS = f"(sqrt(-2.0 * ln(({_TOP(0, 1)} + 1) * {2.0**-53!r})) * cos(2.0 * pi() * ({_TOP(2, 3)} * {2.0**-53!r})))"
+_OPEN = f"(({_TOP(0, 1)} + 1) * {2.0**-53!r})"
+
+
+def _gamma_sql(name: str, source: str, first: int, last: int) -> str:
+    """``name`` (ci, pos, role, shape, g): the first accepted of attempts [first, last) of ``source``, before the boost."""
+    return f"""{name}_tries AS (SELECT s.*, attempt, (role::UBIGINT << 62) | (2 * attempt)::UBIGINT AS l1, (role::UBIGINT << 62) | (2 * attempt + 1)::UBIGINT AS l2 FROM {source} s, unnest(range({first}, {last})) AS t(attempt)), {sqlgen.draws(name + '_n', name + '_tries', CATALOG_SEED, rng.METHYLATION_LEVEL, 'ci', 'pos', 'l1')},
+{name}_x AS (SELECT ci, pos, role, shape, attempt, l2, x, pow(1 + x / sqrt(9 * (shape + 1 - 1.0::DOUBLE / 3)), 3) AS v, shape + 1 - 1.0::DOUBLE / 3 AS d FROM (SELECT *, {_GAUSS} AS x FROM {name}_n)), {sqlgen.draws(name + '_u', name + '_x', CATALOG_SEED, rng.METHYLATION_LEVEL, 'ci', 'pos', 'l2')},
+{name} AS (SELECT ci, pos, role, shape, arg_min(d * v, attempt) AS g FROM {name}_u WHERE v > 0 AND ln({_OPEN}) < 0.5 * x * x + d - d * v + d * ln(greatest(v, 1e-300)) GROUP BY ci, pos, role, shape)"""
+
+
+_SHAPE_ROWS = ", ".join(f"({k}, {role}, {shape!r}::DOUBLE)" for k, (x, y) in SHAPES.items() for role, shape in ((samplers.ALPHA, x), (samplers.BETA, y)))
+_BETA_SQL = f"""{src.CONTIGS_SQL}, {tiles.CONTEXTS_SQL}, roles AS (SELECT ci, pos, role, shape FROM contexts JOIN (VALUES {_SHAPE_ROWS}) AS t(class, role, shape) ON class = code & 7),
+{_gamma_sql('one', 'roles', 0, 2)}, left1 AS (SELECT * FROM roles r WHERE NOT EXISTS (SELECT 1 FROM one o WHERE o.ci = r.ci AND o.pos = r.pos AND o.role = r.role)), {_gamma_sql('two', 'left1', 2, 40)},
+plain AS (SELECT *, (role + 1)::UBIGINT << 62 AS local FROM (SELECT * FROM one UNION ALL SELECT * FROM two)), {sqlgen.draws('b', 'plain', CATALOG_SEED, rng.METHYLATION_LEVEL, 'ci', 'pos', 'local')},
+drawn AS (SELECT ci, pos, max(CASE WHEN role = {samplers.ALPHA} THEN g * pow({_OPEN}, 1 / shape) END) AS x, max(CASE WHEN role = {samplers.BETA} THEN g * pow({_OPEN}, 1 / shape) END) AS y FROM b GROUP BY ci, pos)"""
+
+
+@query(f"WITH {_BETA_SQL} SELECT c.ci, c.pos, code, round((x / (x + y))::FLOAT::DOUBLE, 5) AS level FROM contexts c JOIN drawn d ON d.ci = c.ci AND d.pos = c.pos")
 def beta_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return beta_table(tiles.contexts(src.contigs(spark, sf_dir)))
+    """A Beta level for every site, to five digits."""
+    return beta_table(tiles.contexts(src.contigs(spark, sf_dir))).withColumn("level", F.round(F.col("level").cast("double"), 5))
 
 
 _LOCALS = (1, 2, 3, 4, 5, 6, 8, 9, 10, 11, 16, 17)
