@@ -147,6 +147,42 @@ def reply_order(conversations: DataFrame) -> DataFrame:
     return parsed.join(placed, ["conv_id", "turn"], "left").select("conv_id", "turn", "role", "text", "n_quotes", F.coalesce("n_linked", F.lit(0)).alias("n_linked"), "reply_to", F.coalesce("thread", "turn").alias("thread"), F.coalesce("depth", F.lit(0)).alias("depth"))
 
 
+def _units_sql(name: str, source: str, keys: str) -> str:
+    """``name`` (keys, unit, words): the whole, the paragraphs and the longer sentences of ``source`` (keys, lines: a list)."""
+    blank = r"regexp_matches(x, '^\s*$')"
+    joined = rf"trim(regexp_replace(lower(array_to_string(l, ' ')), '\s+', ' ', 'g'))"
+    return f"""{name}_flat AS (SELECT {keys}, unnest(lines) AS x, unnest(range(len(lines))) AS i FROM {source}),
+{name}_marked AS (SELECT *, sum(CASE WHEN {blank} THEN 1 ELSE 0 END) OVER (PARTITION BY {keys} ORDER BY i) AS paragraph FROM {name}_flat),
+{name}_lists AS (SELECT {keys}, paragraph, list(x ORDER BY i) AS l FROM {name}_marked WHERE NOT {blank} GROUP BY ALL),
+{name}_texts AS (SELECT {keys}, paragraph, {joined} AS t FROM {name}_lists),
+{name} AS (SELECT DISTINCT {keys}, unit, len(string_split(unit, ' ')) AS words FROM (
+  SELECT {keys}, t AS unit FROM {name}_texts UNION ALL SELECT {keys}, string_agg(t, ' ' ORDER BY paragraph) FROM {name}_texts GROUP BY ALL
+  UNION ALL SELECT * FROM (SELECT {keys}, unnest(string_split(regexp_replace(t, '([.!?]) ', '\1' || chr(1), 'g'), chr(1))) AS unit FROM {name}_texts) WHERE len(string_split(unit, ' ')) >= {LEAST_WORDS}) WHERE unit <> '')"""
+
+
+_MARK_SQL = r"^[ \t]*(?:>[ \t]?)+"
+_INTRO_SQL = "(?i)" + _INTRO.pattern
+#: Rows get a number, as they may repeat a (conv_id, turn).
+SQL = rf"""WITH RECURSIVE given AS (SELECT row_number() OVER () AS r, * FROM conversations), split AS (SELECT r, conv_id, turn, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS i FROM given),
+levelled AS (SELECT *, length(m) - length(replace(m, '>', '')) AS level, substr(line, length(m) + 1) AS rest FROM (SELECT *, regexp_extract(line, '{_MARK_SQL}') AS m FROM split)),
+opened AS (SELECT *, CASE WHEN lag(level) OVER w = level THEN 0 ELSE 1 END AS opens FROM levelled WINDOW w AS (PARTITION BY r ORDER BY i)),
+numbered AS (SELECT *, sum(opens) OVER (PARTITION BY r ORDER BY i) AS p FROM opened),
+runs AS (SELECT r, p, any_value(level) AS level, list(rest ORDER BY i) AS lines, max(i) FILTER (NOT regexp_matches(rest, '^\s*$')) AS filled, min(i) AS first, max(p) OVER (PARTITION BY r) AS last FROM numbered GROUP BY r, p),
+cut AS (SELECT r, p, level, CASE WHEN level = 0 AND p < last AND filled IS NOT NULL AND regexp_matches(lines[filled - first + 1], '{_INTRO_SQL}') THEN lines[:filled - first] ELSE lines END AS lines FROM runs),
+bodies AS (SELECT r, string_agg(array_to_string(lines, chr(10)), chr(10) ORDER BY p) FILTER (level = 0) AS body, count(*) FILTER (level > 0) AS n_quotes FROM cut GROUP BY r),
+owned AS (SELECT r, lines FROM cut WHERE level = 0 UNION ALL SELECT r, string_split(body, chr(10)) FROM bodies WHERE body IS NOT NULL), owned_ids AS (SELECT row_number() OVER () AS o, r, lines FROM owned),
+cited AS (SELECT r, p, level, lines FROM cut WHERE level > 0), {_units_sql('held', 'owned_ids', 'o, r')}, {_units_sql('quoted', 'cited', 'r, p, level')},
+sources AS (SELECT DISTINCT g.conv_id, g.turn, unit FROM held JOIN given g USING (r) WHERE g.turn IS NOT NULL AND g.conv_id IS NOT NULL), quotes_ AS (SELECT DISTINCT g.conv_id, g.turn, p, level, unit, words FROM quoted JOIN given g USING (r) WHERE g.turn IS NOT NULL AND g.conv_id IS NOT NULL),
+found AS (SELECT q.conv_id, q.turn, q.p, q.level, q.words, s.turn AS source FROM quotes_ q ASOF JOIN sources s ON s.conv_id = q.conv_id AND s.unit = q.unit AND q.turn > s.turn),
+votes AS (SELECT conv_id, turn, source, sum(CASE WHEN level = 1 THEN words ELSE 0 END) AS near, sum(words) AS n FROM found GROUP BY ALL),
+best AS (SELECT conv_id, turn, source FROM votes QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY near DESC, n DESC, source DESC) = 1), linked AS (SELECT conv_id, turn, count(DISTINCT p) AS n_linked FROM found GROUP BY ALL),
+turns AS (SELECT DISTINCT conv_id, turn FROM given WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
+parents AS (SELECT t.conv_id, t.turn, coalesce(b.source, f.turn) AS reply_to, coalesce(n_linked, 0) AS n_linked FROM turns t LEFT JOIN best b ON b.conv_id = t.conv_id AND b.turn = t.turn LEFT JOIN linked l ON l.conv_id = t.conv_id AND l.turn = t.turn LEFT JOIN turns f ON f.conv_id = t.conv_id AND f.turn = t.turn - 1),
+tree AS (SELECT conv_id, turn, turn AS thread, 0::BIGINT AS depth FROM parents WHERE reply_to IS NULL UNION ALL SELECT c.conv_id, c.turn, t.thread, t.depth + 1 FROM tree t JOIN parents c ON c.conv_id = t.conv_id AND c.reply_to = t.turn)
+SELECT g.conv_id, g.turn, g.role, CASE WHEN g.text IS NULL THEN NULL WHEN n_quotes > 0 THEN trim(coalesce(body, ''), chr(10)) ELSE g.text END AS text, n_quotes, coalesce(n_linked, 0)::BIGINT AS n_linked, reply_to, coalesce(thread, g.turn) AS thread, coalesce(depth, 0)::BIGINT AS depth
+FROM given g JOIN bodies b USING (r) LEFT JOIN parents p ON p.conv_id = g.conv_id AND p.turn = g.turn LEFT JOIN tree t ON t.conv_id = g.conv_id AND t.turn = g.turn"""
+
+
 def brute_force(rows: list[tuple[int | None, int | None, str, str | None]]) -> list[tuple[int | None, int | None, int | None, int]]:
     """(conv_id, turn, reply_to, n_linked) of each row by plain loops over the conversation, for tests."""
     parsed = [(c, t, *split_message(text or "")) for c, t, _, text in rows]

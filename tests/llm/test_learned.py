@@ -331,8 +331,16 @@ def test_quotes_match_brute_force(spark):
     rows += [rows[3], (None, 4, "user", "> ok\nx"), (3, None, "user", "> ok\ny"), (50, 1, None, None), (50, 2, "user", ""), (51, 1, "user", "> " + "long " * 50_000)]
     table = spark.createDataFrame([(*r, 1, 2, 3) for r in rows], "conv_id long, turn long, role string, text string, unit int, source int, lines int")
     key = lambda r: tuple((x is None, x) for x in r)
-    got = sorted(((r["conv_id"], r["turn"], r["reply_to"], r["n_linked"]) for r in quotes.reply_order(table).collect()), key=key)
+    found = quotes.reply_order(table)
+    got = sorted(((r["conv_id"], r["turn"], r["reply_to"], r["n_linked"]) for r in found.collect()), key=key)
     assert got == sorted(quotes.brute_force(rows), key=key)
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute("CREATE TABLE conversations (conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
+    con.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", rows)
+    want = con.execute(f"SELECT {', '.join(found.columns)} FROM ({quotes.SQL})").fetchall()
+    assert sorted(map(tuple, found.collect()), key=key) == sorted(want, key=key)
 
 
 def test_quotes_in_a_long_conversation(spark):
