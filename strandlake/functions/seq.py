@@ -55,6 +55,11 @@ def site_entity(kind: Column, payload: Column) -> Column:
     return F.shiftleft(kind.cast("long"), 60).bitwiseOR(payload.cast("long"))
 
 
+def site_parts(entity: Column) -> tuple[Column, Column]:
+    """(kind, payload) of an entity."""
+    return F.shiftrightunsigned(entity, 60), entity.bitwiseAND(F.lit((1 << 60) - 1))
+
+
 def read_name(contig: Column, start: Column, end: Column, ordinal: Column) -> Column:
     """contig:start-end:ordinal, 1-based, the ordinal in hexadecimal."""
     return F.concat_ws(":", contig, F.concat_ws("-", (start + 1).cast("string"), F.greatest(end, start + 1).cast("string")), F.lower(F.hex(ordinal)))

@@ -231,10 +231,13 @@ def insert_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _words(_address(spark, sf_dir), rng.QUALITY).select("l_orderkey", "l_linenumber", insert_length(normal_of(F.col("w")), 100, 400, 1000, 25.0).alias("insert_length"))
 
 
-@query("""SELECT l_orderkey, l_linenumber, l_linenumber % 7 AS kind, (l_linenumber % 7)::BIGINT << 60 | l_partkey * 4 + l_suppkey % 4 AS entity FROM lineitem""")
+@query("""SELECT l_orderkey, l_linenumber, l_linenumber % 7 AS kind, (l_linenumber % 7)::BIGINT << 60 | l_partkey * 4 + l_suppkey % 4 AS entity, l_linenumber % 7 AS kind_back, l_partkey * 4 + l_suppkey % 4 AS payload_back FROM lineitem""")
 def site_entity_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _address(spark, sf_dir)
-    return rows.select("l_orderkey", "l_linenumber", (F.col("l_linenumber") % 7).alias("kind"), sq.site_entity(F.col("l_linenumber") % 7, F.col("l_partkey") * 4 + F.col("l_suppkey") % 4).alias("entity"))
+    """Entities of sites, and what they are decoded to."""
+    kind = F.col("l_linenumber") % 7
+    rows = _address(spark, sf_dir).withColumn("entity", sq.site_entity(kind, F.col("l_partkey") * 4 + F.col("l_suppkey") % 4))
+    back, payload = sq.site_parts(F.col("entity"))
+    return rows.select("l_orderkey", "l_linenumber", kind.alias("kind"), "entity", back.cast("int").alias("kind_back"), payload.alias("payload_back"))
 
 
 @query("SELECT l_orderkey, l_linenumber, l_partkey || ':' || (l_suppkey + 1) || '-' || greatest(l_suppkey + l_linenumber, l_suppkey + 1) || ':' || lower(to_hex(l_orderkey)) AS read_name FROM lineitem")

@@ -17,7 +17,7 @@ from ..operators.lineage import kept
 from ..sources import sinks
 from ..sources.readers import digest_of
 from . import diploid, haplotiles, libraries, models, reads, tiles
-from .basics import Params
+from .basics import Params, calibrated_weights
 
 
 class ConfigError(ValueError):
@@ -241,9 +241,16 @@ def simulate(spark: SparkSession, contigs: DataFrame, levels: DataFrame | None =
 def _total(contigs: DataFrame, config: RunConfig, inputs: Inputs) -> int:
     """Fragments for a depth over the contigs, or the union of the targets or restriction fragments, rounded up."""
     if config.technology == "WGBS":
-        # Contigs that no fragment fits on do not count.
+        # Contigs that no fragment can come from do not count.
         p = config.params(0)
-        able = tiles.start_counts(contigs, p.read, config.insert_max or p.insert, p.max_n).select("ci").distinct()
+        longest = config.insert_max or p.insert
+        if inputs.events is not None:
+            able = haplotiles.counts(haplotiles.tiled(contigs, inputs.events, longest, diploid.CORE), p.read, longest, p.max_n).select("ci").distinct()
+        elif inputs.gc_profile is not None:
+            o, accept, _ = libraries.gc_domain(contigs, inputs.gc_profile, inputs.gc_profile.count(), p)
+            able = calibrated_weights(o, accept, ["bin"]).where("mass > 0").select("ci")
+        else:
+            able = tiles.start_counts(contigs, p.read, longest, p.max_n).select("ci").distinct()
         bases = contigs.join(able, "ci", "left_semi").agg(F.sum("len")).first()[0]
     else:
         if config.technology == "TBS":

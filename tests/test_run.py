@@ -179,6 +179,23 @@ def test_extremes(spark, contigs):
     assert {x[1] for x in lines} == {"0"} and {tuple(x[6:9]) for x in lines} == {("*", "0", "0")}
 
 
+def test_depth_and_profiles(spark, contigs):
+    c = _plain(contigs)
+    shape = dict(read_length=5, insert=12, depth=3.0)
+    assert run.simulate(spark, c, config=run.RunConfig(**shape)).reads.count() == -(-72 * 3 // 10)
+    assert run.simulate(spark, c, config=run.RunConfig(**shape, paired=False)).reads.count() == -(-72 * 3 // 5)
+    # All mass on windows of which at most a third are G or C: few contigs, few starts.
+    low = spark.createDataFrame([(0, 1.0), (1, 0.0), (2, 0.0)], "bin long, p double")
+    poor = spark.createDataFrame([(0, "a", "AATT" * 20, 80), (1, "b", "GGCC" * 20, 80)], "ci long, name string, seq string, len long")
+    for extra in ({}, {"insert_min": 8, "insert_max": 16, "insert_stddev": 2.0}):
+        rows = run.simulate(spark, poor, config=run.RunConfig(**shape, **extra), inputs=run.Inputs(gc_profile=low)).reads.collect()
+        assert len(rows) == 24 and {r["ci"] for r in rows} == {0}
+        assert extra == {} or len({r["span"] for r in rows}) > 3
+    events = spark.createDataFrame([(0, 10, 11, "C", 1)], "ci long, ref_start long, ref_end long, alt_bases string, mask int")
+    rows = run.simulate(spark, poor, config=run.RunConfig(**shape), inputs=run.Inputs(gc_profile=low, events=events)).reads.collect()
+    assert len(rows) == 48 and {r["ci"] for r in rows} == {0} and {r["haplotype"] for r in rows} == {0, 1}
+
+
 MODEL = {"quality_scores": [10, 30], "mates": [{"initial_counts": [[1, 0]] * 5, "transition_counts": [[0, 1], [0, 1]]}, {"initial_counts": [[0, 1]] * 5, "transition_counts": [[1, 0], [1, 0]]}]}
 SWAP = {"quality_scores": [10, 30], "mates": [{"base_transition_counts": [[[0, 1, 0, 0], [1, 0, 0, 0], [0, 0, 0, 1], [0, 0, 1, 0]], [[1, 0, 0, 0], [0, 1, 0, 0], [0, 0, 1, 0], [0, 0, 0, 1]]]}] * 2}
 
