@@ -133,3 +133,40 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` that match no item, all columns."""
     gone = find(docs, benchmark).select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def _sql() -> str:
+    """The same in DuckDB's SQL, whose patterns cannot look behind: names by the word before, the others by what is
+    around them, twice, as a neighbour may be used up by the match before."""
+    spelt = _SPELT.removeprefix(r"(?<![\p{L}\d])").removesuffix(r"(?![\p{L}\d])")
+    name = r"^\p{Lu}[\p{L}\p{M}''’-]*"
+    around, united = rf"(^|[^\p{{L}}\d]){spelt}([^\p{{L}}\d]|$)", rf"({NUMBER}[ -]?)(?:{UNITS})([^\p{{L}}\d]|$)"
+    twice = lambda x, pattern, new: f"regexp_replace(regexp_replace({x}, '{pattern}', '\\1{new}\\2', 'g'), '{pattern}', '\\1{new}\\2', 'g')"
+    blanks = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+    tokens = lambda x: f"string_split_regex(trim({x}, {blanks}), '[ \\t-\\r]+')"
+    slot = lambda x: f"regexp_matches({x}, '[{NAME}{NUMBER}{UNIT}]')"
+    least = lambda c: f"greatest(1, least({ENOUGH}, ceil({c} / 2.0)))"
+
+    def cut(source: str) -> str:
+        named = f"array_to_string(list_transform(range(1, len(w) + 1), lambda i: CASE WHEN i > 1 AND regexp_matches(w[i - 1], '[\\p{{Ll}}\\d,;]$') THEN regexp_replace(w[i], '{name}', '{NAME}') ELSE w[i] END), ' ')"
+        numbered = twice(f"regexp_replace(lower({named}), '{_NUMBERS}', '{NUMBER}', 'g')", around, NUMBER)
+        return f"""{source}_canon AS (SELECT id, text, {twice(numbered, united, UNIT)} AS canon FROM (SELECT id, text, string_split(text, ' ') AS w FROM {source})),
+{source}_tokens AS (SELECT id, row_number() OVER () AS r, {tokens('canon')} AS c, {tokens('text')} AS t FROM {source}_canon WHERE canon <> '')"""
+
+    return f"""WITH items AS (SELECT item_id AS id, text FROM benchmark WHERE item_id IS NOT NULL AND trim(text, {blanks}) <> ''), {cut('items')}, docs AS (SELECT doc_id AS id, text FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL), {cut('docs')},
+wide AS (SELECT id, c, t, least({WINDOW}, len(c)) AS width FROM items_tokens), placed AS (SELECT id AS item_id, width, i - 1 AS item_place, c[i:i + width - 1] AS c, t[i:i + width - 1] AS t FROM wide, unnest(range(1, len(c) - width + 2)) AS x(i)),
+judged AS (SELECT *, len(list_filter(c, lambda x: NOT {slot('x')})) < {LITERAL} AS exact FROM placed),
+known AS (SELECT *, CASE WHEN exact THEN 'r' || array_to_string(t, chr(31)) ELSE 'c' || array_to_string(c, chr(31)) END AS k FROM judged),
+per_item AS (SELECT item_id, count(DISTINCT item_place) AS item_windows, count(DISTINCT CASE WHEN NOT exact THEN item_place END) AS item_rich FROM known GROUP BY item_id),
+cuts AS (SELECT id AS doc_id, width, i - 1 AS place, c[i:i + width - 1] AS c, t[i:i + width - 1] AS t FROM docs_tokens, (SELECT DISTINCT width FROM known), unnest(range(1, len(c) - width + 2)) AS x(i) WHERE len(c) >= width),
+keyed AS (SELECT doc_id, width, place, t, 'c' || array_to_string(c, chr(31)) AS k FROM cuts UNION ALL SELECT doc_id, width, place, t, 'r' || array_to_string(t, chr(31)) FROM cuts),
+hits AS (SELECT doc_id, k.item_id, exact, item_place, place - item_place AS shift, k.c AS template, k.t AS was, d.t AS now FROM keyed d JOIN known k ON d.k = k.k AND d.width = k.width),
+slots AS (SELECT doc_id, item_id, shift, exact, was[i] AS was, now[i] AS now FROM hits, unnest(range(1, len(template) + 1)) AS x(i) WHERE {slot('template[i]')}),
+filled AS (SELECT doc_id, item_id, shift, count(DISTINCT (was, now)) AS n_pairs, count(DISTINCT was) AS n_values, count(DISTINCT (was, now)) FILTER (NOT exact) AS rich_pairs, count(DISTINCT was) FILTER (NOT exact) AS rich_values, max(was <> now) AS changed FROM slots GROUP BY ALL),
+runs AS (SELECT doc_id, item_id, shift, count(DISTINCT item_place) AS n_windows, count(DISTINCT CASE WHEN NOT exact THEN item_place END) AS n_rich FROM hits GROUP BY ALL),
+good AS (SELECT r.doc_id, r.item_id, n_windows, item_windows, coalesce(changed, false) AS reparameterised FROM runs r JOIN per_item p ON p.item_id = r.item_id LEFT JOIN filled f ON f.doc_id = r.doc_id AND f.item_id = r.item_id AND f.shift = r.shift
+  WHERE (coalesce(rich_pairs, 0) = coalesce(rich_values, 0) AND n_rich >= {least('item_rich')}) OR (coalesce(n_pairs, 0) = coalesce(n_values, 0) AND n_windows >= {least('item_windows')}))
+SELECT doc_id, item_id, n_windows, item_windows, reparameterised FROM good QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY n_windows DESC, item_windows DESC, reparameterised DESC) = 1"""
+
+
+SQL = _sql()

@@ -66,4 +66,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     """SQL of the operators that SQL can express; the others are tested against plain loops, exact round trips or
     held-out rows."""
-    return {"op2_quotes": quotes.SQL, "op6_substrings": substrings.SQL, "op9_neardup": neardup.SQL, "op10_secrets": secrets.SQL}
+    return {"op2_quotes": quotes.SQL, "op3_decontaminate": decontaminate.SQL, "op6_substrings": substrings.SQL, "op9_neardup": neardup.SQL, "op10_secrets": secrets.SQL}

@@ -171,6 +171,35 @@ def test_spelt_numbers_fill_slots(spark):
     assert {r["doc_id"]: r["reparameterised"] for r in got.collect()} == {0: True, 1: False}
 
 
+def test_decontamination_matches_sql(spark):
+    import duckdb
+
+    rng = random.Random(15)
+    names, numbers, units = ["Anna", "Bob", "Zoë", "O'Neil"], ["12", "7", "3.5", "1,200", "twelve", "sixty"], ["km", "%", " euros", " kg", "", " hours"]
+    pieces = [lambda: rng.choice(numbers) + rng.choice(units), lambda: rng.choice(names), lambda: prose(rng, 1), lambda: prose(rng, 1), lambda: prose(rng, 2) + rng.choice([",", ".", "\n", "  "])]
+    make = lambda n, q=(3, 3, 6, 6, 6): " ".join(rng.choices(pieces, q)[0]() for _ in range(n))
+    items = [(i, make(rng.choice([2, 5, 9, 20, 40]))) for i in range(40)] + [(40, "12 7 3 5 90 11 4 8 6"), (41, "What is it?"), (42, " "), (40, "a second text of forty is here and long")]
+
+    def changed(text):
+        for old in rng.sample(numbers + names, 3):
+            text = text.replace(old, rng.choice(numbers if old in numbers else names))
+        return text
+
+    docs = []
+    for i in range(150):
+        item = rng.choice(items)[1]
+        docs.append((i, make(30) + " " + rng.choice([item, changed(item), changed(item), " ".join(item.split(" ")[: rng.randint(1, 20)])]) + " " + make(20)))
+    docs += [(900, None), (901, ""), (902, "  "), (5, docs[5][1])]
+    con = duckdb.connect()
+    for name, key, rows in (("documents", "doc_id", docs), ("benchmark", "item_id", items)):
+        con.execute(f"CREATE TABLE {name} ({key} BIGINT, text VARCHAR)")
+        con.executemany(f"INSERT INTO {name} VALUES (?, ?)", rows)
+    got = decontaminate.find(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    want = con.execute(f"SELECT {', '.join(got.columns)} FROM ({decontaminate.SQL})").fetchall()
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    assert len(want) > 80 and {x[4] for x in want} == {True, False}
+
+
 def test_many_benchmark_windows_give_the_same(spark, monkeypatch):
     rng = random.Random(6)
     items = [(i, prose(rng, rng.randint(4, 30)) + rng.choice(["", " 12 of 7"])) for i in range(30)]
