@@ -3,7 +3,8 @@
 The zstandard ratio (compressed over raw bytes) of a whole text falls with its length for prose; text made
 of few symbols, one template or repeated lines compresses better than prose of that length, and encoded or
 random data worse.  A text is rejected if its ratio leaves the band of its length class, or if more than
-``BAD_SHARE`` of its fixed chunks leave the chunk band (so that a junk region in a long text shows).
+``BAD_SHARE`` of its fixed chunks leave the chunk band (so that a junk region in a long text shows).  What is left
+after the last whole chunk counts as a chunk from ``LEAST_CHUNK`` bytes on, by the band of its own length.
 
 Contract: one row per input row, whole texts.  A null or empty text has no words: all counts 0,
 ``base_failed`` true, ``kept`` false, ratios null.  Repeated rows get equal verdicts.
@@ -24,7 +25,8 @@ from .store import project
 LEVEL = 3
 CHUNK_BYTES = 2048
 CHUNK_BAND = (0.445, 0.75)
-BAD_SHARE = 0.5
+LEAST_CHUNK = 512
+BAD_SHARE = 0.25
 #: (bytes from, least ratio, greatest ratio): fixed limits by length.
 BANDS = (
     (0, 0.0, 9.9),
@@ -78,19 +80,26 @@ def duplicate_lines(text: bytes) -> int:
     return len(lines) - len(set(lines))
 
 
+def _band(size: int) -> tuple[float, float]:
+    """(least, greatest) ratio of a text of ``size`` bytes."""
+    _, low, high = BANDS[int(np.searchsorted(_FROM, size, side="right")) - 1]
+    return low, high
+
+
 def _verdict(text: bytes, squeeze: zstandard.ZstdCompressor) -> tuple[float, int, int, bool]:
     """(ratio, chunks out of band, chunks, in band)."""
     n = len(text)
     if not n:
         return 0.0, 0, 0, False
     ratio = len(squeeze.compress(text)) / n
-    _, low, high = BANDS[int(np.searchsorted(_FROM, n, side="right")) - 1]
+    low, high = _band(n)
     bad = chunks = 0
-    for k in range(0, n, CHUNK_BYTES):
+    for k in range(0, n, CHUNK_BYTES) if n >= CHUNK_BYTES else ():
         part = text[k : k + CHUNK_BYTES]
-        if len(part) == CHUNK_BYTES:
+        if len(part) >= LEAST_CHUNK:
+            least, greatest = CHUNK_BAND if len(part) == CHUNK_BYTES else _band(len(part))
             chunks += 1
-            bad += not CHUNK_BAND[0] <= len(squeeze.compress(part)) / CHUNK_BYTES <= CHUNK_BAND[1]
+            bad += not least <= len(squeeze.compress(part)) / len(part) <= greatest
     return ratio, bad, chunks, low <= ratio <= high and bad <= BAD_SHARE * chunks
 
 

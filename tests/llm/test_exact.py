@@ -104,6 +104,39 @@ def test_quality_bands(spark):
     assert kept.columns == frame(spark, []).columns and {r["doc_id"] for r in kept.collect()} == {r["doc_id"] for r in quality.measure(frame(spark, documents(4))).where("kept").collect()}
 
 
+def test_quality_verdicts_match_plain_bands(spark):
+    import base64
+    import random
+
+    import zstandard
+
+    rng = random.Random(9)
+    noise = base64.b64encode(rng.randbytes(60_000)).decode()
+    noise = " ".join(noise[i : i + 9] for i in range(0, len(noise), 9))
+    rows = [r[:2] for r in documents(8, 60)]
+    rows += [(2000 + k, prose(rng, n) + noise[:m] + prose(rng, n // 3)) for k, (n, m) in enumerate([(60, 0), (300, 600), (900, 900), (900, 2500), (3000, 6000), (6000, 6000), (2000, 40_000), (700, 1500)])]
+    rows += [(3000, "abc def ghi " * 900), (3001, prose(rng, 60_000)), (3002, "ü" * 4000), (3000, None)]
+    squeeze = lambda b: len(zstandard.compress(b, 3)) / len(b)
+    want = []
+    for i, text in rows:
+        raw = (text or "").encode()
+        if not raw:
+            want.append((i, None, 0, 0, False))
+            continue
+        band = lambda n: next((lo, hi) for at, lo, hi in reversed(quality.BANDS) if n >= at)
+        parts = [raw[k : k + 2048] for k in range(0, len(raw), 2048)] if len(raw) >= 2048 else []
+        parts = [p for p in parts if len(p) >= 512]
+        bad = sum(not (lambda b: b[0] <= squeeze(p) <= b[1])(quality.CHUNK_BAND if len(p) == 2048 else band(len(p))) for p in parts)
+        lo, hi = band(len(raw))
+        want.append((i, squeeze(raw), bad, len(parts), lo <= squeeze(raw) <= hi and bad <= 0.25 * len(parts)))
+    got = quality.measure(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    key = lambda r: (r[0], r[1] is None, r[1])
+    plain = sorted(((r["doc_id"], r["zstd_ratio"], r["bad_chunks"], r["n_chunks"], r["kept"]) for r in got), key=key)
+    failed = {(r["doc_id"], r["zstd_ratio"]): r["base_failed"] for r in got}
+    assert plain == sorted(((*w[:4], w[4] and not failed[w[:2]]) for w in want), key=key)
+    assert {w[4] for w in want} == {True, False} and any(0 < w[2] <= 0.25 * w[3] for w in want)
+
+
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 
 
