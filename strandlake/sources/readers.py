@@ -294,5 +294,25 @@ def digest(spark: SparkSession, path: str) -> str:
     return rows.select(F.sha2("content", 256).alias("d")).first()["d"]
 
 
+#: Characters of a line that a profile may have.
+LONGEST_LINE = 1 << 20
+
+
+def verified_lines(spark: SparkSession, path: str, sha256: str) -> DataFrame:
+    """(value): the lines of a file whose bytes have the given digest, before the lines are looked at and after.
+
+    The lines are written once to the shared folder in between, so that what is used later is what was verified.
+    """
+    from ..operators.lineage import kept
+
+    if digest(spark, path) != sha256.lower():
+        raise FormatError(f"{path} has another digest")
+    rows = kept(_lines(spark, path, "^$").select("value"))
+    _require(rows.select(F.length("value").alias("length")), F.col("length") <= LONGEST_LINE, "a line is too long")
+    if digest(spark, path) != sha256.lower():
+        raise FormatError(f"{path} changed while it was read")
+    return rows
+
+
 def digest_of(text: str) -> str:
     return hashlib.sha256(text.encode()).hexdigest()

@@ -47,7 +47,7 @@ def test_query_runs(spark, name):
     assert QUERIES[name](spark, DATA).count() > 0
 
 
-@pytest.mark.parametrize("name", ["rrbs_candidates", "fastq_records", "denovo_events", "beta_levels"])
+@pytest.mark.parametrize("name", ["rrbs_candidates", "fastq_records", "denovo_events", "beta_levels", "read_summary", "wgbs_haplotype_gc", "wgbs_variable_gc", "haplotype_fragments", "tbs_diploid_displaced", "rrbs_profile_pick"])
 def test_partitioning_does_not_change_rows(spark, name):
     results = []
     for n in ("1", "7"):

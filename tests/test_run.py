@@ -118,6 +118,23 @@ def test_fragment_catalogue_round_trip(contigs, spark, tmp_path):
     assert [(r["ci"], r["candidate_id"], r["score"], r["start"], r["haplotype_mask"]) for r in got] == [(1, "b", None, 0, 1), (0, "a", 2.0, 1, 3)]
 
 
+def test_verified_lines(spark, tmp_path, monkeypatch):
+    path = tmp_path / "p.txt"
+    path.write_text("a\tb\n\nc\n")
+    digest = hashlib.sha256(path.read_bytes()).hexdigest()
+    assert sorted(r["value"] for r in readers.verified_lines(spark, str(path), digest.upper()).collect()) == ["a\tb", "c"]
+    with pytest.raises(readers.FormatError, match="another digest"):
+        readers.verified_lines(spark, str(path), "0" * 64)
+    monkeypatch.setattr(readers, "LONGEST_LINE", 2)
+    with pytest.raises(readers.FormatError, match="too long"):
+        readers.verified_lines(spark, str(path), digest)
+    monkeypatch.undo()
+    seen = iter([digest, "1" * 64])
+    monkeypatch.setattr(readers, "digest", lambda *_: next(seen))
+    with pytest.raises(readers.FormatError, match="changed"):
+        readers.verified_lines(spark, str(path), digest)
+
+
 def test_saved_catalogue_is_bound(contigs, spark, tmp_path):
     c = _plain(contigs)
     catalog = run.methylation_catalog(c, 5)
