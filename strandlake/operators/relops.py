@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lineage import kept
+
 
 def bins(start: Column, end: Column, width: int) -> Column:
     """The bins of ``width`` that [start, end) touches."""
@@ -90,28 +92,48 @@ def islands(rows: DataFrame, keys: list[str], start: str, end: str) -> DataFrame
     return opened.withColumn("_island", F.sum("_new").over(upto)).groupBy(*keys, "_island").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("_island")
 
 
+#: Blocks of remainders, within which contigs are put in order.
+REMAINDERS = 4096
+
+
+def _with_total(rows: DataFrame, total: Column) -> DataFrame:
+    """``rows`` with an aggregate over all of them: one row, which is broadcast."""
+    return rows.crossJoin(F.broadcast(rows.agg(total)))
+
+
+def _seated(rows: DataFrame, total: int, weight: str, share: Column, order: str) -> DataFrame:
+    """``rows`` with (_quota, _rest) get their seats: left-over ones go by remainder, ranked by blocks of it."""
+    rows = _with_total(rows, (F.lit(total) - F.coalesce(F.sum("_quota"), F.lit(0))).alias("_left")).withColumn("_one", F.lit(0))
+    block = F.lit(REMAINDERS - 1) - F.least(F.lit(REMAINDERS - 1), F.floor(F.coalesce(share, F.lit(0.0)) * REMAINDERS))
+    rows = numbered(rows, ["_one"], "_place", [F.desc(F.col(weight) > 0), F.desc("_rest"), order], block)
+    extra = F.when((F.col(weight) > 0) & (F.col("_place") < F.col("_left")), 1).otherwise(0)
+    return rows.withColumn("seats", (F.col("_quota") + extra).cast("long")).drop("_one", "_place", "_left", "_quota", "_rest")
+
+
 def hamilton(rows: DataFrame, total: int, weight: str, order: str) -> DataFrame:
     """``seats``: ``total`` shared by integer ``weight``, left-over seats to the largest remainders, ties to
-    the smaller ``order``; a zero weight gets none.  One row a contig: a small table."""
-    every = Window.partitionBy(F.lit(0))
-    product = (F.col(weight).cast("decimal(20,0)") * F.lit(total).cast("decimal(18,0)")).cast("decimal(38,0)")
-    whole = F.sum(F.col(weight).cast("decimal(20,0)")).over(every).cast("decimal(20,0)")
-    rows = rows.withColumn("_whole", whole).withColumn("_product", product)
+    the smaller ``order``; a zero weight gets none.  Sums are one row; ranks go by blocks of the remainder."""
+    exact = F.col(weight).cast("decimal(20,0)")
+    rows = _with_total(kept(rows), F.sum(exact).cast("decimal(20,0)").alias("_whole"))
+    rows = rows.withColumn("_product", (exact * F.lit(total).cast("decimal(18,0)")).cast("decimal(38,0)"))
     rows = rows.withColumn("_rest", F.when(F.col("_whole") > 0, F.col("_product") % F.col("_whole")).otherwise(0).cast("decimal(38,0)"))
     rows = rows.withColumn("_quota", F.when(F.col("_whole") > 0, ((F.col("_product") - F.col("_rest")) / F.col("_whole")).cast("long")).otherwise(0))
-    rows = rows.withColumn("_left", F.lit(total) - F.sum("_quota").over(every))
-    place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc(F.col(weight) > 0), F.desc("_rest"), order))
-    extra = F.when((F.col(weight) > 0) & (place <= F.col("_left")), 1).otherwise(0)
-    return rows.withColumn("seats", (F.col("_quota") + extra).cast("long")).drop("_whole", "_product", "_rest", "_quota", "_left")
+    share = F.when(F.col("_whole") > 0, F.col("_rest").cast("double") / F.col("_whole").cast("double"))
+    return _seated(rows, total, weight, share, order).drop("_whole", "_product")
 
 
 def hamilton_real(rows: DataFrame, total: int, weight: str, order: str) -> DataFrame:
     """The same for real weights.  Shares count to nine digits, so that the order of a sum decides nothing."""
-    every = Window.partitionBy(F.lit(0))
-    rows = rows.withColumn("_share", F.col(weight) / F.sum(weight).over(every) * total).withColumn("_quota", F.floor(F.round("_share", 9)))
-    rows = rows.withColumn("_left", F.lit(total) - F.sum("_quota").over(every))
-    place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc(F.col(weight) > 0), F.desc(F.round(F.col("_share") - F.col("_quota"), 9)), order))
-    return rows.withColumn("seats", (F.col("_quota") + F.when((F.col(weight) > 0) & (place <= F.col("_left")), 1).otherwise(0)).cast("long")).drop("_share", "_quota", "_left")
+    rows = _with_total(kept(rows), F.sum(weight).alias("_whole"))
+    rows = rows.withColumn("_share", F.when(F.col("_whole") > 0, F.col(weight) / F.when(F.col("_whole") > 0, F.col("_whole")) * total).otherwise(0.0))
+    rows = rows.withColumn("_quota", F.floor(F.round("_share", 9))).withColumn("_rest", F.round(F.col("_share") - F.col("_quota"), 9))
+    return _seated(rows, total, weight, F.greatest(F.col("_rest"), F.lit(0.0)), order).drop("_whole", "_share")
+
+
+def before_each(rows: DataFrame, weight: str, order: str, name: str = "before") -> DataFrame:
+    """``rows`` with the weight of all rows before theirs by the integer ``order``, put in order by blocks of it."""
+    held = running_ranges(rows.withColumn("_one", F.lit(0)), ["_one"], weight, [order], F.floor(F.col(order) / REMAINDERS))
+    return held.withColumnRenamed("lo", name).drop("_one", "hi")
 
 
 def first_accepted(attempts: DataFrame, keys: list[str], attempt: str, accepted: str) -> DataFrame:

@@ -305,7 +305,7 @@ def tbs_diploid_displaced(spark: SparkSession, sf_dir: str) -> DataFrame:
     choices = masks.where("target IS NOT NULL").join(possible, "ci").select("ci", "target", F.col("centred").bitwiseAND(F.col("possible")).alias("mask")).where("mask > 0")
     choices = kept(choices.join(rows.select("ci", "target", "centre", "score"), ["ci", "target"]))
     totals = choices.groupBy("ci").agg(F.sum("score").alias("total")).where("total > 0")
-    before = totals.select("ci", (8 * (F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("ci")) - 1)).alias("before"))  # one row a contig
+    before = relops.before_each(totals.withColumn("seats", F.lit(8)), "seats", "ci").select("ci", "before")
     ranges = relops.running_ranges(choices, ["ci"], "score", ["target"], F.floor(F.col("target") / 4096))
     picked = relops.cumulative_pick(picks_of(totals.select("ci", "total", F.lit(8).alias("seats")), SEED), ranges, ["ci"], "pick", 64)
     named = chosen(picked.join(before, "ci").select("ci", F.col("ordinal").alias("draw"), (F.col("before") + F.col("ordinal")).alias("ordinal"), "target", "centre", "mask"), SEED)

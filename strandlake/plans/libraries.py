@@ -129,7 +129,7 @@ def picks_of(weights: DataFrame, seed: int) -> DataFrame:
 def seated_by(weights: DataFrame, total: int, real: bool = False) -> DataFrame:
     """(ci, total, seats, before): ``total`` fragments shared by contig weight; ``before`` numbers them over all contigs."""
     seats = (relops.hamilton_real if real else relops.hamilton)(weights, total, "total", "ci")
-    return seats.withColumn("before", F.sum("seats").over(Window.partitionBy(F.lit(0)).orderBy("ci")) - F.col("seats"))  # one row a contig
+    return relops.before_each(seats, "seats", "ci")
 
 
 def draw_rrbs(contigs: DataFrame, cuts: list[tuple[str, int]], p: Params, shortest: int, longest: int, scores: DataFrame | None = None) -> DataFrame:
@@ -316,8 +316,7 @@ numbered AS (SELECT ci, pos, row_number() OVER (PARTITION BY ci ORDER BY pos) -
 
 def seats_of(seats: DataFrame) -> DataFrame:
     """(ci, weight, candidate, ordinal): the candidates that each contig draws; ordinal runs over all contigs."""
-    before = F.sum("seats").over(Window.partitionBy(F.lit(0)).orderBy("ci")) - F.col("seats")
-    rows = seats.withColumn("before", before).where("seats > 0")
+    rows = relops.before_each(kept(seats), "seats", "ci").where("seats > 0")
     return rows.select("ci", "weight", "before", F.explode(F.sequence(F.lit(0).cast("long"), F.col("seats") - 1)).alias("candidate")).select("ci", "weight", "candidate", (F.col("before") + F.col("candidate")).alias("ordinal"))
 
 
@@ -488,7 +487,7 @@ def draw_variable(contigs: DataFrame, p: Params, sizes: tuple, profile: DataFram
 def numbered(accepted: DataFrame, span: str) -> DataFrame:
     """(ordinal, ci, start, span, ...) of accepted candidates: numbered over all contigs in their order."""
     seats = accepted.groupBy("ci").agg(F.max("seats").alias("seats"))
-    before = seats.select("ci", (F.sum("seats").over(Window.partitionBy(F.lit(0)).orderBy("ci")) - F.col("seats")).alias("before"))  # one row a contig
+    before = relops.before_each(kept(seats), "seats", "ci").select("ci", "before")
     return accepted.join(before, "ci").withColumn("ordinal", F.col("before") + F.col("accept_rank")).withColumnRenamed(span, "span")
 
 
