@@ -118,11 +118,14 @@ def denovo_events(key: int, positions: np.ndarray, bases: np.ndarray, fraction:
     ``positions`` are those whose first draw mutates, in order; an accepted event moves the scan on, which
     is why this is a loop.  ``bases`` are the contig's from place ``at`` on (4: N).
     """
-    keys = np.full(len(positions), key, np.uint64)
-    draw = lambda local: rng.block(keys, positions, np.full(len(positions), local))
-    u = {k: rng.uniform(draw(k)) for k in (1, 3, 4, 5, 6, 16, 17)}
-    snv = bounded(draw(2), np.full(len(positions), 3))
-    inserted = [bounded(draw(8 + k), np.full(len(positions), 4)) for k in range(4)]
+    n = len(positions)
+    # All draws at once: a contig of few mutations costs one call, not one for each of them.
+    locals_ = (1, 2, 3, 4, 5, 6, 8, 9, 10, 11, 16, 17)
+    w = rng.block(np.full(n * len(locals_), key, np.uint64), np.tile(np.asarray(positions, np.uint64), len(locals_)), np.repeat(np.array(locals_, np.uint64), n))
+    of = {k: tuple(x[i * n : (i + 1) * n] for x in w) for i, k in enumerate(locals_)}
+    u = {k: rng.uniform(of[k]).tolist() for k in (1, 3, 4, 5, 6, 16, 17)}
+    snv = bounded(of[2], np.full(n, 3))
+    inserted = [bounded(of[8 + k], np.full(n, 4)) for k in range(4)]
     out, free, n = [], 0, len(bases) + at
     for i, pos in enumerate(positions.tolist()):
         if pos < free:

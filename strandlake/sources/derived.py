@@ -49,8 +49,8 @@ def windows_sql(name: str, source: str, keys: str, width: int, pad: str = "") ->
 
 
 def _on_contig(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line items with the contig their order falls on."""
-    docs = contigs(spark, sf_dir)
+    """Line items with the contig their order falls on, and its length; its bases do not travel with them."""
+    docs = contigs(spark, sf_dir).select("ci", "len")
     n = _table(spark, sf_dir, "documents").select(F.max("doc_id").alias("top"))
     items = _table(spark, sf_dir, "lineitem").withColumn("h", F.col("l_partkey") * 31 + F.col("l_linenumber") * 17 + F.col("l_orderkey"))
     # One row, of one number: the bound of this broadcast is proven.
@@ -82,8 +82,13 @@ def variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     h = F.col("h")
     pos = F.floor((h % F.col("len")) / 10) * 10 + 5
-    rows = _on_contig(spark, sf_dir).select("ci", "seq", pos.alias("pos"), (F.lit(1) + F.col("l_suppkey") % 3).alias("mask"), (F.col("l_linenumber") % 3).alias("kind")).where(F.col("pos") + 5 < F.length("seq"))
-    rows = rows.groupBy("ci", "pos", piece(F.col("seq"), F.col("pos"), F.col("pos") + 3).alias("near")).agg(F.min("mask").alias("mask"), F.min("kind").alias("kind"))
+    rows = _on_contig(spark, sf_dir).select("ci", "len", pos.alias("pos"), (F.lit(1) + F.col("l_suppkey") % 3).alias("mask"), (F.col("l_linenumber") % 3).alias("kind")).where(F.col("pos") + 5 < F.col("len"))
+    rows = rows.groupBy("ci", "pos").agg(F.min("mask").alias("mask"), F.min("kind").alias("kind"))
+    # Places meet their contig as one list each.
+    lists = rows.groupBy("ci").agg(F.collect_list(F.struct("pos", "mask", "kind")).alias("places"))
+    whole = contigs(spark, sf_dir).select("ci", F.col("seq").cast("binary").alias("bytes")).join(lists, "ci")
+    cut = F.transform("places", lambda x: F.struct(x["pos"].alias("pos"), F.substring(F.col("bytes"), (x["pos"] + 1).cast("int"), F.lit(3)).cast("string").alias("near"), x["mask"].alias("mask"), x["kind"].alias("kind")))
+    rows = whole.select("ci", F.explode(cut).alias("x")).select("ci", "x.*")
     rows = rows.where(F.when(F.col("kind") == 2, ~F.col("near").contains("N")).otherwise(~F.substring("near", 1, 1).contains("N")))
     first = F.substring("near", 1, 1)
     ref = F.when(F.col("kind") == 2, F.col("near")).otherwise(first)
