@@ -1,8 +1,9 @@
-"""Per-base work on contigs: map-only, over overlapping tiles.
+"""Per-base work on contigs, over overlapping tiles.
 
-A contig is cut to cores of ``core`` bases, each with ``halo`` bases on either side.  Whatever looks at most
-``halo`` bases away is computed within one tile, so a chromosome spreads over as many tasks as it has
-tiles, nothing is shuffled, and memory is bounded by the tile, not the contig.
+A contig is cut to cores of ``core`` bases, each with ``halo`` bases on either side, which are dealt out by contig
+and place, so that a chromosome spreads over as many tasks as it has tiles.  Whatever looks at most ``halo``
+bases away is computed within one tile: the bases travel once, nothing that is found in them does, and memory is
+bounded by the tile, not the contig.
 """
 
 from __future__ import annotations
@@ -30,7 +31,9 @@ def tiles(contigs: DataFrame, halo: int, core: int = CORE) -> DataFrame:
     starts = contigs.select("ci", "len", "seq", *others, F.explode(F.sequence(F.lit(0).cast("long"), F.col("len") - 1, F.lit(core).cast("long"))).alias("core_start"))
     begin = F.greatest(F.col("core_start") - halo, F.lit(0))
     end = F.least(F.col("core_start") + core + halo, F.col("len"))
-    return starts.select("ci", "len", "core_start", F.least(F.col("core_start") + core, F.col("len")).alias("core_end"), begin.alias("from"), piece(F.col("seq"), begin, end).alias("seq"), *others)
+    rows = starts.select("ci", "len", "core_start", F.least(F.col("core_start") + core, F.col("len")).alias("core_end"), begin.alias("from"), piece(F.col("seq"), begin, end).alias("seq"), *others)
+    # A contig is one row: without this all of its tiles would be one task's work.
+    return rows.repartition("ci", "core_start")
 
 
 def per_tile(tiled: DataFrame, kernel: Callable[[np.ndarray, int, int, int, int], dict[str, np.ndarray]], schema: str) -> DataFrame:
