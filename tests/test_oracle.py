@@ -42,12 +42,11 @@ def test_query_matches_sql(spark, db, name):
     assert _rows(QUERIES[name](spark, DATA).toPandas()) == _rows(db.execute(ORACLE[name]).df())
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE)))
-def test_query_runs(spark, name):
-    assert QUERIES[name](spark, DATA).count() > 0
+def test_every_query_has_sql():
+    assert set(QUERIES) == set(ORACLE)
 
 
-@pytest.mark.parametrize("name", ["rrbs_candidates", "fastq_records", "denovo_events", "beta_levels", "read_summary", "wgbs_haplotype_gc", "wgbs_variable_gc", "haplotype_fragments", "tbs_diploid_displaced", "rrbs_profile_pick"])
+@pytest.mark.parametrize("name", ["rrbs_candidates", "fastq_records", "denovo_events", "beta_levels", "read_summary", "wgbs_haplotype_gc", "haplotype_fragments"])
 def test_partitioning_does_not_change_rows(spark, name):
     results = []
     for n in ("1", "7"):
